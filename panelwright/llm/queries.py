@@ -28,6 +28,12 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read_back(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -36,5 +42,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_media_columns, op8_token_store, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_media_columns, op8_token_store, op9_toxicity, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
