@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Distinct chunks remembered by a worker before it starts anew; bounds memory, not results.
-MEMO = 600_000
+MEMO = 700_000
 _CHUNK = re.compile(r"[^ \t\n\r]+").findall
 
 
@@ -24,22 +25,64 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
+        self.code = "H" if self.width == 2 else "I"
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.closing[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.base: dict[str, bytes] = {}
+
+    def library(self, chunks: list[str], into: dict[str, bytes]) -> None:
+        for k in range(0, len(chunks), 4096):
+            part = chunks[k : k + 4096]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                into[chunk] = array(self.code, e.ids).tobytes()
+
+    def letters(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Words of Latin-1 letters alone are one pre-token each, so many go through one call; an end-of-word id closes each."""
+        lines = [words[k : k + 256] for k in range(0, len(words), 256)]
+        for part, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(w) for w in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = (np.flatnonzero(self.closing[ids]) + 1) * self.width
+            if len(cuts) != len(part):
+                self.library(part, into)
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(part, cuts.tolist()):
+                into[word] = raw[at:stop]
+                at = stop
+
+    def learn(self, chunks: list[str]) -> None:
+        """Chunks that differ in case or in one closing mark alone share the library's work: the vocabulary maps
+        case away and always parts a letter from the mark after it.  Only Latin-1 chunks without "<" are so
+        reduced, where case mapping has no context and no special token can be made or broken."""
+        plain, reduced = [], []
+        for c in chunks:
+            mark = c[-1] if c[-1] in ".,!?;:" and len(c) > 1 and c[-2].isalpha() else ""
+            if max(c) < "\u0100" and "<" not in c:
+                reduced.append((c, c[: len(c) - len(mark)].lower(), mark))
+            else:
+                plain.append(c)
+        self.library(plain, self.memo)
+        if len(self.base) > MEMO:
+            self.base.clear()
+        base = self.base
+        new = ({b for _, b, _ in reduced} | {m for _, _, m in reduced if m}).difference(base)
+        alike = {b for b in new if b.isalpha()}
+        self.letters(list(alike), base)
+        self.library(list(new - alike), base)
+        for c, b, m in reduced:
+            self.memo[c] = base[b] + base[m] if m else base[b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in the narrowest unsigned type that holds the vocabulary."""
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
             found = [_CHUNK(t) for t in texts[at : at + 256]]
-            memo = self.memo
-            if len(memo) > MEMO:
-                memo.clear()
-            if new := list(set().union(*found).difference(memo)):
-                for k in range(0, len(new), 4096):
-                    part = new[k : k + 4096]
-                    for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                        memo[chunk] = np.array(e.ids, self.dtype).tobytes()
-            get = memo.__getitem__
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            if new := set().union(*found).difference(self.memo):
+                self.learn(list(new))
+            get = self.memo.__getitem__
             out += [b"".join(map(get, f)) for f in found]
         return out
 
