@@ -70,3 +70,8 @@ def bucket_of(column, bounds: list):
     base = F.size(F.filter(coarse, lambda b: b <= column)) * step
     rest = F.size(F.filter(F.slice(fine, base + 1, F.lit(step)), lambda b: b <= column))
     return F.when(column.isNull(), 0).otherwise(base + rest)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A broadcast hint for a materialised table of narrow rows that is found small enough; else the table as it is."""
+    return F.broadcast(df) if df.count() <= most_rows else df

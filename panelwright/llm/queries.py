@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -14,6 +15,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import without_repeated_lines
+
+    out = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("line_dedup_lines").alias("n_lines"), F.col("line_dedup_removed").alias("n_removed"), F.length(text).alias("n_chars_kept"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -42,5 +51,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_media_columns, op8_token_store, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_media_columns, op8_token_store, op9_toxicity, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
