@@ -29,6 +29,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_versions
+
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
@@ -51,5 +57,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_media_columns, op8_token_store, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_media_columns, op5_fingerprints, op8_token_store, op9_toxicity, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
