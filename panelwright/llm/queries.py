@@ -15,6 +15,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), end_id=1, window=2048)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "group_id")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import without_repeated_lines
 
@@ -57,5 +63,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op4_media_columns, op5_fingerprints, op8_token_store, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_line_dedup, op4_media_columns, op5_fingerprints, op8_token_store, op9_toxicity, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
