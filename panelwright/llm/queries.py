@@ -41,6 +41,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_versions(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -69,5 +75,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_line_dedup, op4_media_columns, op5_fingerprints, op7_suffix_dedup, op8_token_store, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_line_dedup, op4_media_columns, op5_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_store, op9_toxicity, op10_byte_bpe)}
 ORACLE: dict[str, str] = {}
