@@ -13,7 +13,6 @@ without any toxic training row all scores are the share of toxic rows.  Repeated
 """
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -137,7 +136,7 @@ def _lone(words: list[list[str]]) -> list[int]:
     out = []
     for i, ws in enumerate(words):
         ws = [w for w in ws if w not in _STOPS]
-        least = heapq.nsmallest(4, {zlib.crc32(" ".join(ws[k : k + 3]).encode()) for k in range(max(1, len(ws) - 2))})
+        least = sorted({zlib.crc32(t.encode()) for t in map(" ".join, zip(ws, ws[1:], ws[2:]))} or {zlib.crc32(" ".join(ws).encode())})[:4]
         if taken.isdisjoint(least):
             out.append(i)
         taken.update(least)
@@ -251,10 +250,14 @@ def score_texts(model: Model, memo: Memo, texts: list[str]) -> tuple[np.ndarray,
     return scores, spans
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans.  A narrow map; the model is a few thousand weights at most."""
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted, spans - and the columns named in carry, as they are.
+
+    A narrow map; the model is a few thousand weights at most.
+    """
     import pyarrow as pa
 
+    carry = list(carry or [])
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
@@ -262,14 +265,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                scores, spans = score_texts(model, memo, part.column("text").to_pylist())
+                scores, spans = score_texts(model, memo, part.column("__text").to_pylist())
                 made = pa.array([[{"start": a, "stop": z} for a, z in s] for s in spans], span)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), made], names=["doc_id", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column("__id"), *(part.column(c) for c in carry), pa.array(scores, pa.float64()), made], names=["__id", *carry, "__score", "__spans"])
 
-    scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,stop:int>>")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join(["__id long", *(f"`{c}` {kinds[c]}" for c in carry), "__score double, __spans array<struct<start:int,stop:int>>"])
+    scored = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"), *carry).mapInArrow(run, schema)
+    held = F.pmod(F.crc32(F.col("__id").cast("string")), F.lit(5)) == 0
+    return scored.select(F.col("__id").alias("doc_id"), *carry, held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.col("__spans").alias("spans"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest: int = 4000) -> DataFrame:
-    return score(docs, fit(*training_rows(docs, labels, sample, longest)))
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest: int = 4000, carry: list[str] | None = None) -> DataFrame:
+    return score(docs, fit(*training_rows(docs, labels, sample, longest)), carry)
