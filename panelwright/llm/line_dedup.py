@@ -4,10 +4,11 @@ A line goes if an earlier line (by doc_id, text hash, line number) is equal to i
 (insertion, deletion or substitution of a code point) of it where the shorter has at least ``near_from``
 code points.  Lines of blanks alone always stay.  Rows alike in doc_id and text are treated alike.
 
-1. Lines become hashes; equal lines meet in one partially aggregated group that keeps the earliest place.
+1. Lines become hashes; equal lines meet in one partially aggregated group.
 2. Lines that could have a neighbour share one half with it: either half of a line (and, against lines one
-   shorter, either half at that length) is a key; only lines with a shared key go on.  Exact, no cap.
-3. Those lines emit all variants with one code point deleted, as hashed keys: with the position (equal
+   shorter, either half at that length) is a key; only lines with a shared key go on.  For those the same is asked
+   of all but one of SEGMENTS segments, which tells where an edit can be.  Exact, no cap.
+3. Within those segments all variants with one code point deleted are emitted as hashed keys: with the position (equal
    variant and position: one substitution), and without it against whole lines (one insertion).
 4. Equal variants join through the earliest line of their group - an aggregate, never all pairs -
    and the edit distance of each line to that earliest one is verified on the texts.
@@ -25,6 +26,8 @@ from .mph import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Parts of a line, one of which an edit is in.
+SEGMENTS = 32
 PLACE = ["doc_id", "th", "line_no"]
 
 
@@ -35,61 +38,97 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return out.filter(F.length(F.trim("line")) > 0).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
 
 
-def _half_keys(line, near_from: int):
-    """Keys of the two halves at the line's own length and at one less."""
-    n = F.length(line)
-
-    def at(size):
+def _half_keys(line, near_from: int) -> dict:
+    """Keys of the two halves at the line's own length and at one less; null for lines too short."""
+    n, out = F.length(line), {}
+    for name, size in (("0", n), ("1", n - 1)):
         half = F.floor(size / 2).cast("int")
-        rest = size - half
-        return [F.when(size >= near_from, F.xxhash64(F.lit(0), size, F.substr(line, F.lit(1), half))), F.when(size >= near_from, F.xxhash64(F.lit(1), size, F.right(line, rest)))]
+        out["k" + name] = F.when(size >= near_from, F.xxhash64(F.lit(0), size, F.substr(line, F.lit(1), half)))
+        out["q" + name] = F.when(size >= near_from, F.xxhash64(F.lit(1), size, F.right(line, size - half)))
+    return out
 
-    return F.array_compact(F.array(*at(n), *at(n - 1)))
 
+class LineHash:
+    """Polynomial hashes of a line, of all but a middle part, and of its variants with one code point deleted."""
 
-def variants(line: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """(hash of the whole line, hashes of its variants with code point p deleted, p): polynomial hashes, one pass."""
-    cps = mix(np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64), 3)
-    n = len(cps)
-    with np.errstate(over="ignore"):
-        power = np.full(n, BASE, np.uint64)
-        power[:1] = 1
-        term = cps * np.cumprod(power, dtype=np.uint64)
-        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
-        deleted = before[:-1] + (before[-1] - before[1:]) * INVERSE
-    whole = int(mix(before[-1:] + np.uint64(n), 5)[0])
-    return whole, mix(deleted + np.uint64(n - 1), 5), np.arange(n)
+    def __init__(self, line: str):
+        cps = mix(np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64), 3)
+        self.n = n = len(cps)
+        with np.errstate(over="ignore"):
+            power = np.full(n + 1, BASE, np.uint64)
+            power[0] = 1
+            self.back = np.cumprod(np.concatenate([power[:1], np.full(n, INVERSE, np.uint64)]), dtype=np.uint64)
+            self.before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(cps * np.cumprod(power, dtype=np.uint64)[:n], dtype=np.uint64)])
 
+    def whole(self) -> np.ndarray:
+        return mix(self.before[-1:] + np.uint64(self.n), 5)
 
-def near_links(lines: DataFrame, near_from: int) -> DataFrame:
-    """(h1, h2) of distinct lines that have an earlier line within one edit, verified."""
+    def deleted(self, p: np.ndarray) -> np.ndarray:
+        """Hash of the line without code point p; equal to whole() of a line so written."""
+        with np.errstate(over="ignore"):
+            return mix(self.before[p] + (self.before[-1] - self.before[p + 1]) * INVERSE + np.uint64(self.n - 1), 5)
+
+    def around(self, size: int, edges: np.ndarray) -> np.ndarray:
+        """For each segment between edges, at a length of size: hash of what precedes it and of what follows it, counted from the end."""
+        with np.errstate(over="ignore"):
+            head = self.before[edges[:-1]]
+            tail_at = self.n - (size - edges[1:])
+            tail = (self.before[-1] - self.before[tail_at]) * self.back[tail_at]
+            return mix(mix(head + np.uint64(size), 7) + mix(tail, 8) + np.arange(len(head), dtype=np.uint64), 9)
+
+
+def edges_of(size: int) -> np.ndarray:
+    return np.arange(SEGMENTS + 1) * size // SEGMENTS
+
+
+def _emit_segments(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        for h1, h2, line in zip(*(b.column(n).to_pylist() for n in ("h1", "h2", "line"))):
+            made = LineHash(line)
+            k = np.concatenate([made.around(size, edges_of(size)) for size in (made.n, made.n - 1)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), h1)), pa.array(np.full(len(k), h2)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(k)], names=["h1", "h2", "segment", "k"])
+
+
+def _emit_variants(batches):
     import pyarrow as pa
 
-    half = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.any_value(_half_keys(F.col("line"), near_from)).alias("keys"))
-    distinct = materialise(half, "lines")
-    exploded = distinct.select("h1", "h2", F.explode("keys").alias("k"))
-    shared = exploded.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select("k")
-    candidates = materialise(exploded.join(shared, "k", "left_semi").select("h1", "h2").distinct().join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "line-candidates")
-    places = candidates.select("h1", "h2", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.line_no").alias("line_no"))
-    found = lines.select(*PLACE, "line", "h1", "h2").join(broadcast_if_small(candidates.select("h1", "h2")), ["h1", "h2"], "left_semi")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "th", "line_no")]
-    at = found.alias("l").join(places.alias("p"), [F.col("l.h1") == F.col("p.h1"), F.col("l.h2") == F.col("p.h2"), *same])
-    texts = materialise(at.select("l.h1", "l.h2", "l.line", F.struct(*[F.col(f"l.{c}").alias(c) for c in PLACE]).alias("place")).dropDuplicates(["h1", "h2"]), "line-texts")
-
-    def emit(batches):
-        names = ["h1", "h2", "v", "p"]
-        for b in batches:
-            cols = [b.column(n).to_pylist() for n in ("h1", "h2", "line")]
-            for h1, h2, line in zip(*cols):
-                whole, hashes, at = variants(line)
-                v = np.concatenate([np.array([whole], np.uint64), hashes, hashes]).astype(np.int64)
-                p = np.concatenate([[-1], at, np.full(len(at), -2)]).astype(np.int64)
-                _, keep = np.unique(np.stack([v, p]), axis=1, return_index=True)
-                v, p = v[keep], p[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), h1)), pa.array(np.full(len(v), h2)), pa.array(v), pa.array(p)], names=names)
-
-    rows = texts.select("h1", "h2", "line").mapInArrow(emit, "h1 long, h2 long, v long, p long").join(texts.select("h1", "h2", "place"), ["h1", "h2"])
-    rows = rows.withColumn("me", F.struct("place", "h1", "h2"))
+    for b in batches:
+        for h1, h2, line, segments in zip(*(b.column(n).to_pylist() for n in ("h1", "h2", "line", "segments"))):
+            made = LineHash(line)
+            v, p = [made.whole()], [np.array([-1])]
+            for s in segments:
+                longer, j = divmod(s, SEGMENTS)
+                edge = edges_of(made.n - longer)
+                at = np.arange(edge[j], min(edge[j + 1] + longer, made.n))
+                v.append(made.deleted(at))
+                p.append(np.full(len(at), -2) if longer else at)
+            v, p = np.unique(np.stack([np.concatenate(v).astype(np.int64), np.concatenate(p).astype(np.int64)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), h1)), pa.array(np.full(len(v), h2)), pa.array(v), pa.array(p)], names=["h1", "h2", "v", "p"])
+
+
+def distinct_lines(lines: DataFrame, near_from: int) -> DataFrame:
+    """h1, h2, n (occurrences) and half keys of each distinct line: plain longs, so that partial sums stay in hash tables."""
+    keys = _half_keys(F.col("line"), near_from)
+    return materialise(lines.select("h1", "h2", *[c.alias(n) for n, c in keys.items()]).groupBy("h1", "h2").agg(F.count("*").alias("n"), *[F.max(k).alias(k) for k in keys]), "lines")
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that two distinct lines have."""
+    return rows.groupBy(key).agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).filter("a <> b or c <> d").select(key)
+
+
+def near_links(lines: DataFrame, distinct: DataFrame, near_from: int) -> DataFrame:
+    """(h1, h2) of distinct lines that have an earlier line within one edit, verified."""
+    keyed = distinct.select("h1", "h2", F.explode(F.array_compact(F.array("k0", "q0", "k1", "q1"))).alias("k"))
+    candidates = materialise(keyed.join(_shared(keyed, "k"), "k", "left_semi").select("h1", "h2").distinct(), "line-candidates")
+    found = lines.join(broadcast_if_small(candidates), ["h1", "h2"], "left_semi").select("h1", "h2", "line", F.struct(*PLACE).alias("place"))
+    texts = materialise(found.groupBy("h1", "h2").agg(F.min(F.struct("place", "line")).alias("f")).select("h1", "h2", "f.place", "f.line"), "line-texts")
+    spots = texts.select("h1", "h2", "line").mapInArrow(_emit_segments, "h1 long, h2 long, segment int, k long")
+    where = spots.join(_shared(spots, "k"), "k", "left_semi").groupBy("h1", "h2").agg(F.collect_set("segment").alias("segments"))
+    rows = texts.select("h1", "h2", "line").join(where, ["h1", "h2"]).mapInArrow(_emit_variants, "h1 long, h2 long, v long, p long")
+    rows = materialise(rows.join(texts.select("h1", "h2", "place"), ["h1", "h2"]).select("v", "p", F.struct("place", "h1", "h2").alias("me")), "line-variants")
     # p >= 0: one substitution; -1: the whole line, met by variants (-2) of lines one longer
     sub = rows.filter("p >= 0")
     first = sub.groupBy("v", "p").agg(F.min("me").alias("e"), F.count("*").alias("n")).filter("n > 1")
@@ -107,11 +146,13 @@ def near_links(lines: DataFrame, near_from: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, near_from: int = 16) -> DataFrame:
     """doc_id, th, removed: the numbers of each document's lines that go (only documents that lose any)."""
     lines = lines_of(docs)
-    near = near_links(lines, near_from).withColumn("near", F.lit(True))
-    places = lines.select(*PLACE, "h1", "h2")
-    again = places.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"))
-    doomed = again.join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "first", "near")
-    gone = places.join(doomed, ["h1", "h2"]).filter(F.coalesce("near", F.lit(False)) | (F.struct(*PLACE) > F.col("first")))
+    distinct = distinct_lines(lines, near_from)
+    near = near_links(lines, distinct, near_from).withColumn("near", F.lit(True))
+    doomed = distinct.join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near"))
+    met = materialise(lines.select(*PLACE, "h1", "h2").join(doomed, ["h1", "h2"]), "line-places")
+    first = met.filter("not near").groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"))
+    later = met.filter("not near").join(first, ["h1", "h2"]).filter(F.struct(*PLACE) > F.col("first"))
+    gone = later.select(*PLACE).unionByName(met.filter("near").select(*PLACE))
     return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
