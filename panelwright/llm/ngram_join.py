@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise
+from .common import broadcast_if_small, id_and_text, materialise
 from .components import components
 from .mph import mix
 
@@ -175,8 +175,9 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     # full n-gram sets, of one text for each candidate class
     reps = members.select("node", "cand", "doc_id", "th", "bands")
     texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
-    wanted = reps.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "node", "cand", "bands")
-    held = texts.join(_fitting(wanted), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("node", "cand", "bands", "text").dropDuplicates(["node"])
+    wanted = materialise(reps.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "node"), "wanted")
+    met = texts.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("node", "text")
+    held = met.dropDuplicates(["node"]).join(reps.select("node", "cand", "bands"), "node")
     sizes = members.groupBy("cand").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     blocked = held.join(sizes, "cand").withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
@@ -212,13 +213,6 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     return out.select("doc_id", "th", F.when(own, F.col("rep.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), "n_links", F.when(own, F.col("group_rep.doc_id")).otherwise(F.col("doc_id")).alias("group_id"), F.when(own, F.col("group_rep.th")).otherwise(F.col("th")).alias("group_th"))
 
 
-def _fitting(df: DataFrame) -> DataFrame:
-    """Wide rows (a signature each): broadcast only up to a small count, else an ordinary join."""
-    from .common import broadcast_if_small
-
-    return broadcast_if_small(df, 20_000)
-
-
 def without_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that stay: of each group of near copies, the one with the least (doc_id, text hash); rows alike in both are one."""
     found = near_classes(docs, n, threshold)
