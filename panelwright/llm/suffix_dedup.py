@@ -215,8 +215,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     first, before = F.shiftright("place", 24), F.col("place").bitwiseAND(4095)
     windows = F.shiftright("place", 12).bitwiseAND(4095)
     keyed = id_and_text(docs).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("raw"))
-    fetched = keyed.join(broadcast_if_small(contested), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["g", "c"])
-    bytes_of = materialise(fetched.select("g", "c", "n", "k", F.substring(F.col("raw"), (first + before + 1).cast("int"), F.lit(K)).alias("lead"), F.substring(F.col("raw"), (first + 1).cast("int"), (windows + LENGTH).cast("int")).alias("context"), before.cast("int").alias("before")), "context-bytes")
+    fetched = keyed.join(broadcast_if_small(contested), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    cut = fetched.select("g", "c", "n", "k", F.substring(F.col("raw"), (first + before + 1).cast("int"), F.lit(K)).alias("lead"), F.substring(F.col("raw"), (first + 1).cast("int"), (windows + LENGTH).cast("int")).alias("context"), before.cast("int").alias("before"))
+    bytes_of = materialise(cut.dropDuplicates(), "context-bytes")  # rows alike in doc_id and text give the same context
     some = partial_repeats(bytes_of.filter(F.col("k") <= GROUP))
     if not bytes_of.filter(F.col("k") > GROUP).isEmpty():
         some = some.unionByName(partial_repeats_hot(bytes_of.filter(F.col("k") > GROUP)))
