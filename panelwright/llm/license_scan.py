@@ -44,6 +44,8 @@ SURE, CONFIRM = 0.6, 0.7
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 NAMES_LICENCE = r"(?i)\blicen[sc]e[ds]?\b|\bcopyright\b"
 SEED, COPIES = 11, 60
+#: Common English words, which come last when words are chosen to find candidate lines by.
+COMMON = frozenset("a and any are as by except file form forms free in into is may not of or person published released source subject terms the this to under use v with without work you".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -119,7 +121,7 @@ def gate_words() -> list[str]:
     out: set[str] = set()
     for ts in TEMPLATES.values():
         for t in ts:
-            ws = sorted(set(words_of(t)), key=lambda w: (of[w], -len(w), w))
+            ws = sorted(set(words_of(t)), key=lambda w: (w in COMMON, of[w], -len(w), w))
             out.update(ws[: int(len(ws) * (1 - CONFIRM) + 1e-9) + 1])
     return sorted(out)
 
@@ -134,25 +136,27 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
     keyed = id_and_text(docs).withColumn("th", F.xxhash64("text"))
     gate = r"(?i)(?<![a-z0-9])(?:%s)(?![a-z0-9])" % "|".join(re.escape(w).replace(r"\-", "-") for w in gate_words())
     lines = keyed.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(gate) | F.col("line").rlike(NAMES_LICENCE))
-    lines = lines.withColumn("words", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).withColumn("named", F.col("line").rlike(NAMES_LICENCE)).drop("line").distinct()
+    words = lines.select("doc_id", "th", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"), F.col("line").rlike(NAMES_LICENCE).alias("named"))
+
+    def held(template):
+        ws = sorted(set(words_of(template)))
+        return F.size(F.array_intersect(F.array(*[F.lit(w) for w in ws]), "words")) / F.lit(float(len(ws)))
+
+    likes = {f"like{i}": F.greatest(*[held(t) for t in TEMPLATES[f]], F.lit(0.0)) for i, f in enumerate(sorted(TEMPLATES))}
     size = F.size("words")
     pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    grams = lines.select("doc_id", "th", "paragraph", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
-    met = grams.join(F.broadcast(table), "gram").groupBy("doc_id", "th", "paragraph").agg(*[F.sum(c).alias(c) for c in columns])
+    judged = words.withColumns(likes).withColumn("grams", F.array_distinct(F.concat("words", pairs)))
+    keys = ["doc_id", "th", "paragraph"]
+    grams = judged.select(*keys, "named", *likes, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").dropDuplicates([*keys, "gram"])
+    met = grams.groupBy(*keys).agg(F.max("named").alias("named"), *[F.max(c).alias(c) for c in likes], *[F.sum(c).alias(c) for c in columns])
     scores = [F.col(c) + F.lit(float(b)) for c, b in zip(columns, bias)]
     top = F.greatest(*scores)
     total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
     chances = [F.exp(s - top) / total for s in scores]
     best = F.coalesce(*[F.when(s == top, F.lit(n)) for s, n in zip(scores, CLASSES)])
-    judged = met.select("doc_id", "th", "paragraph", best.alias("best"), (F.lit(1.0) / total).alias("best_chance"), (F.lit(1.0) - chances[-1]).alias("licence_chance"))
-    back = judged.join(lines, [judged["doc_id"].eqNullSafe(lines["doc_id"]), judged["th"] == lines["th"], judged["paragraph"] == lines["paragraph"]]).select(judged["doc_id"], judged["th"], judged["paragraph"], "best", "best_chance", "licence_chance", "words", "named")
-
-    def held(template):
-        ws = sorted(set(words_of(template)))
-        return F.size(F.array_intersect(F.array(*[F.lit(w) for w in ws]), "words")) / F.lit(float(len(ws)))
-
-    likeness = F.coalesce(*[F.when(F.col("best") == f, F.greatest(*[held(t) for t in ts], F.lit(0.0))) for f, ts in sorted(TEMPLATES.items())], F.lit(0.0))
-    sure = (F.col("best_chance") >= SURE) & (likeness >= CONFIRM)
+    likeness = F.coalesce(*[F.when(best == f, F.col(f"like{i}")) for i, f in enumerate(sorted(TEMPLATES))], F.lit(0.0))
+    back = met.select(*keys, "named", best.alias("best"), (F.lit(1.0) / total).alias("best_chance"), (F.lit(1.0) - chances[-1]).alias("licence_chance"), likeness.alias("likeness"))
+    sure = (F.col("best_chance") >= SURE) & (F.col("likeness") >= CONFIRM)
     family = F.when(sure, F.col("best")).when((F.col("licence_chance") >= SURE) & F.col("named"), F.lit("unknown"))
     return back.select("doc_id", "th", "paragraph", family.alias("family"), F.round(F.when(sure, F.col("best_chance")).otherwise(F.col("licence_chance")), 4).alias("probability")).filter("family is not null")
 
