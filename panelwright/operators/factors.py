@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import div0, positive, ratio
-from .timeseries import BY_CODE, corr, cumulative_sum, delay, delta, ewm, ewm_position, rank_pct, rolling_cov, rolling_mean, rolling_std, rolling_sum, ts_max, ts_min
+from .timeseries import by_code, corr, cumulative_sum, delay, delta, ewm, ewm_position, rank_pct, rolling_cov, rolling_mean, rolling_std, rolling_sum, ts_max, ts_min
 
 #: c: windows within a code, d: ranks within a date.
 LEVELS = ("c0", "c1", "c2", "c3", "d0", "c4", "c5", "d1", "c6")
@@ -409,7 +409,7 @@ def calc_atr(t, window=14):
 
 @single(None, "liquidity", needs=("close", "volume"))
 def calc_amihud(t, window=20):
-    filled = t("c0", F.last("close", ignorenulls=True).over(BY_CODE))
+    filled = t("c0", F.last("close", ignorenulls=True).over(by_code()))
     back = F.abs(ratio(t("c1", delta(filled, 1)), t("c1", delay(filled, 1))))
     traded = V() * C()
     return t("c3", rolling_mean(t("c2", F.when(traded > 0, ratio(back, traded))), window))
@@ -455,7 +455,7 @@ def calc_moneyflow_net_ratio(t):
 @single(None, "moneyflow", "mining", needs=("net_mf_amount",))
 def calc_moneyflow_streak(t):
     inflow = F.coalesce(F.col("net_mf_amount") > 0, F.lit(False))
-    ended = t("c0", F.max(F.when(~inflow, F.col("__t"))).over(BY_CODE))
+    ended = t("c0", F.max(F.when(~inflow, F.col("__t"))).over(by_code()))
     return F.when(inflow, F.col("__t") - F.coalesce(ended, F.lit(-1))).otherwise(0)
 
 

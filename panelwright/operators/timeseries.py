@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
 
-BY_CODE = Window.partitionBy("code").orderBy("date")
-BY_DATE = Window.partitionBy("date")
+
+
+def by_code():
+    """Rows of a code by date (made when used: windows need a session)."""
+    return Window.partitionBy("code").orderBy("date")
+
+
 #: Rows in a block of the exponential mean; weights stay within double range for decay rates up to one half.
 EWM_BLOCK = 1000
 
@@ -20,28 +25,28 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def rows(n: int, by=BY_CODE):
+def rows(n: int, by=None):
     if n < 1:
         raise ValueError("a window holds at least one row")
-    return by.rowsBetween(-(n - 1), 0)
+    return (by or by_code()).rowsBetween(-(n - 1), 0)
 
 
-def delay(x, n: int, by=BY_CODE) -> Column:
+def delay(x, n: int, by=None) -> Column:
     if n < 0:
         raise ValueError("n must not be negative")
-    return F.lag(_col(x), n).over(by)
+    return F.lag(_col(x), n).over(by or by_code())
 
 
-def delta(x, n: int, by=BY_CODE) -> Column:
+def delta(x, n: int, by=None) -> Column:
     return _col(x) - delay(x, n, by)
 
 
-def change(x, n: int, by=BY_CODE) -> Column:
+def change(x, n: int, by=None) -> Column:
     """Relative change over n rows."""
     return ratio(delta(x, n, by), delay(x, n, by))
 
 
-def rolling(f, x, n: int, least: int | None = None, by=BY_CODE) -> Column:
+def rolling(f, x, n: int, least: int | None = None, by=None) -> Column:
     w = rows(n, by)
     return F.when(F.count(_col(x)).over(w) >= (least or n), f(_col(x)).over(w))
 
@@ -71,7 +76,7 @@ def _pairs(x, y):
     return F.when(both, _col(x)), F.when(both, _col(y))
 
 
-def corr(x, y, n: int, by=BY_CODE) -> Column:
+def corr(x, y, n: int, by=None) -> Column:
     """Rolling Pearson correlation over n complete pairs; null where either side is constant."""
     a, b = _pairs(x, y)
     w = rows(n, by)
@@ -94,11 +99,11 @@ def rank_pct(x, within=("date",)) -> Column:
 
 
 def cumulative_sum(x) -> Column:
-    return F.sum(_col(x)).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(_col(x)).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def forward_fill(x) -> Column:
-    return F.last(_col(x), ignorenulls=True).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(_col(x), ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def rolling_quantile(x, q: float, n: int, least: int) -> Column:
@@ -110,15 +115,15 @@ def streak(df: DataFrame, flag: Column, name: str) -> DataFrame:
     """Length so far of the run of rows whose flag is true; 0 elsewhere."""
     flag = F.coalesce(flag, F.lit(False))
     marked = df.withColumn("__flag", flag)
-    before = F.lag("__flag").over(BY_CODE)
-    run = marked.withColumn("__run", F.sum(F.when(before.isNull() | (before != F.col("__flag")), 1).otherwise(0)).over(BY_CODE))
+    before = F.lag("__flag").over(by_code())
+    run = marked.withColumn("__run", F.sum(F.when(before.isNull() | (before != F.col("__flag")), 1).otherwise(0)).over(by_code()))
     place = F.row_number().over(Window.partitionBy("code", "__run").orderBy("date"))
     return run.withColumn(name, F.when(F.col("__flag"), place).otherwise(0)).drop("__flag", "__run")
 
 
 def ewm_position(df: DataFrame) -> DataFrame:
     """Adds __t, the row's place within its code, which exponential means need."""
-    return df if "__t" in df.columns else df.withColumn("__t", F.row_number().over(BY_CODE) - 1)
+    return df if "__t" in df.columns else df.withColumn("__t", F.row_number().over(by_code()) - 1)
 
 
 def ewm(x, n: int, m: int) -> Column:
@@ -137,5 +142,5 @@ def ewm(x, n: int, m: int) -> Column:
     def total(v):
         return F.coalesce(F.sum(v).over(here), F.lit(0.0)) + F.coalesce(F.sum(v).over(last), F.lit(0.0)) * fade
 
-    seen = F.count(x).over(BY_CODE.rowsBetween(Window.unboundedPreceding, 0))
+    seen = F.count(x).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
     return F.when(seen >= n, ratio(total(x * lift), total(F.when(x.isNotNull(), lift))))
