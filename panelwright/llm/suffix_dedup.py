@@ -28,7 +28,8 @@ from .common import broadcast_if_small, id_and_text, materialise, partitions
 from .mph import mix
 
 LENGTH, K = 200, 40
-GROUP = 2048
+#: Contexts of one k-gram that one bucket sorts: about 100 MB of suffixes.  More are compared across buckets.
+GROUP = 16_384
 SLICE = 2 << 20
 _POS = np.uint64(28)
 _BYTE = mix(np.arange(256, dtype=np.uint64), 31)
