@@ -71,7 +71,7 @@ def information_ratio(mean: Column, std: Column, n: Column) -> Column:
 
 
 def ic_summary(ics: DataFrame, by=("factor", "fwd_window")) -> DataFrame:
-    out = ics.groupBy(*by).agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("n_ic"), F.count("*").alias("n_days"), F.count_if(F.col("ic") > 0).alias("pos"))
+    out = ics.groupBy(*by).agg(F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("n_ic"), F.count("*").alias("n_days"), F.count_if(F.col("ic") > 1e-12).alias("pos"))
     return out.select(*by, "ic_mean", "ic_std", information_ratio(F.col("ic_mean"), F.col("ic_std"), F.col("n_ic")).alias("ic_ir"), ratio(F.col("pos"), F.col("n_days")).alias("ic_positive_ratio"), "n_days")
 
 

@@ -332,7 +332,7 @@ def confirm(labels: list, lag: int) -> list:
 
 def _over_dates(df: DataFrame, func: Callable, schema: str) -> DataFrame:
     """A function of the whole date series: one row a day, thousands at most, in one group."""
-    return df.groupBy(F.lit(1).alias("__one")).applyInPandas(lambda pdf: func(pdf.drop(columns="__one").sort_values("date").reset_index(drop=True)), schema)
+    return df.groupBy(F.lit(1).alias("__one")).applyInPandas(lambda pdf: func(pdf.sort_values("date").reset_index(drop=True)), schema)
 
 
 def detect_regime(data: DataFrame, trend_window=20, vol_lookback=60, vol_high_pct=75.0, vol_low_pct=25.0, strong=0.2, weak=0.15, ema_span=5, min_persistence=7, index: DataFrame | None = None) -> DataFrame:

@@ -1 +1,524 @@
-"""Queries."""
+"""Queries over strategies, portfolio, backtests, pairs, announcements and the life cycle."""
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from ..operators import announcements, backtest, cleaning, evaluation, factors, lifecycle, pairs, portfolio, strategies
+from ..sources import panels
+from . import oracle_sql as sql
+from .catalogue import full_panel, query, rounded
+from .queries_evaluation import _IC, FACTORS, two_factors
+
+
+def _signals(df):
+    return df.select("date", "code", F.col("signal").cast("int").alias("signal"), rounded("confidence", 6).alias("confidence"))
+
+
+# strategies by rank
+
+
+def hold_sql(scored: str, rebalance: int, top: int, bottom: int, least: int, ascending: bool = False, drop: bool = False, exited: bool = False, min_rows: int = 2) -> str:
+    """CTEs from ``scored`` (date, code, score) to ``sig`` (date, code, signal, confidence)."""
+    way = "score ASC NULLS LAST" if ascending else "score DESC NULLS LAST"
+    worth = "1 - score" if ascending else "score"
+    gone = "AND st AND held AND coalesce(s, 0) <> 1" if exited else "AND false"
+    return f"""dt AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM {scored})),
+ dp AS (SELECT date, CASE WHEN i >= {least} THEN (i - {least}) // {rebalance} END AS period, i >= {least} AND (i - {least}) % {rebalance} = 0 AS st FROM dt),
+ rk AS (SELECT period, code, score, row_number() OVER (PARTITION BY period ORDER BY {way}, code) AS rn, count(*) OVER (PARTITION BY period) AS n FROM {scored} JOIN dp USING (date) WHERE st {'AND score IS NOT NULL' if drop else ''}),
+ pk AS (SELECT period, code, CASE WHEN rn <= {top} THEN 1 ELSE -1 END AS s, CASE WHEN rn <= {top} THEN coalesce({worth}, 0.5) ELSE 0.5 END AS c FROM rk WHERE n >= {min_rows} AND (rn <= {top} OR rn > n - {bottom})),
+ hd AS (SELECT period + 1 AS period, code, true AS held FROM pk WHERE s = 1),
+ mg AS (SELECT a.date, a.code, s, c, coalesce(held, false) AS held, st FROM {scored} a JOIN dp USING (date) LEFT JOIN pk ON pk.period = dp.period AND pk.code = a.code LEFT JOIN hd ON hd.period = dp.period AND hd.code = a.code),
+ sig AS (SELECT date, code, CASE WHEN true {gone} THEN -1 ELSE coalesce(s, 0) END AS signal, CASE WHEN true {gone} THEN 0.5 ELSE coalesce(c, 0.0) END AS confidence FROM mg)"""
+
+
+_SIG = f"SELECT date, code, signal, {sql.rounded('confidence', 6, 'confidence')} FROM sig"
+
+
+def _factor_ctes(names: list[str]) -> tuple[str, str]:
+    """CTEs that compute several factors side by side: (text, name of the last)."""
+    sources = {sql.FACTORS[n][3] if len(sql.FACTORS[n]) > 3 else "p" for n in names}
+    base = "f" if "f" in sources else "p"
+    out = [sql.FIGURES if base == "f" else sql.P]
+    ends = []
+    for k, n in enumerate(names):
+        stages, final, *_ = sql.FACTORS[n]
+        last = base
+        for j, cols in enumerate([{"t": f"row_number() OVER ({sql.BC}) - 1"}, *stages]):
+            out.append(f"x{k}_{j} AS (SELECT *, {', '.join(f'{v} AS {c}' for c, v in cols.items())} FROM {last})")
+            last = f"x{k}_{j}"
+        out.append(f"v{k} AS (SELECT date, code, {final} AS v{k} FROM {last})")
+        ends.append(f"v{k}")
+    joined = ends[0] + "".join(f" JOIN {e} USING (date, code)" for e in ends[1:])
+    out.append(f"fx AS (SELECT * FROM {joined})")
+    return ", ".join(out), "fx"
+
+
+def _score_sql(names: list[str], weights: list[float]) -> str:
+    ctes, last = _factor_ctes(names)
+    ranks = " + ".join(f"{sql.prank(f'v{k}')} * {w}" for k, w in enumerate(weights))
+    return f"{ctes}, sc AS (SELECT date, code, round(({ranks}) / {sum(weights)}, 12) AS score FROM {last})"
+
+
+def _ranked_query(name: str, names, least: int, ascending: bool, weights=None, rebalance=20, top=5, bottom=3):
+    oracle = f"WITH {_score_sql(list(names), weights or [1.0] * len(names))}, {hold_sql('sc', rebalance, top, bottom, least, ascending)} {_SIG}"
+
+    @query(f"rank_hold_{name}", oracle)
+    def run(spark, sf_dir):
+        return _signals(strategies.get_strategy(name)(full_panel(spark, sf_dir)))
+
+
+for _name, (_names, _least, _asc) in strategies.RANKED.items():
+    if _name != "gtja_momentum":
+        _ranked_query(_name, _names, _least, _asc)
+_ranked_query("fundamental_diversified", ("calc_earnings_surprise", "calc_amihud", "calc_roe_stability"), 21, False, [1.0, 0.8, 0.6], 15, 10, 5)
+_MOM_SCORE = _score_sql(list(strategies.RANKED["gtja_momentum"][0]), [1.0] * 5)
+_MOM = f"{_MOM_SCORE}, {hold_sql('sc', 20, 5, 3, 21)}"
+
+
+@query("rank_hold_gtja_momentum", f"WITH {_MOM} {_SIG}")
+def rank_hold_gtja_momentum(spark, sf_dir):
+    return _signals(momentum_signals(spark, sf_dir))
+
+
+def momentum_signals(spark, sf_dir):
+    return strategies.get_strategy("gtja_momentum")(panels.bars(spark, sf_dir))
+
+
+@query("rank_hold_reversed_gtja_vwap", f"WITH {_score_sql(['calc_vwap_close_ratio', 'calc_vwap_deviation'], [1.0, 1.0])}, {hold_sql('sc', 20, 5, 3, 21)} SELECT date, code, -signal AS signal, {sql.rounded('confidence', 6, 'confidence')} FROM sig")
+def reversed_vwap(spark, sf_dir):
+    return _signals(strategies.get_strategy("reversed_gtja_vwap")(panels.bars(spark, sf_dir)))
+
+
+_MF = f"{_factor_ctes(['calc_rsi', 'calc_hv', 'calc_volume_ratio'])[0]}, mo AS (SELECT date, code, {sql.ratio(sql.delta('close', 20), sql.lag('close', 20))} AS m FROM p), al AS (SELECT * FROM fx JOIN mo USING (date, code)), al2 AS (SELECT date, code, m, (100 - v0) / 100 AS r, -v1 AS h, v2 AS q FROM al), sc AS (SELECT date, code, round(({sql.prank('m')} + {sql.prank('r')} + {sql.prank('h')} + {sql.prank('q')} * 0.5) / 3.5, 12) AS score FROM al2)"
+
+
+@query("rank_hold_multifactor", f"WITH {_MF}, {hold_sql('sc', 20, 5, 3, 21, exited=True)} {_SIG}")
+def multifactor(spark, sf_dir):
+    return _signals(strategies.get_strategy("multifactor")(panels.bars(spark, sf_dir)))
+
+
+@query("scores_to_signals", f"WITH {_factor_ctes(FACTORS)[0]}, cs AS (SELECT date, code, {sql.prank('v0')} AS a, 1 - {sql.prank('v1')} AS b FROM fx), sc AS (SELECT date, code, (coalesce(a, 0) + coalesce(b * 0.5, 0)) / nullif((CASE WHEN a IS NULL THEN 0 ELSE 1.0 END) + (CASE WHEN b IS NULL THEN 0 ELSE 0.5 END), 0) AS score0 FROM cs), sd AS (SELECT date, code, round(score0, 9) AS score FROM sc), {hold_sql('sd', 10, 6, 4, 0, drop=True, exited=True, min_rows=0)} {_SIG}")
+def scores_to_signals(spark, sf_dir):
+    made = evaluation.combine_factor_scores(two_factors(spark, sf_dir), {FACTORS[0]: 1.0, FACTORS[1]: -0.5}).withColumn("score", F.round("score", 9))
+    return _signals(strategies.scores_to_signals(made, "score", 10, 6, 4))
+
+
+# threshold strategies
+
+
+def _threshold_query(name: str, ctes: str, buy: str, sell: str, confidence: str, valid: str = "true"):
+    oracle = f"WITH {ctes}, sig AS (SELECT date, code, CASE WHEN {valid} AND {sell} THEN -1 WHEN {valid} AND {buy} THEN 1 ELSE 0 END AS signal, CASE WHEN {valid} AND ({confidence}) IS NOT NULL THEN least({confidence}, 1.0) ELSE 0.0 END AS confidence FROM last) {_SIG}"
+
+    @query(f"strategy_{name}", oracle)
+    def run(spark, sf_dir):
+        return _signals(strategies.get_strategy(name)(panels.bars(spark, sf_dir)))
+
+
+_threshold_query("mean_reversion", f"{sql.P}, last AS (SELECT date, code, close, {sql.roll('avg', 'close', 20)} AS m, {sql.roll('stddev_samp', 'close', 20)} AS s FROM p)", "close - m < -2.0 * s", "close - m > 2.0 * s", "abs((close - m) / nullif(2.0 * s, 0))", "m IS NOT NULL")
+_threshold_query("rsi_reversal", f"{_factor_ctes(['calc_rsi'])[0]}, last AS (SELECT * FROM fx)", "v0 < 30", "v0 > 70", "abs(v0 - 50) / 50")
+_OBV = f"{_factor_ctes(['calc_volume_ratio', 'calc_obv'])[0]}, last AS (SELECT fx.date, fx.code, close, v0, coalesce(avg(v1) OVER ({sql.BC} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) > v1, false) AS up, {sql.roll('avg', 'close', 60)} AS ma FROM fx JOIN p USING (date, code))"
+_threshold_query("momentum_breakout", _OBV, "v0 > 1.5 AND NOT up", "v0 > 1.5 AND up", "v0 / 1.5")
+_threshold_query("momentum_trend", _OBV, "v0 > 1.5 AND up AND close > ma", "v0 > 1.5 AND NOT up AND close < ma", "v0 / 1.5", "ma IS NOT NULL")
+
+# combinators
+
+_VOL_SCORE = _score_sql(list(strategies.RANKED["gtja_volatility"][0]), [1.0] * 3)
+
+
+def _two_signals() -> str:
+    """CTEs m (momentum signals) and r (Bollinger signals)."""
+    return f"m AS (WITH {_MOM} SELECT * FROM sig), r AS (WITH {sql.P}, last AS (SELECT date, code, close, {sql.roll('avg', 'close', 20)} AS m, {sql.roll('stddev_samp', 'close', 20)} AS s FROM p) SELECT date, code, CASE WHEN m IS NOT NULL AND close - m > 2.0 * s THEN -1 WHEN m IS NOT NULL AND close - m < -2.0 * s THEN 1 ELSE 0 END AS signal, CASE WHEN m IS NOT NULL AND abs((close - m) / nullif(2.0 * s, 0)) IS NOT NULL THEN least(abs((close - m) / nullif(2.0 * s, 0)), 1.0) ELSE 0.0 END AS confidence FROM last)"
+
+
+def _pair_of_signals(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    return strategies.get_strategy("gtja_momentum")(p), strategies.get_strategy("mean_reversion")(p)
+
+
+@query("weighted_vote", f"WITH {_two_signals()}, v AS (SELECT date, code, (m.signal * 0.6 + r.signal * 0.4) / 1.0 AS v, (m.confidence * 0.6 + r.confidence * 0.4) / 1.0 AS c FROM m JOIN r USING (date, code)) SELECT date, code, CASE WHEN v > 0.3 THEN 1 WHEN v < -0.3 THEN -1 ELSE 0 END AS signal, {sql.rounded('c', 6, 'confidence')} FROM v")
+def weighted_vote(spark, sf_dir):
+    return _signals(strategies.weighted_vote(list(_pair_of_signals(spark, sf_dir)), [0.6, 0.4], 0.3))
+
+
+@query("filter_combine", f"WITH {_two_signals()} SELECT date, code, CASE WHEN r.signal <> 0 THEN m.signal ELSE 0 END AS signal, {sql.rounded('CASE WHEN r.signal <> 0 THEN m.confidence ELSE 0 END', 6, 'confidence')} FROM m JOIN r USING (date, code)")
+def filter_combine(spark, sf_dir):
+    m, r = _pair_of_signals(spark, sf_dir)
+    return _signals(strategies.filter_combine(m, [r]))
+
+
+@query("reversed", f"WITH {_MOM} SELECT date, code, -signal AS signal, {sql.rounded('confidence', 6, 'confidence')} FROM sig")
+def reversed_(spark, sf_dir):
+    return _signals(strategies.reverse(momentum_signals(spark, sf_dir)))
+
+
+@query("multi_category")
+def multi_category(spark, sf_dir):
+    return _signals(strategies.get_strategy("multi_category")(panels.bars(spark, sf_dir)))
+
+
+# regimes
+
+_IDX = f"ix AS (SELECT date, sum(close * volume) / sum(volume) AS close FROM p GROUP BY 1)"
+
+
+def index_of(panel):
+    return panel.groupBy("date").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("close"))
+
+
+@query("market_regime", f"WITH {sql.P}, {_IDX}, a AS (SELECT date, close, CASE WHEN count(*) OVER s = 50 THEN avg(close) OVER s END AS s, CASE WHEN count(*) OVER l = 200 THEN avg(close) OVER l END AS l FROM ix WINDOW s AS (ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), l AS (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) SELECT date, CASE WHEN l IS NULL THEN 0.6 WHEN close > l AND s > l THEN 1.0 WHEN close > l THEN 0.6 WHEN s > l THEN 0.4 ELSE 0.2 END::DOUBLE AS exposure FROM a")
+def market_regime(spark, sf_dir):
+    return strategies.market_exposure(index_of(panels.bars(spark, sf_dir))).select("date", F.col("exposure").cast("double").alias("exposure"))
+
+
+@query("regime_inputs", f"WITH {sql.P}, a AS (SELECT *, {sql.roll('avg', 'close', 20)} AS m, close / {sql.lag('close', 20)} - 1 AS r20, close / {sql.lag('close', 1)} - 1 AS r1 FROM p) SELECT date, {sql.rounded('avg(CASE WHEN close > m THEN 1.0 ELSE 0.0 END) - 0.5', 6, 'breadth')}, {sql.rounded('quantile_cont(r20, 0.5)', 6, 'median_return')}, {sql.rounded('stddev_samp(r1)', 6, 'realized_vol')} FROM a GROUP BY 1")
+def regime_inputs(spark, sf_dir):
+    r = strategies.regime_inputs(panels.bars(spark, sf_dir))
+    return r.select("date", *[rounded(c, 6).alias(c) for c in ("breadth", "median_return", "realized_vol")])
+
+
+@query("detect_regime")
+def detect_regime(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    return strategies.detect_regime(p, index=index_of(p))
+
+
+@query("regime_switch")
+def regime_switch(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    return _signals(strategies.regime_switch(p, strategies.detect_regime(p), {"trend_up": "gtja_momentum", "range": "mean_reversion", "volatile": "rsi_reversal"}))
+
+
+@query("audit_by_regime")
+def audit_by_regime(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    return evaluation.audit_factors_by_regime(factors.with_factors(p, FACTORS), FACTORS, strategies.detect_regime(p), lookback=20)
+
+
+# allocation and risk
+
+_EW = f"{_MOM}, eb AS (SELECT date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM sig WHERE signal = 1), ew AS (SELECT date, code, weight, CAST(floor(1000000.0 * weight / close / 100) * 100 AS BIGINT) AS shares FROM eb JOIN p USING (date, code))"
+
+
+def momentum_positions(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    return portfolio.equal_weight(strategies.get_strategy("gtja_momentum")(p), p)
+
+
+def _positions(df):
+    return df.select("date", "code", rounded("weight", 6).alias("weight"), F.col("shares").cast("long").alias("shares"))
+
+
+@query("equal_weight", f"WITH {_EW} SELECT date, code, {sql.rounded('weight', 6, 'weight')}, shares FROM ew")
+def equal_weight(spark, sf_dir):
+    return _positions(momentum_positions(spark, sf_dir))
+
+
+@query("tradable_filter", f"WITH {_MOM}, a AS (SELECT date, code, close, {sql.lag('close', 1)} AS b FROM p), lm AS (SELECT date, code, coalesce(close >= round_even(b * 1.1 * 100, 0) / 100 - 0.001, false) AS u, coalesce(close <= round_even(b * 0.9 * 100, 0) / 100 + 0.001, false) AS d FROM a) SELECT date, code, CASE WHEN (signal = 1 AND u) OR (signal = -1 AND d) THEN 0 ELSE signal END AS signal, {sql.rounded('CASE WHEN (signal = 1 AND u) OR (signal = -1 AND d) THEN 0 ELSE confidence END', 6, 'confidence')} FROM sig JOIN lm USING (date, code)")
+def tradable_filter(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    return _signals(cleaning.filter_tradable(cleaning.detect_limit_price(p), strategies.get_strategy("gtja_momentum")(p)))
+
+
+@query("t1_filter", f"WITH {_two_signals()}, u AS (SELECT * FROM m UNION ALL SELECT * FROM r), k AS (SELECT *, count(*) OVER (PARTITION BY date, code) > 1 AND signal <> 1 AS x FROM u) SELECT date, code, CASE WHEN x THEN 0 ELSE signal END AS signal, {sql.rounded('CASE WHEN x THEN 0 ELSE confidence END', 6, 'confidence')} FROM k")
+def t1_filter(spark, sf_dir):
+    m, r = _pair_of_signals(spark, sf_dir)
+    return _signals(cleaning.enforce_t1(m.unionByName(r)))
+
+
+_CAP = f"""{_EW}, {sql.INDUSTRY}, c0 AS (SELECT ew.*, coalesce(industry, 'other') AS g FROM ew LEFT JOIN i USING (code)), c1 AS (SELECT *, sum(weight) OVER (PARTITION BY date, g) AS t FROM c0), ct AS (SELECT date, g, any_value(t) AS t FROM c1 GROUP BY 1, 2),
+ cd AS (SELECT date, sum(CASE WHEN t > 0.3 + 1e-10 THEN t - 0.3 ELSE 0 END) AS x, sum(CASE WHEN t > 0.3 + 1e-10 THEN 0 ELSE t END) AS u, bool_or(t > 0.3 + 1e-10) AS o, bool_or(NOT (t > 0.3 + 1e-10)) AS n FROM ct GROUP BY 1),
+ c2 AS (SELECT c1.*, o, n, CASE WHEN t > 0.3 + 1e-10 THEN weight * 0.3 / t WHEN u > 0 THEN weight + x * weight / u ELSE weight END AS w FROM c1 JOIN cd USING (date)), c3 AS (SELECT *, CASE WHEN NOT o THEN weight WHEN n THEN w / sum(w) OVER (PARTITION BY date) ELSE w END AS w2 FROM c2)"""
+
+
+@query("industry_cap", f"WITH {_CAP} SELECT date, code, {sql.rounded('w2', 6, 'weight')}, CAST(floor((shares * w2 / weight + 1e-9) / 100) * 100 AS BIGINT) AS shares FROM c3")
+def industry_cap(spark, sf_dir):
+    return _positions(portfolio.apply_industry_cap(momentum_positions(spark, sf_dir), panels.industries(spark, sf_dir)))
+
+
+@query("industry_tilt")
+def industry_tilt(spark, sf_dir):
+    ind = panels.industries(spark, sf_dir)
+    m = evaluation.industry_momentum(panels.bars(spark, sf_dir).join(ind, "code"))
+    return _positions(portfolio.apply_industry_tilt(momentum_positions(spark, sf_dir), ind, m))
+
+
+@query("position_limit", f"WITH {_EW} SELECT date, code, {sql.rounded('least(weight, 0.15)', 6, 'weight')}, CAST(floor(shares * least(weight, 0.15) / weight / 100 + 1e-9) * 100 AS BIGINT) AS shares FROM ew")
+def position_limit(spark, sf_dir):
+    return _positions(portfolio.apply_position_limit(momentum_positions(spark, sf_dir), 0.15))
+
+
+@query("smooth_positions")
+def smooth_positions(spark, sf_dir):
+    return _positions(portfolio.smooth_positions(momentum_positions(spark, sf_dir), panels.bars(spark, sf_dir), dead_zone=0.05))
+
+
+@query("risk_rules")
+def risk_rules(spark, sf_dir):
+    p = cleaning.detect_limit_price(panels.bars(spark, sf_dir))
+    rules = [portfolio.get_risk_rule(n)() for n in portfolio.list_risk_rules()]
+    done = portfolio.run_rules(rules, portfolio.RuleContext(strategies.get_strategy("gtja_momentum")(p), momentum_positions(spark, sf_dir), p))
+    return _positions(done.positions)
+
+
+# backtests
+
+
+def _run(spark, sf_dir, engine=None, **build):
+    p = panels.bars(spark, sf_dir)
+    return backtest.run_pipeline(p, {"momentum": strategies.get_strategy("gtja_momentum")(p), "reversal": strategies.get_strategy("mean_reversion")(p)}, engine or backtest.Engine(cost=backtest.TradingCost()), **build)
+
+
+@query("backtest_trades")
+def backtest_trades(spark, sf_dir):
+    return _run(spark, sf_dir)[0].select("run_id", "date", "code", "action", rounded("price", 6).alias("price"), "shares", rounded("pnl", 4).alias("pnl"), rounded("cost", 4).alias("cost"))
+
+
+@query("backtest_equity")
+def backtest_equity(spark, sf_dir):
+    engine = backtest.Engine(stop_loss=-0.3, take_profit=0.6, atr_multiplier=3.0, cost=backtest.TradingCost(), breaker=portfolio.CircuitBreaker())
+    return _run(spark, sf_dir, engine)[1]
+
+
+@query("backtest_metrics")
+def backtest_metrics(spark, sf_dir):
+    return _run(spark, sf_dir)[2]
+
+
+_EQ = f"eq AS (SELECT 'index' AS run_id, date, 500.0 * sum(close * volume) / sum(volume) AS equity FROM p GROUP BY 2)"
+
+
+@query("drawdown", f"WITH {sql.P}, {_EQ}, k AS (SELECT *, max(equity) OVER (ORDER BY date) AS peak FROM eq) SELECT date, {sql.rounded('equity', 4, 'equity')}, {sql.rounded('(equity - peak) / peak', 6, 'drawdown')} FROM k")
+def drawdown(spark, sf_dir):
+    return portfolio.drawdowns(index_equity(spark, sf_dir)).select("date", rounded("equity", 4).alias("equity"), rounded("drawdown", 6).alias("drawdown"))
+
+
+def index_equity(spark, sf_dir):
+    return index_of(panels.bars(spark, sf_dir)).select(F.lit("index").alias("run_id"), "date", (500 * F.col("close")).alias("equity"))
+
+
+@query("equity_metrics", f"WITH {sql.P}, {_EQ}, k AS (SELECT *, max(equity) OVER (ORDER BY date) AS peak, equity / lag(equity) OVER (ORDER BY date) - 1 - 0.03 / 252 AS r FROM eq) SELECT {sql.rounded('arg_max(equity, date) / 1000000 - 1', 6, 'total_return')}, {sql.rounded('pow(arg_max(equity, date) / 1000000, 252.0 / count(*)) - 1', 6, 'annual_return')}, {sql.rounded('avg(r) / stddev_pop(r) * sqrt(252)', 6, 'sharpe_ratio')}, {sql.rounded('max(abs((equity - peak) / peak))', 6, 'max_drawdown')} FROM k")
+def equity_metrics(spark, sf_dir):
+    return backtest.equity_metrics(index_equity(spark, sf_dir)).select(*[rounded(c, 6).alias(c) for c in ("total_return", "annual_return", "sharpe_ratio", "max_drawdown")])
+
+
+@query("breaker_exposure")
+def breaker_exposure(spark, sf_dir):
+    return portfolio.breaker_exposure(index_equity(spark, sf_dir), portfolio.CircuitBreaker())
+
+
+@query("walk_forward")
+def walk_forward(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    windows = backtest.generate_windows(datetime.date(1996, 1, 1), datetime.date(1998, 1, 1), 12, 6)
+    curve, periods = backtest.walk_forward(p, strategies.get_strategy("gtja_momentum")(p), windows)
+    return backtest.overall_metrics(curve, periods)
+
+
+@query("merge_silos", f"WITH {_EW}, a AS (SELECT date, code, weight * 0.7 AS w FROM ew UNION ALL SELECT date, code, 0.3 / count(*) OVER (PARTITION BY date) AS w FROM sig WHERE signal = -1), s AS (SELECT date, code, sum(w) AS w FROM a GROUP BY 1, 2), n AS (SELECT date, code, w / sum(w) OVER (PARTITION BY date) AS w FROM s) SELECT date, code, {sql.rounded('w', 6, 'weight')}, CAST(floor(1000000.0 * w / close / 100) * 100 AS BIGINT) AS shares FROM n JOIN p USING (date, code)")
+def merge_silos(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    s = strategies.get_strategy("gtja_momentum")(p)
+    a, b = portfolio.equal_weight(s, p), portfolio.equal_weight(strategies.reverse(s), p)
+    return _positions(backtest.merge_silos([(a, 0.7), (b, 0.3)], p))
+
+
+@query("param_sweep")
+def param_sweep(spark, sf_dir):
+    return backtest.run_sweep(panels.bars(spark, sf_dir), "gtja_momentum", cleaning.build_grid({"rebalance": [10, 20], "top_n": [3, 5]}))
+
+
+@query("pool_matrix", f"WITH {sql.FIGURES}, {sql.INDUSTRY}, a AS (SELECT industry AS pool, CASE WHEN month(date) <= 6 THEN 'h1' ELSE 'h2' END AS half, avg(close) AS v FROM f JOIN i USING (code) GROUP BY 1, 2) SELECT pool, {sql.rounded('''max(v) FILTER (half = 'h1')''', 4, 'h1')}, {sql.rounded('''max(v) FILTER (half = 'h2')''', 4, 'h2')} FROM a GROUP BY 1")
+def pool_matrix(spark, sf_dir):
+    made = panels.bars(spark, sf_dir).join(panels.industries(spark, sf_dir), "code")
+    cells = made.groupBy(F.col("industry").alias("pool"), F.when(F.month("date") <= 6, "h1").otherwise("h2").alias("half")).agg(F.avg("close").alias("v"))
+    return evaluation.pivot_matrix(cells, "pool", "half", "v", ["h1", "h2"]).select("pool", rounded("h1", 4).alias("h1"), rounded("h2", 4).alias("h2"))
+
+
+# diagnostics
+
+
+@query("signal_stage_counts", f"WITH {_two_signals()}, u AS (SELECT 'momentum' AS stage, signal FROM m UNION ALL SELECT 'reversal', signal FROM r) SELECT stage, count(*) AS total, count(*) FILTER (signal = 1) AS buy, count(*) FILTER (signal = -1) AS sell, count(*) FILTER (signal = 0) AS hold FROM u GROUP BY 1")
+def signal_stage_counts(spark, sf_dir):
+    m, r = _pair_of_signals(spark, sf_dir)
+    return evaluation.signal_stage_counts({"momentum": m, "reversal": r})
+
+
+_FRA = f"""{_MOM}, fr AS (SELECT date, code, 5 AS "window", lead(close, 5) OVER ({sql.BC}) / close - 1 AS r FROM p UNION ALL SELECT date, code, 1, lead(close, 1) OVER ({sql.BC}) / close - 1 FROM p), fj AS (SELECT * FROM sig JOIN fr USING (date, code) WHERE r IS NOT NULL), fa AS (SELECT "window", signal, count(*) AS count, avg(r) AS mean, quantile_cont(r, 0.5) AS median, count(*) FILTER (r > 0) * 1.0 / count(*) AS hit_rate FROM fj GROUP BY 1, 2)"""
+
+
+@query("forward_return_analysis",  f"""WITH {_FRA} SELECT "window", signal, count, {sql.rounded('mean', 6, 'mean')}, {sql.rounded('median', 6, 'median')}, {sql.rounded('hit_rate', 6, 'hit_rate')} FROM fa""")
+def forward_return_analysis(spark, sf_dir):
+    a = evaluation.forward_return_analysis(momentum_signals(spark, sf_dir), panels.bars(spark, sf_dir), (1, 5))
+    return a.select("window", "signal", "count", *[rounded(c, 6).alias(c) for c in ("mean", "median", "hit_rate")])
+
+
+@query("signal_spread",  f"""WITH {_FRA}, s AS (SELECT "window", max(mean) FILTER (signal = 1) - max(mean) FILTER (signal = -1) AS spread, max(hit_rate) FILTER (signal = 1) AS h FROM fa GROUP BY 1) SELECT "window", {sql.rounded('spread', 6, 'spread')}, CASE WHEN spread IS NULL THEN 'insufficient_data' WHEN spread > 0.001 AND h > 0.5 THEN 'good' WHEN spread > 0 THEN 'weak_but_directional' WHEN spread > -0.001 THEN 'no_signal' ELSE 'inverted' END AS quality FROM s""")
+def signal_spread(spark, sf_dir):
+    a = evaluation.forward_return_analysis(momentum_signals(spark, sf_dir), panels.bars(spark, sf_dir), (1, 5))
+    return evaluation.signal_spread(a).withColumn("spread", rounded("spread", 6))
+
+
+# pairs
+
+_PAIRS = [(0, "1", "2"), (1, "3", "4"), (2, "5", "6")]
+_PQ = f"{sql.P}, pr AS (SELECT * FROM (VALUES (0, '1', '2'), (1, '3', '4'), (2, '5', '6')) t(pair, code_a, code_b)), pp AS (SELECT pair, a.date, ln(a.close) AS la, ln(b.close) AS lb FROM pr JOIN p a ON a.code = code_a JOIN p b ON b.code = code_b AND b.date = a.date), ps AS (SELECT *, la - covar_pop(la, lb) OVER k / nullif(var_pop(lb) OVER k, 0) * lb AS spread FROM pp WINDOW k AS (PARTITION BY pair))"
+
+
+def _pair_rows(spark, sf_dir):
+    return pairs.pair_prices(panels.bars(spark, sf_dir), F.broadcast(spark.createDataFrame(_PAIRS, "pair int, code_a string, code_b string")))
+
+
+@query("pair_spread", f"WITH {_PQ} SELECT pair, date, {sql.rounded('spread', 6, 'spread')} FROM ps")
+def pair_spread(spark, sf_dir):
+    return pairs.spread(_pair_rows(spark, sf_dir)).select("pair", "date", rounded("spread", 6).alias("spread"))
+
+
+_PW = "OVER (PARTITION BY pair ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@query("pair_spread_zscore", f"WITH {_PQ} SELECT pair, date, {sql.rounded(f'CASE WHEN count(spread) {_PW} = 20 THEN coalesce((spread - avg(spread) {_PW}) / nullif(stddev_samp(spread) {_PW}, 0), 0) ELSE 0 END', 6, 'zscore')} FROM ps")
+def pair_spread_zscore(spark, sf_dir):
+    return pairs.spread_zscore(pairs.spread(_pair_rows(spark, sf_dir))).select("pair", "date", rounded("zscore", 6).alias("zscore"))
+
+
+@query("pair_half_life", f"WITH {_PQ}, h AS (SELECT *, lag(spread) OVER (PARTITION BY pair ORDER BY date) AS x, row_number() OVER (PARTITION BY pair ORDER BY date DESC) AS k, count(*) OVER (PARTITION BY pair) AS n FROM ps), g AS (SELECT pair, sum((spread - x) * x) / sum(x * x) AS lam FROM h WHERE k <= 60 AND n > 60 AND x IS NOT NULL GROUP BY 1) SELECT pair, {sql.rounded('CASE WHEN lam < 0 THEN -ln(2) / lam END', 4, 'half_life')} FROM (SELECT DISTINCT pair FROM ps) LEFT JOIN g USING (pair)")
+def pair_half_life(spark, sf_dir):
+    return pairs.half_life(pairs.spread(_pair_rows(spark, sf_dir))).withColumn("half_life", rounded("half_life", 4))
+
+
+@query("pair_cointegration")
+def pair_cointegration(spark, sf_dir):
+    return pairs.cointegration(_pair_rows(spark, sf_dir))
+
+
+@query("pair_kalman")
+def pair_kalman(spark, sf_dir):
+    return pairs.kalman_betas(_pair_rows(spark, sf_dir))
+
+
+_PZ = "OVER (PARTITION BY pair ORDER BY date ROWS BETWEEN 60 PRECEDING AND CURRENT ROW)"
+
+
+@query("pair_zscores", f"WITH {_PQ}, z0 AS (SELECT pair, date, la, lb, count(*) {_PZ} AS n, covar_pop(la, lb) {_PZ} / nullif(var_pop(lb) {_PZ}, 0) AS b, avg(la) {_PZ} AS ma, avg(lb) {_PZ} AS mb, var_pop(la) {_PZ} AS va, var_pop(lb) {_PZ} AS vb, covar_pop(la, lb) {_PZ} AS c FROM pp), z1 AS (SELECT *, sqrt(greatest(va - 2 * b * c + b * b * vb, 0)) AS sd FROM z0) SELECT pair, date, {sql.rounded('CASE WHEN n > 60 THEN CASE WHEN sd > 1e-10 THEN ((la - b * lb) - (ma - b * mb)) / sd ELSE 0 END END', 5, 'z')} FROM z1")
+def pair_zscores(spark, sf_dir):
+    p = F.broadcast(spark.createDataFrame(_PAIRS, "pair int, code_a string, code_b string"))
+    return strategies.pair_zscores(panels.bars(spark, sf_dir), p).select("pair", "date", rounded("z", 5).alias("z"))
+
+
+@query("pair_trading")
+def pair_trading(spark, sf_dir):
+    return _signals(strategies.get_strategy("pair_trading")(panels.bars(spark, sf_dir), [(a, b) for _, a, b in _PAIRS]))
+
+
+# announcements
+
+_EV = """ev0 AS (SELECT CAST(c_nationkey AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS ann_date, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
+ ev AS (SELECT code, ann_date, strftime(date_trunc('quarter', ann_date) - INTERVAL 1 DAY, '%Y%m%d') AS end_date, avg(o_totalprice) / 1000 AS roe, avg(c_acctbal) / 100 AS ocfps, sum(o_totalprice) AS actual_profit, sum(c_acctbal) * 20 AS predicted_profit FROM ev0 GROUP BY 1, 2, 3)"""
+_DAYS = "dy AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders)"
+
+
+def month_days(spark, sf_dir):
+    return panels.table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("date")).distinct()
+
+
+@query("asof_panel", f"WITH {_EV}, {_DAYS}, g AS (SELECT date, code FROM dy, (SELECT DISTINCT code FROM ev)) SELECT g.date, g.code, {sql.rounded('e.ocfps', 4, 'ocfps')} FROM g ASOF LEFT JOIN ev e ON g.code = e.code AND g.date >= e.ann_date")
+def asof_panel(spark, sf_dir):
+    e = panels.announcements(spark, sf_dir)
+    return announcements.as_of(announcements.grid_of(month_days(spark, sf_dir), e), e, ["ocfps"]).select("date", "code", rounded("ocfps", 4).alias("ocfps"))
+
+
+_PREV = "CASE right(e.end_date, 4) WHEN '0331' THEN (left(e.end_date, 4)::INT - 1)::VARCHAR || '1231' WHEN '0630' THEN left(e.end_date, 4) || '0331' WHEN '0930' THEN left(e.end_date, 4) || '0630' ELSE left(e.end_date, 4) || '0930' END"
+
+
+@query("acceleration", f"WITH {_EV}, l AS (SELECT code, end_date, arg_max(roe, ann_date) AS v FROM ev GROUP BY 1, 2) SELECT e.code, e.ann_date, e.end_date, {sql.rounded('coalesce(e.roe - l.v, 0)', 4, 'acceleration')} FROM ev e LEFT JOIN l ON l.code = e.code AND l.end_date = {_PREV}")
+def acceleration(spark, sf_dir):
+    a = announcements.acceleration(panels.announcements(spark, sf_dir), "roe")
+    return a.select("code", "ann_date", "end_date", rounded("raw_acceleration", 4).alias("acceleration"))
+
+
+def _z(c: str) -> str:
+    by = "OVER (PARTITION BY date)"
+    return f"CASE WHEN {c} IS NOT NULL AND count({c}) {by} >= 2 AND stddev_samp({c}) {by} > 0 THEN greatest(least(({c} - avg({c}) {by}) / stddev_samp({c}) {by}, 3), -3) ELSE {c} END"
+
+
+@query("quality_panel", f"WITH {_EV}, {_DAYS}, q AS (SELECT *, CASE WHEN count(roe) OVER w >= 2 THEN -stddev_samp(roe) OVER w END AS st FROM ev WINDOW w AS (PARTITION BY code ORDER BY ann_date, end_date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), g AS (SELECT date, code FROM dy, (SELECT DISTINCT code FROM ev)), j AS (SELECT g.date, g.code, roe, st, ocfps FROM g ASOF LEFT JOIN q ON g.code = q.code AND g.date >= q.ann_date) SELECT date, code, {sql.rounded(_z('roe'), 6, 'roe_level')}, {sql.rounded(_z('st'), 6, 'roe_stability')}, {sql.rounded(_z('ocfps'), 6, 'cashflow_quality')} FROM j")
+def quality_panel(spark, sf_dir):
+    e = panels.announcements(spark, sf_dir)
+    q = announcements.quality_panel(e, month_days(spark, sf_dir), e)
+    return q.select("date", "code", *[rounded(c, 6).alias(c) for c in ("roe_level", "roe_stability", "cashflow_quality")])
+
+
+def earnings_events(spark, sf_dir):
+    """Forecasts on even days, express reports on odd ones."""
+    e = panels.announcements(spark, sf_dir)
+    even = F.dayofmonth("ann_date") % 2 == 0
+    kind = F.element_at(F.array(*[F.lit(k) for k in announcements.FORECAST_SCORE]), (F.month("ann_date") % 8 + 1))
+    return e.select("code", "ann_date", "end_date", F.when(even, "forecast").otherwise("express").alias("event_type"), "predicted_profit", "actual_profit", F.when(even, kind).alias("forecast_type"))
+
+
+@query("earnings_panel")
+def earnings_panel(spark, sf_dir):
+    e = earnings_events(spark, sf_dir)
+    return announcements.earnings_panel(e, month_days(spark, sf_dir), e)
+
+
+@query("pit_surprise")
+def pit_surprise(spark, sf_dir):
+    return announcements.pit_surprise(earnings_events(spark, sf_dir))
+
+
+# life cycle
+
+
+@query("monitor_states")
+def monitor_states(spark, sf_dir):
+    return lifecycle.monitor(panels.bars(spark, sf_dir), FACTORS, min_sustain=5)
+
+
+@query("monitor_changes")
+def monitor_changes(spark, sf_dir):
+    return lifecycle.diff_states(monitor_states(spark, sf_dir))
+
+
+@query("monitor_status")
+def monitor_status(spark, sf_dir):
+    return lifecycle.status_table(monitor_states(spark, sf_dir))
+
+
+@query("monitor_all_factors")
+def monitor_all_factors(spark, sf_dir):
+    """Latest state of every single factor that bars alone feed."""
+    return lifecycle.status_table(lifecycle.monitor(panels.bars(spark, sf_dir), min_sustain=5))
+
+
+@query("test_period_stats", f"WITH {_IC}, s AS (SELECT factor, avg(ic) AS m, stddev_samp(ic) AS sd, count(ic) AS n FROM ic WHERE date >= DATE '2000-01-01' GROUP BY 1) SELECT factor, {sql.rounded('m', 6, 'ic_mean')}, {sql.rounded('m / nullif(sd, 0) * sqrt(n)', 6, 'ic_t')}, n AS ic_n, abs(m / nullif(sd, 0) * sqrt(n)) > 2 AS sig FROM s")
+def test_period_stats(spark, sf_dir):
+    ics = evaluation.ic(two_factors(spark, sf_dir), FACTORS).filter(F.col("date") >= F.lit(datetime.date(2000, 1, 1)))
+    return lifecycle.test_stats(ics).select("factor", rounded("ic_mean", 6).alias("ic_mean"), rounded("ic_t", 6).alias("ic_t"), "ic_n", "sig")
+
+
+@query("phase_a")
+def phase_a(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    names = ["calc_momentum_5d_change", "calc_momentum_6d_return", "calc_momentum_20d_return", "calc_ma_slope_20d", "calc_volume_ratio", "calc_rsi"]
+    return lifecycle.phase_a(p, lifecycle.monitor(p, names, min_sustain=5))
+
+
+@query("phase_b")
+def phase_b(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    ics = evaluation.ic(evaluation.forward_returns(factors.with_factors(p, FACTORS), (5,)), FACTORS)
+    windows = lifecycle.oos_windows(datetime.date(1996, 1, 1), datetime.date(2001, 12, 31), 24, 3)
+    return lifecycle.phase_b(ics, windows, t_window=40)[0]
+
+
+@query("phase_c")
+def phase_c(spark, sf_dir):
+    return lifecycle.phase_c(panels.bars(spark, sf_dir), {FACTORS[0]: 1.0, FACTORS[1]: 1.0})
+
+
+@query("mining_screen")
+def mining_screen(spark, sf_dir):
+    return lifecycle.mining_screen(full_panel(spark, sf_dir), ["calc_moneyflow_net_ratio", "calc_moneyflow_streak", "calc_moneyflow_big_net_ratio"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.timeseries import BY_CODE
+from ..operators.timeseries import by_code
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,8 +93,8 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarter = F.date_trunc("quarter", F.col("ann_date"))
     season = F.date_format(F.date_sub(quarter.cast("date"), 1), "yyyyMMdd")
     first = F.col("o_orderpriority") == "1-URGENT"
-    return rows.filter(first).withColumn("end_date", season).groupBy("code", "ann_date", "end_date").agg(F.round(F.avg("o_totalprice") / 1000, 4).alias("roe"), F.round(F.avg("c_acctbal") / 100, 4).alias("ocfps"), F.round(F.sum("o_totalprice"), 2).alias("actual_profit"), F.round(F.sum("c_acctbal") * 20, 2).alias("predicted_profit"))
+    return rows.filter(first).withColumn("end_date", season).groupBy("code", "ann_date", "end_date").agg((F.avg("o_totalprice") / 1000).alias("roe"), (F.avg("c_acctbal") / 100).alias("ocfps"), F.sum("o_totalprice").alias("actual_profit"), (F.sum("c_acctbal") * 20).alias("predicted_profit"))
 
 
 def with_previous_close(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("pre_close", F.lag("close").over(BY_CODE))
+    return panel.withColumn("pre_close", F.lag("close").over(by_code()))
