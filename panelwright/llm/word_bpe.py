@@ -15,6 +15,13 @@ import numpy as np
 #: Distinct chunks remembered by a worker before it starts anew; bounds memory, not results.
 MEMO = 700_000
 _CHUNK = re.compile(r"[^ \t\n\r]+").findall
+#: White space of str.split() beyond the ASCII blanks: texts with any are cut at the four blanks alone.
+_OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_MARKS = frozenset(".,!?;:")
+
+
+def chunks_of(text: str) -> list[str]:
+    return _CHUNK(text) if _OTHER_BLANK(text) else text.split()
 
 
 class ChunkEncoder:
@@ -52,32 +59,35 @@ class ChunkEncoder:
                 at = stop
 
     def learn(self, chunks: list[str]) -> None:
-        """Chunks that differ in case or in one closing mark alone share the library's work: the vocabulary maps
-        case away and always parts a letter from the mark after it.  Only Latin-1 chunks without "<" are so
-        reduced, where case mapping has no context and no special token can be made or broken."""
-        plain, reduced = [], []
+        """Words of letters that differ in case or in one closing mark alone share the library's work: the vocabulary maps
+        case away and always parts a letter from the mark after it.  Only Latin-1 letters are so reduced, where case
+        mapping has no context; all other chunks go to the library as they are."""
+        plain, reduced, memo, base = [], [], self.memo, self.base
         for c in chunks:
-            mark = c[-1] if c[-1] in ".,!?;:" and len(c) > 1 and c[-2].isalpha() else ""
-            if max(c) < "\u0100" and "<" not in c:
-                reduced.append((c, c[: len(c) - len(mark)].lower(), mark))
+            if c.isalpha():
+                b, m = c, ""
+            elif c[-1] in _MARKS and c[:-1].isalpha():
+                b, m = c[:-1], c[-1]
+            else:
+                plain.append(c)
+                continue
+            if b.isascii() or max(b) < "\u0100":
+                reduced.append((c, b.lower(), m))
             else:
                 plain.append(c)
-        self.library(plain, self.memo)
-        if len(self.base) > MEMO:
-            self.base.clear()
-        base = self.base
-        new = ({b for _, b, _ in reduced} | {m for _, _, m in reduced if m}).difference(base)
-        alike = {b for b in new if b.isalpha()}
-        self.letters(list(alike), base)
-        self.library(list(new - alike), base)
+        self.library(plain, memo)
+        if len(base) > MEMO:
+            base.clear()
+        self.letters(list({b for _, b, _ in reduced}.difference(base)), base)
+        self.library([m for m in _MARKS if m not in base], base)
         for c, b, m in reduced:
-            self.memo[c] = base[b] + base[m] if m else base[b]
+            memo[c] = base[b] + base[m] if m else base[b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in the narrowest unsigned type that holds the vocabulary."""
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
-            found = [_CHUNK(t) for t in texts[at : at + 256]]
+            found = [chunks_of(t) for t in texts[at : at + 256]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
             if new := set().union(*found).difference(self.memo):
