@@ -15,19 +15,20 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import claim_worker, id_and_text
 
 _TOKENS = re.compile(r"\w+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
 #: Longest chain; a longer sentence is cut.
 CHAIN = 512
-MEMO = 400_000
+MEMO = 200_000
 #: Chains without any telling feature that take part in training.
 OTHER_CHAINS = 20_000
 AFFIXES = (4, 5, 6, 7)
@@ -131,12 +132,12 @@ def _telling(b: int, a: int, n1: int, n0: int, tried: int) -> bool:
 
 
 def _lone(words: list[list[str]]) -> list[int]:
-    """Texts that share none of their four least three-word hashes with an earlier one: copies would count as evidence twice."""
+    """Texts that share none of their four least five-word hashes with an earlier one: copies would count as evidence twice."""
     taken: set[int] = set()
     out = []
     for i, ws in enumerate(words):
         ws = [w for w in ws if w not in _STOPS]
-        least = sorted({zlib.crc32(t.encode()) for t in map(" ".join, zip(ws, ws[1:], ws[2:]))} or {zlib.crc32(" ".join(ws).encode())})[:4]
+        least = sorted({zlib.crc32(t.encode()) for t in map(" ".join, zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))} or {zlib.crc32(" ".join(ws).encode())})[:4]
         if taken.isdisjoint(least):
             out.append(i)
         taken.update(least)
@@ -155,11 +156,18 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02)
         for w in ws:
             if w not in made and w not in _STOPS:
                 made[w] = features(w)
-    seen: dict[str, list] = {}
-    for ws, label in ((words[i], toxic[i]) for i in lone):
-        for f in {f for w in set(ws) - _STOPS for f in made[w]}:
-            seen.setdefault(f, [0, 0])[label] += 1
-    names = {f: i for i, f in enumerate(sorted(f for f, (c0, c1) in seen.items() if _telling(c1, c0, y[lone].sum(), len(lone) - y[lone].sum(), len(seen))))}
+    hits: Counter = Counter()
+    for i in lone:
+        if toxic[i]:
+            hits.update({f for w in set(words[i]) - _STOPS for f in made[w]})
+    tried, hits = len(hits), {f: c for f, c in hits.items() if c >= 3}
+    some = {w: found for w, fs in made.items() if (found := [f for f in fs if f in hits])}
+    misses: Counter = Counter()
+    for i in lone:
+        if not toxic[i]:
+            misses.update({f for w in set(words[i]).intersection(some) for f in some[w]})
+    n1 = int(y[lone].sum())
+    names = {f: i for i, f in enumerate(sorted(f for f, c in hits.items() if _telling(c, misses[f], n1, len(lone) - n1, tried)))}
     of = {w: [names[f] for f in fs if f in names] for w, fs in made.items()}
     # labelled tokens of the chains, laid end to end; stops become chain ends
     flat = [w for ws in words for w in ws]
@@ -261,6 +269,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
+        claim_worker("toxicity")
         memo = Memo(model)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
