@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import claim_worker, id_and_text
 from .mph import MinimalPerfectHash
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -103,6 +103,7 @@ def codec(path: str, pattern: str) -> ByteBPE:
     """One codec for each Python worker."""
     if (path, pattern) not in _OPEN:
         _OPEN[path, pattern] = ByteBPE(load_ranks(path), pattern)
+    claim_worker("byte-bpe", _OPEN[path, pattern].memo.clear)
     return _OPEN[path, pattern]
 
 

@@ -75,3 +75,19 @@ def bucket_of(column, bounds: list):
 def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A broadcast hint for a materialised table of narrow rows that is found small enough; else the table as it is."""
     return F.broadcast(df) if df.count() <= most_rows else df
+
+
+_MEMOS: dict = {}
+
+
+def claim_worker(owner: str, clear=None) -> None:
+    """Python workers outlive a task and keep their operator's memo for the next one; another operator's memo is dropped here."""
+    import gc
+
+    others = [k for k in _MEMOS if k != owner]
+    for k in others:
+        _MEMOS.pop(k)()
+    if others:
+        gc.collect()
+    if clear is not None:
+        _MEMOS[owner] = clear

@@ -5,9 +5,9 @@
 2. Bands of rows, their counts chosen for the target recall at the threshold, shuffle on band hashes.
    Only buckets with two classes or more go on; chains of buckets are candidate groups (connected components).
 3. Each candidate group is cut into blocks of BLOCK members and each pair of blocks is one task's
-   work: it compares the pairs there that share a band on their full sets, counts each member's links, and emits a
-   spanning forest of the verified links - never the pairs themselves.  A group of thousands is so spread
-   over many tasks, and no candidate is left out.
+   work: it compares the members there on their full sets, counts each one's links, and emits a spanning
+   forest of the verified links - never the pairs themselves.  A group of thousands is so spread over many
+   tasks, and no candidate is left out; pairs that share no band but a group are compared as well.
 4. Components of the forest edges, by tables alone, give the classes of near copies.
 
 Nulls are empty texts.  A text of fewer than n words is one n-gram of all its words; a text without words has an
@@ -21,12 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_and_text, materialise
+from .common import broadcast_if_small, claim_worker, id_and_text, materialise
 from .components import components
 from .mph import mix
 
 _WORDS = re.compile(r"\w+").findall
-MEMO = 300_000
+MEMO = 200_000
 BLOCK = 256
 
 
@@ -98,6 +98,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     import xxhash
 
     def run(batches):
+        claim_worker("n-grams")
         made = Shingler(n, bands, rows)
         for b in batches:
             for at in range(0, b.num_rows, 128):
@@ -113,15 +114,15 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def verify_block(left: list, right: list | None, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Links of two lists of (id, set, bands) - or within one list - as (link counts left, right, forest edges).
+    """Links of two lists of (id, set) - or within one list - as (link counts left, right, forest edges).
 
     One set at a time is marked in the left sets' common universe; sums over the left sets laid end to end give its
     intersections with all of them, so memory is linear in the block's n-grams.
     """
     other = left if right is None else right
     n, m = len(left), len(other)
-    universe, flat = np.unique(np.concatenate([s for _, s, _ in left]), return_inverse=True)
-    sizes, left_bands = np.array([len(s) for _, s, _ in left]), np.stack([b for _, _, b in left])
+    universe, flat = np.unique(np.concatenate([s for _, s in left]), return_inverse=True)
+    sizes = np.array([len(s) for _, s in left])
     starts, mark = np.cumsum(np.r_[0, sizes])[:-1], np.zeros(len(universe) + 1, np.int32)
     count_l, count_r, parent, edges = np.zeros(n, np.int64), np.zeros(m, np.int64), list(range(n + m)), []
 
@@ -131,16 +132,13 @@ def verify_block(left: list, right: list | None, threshold: float) -> tuple[np.n
             x = parent[x]
         return x
 
-    for j, (_, s, bands) in enumerate(other):
-        ok = (left_bands == bands).any(axis=1)
-        if not ok.any():
-            continue
+    for j, (_, s) in enumerate(other):
         at = np.searchsorted(universe, s)
         at = at[universe[np.minimum(at, len(universe) - 1)] == s]
         mark[at] = 1
         common = np.add.reduceat(mark[flat], starts)
         mark[at] = 0
-        ok &= common >= threshold * (sizes + len(s) - common) - 1e-6
+        ok = common >= threshold * (sizes + len(s) - common) - 1e-6
         if right is None:
             ok[j:] = False
         hit = np.flatnonzero(ok)
@@ -155,7 +153,7 @@ def verify_block(left: list, right: list | None, threshold: float) -> tuple[np.n
     return (count_l + count_r if right is None else count_l), count_r, edges
 
 
-def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, th, class_id, n_links, group_id: one row for each input row.
 
     class_id: doc_id of the representative of all texts with the same n-gram set; n_links: classes linked to it;
@@ -171,25 +169,24 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     buckets = spread.groupBy("band", "h").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("band", "h", "a")
     edges = spread.join(buckets, ["band", "h"]).select(F.col("node").alias("b"), "a").filter("a <> b").distinct()
     groups = components(edges).select("node", F.col("component").alias("cand"))
-    members = materialise(groups.join(classes.select("node", "s1", "s2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"), "bands"), "node"), "members")
+    members = materialise(groups.join(classes.select("node", "s1", "s2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), "node"), "members")
     # full n-gram sets, of one text for each candidate class
-    reps = members.select("node", "cand", "doc_id", "th", "bands")
     texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
-    wanted = materialise(reps.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "node"), "wanted")
+    wanted = materialise(members.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "node"), "wanted")
     met = texts.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("node", "text")
-    held = met.dropDuplicates(["node"]).join(reps.select("node", "cand", "bands"), "node")
+    held = met.dropDuplicates(["node"]).join(members.select("node", "cand"), "node")
     sizes = members.groupBy("cand").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     blocked = held.join(sizes, "cand").withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     # each member goes to every pair of blocks that holds its own; a small group has the one pair (0, 0)
     turn = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    work = blocked.select("node", "cand", "bands", "text", "block", F.explode(turn).alias("p")).select("node", "cand", "bands", "text", "block", "p.x", "p.y")
+    work = blocked.select("node", "cand", "text", "block", F.explode(turn).alias("p")).select("node", "cand", "text", "block", "p.x", "p.y")
 
     def compare(key, pdf):
         _, x, y = key
         pdf = pdf.sort_values("node")
         sets = Shingler(n, bands, rows).sets(pdf["text"].tolist())
-        rowed = [(int(k), s, np.asarray(b)) for k, s, b in zip(pdf["node"], sets, pdf["bands"])]
+        rowed = [(int(k), s) for k, s in zip(pdf["node"], sets)]
         at = pdf["block"].to_numpy()
         left = [r for r, b in zip(rowed, at) if b == x]
         right = None if x == y else [r for r, b in zip(rowed, at) if b == y]

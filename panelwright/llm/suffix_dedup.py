@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_and_text, materialise, partitions
+from .common import broadcast_if_small, claim_worker, id_and_text, materialise, partitions
 from .mph import mix
 
 LENGTH, K = 200, 40
@@ -81,6 +81,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     import xxhash
 
     def run(batches):
+        claim_worker("suffixes")
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             ids, ths = b.column("doc_id"), b.column("th").to_numpy()

@@ -12,8 +12,10 @@ from array import array
 
 import numpy as np
 
+from .common import claim_worker
+
 #: Distinct chunks remembered by a worker before it starts anew; bounds memory, not results.
-MEMO = 700_000
+MEMO = 600_000
 _CHUNK = re.compile(r"[^ \t\n\r]+").findall
 #: White space of str.split() beyond the ASCII blanks: texts with any are cut at the four blanks alone.
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -38,6 +40,9 @@ class ChunkEncoder:
         self.memo: dict[str, bytes] = {}
         self.base: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.memo, self.base = {}, {}
+
     def library(self, chunks: list[str], into: dict[str, bytes]) -> None:
         for k in range(0, len(chunks), 4096):
             part = chunks[k : k + 4096]
@@ -77,7 +82,7 @@ class ChunkEncoder:
                 plain.append(c)
         self.library(plain, memo)
         if len(base) > MEMO:
-            base.clear()
+            base = self.base = {}
         self.letters(list({b for _, b, _ in reduced}.difference(base)), base)
         self.library([m for m in _MARKS if m not in base], base)
         for c, b, m in reduced:
@@ -89,7 +94,7 @@ class ChunkEncoder:
         for at in range(0, len(texts), 256):
             found = [chunks_of(t) for t in texts[at : at + 256]]
             if len(self.memo) > MEMO:
-                self.memo.clear()
+                self.memo = {}
             if new := set().union(*found).difference(self.memo):
                 self.learn(list(new))
             get = self.memo.__getitem__
@@ -101,6 +106,8 @@ _OPEN: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
+    """One encoder for each Python worker."""
     if path not in _OPEN:
         _OPEN[path] = ChunkEncoder(path)
+    claim_worker("chunks", _OPEN[path].forget)
     return _OPEN[path]
