@@ -28,8 +28,8 @@ from .common import broadcast_if_small, claim_worker, id_and_text, materialise,
 from .mph import mix
 
 LENGTH, K = 200, 40
-#: Contexts of one k-gram that one bucket sorts: about 100 MB of suffixes.  More are compared across buckets.
-GROUP = 16_384
+#: Contexts of one k-gram that one bucket sorts; more are compared across buckets.  Suffixes sorted at once.
+GROUP, SUFFIXES = 16_384, 300_000
 SLICE = 2 << 20
 _POS = np.uint64(28)
 _BYTE = mix(np.arange(256, dtype=np.uint64), 31)
@@ -126,23 +126,30 @@ def multikey_groups(symbols, n: int, depth: int) -> np.ndarray:
     return out
 
 
-def equal_windows(contexts: list[bytes], before: list[int], counts: list[int]) -> list[np.ndarray]:
-    """For contexts of one k-gram (before: anchor's offset in the context), which of each one's windows occur in another context.
+def equal_windows(contexts: list[bytes], before: list[int], group: list[int]) -> list[np.ndarray]:
+    """For contexts of several k-grams (before: the anchor's offset in the context, group: number of the k-gram), which of each one's
+    windows occur in another context of the k-gram.
 
-    Only windows with the anchor at the same offset can be equal, so the offset is the first symbol.
+    Only windows with the anchor at the same offset can be equal: k-gram and offset are the first symbol, and offsets are taken in
+    turns of at most SUFFIXES suffixes.
     """
-    n = np.array([len(c) - LENGTH + 1 for c in contexts])
+    n, before, group = np.array([len(c) - LENGTH + 1 for c in contexts]), np.array(before), np.array(group, np.uint64)
     flat = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
-    base = np.cumsum([0, *map(len, contexts)])[:-1]
-    with np.errstate(over="ignore"):
-        word = np.zeros(len(flat) - 7, np.uint64)
-        for i in range(8):
-            word = (word << np.uint64(8)) | flat[i : len(flat) - 7 + i]
-    owner = np.repeat(np.arange(len(n)), n)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start, offset = base[owner] + inner, np.array(before)[owner] - inner
-    found = multikey_groups(lambda d, which: (offset[which].astype(np.uint64) if d == 0 else word[start[which] + 8 * (d - 1)]), len(start), 1 + LENGTH // 8)
-    return np.split(found, np.cumsum(n)[:-1])
+    base, flag_base = np.cumsum([0, *map(len, contexts)])[:-1], np.cumsum(n) - n
+    word = np.zeros(len(flat) - 7, np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | flat[i : len(flat) - 7 + i]
+    flags = np.zeros(n.sum(), bool)
+    step = max(1, SUFFIXES // len(n))
+    for low in range(0, int(before.max()) + 1, step):
+        first = np.maximum(0, before - low - step + 1)
+        k = np.maximum(np.minimum(n, before - low + 1) - first, 0)
+        owner = np.repeat(np.arange(len(n)), k)
+        inner = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + first[owner]
+        start, head = base[owner] + inner, (group[owner] << np.uint64(16)) | (before[owner] - inner).astype(np.uint64)
+        found = multikey_groups(lambda d, which: head[which] if d == 0 else word[start[which] + 8 * (d - 1)], len(start), 1 + LENGTH // 8)
+        flags[(flag_base[owner] + inner)[found]] = True
+    return np.split(flags, np.cumsum(n)[:-1])
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -164,18 +171,15 @@ def partial_repeats(bytes_of: DataFrame) -> DataFrame:
         held, lead = [], None
 
         def flush():
-            out, by_g = [], {}
-            for row in held:
-                by_g.setdefault(row[0], []).append(row)
-            for rows in by_g.values():
-                flags = equal_windows([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
-                out += [(r[0], r[1], _ranges(f)) for r, f in zip(rows, flags) if r[4] == 1 and f.any()]
+            names: dict = {}
+            flags = equal_windows([r[2] for r in held], [r[3] for r in held], [names.setdefault(r[0], len(names)) for r in held])
+            out = [(r[0], r[1], _ranges(f)) for r, f in zip(held, flags) if r[4] == 1 and f.any()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([[{"first": a, "last": z} for a, z in o[2]] for o in out], kind)], names=["g", "c", "windows"])
 
         for b in batches:
             for d, *row in zip(*(b.column(n).to_pylist() for n in ("lead", "g", "c", "context", "before", "n"))):
-                if d != lead and held:
+                if d != lead and len(held) >= 2000:  # many k-grams to a sort; one k-gram never in two
                     yield from flush()
                     held = []
                 lead = d
