@@ -306,3 +306,41 @@ def run_sweep(data: DataFrame, strategy: str, grid: list[dict], engine: Engine =
     return out
 
 
+
+
+def continuous_backtest(data: DataFrame, signals: DataFrame, engine: Engine = Engine(), **build) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trades, equity, figures of the curve) over the whole range without re-training."""
+    trades, equity, _ = run_pipeline(data, {"continuous": signals}, engine, **build)
+    return trades, equity, equity_metrics(equity, engine.capital)
+
+
+def run_matrix(data: DataFrame, pools: DataFrame, names: list[str], engine: Engine = Engine(), params: dict[str, dict] | None = None, **build) -> DataFrame:
+    """pool, strategy and metrics: every strategy in every pool, as runs of one plan.  pools: pool, code."""
+    from .strategies import get_strategy
+
+    runs = {}
+    for pool in sorted(r["pool"] for r in pools.select("pool").distinct().collect()):  # a handful of named pools
+        inside = data.join(F.broadcast(pools.filter(F.col("pool") == pool).select("code")), "code", "left_semi")
+        runs |= {f"{pool}|{name}": get_strategy(name)(inside, **(params or {}).get(name, {})) for name in names}
+    out = run_pipeline(data, runs, engine, **build)[2]
+    return out.withColumns({"pool": F.substring_index("run_id", "|", 1), "strategy": F.substring_index("run_id", "|", -1)}).drop("run_id")
+
+
+def walk_forward_silos(data: DataFrame, silos: list[tuple[DataFrame, float]], windows: list, engine: Engine = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Walk-forward over several silos of signals whose weights add up per date; caps apply to the sum.  As walk_forward otherwise."""
+    capital, curves, figures = engine.capital, [], []
+    for k, (_, _, start, stop) in enumerate(windows):
+        inside = F.col("date").between(F.lit(start), F.lit(stop))
+        quotes = data.filter(inside)
+        merged = merge_silos([(build_positions(quotes, s.filter(inside), capital), w) for s, w in silos], quotes, capital)
+        if industries is not None and industry_cap is not None:
+            merged = portfolio.apply_industry_cap(merged, industries, industry_cap)
+        if max_weight is not None:
+            merged = portfolio.apply_position_limit(merged, max_weight)
+        trades, equity = run_backtests(merged.withColumn("run_id", F.lit(f"p{k}")), quotes, {f"p{k}": engine}, data, capital=capital)
+        equity = equity.cache()
+        figures.append(metrics(trades, equity, capital).withColumn("period", F.lit(k)))
+        curves.append((equity if k == 0 else equity.filter(F.col("date") > F.lit(start))).withColumn("period", F.lit(k)))
+        last = equity.agg(F.max_by("equity", "date").alias("e")).first()["e"]
+        capital = last if last is not None else capital
+    return reduce(DataFrame.unionByName, curves), reduce(DataFrame.unionByName, figures)

@@ -329,6 +329,26 @@ def param_sweep(spark, sf_dir):
     return backtest.run_sweep(panels.bars(spark, sf_dir), "gtja_momentum", cleaning.build_grid({"rebalance": [10, 20], "top_n": [3, 5]}))
 
 
+@query("run_matrix")
+def run_matrix(spark, sf_dir):
+    pools = panels.industries(spark, sf_dir).select(F.col("industry").alias("pool"), "code")
+    return backtest.run_matrix(panels.bars(spark, sf_dir), pools, ["mean_reversion", "rsi_reversal"])
+
+
+@query("continuous_backtest")
+def continuous_backtest(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    return backtest.continuous_backtest(p, strategies.get_strategy("gtja_momentum")(p))[2]
+
+
+@query("walk_forward_silos")
+def walk_forward_silos(spark, sf_dir):
+    p = panels.bars(spark, sf_dir)
+    silos = [(strategies.get_strategy("gtja_momentum")(p), 0.6), (strategies.get_strategy("mean_reversion")(p), 0.4)]
+    windows = backtest.generate_windows(datetime.date(1996, 1, 1), datetime.date(1997, 7, 2), 12, 6)
+    return backtest.overall_metrics(*backtest.walk_forward_silos(p, silos, windows, max_weight=0.3))
+
+
 @query("pool_matrix", f"WITH {sql.FIGURES}, {sql.INDUSTRY}, a AS (SELECT industry AS pool, CASE WHEN month(date) <= 6 THEN 'h1' ELSE 'h2' END AS half, avg(close) AS v FROM f JOIN i USING (code) GROUP BY 1, 2) SELECT pool, {sql.rounded('''max(v) FILTER (half = 'h1')''', 4, 'h1')}, {sql.rounded('''max(v) FILTER (half = 'h2')''', 4, 'h2')} FROM a GROUP BY 1")
 def pool_matrix(spark, sf_dir):
     made = panels.bars(spark, sf_dir).join(panels.industries(spark, sf_dir), "code")
