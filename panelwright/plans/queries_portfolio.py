@@ -153,7 +153,12 @@ def reversed_(spark, sf_dir):
     return _signals(strategies.reverse(momentum_signals(spark, sf_dir)))
 
 
-@query("multi_category")
+def _ranked_signals(name: str) -> str:
+    names, least, ascending = strategies.RANKED[name]
+    return f"(WITH {_score_sql(list(names), [1.0] * len(names))}, {hold_sql('sc', 20, 5, 3, least, ascending)} SELECT * FROM sig)"
+
+
+@query("multi_category", f"WITH a AS {_ranked_signals('gtja_momentum')}, b AS {_ranked_signals('gtja_volatility')}, c AS {_ranked_signals('gtja_trend')}, v AS (SELECT date, code, (a.signal + b.signal + c.signal) / 3.0 AS v, (a.confidence + b.confidence + c.confidence) / 3.0 AS c FROM a JOIN b USING (date, code) JOIN c USING (date, code)) SELECT date, code, CASE WHEN v > 0.3 THEN 1 WHEN v < -0.3 THEN -1 ELSE 0 END AS signal, {sql.rounded('c', 6, 'confidence')} FROM v")
 def multi_category(spark, sf_dir):
     return _signals(strategies.get_strategy("multi_category")(panels.bars(spark, sf_dir)))
 
@@ -227,17 +232,26 @@ def t1_filter(spark, sf_dir):
     return _signals(cleaning.enforce_t1(m.unionByName(r)))
 
 
-_CAP = f"""{_EW}, {sql.INDUSTRY}, c0 AS (SELECT ew.*, coalesce(industry, 'other') AS g FROM ew LEFT JOIN i USING (code)), c1 AS (SELECT *, sum(weight) OVER (PARTITION BY date, g) AS t FROM c0), ct AS (SELECT date, g, any_value(t) AS t FROM c1 GROUP BY 1, 2),
+def cap_sql(base: str) -> str:
+    """CTEs from base (date, code, weight, shares) to c3 with the capped weight w2."""
+    return f"""c0 AS (SELECT {base}.*, coalesce(industry, 'other') AS g FROM {base} LEFT JOIN i USING (code)), c1 AS (SELECT *, sum(weight) OVER (PARTITION BY date, g) AS t FROM c0), ct AS (SELECT date, g, any_value(t) AS t FROM c1 GROUP BY 1, 2),
  cd AS (SELECT date, sum(CASE WHEN t > 0.3 + 1e-10 THEN t - 0.3 ELSE 0 END) AS x, sum(CASE WHEN t > 0.3 + 1e-10 THEN 0 ELSE t END) AS u, bool_or(t > 0.3 + 1e-10) AS o, bool_or(NOT (t > 0.3 + 1e-10)) AS n FROM ct GROUP BY 1),
  c2 AS (SELECT c1.*, o, n, CASE WHEN t > 0.3 + 1e-10 THEN weight * 0.3 / t WHEN u > 0 THEN weight + x * weight / u ELSE weight END AS w FROM c1 JOIN cd USING (date)), c3 AS (SELECT *, CASE WHEN NOT o THEN weight WHEN n THEN w / sum(w) OVER (PARTITION BY date) ELSE w END AS w2 FROM c2)"""
 
 
-@query("industry_cap", f"WITH {_CAP} SELECT date, code, {sql.rounded('w2', 6, 'weight')}, CAST(floor((shares * w2 / weight + 1e-9) / 100) * 100 AS BIGINT) AS shares FROM c3")
+_CAP = f"{_EW}, {sql.INDUSTRY}, {cap_sql('ew')}"
+_CAPPED = f"SELECT date, code, {sql.rounded('w2', 6, 'weight')}, CAST(floor((shares * w2 / weight + 1e-9) / 100) * 100 AS BIGINT) AS shares FROM c3"
+_TILT = f"""{_EW}, {sql.INDUSTRY}, a1 AS (SELECT p.*, industry, close / {sql.lag('close', 1)} - 1 AS ret FROM p JOIN i USING (code)), a2 AS (SELECT *, {sql.roll('avg', 'ret', 20)} AS m FROM a1), mo AS (SELECT date, industry, avg(m) AS m FROM a2 GROUP BY 1, 2), mr AS (SELECT date, industry, {sql.prank('m')} AS r FROM mo),
+ t0 AS (SELECT ew.*, mr.r, weight * coalesce(1 + 0.5 * (mr.r - 0.5) * 2, 1) AS nw FROM ew LEFT JOIN i USING (code) LEFT JOIN mr ON mr.date = ew.date AND mr.industry = i.industry), t1 AS (SELECT date, code, weight, shares, CASE WHEN count(r) OVER (PARTITION BY date) > 0 THEN nw / sum(nw) OVER (PARTITION BY date) ELSE weight END AS w1 FROM t0),
+ tw AS (SELECT date, code, w1 AS weight, floor((shares * w1 / weight + 1e-9) / 100) * 100 AS shares FROM t1), {cap_sql('tw')}"""
+
+
+@query("industry_cap", f"WITH {_CAP} {_CAPPED}")
 def industry_cap(spark, sf_dir):
     return _positions(portfolio.apply_industry_cap(momentum_positions(spark, sf_dir), panels.industries(spark, sf_dir)))
 
 
-@query("industry_tilt")
+@query("industry_tilt", f"WITH {_TILT} {_CAPPED}")
 def industry_tilt(spark, sf_dir):
     ind = panels.industries(spark, sf_dir)
     m = evaluation.industry_momentum(panels.bars(spark, sf_dir).join(ind, "code"))
