@@ -92,10 +92,11 @@ def rolling_cov(x, y, n: int) -> Column:
 
 def rank_pct(x, within=("date",)) -> Column:
     """Average rank of ties over the count of values, among rows alike in ``within``; nulls have no rank."""
-    x, keys = _col(x), [_col(k) for k in within]
-    least = F.rank().over(Window.partitionBy(*keys).orderBy(x.asc_nulls_last()))
-    ties = F.count(x).over(Window.partitionBy(*keys, x))
-    return F.when(x.isNotNull(), (least + (ties - 1) / 2) / F.count(x).over(Window.partitionBy(*keys)))
+    x = _col(x)
+    w = Window.partitionBy(*[_col(k) for k in within]).orderBy(x.asc_nulls_last())  # one sort serves all three
+    ties = F.count(x).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    total = F.count(x).over(w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(x.isNotNull(), (F.rank().over(w) + (ties - 1) / 2) / total)
 
 
 def cumulative_sum(x) -> Column:
