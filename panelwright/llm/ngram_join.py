@@ -213,7 +213,12 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 def without_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs that stay: of each group of near copies, the one with the least (doc_id, text hash); rows alike in both are one."""
     found = near_classes(docs, n, threshold)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("th") == F.col("group_th"))).select(F.col("doc_id").alias("__g"), F.col("th").alias("__t")).distinct()
-    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    one = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__th") == F.col("__t")))
-    return one.dropDuplicates(["__id", "__th"]).drop("__id", "__th", "__g", "__t")
+
+    def keys(doc_id, th):  # never null, so that join and de-duplication share one partitioning
+        return [F.coalesce(doc_id, F.lit(0)).alias("__id"), doc_id.isNull().alias("__none"), th.alias("__th")]
+
+    names = ["__id", "__none", "__th"]
+    first = F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("th") == F.col("group_th"))
+    stay = found.filter(first).select(*keys(F.col("doc_id"), F.col("th"))).distinct()
+    keyed = docs.select("*", *keys(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
+    return keyed.join(stay, names, "left_semi").dropDuplicates(names).drop(*names)
