@@ -35,6 +35,9 @@ class ChunkEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
         self.code = "H" if self.width == 2 else "I"
+        special = [t for _, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.parting = special[0].content if special else ""
+        self.parting_id = self.tokenizer.token_to_id(self.parting) if special else -1
         self.closing = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.closing[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
@@ -44,10 +47,19 @@ class ChunkEncoder:
         self.memo, self.base = {}, {}
 
     def library(self, chunks: list[str], into: dict[str, bytes]) -> None:
-        for k in range(0, len(chunks), 4096):
-            part = chunks[k : k + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                into[chunk] = array(self.code, e.ids).tobytes()
+        """Many chunks to a call, parted by a special token where there is one: the library takes those out before all else."""
+        lines = [chunks[k : k + 128] for k in range(0, len(chunks), 128)]
+        made = self.tokenizer.encode_batch_fast([self.parting.join(c) for c in lines], add_special_tokens=False) if self.parting else [None] * len(lines)
+        for part, e in zip(lines, made):
+            ids = np.array(e.ids if e else [], self.dtype)
+            cuts = np.flatnonzero(ids == self.parting_id)
+            if e is None or len(cuts) != len(part) - 1:
+                for chunk, one in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                    into[chunk] = array(self.code, one.ids).tobytes()
+                continue
+            raw, w = ids.tobytes(), self.width
+            for chunk, start, stop in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
+                into[chunk] = raw[start * w : stop * w]
 
     def letters(self, words: list[str], into: dict[str, bytes]) -> None:
         """Words of Latin-1 letters alone are one pre-token each, so many go through one call; an end-of-word id closes each."""
@@ -95,10 +107,15 @@ class ChunkEncoder:
             found = [chunks_of(t) for t in texts[at : at + 256]]
             if len(self.memo) > MEMO:
                 self.memo = {}
-            if new := set().union(*found).difference(self.memo):
+            get = self.memo.get
+            ids = [list(map(get, f)) for f in found]
+            gaps = [[k for k, x in enumerate(v) if x is None] for v in ids]
+            if new := {f[k] for f, g in zip(found, gaps) for k in g}:
                 self.learn(list(new))
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, f)) for f in found]
+                for f, v, g in zip(found, ids, gaps):
+                    for k in g:
+                        v[k] = get(f[k])
+            out += map(b"".join, ids)
         return out
 
 
