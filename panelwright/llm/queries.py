@@ -76,4 +76,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_line_dedup, op4_media_columns, op5_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_store, op9_toxicity, op10_byte_bpe)}
-ORACLE: dict[str, str] = {}
+
+#: DuckDB SQL for the operators that it can express.  The others call tokenizers, trained models or file formats, or would
+#: compare all pairs of lines; tests hold them to brute force, round trips and held-out accuracy.
+ORACLE = {
+    "op2_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+ g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] END)) AS s FROM w),
+ c AS (SELECT s, min(doc_id) AS class_id FROM g WHERE len(s) > 0 GROUP BY s),
+ u AS (SELECT class_id, len(s) AS n, unnest(s) AS x FROM c),
+ p AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM u a JOIN u b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2),
+ e AS (SELECT a, b FROM p WHERE k >= 0.8 * (na + nb - k) - 1e-6),
+ r AS (SELECT class_id AS node, class_id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+ m AS (SELECT node, min(root) AS group_id FROM r GROUP BY 1), l AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY 1)
+ SELECT g.doc_id, coalesce(c.class_id, g.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links, coalesce(m.group_id, g.doc_id) AS group_id
+ FROM g LEFT JOIN c ON c.s = g.s AND len(g.s) > 0 LEFT JOIN m ON m.node = c.class_id LEFT JOIN l ON l.node = c.class_id""",
+    "op7_suffix_dedup": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM d)),
+ t AS (SELECT x FROM w GROUP BY 1 HAVING count(*) > 1),
+ s AS (SELECT doc_id, i, i + 200 AS j, max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM w SEMI JOIN t USING (x)),
+ k AS (SELECT doc_id, i, j, sum(CASE WHEN e IS NULL OR i > e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s),
+ r AS (SELECT doc_id, g, min(i) AS a, max(j) AS z FROM k GROUP BY 1, 2),
+ q AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM r),
+ f AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS l, list([b, a] ORDER BY a) AS ks FROM q GROUP BY 1)
+ SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string([substring(h, 2 * y[1] + 1, 2 * (y[2] - y[1])) for y in ks], '') || substring(h, 2 * l + 1) END)) AS kept_sha256
+ FROM d LEFT JOIN f USING (doc_id)""",
+}

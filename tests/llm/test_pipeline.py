@@ -69,6 +69,19 @@ def test_run(spark, folder):
     assert {"doc_id", "sequence_id", "start", "length", "offset"} <= set(out.columns) and out.count() > 200
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_against_sql(spark, name):
+    import duckdb
+    from collections import Counter
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    got, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLE[name])
+    at = [want.columns.index(c) for c in got.columns]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
