@@ -466,3 +466,28 @@ def test_toxicity_learns_and_leaves_labels_out(spark):
 def test_toxicity_without_labels(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs, none).count() == len(rows) and toxicity.toxicity(empty, none).count() == 0
+
+
+# components
+
+
+def test_components(spark):
+    from panelwright.llm.components import components
+
+    rng = random.Random(8)
+    nodes = rng.sample(range(-(10**12), 10**12), 400)
+    path = sorted(nodes[:60])
+    edges = list(zip(path, path[1:])) + [(rng.choice(nodes[60:200]), rng.choice(nodes[60:200])) for _ in range(90)] + [(nodes[200], n) for n in nodes[201:390]] + [(nodes[395], nodes[395])]
+    parent = {n: n for e in edges for n in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root(n) for n in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
