@@ -44,7 +44,7 @@ def png_encode(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), UNIT + 1), np.uint8)
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", UNIT, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 4)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(raw: bytes) -> tuple[int, int, int]:

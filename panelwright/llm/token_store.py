@@ -25,7 +25,7 @@ from .mph import MinimalPerfectHash
 
 ENTRY = np.dtype([("print", "<u8"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 #: Keys in one index file, about.
-INDEX_KEYS = 16_384
+INDEX_KEYS = 2_048
 
 
 def key_hashes(doc_ids: list, ordinals: list) -> tuple[np.ndarray, np.ndarray]:
