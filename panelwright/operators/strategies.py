@@ -142,8 +142,9 @@ def composite_signals(df: DataFrame, weights: dict[str, float], **params) -> Dat
     return scores_to_signals(combine_factor_scores(df, weights), "score", **params)
 
 
-def _threshold(df: DataFrame, buy, sell, confidence, valid=F.lit) -> DataFrame:
-    ok = valid(True) if valid is F.lit else valid
+def _threshold(df: DataFrame, buy, sell, confidence, valid=None) -> DataFrame:
+    """1, -1 or 0 by two conditions, sells before buys, where valid; confidence is clipped at 1 and missing counts as 0."""
+    ok = F.lit(True) if valid is None else valid
     signal = F.when(ok & sell, -1).when(ok & buy, 1).otherwise(0)
     c = F.coalesce(F.least(confidence, F.lit(1.0)), F.lit(0.0))
     return df.select("date", "code", signal.cast("int").alias("signal"), F.when(confidence.isNotNull() & ok, c).otherwise(0.0).alias("confidence"))

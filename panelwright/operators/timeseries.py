@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.nulls import ratio
 
 
-
 def by_code():
     """Rows of a code by date (made when used: windows need a session)."""
     return Window.partitionBy("code").orderBy("date")
