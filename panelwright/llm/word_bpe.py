@@ -15,7 +15,7 @@ import numpy as np
 from .common import claim_worker
 
 #: Distinct chunks remembered by a worker before it starts anew; bounds memory, not results.
-MEMO = 600_000
+MEMO = 350_000
 _CHUNK = re.compile(r"[^ \t\n\r]+").findall
 #: White space of str.split() beyond the ASCII blanks: texts with any are cut at the four blanks alone.
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
