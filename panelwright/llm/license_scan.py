@@ -5,11 +5,12 @@ families below, "unknown" (licence wording of no listed family) and "none".  It
 seeded variations of the templates (words left out, foreign words mixed in), and a temperature is fitted on
 variations that training has not seen.  A paragraph counts for a family if that class has the highest probability, of
 at least ``SURE``, and at least ``CONFIRM`` of the words of one of the family's templates are in it; other paragraphs
-whose licence classes together reach SURE, and that name a licence, count as unknown.
+whose licence classes together reach SURE count as unknown.
 
-Lines that lack so many words of every template that none could be confirmed, and that do not name a licence, are
-passed over before any n-gram is made; that changes no result.  The weights, a few thousand rows at any corpus size, are
-broadcast.  Null texts are empty: no hits.  Each input row gets a row; rows alike in doc_id and text get equal ones.
+Every n-gram with a weight holds a telling word (a word of a template that is not common).  A line without any has no
+evidence but the biases, which say none, and is passed over before any n-gram is made; that changes no result.  The
+weights, a few thousand rows at any corpus size, are broadcast.  Null texts are empty: no hits.  Each input row gets a
+row; rows alike in doc_id and text get equal ones.
 """
 from __future__ import annotations
 
@@ -37,13 +38,14 @@ TEMPLATES = {
     "mpl": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license 2.0"],
     "public-domain": ["this is free and unencumbered software released into the public domain", "released under cc0 1.0 universal public domain dedication"],
 }
-UNKNOWN = ["licensed under the terms of the {} license", "released under the {} license version 1.0", "this software is covered by the {} public license", "all rights reserved see the license for {} terms", "distributed under {} licence conditions"]
-NONE = ["the {} of {} and {} was in the {}", "this work on {} is the version of {} and {}", "you may see the {} under the {} with {}", "released in {} by the {} public and {}", "a driving license for {} is permitted in {}", "free {} for any person in {}"]
+UNKNOWN = ["licensed under the terms of the {} license", "released under the {} license version 1.0", "this software is covered by the {} public license", "all rights reserved see the license for {} terms", "distributed under {} licence conditions", "all rights reserved", "copyright {} all rights reserved", "copyright {} {}", "distributed under {} 4.0", "licensed under {}", "{} license {}", "{} licence {}", "{} licensed {}", "{} licenses {}", "{} licenced {}", "{} licences {}"]
+NONE = ["the {} of {} and {} was in the {}", "this work on {} is the version of {} and {}", "you may see the {} under the {} with {}", "released in {} by the {} public and {}", "a driving license for {} is permitted in {}", "free {} for any person in {}", "{} in the public domain of the {}", "{} driving licence for {}", "{} driving license {}"]
 CLASSES = [*sorted(TEMPLATES), "unknown", "none"]
 SURE, CONFIRM = 0.6, 0.7
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
-NAMES_LICENCE = r"(?i)\blicen[sc]e[ds]?\b|\bcopyright\b"
-SEED, COPIES = 11, 60
+#: Words that ordinary text of the training set does not hold outside the NONE templates.
+NAMES_LICENCE = r"licen[sc]e[ds]?|copyright"
+SEED, COPIES, PLAIN = 11, 60, 25
 #: Common English words, which come last when words are chosen to find candidate lines by.
 COMMON = frozenset("a and any are as by except file form forms free in into is may not of or person published released source subject terms the this to under use v with without work you".split())
 
@@ -56,10 +58,16 @@ def ngrams_of(words: list[str]) -> set[str]:
     return set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
+def telling_words() -> list[str]:
+    """Words of the licence templates that are not common."""
+    return sorted({w for t in [*(t for ts in TEMPLATES.values() for t in ts), *UNKNOWN] for w in words_of(t.replace("{}", " "))} - COMMON)
+
+
 def variations(rng: random.Random, copies: int) -> list[tuple[set[str], int]]:
     """Training paragraphs as (n-grams, class)."""
     invented = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(300)]
     texts = [(t, CLASSES.index(f)) for f, ts in TEMPLATES.items() for t in ts]
+    common, telling = sorted(COMMON), [w for w in telling_words() if not re.fullmatch(NAMES_LICENCE, w)]
     out = []
     for _ in range(copies):
         made = texts + [(t, len(CLASSES) - 2) for t in UNKNOWN] + [(t, len(CLASSES) - 1) for t in NONE]
@@ -67,10 +75,15 @@ def variations(rng: random.Random, copies: int) -> list[tuple[set[str], int]]:
             ws = [w if w != "{}" else rng.choice(invented) for w in re.findall(r"\{\}|" + WORD, t)]
             if rng.random() < 0.5 and c < len(CLASSES) - 2:
                 own = {w for w in ws if w in ("apache", "mit", "bsd", "affero", "lesser", "mozilla", "by", "by-nc", "by-sa", "cc0")}
-                ws = [w for w in ws if w in own or rng.random() > 0.15]
+                ws = [w for w in ws if w in own or rng.random() > 1 - CONFIRM]
             for _ in range(rng.choice((0, 0, 2, 6))):
                 ws.insert(rng.choice((0, len(ws))), rng.choice(invented))
             out.append((ngrams_of(ws), c))
+        for _ in range(PLAIN):  # ordinary text, with no or few telling words by chance
+            ws = [rng.choice(common) if rng.random() < 0.5 else rng.choice(invented) for _ in range(rng.randint(1, 14))]
+            for _ in range(rng.choice((0, 1, 1, 2))):
+                ws.insert(rng.randint(0, len(ws)), rng.choice(telling))
+            out.append((ngrams_of(ws), len(CLASSES) - 1))
     return out
 
 
@@ -83,7 +96,8 @@ def trained() -> tuple[dict[str, np.ndarray], np.ndarray]:
     for g, _ in rows:
         for x in g:
             counts[x] = counts.get(x, 0) + 1
-    names = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= COPIES // 6))}
+    telling = set(telling_words())
+    names = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= COPIES // 6 and not telling.isdisjoint(g.split(" "))))}
 
     def matrix(rows):
         x = np.zeros((len(rows), len(names)))
@@ -93,7 +107,7 @@ def trained() -> tuple[dict[str, np.ndarray], np.ndarray]:
 
     (x, y), (xu, yu) = matrix(rows), matrix(unseen)
     w, b, hot = np.zeros((len(names), len(CLASSES))), np.zeros(len(CLASSES)), np.eye(len(CLASSES))[y]
-    b[-1] = 1.0  # a paragraph without any known n-gram is none
+    b[-1] = 4.0  # a paragraph without any known n-gram is none
     for k in range(400):
         z = x @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -112,7 +126,7 @@ def trained() -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 
 def gate_words() -> list[str]:
-    """So many of the rarest words of each template that a confirmed paragraph holds one of them."""
+    """The telling words, and so many of the rarest words of each template that a confirmed paragraph holds one of them."""
     of: dict[str, int] = {}
     for ts in TEMPLATES.values():
         for t in ts:
@@ -123,7 +137,7 @@ def gate_words() -> list[str]:
         for t in ts:
             ws = sorted(set(words_of(t)), key=lambda w: (w in COMMON, of[w], -len(w), w))
             out.update(ws[: int(len(ws) * (1 - CONFIRM) + 1e-9) + 1])
-    return sorted(out)
+    return sorted(out.union(telling_words()))
 
 
 def scan_paragraphs(docs: DataFrame) -> DataFrame:
@@ -135,8 +149,8 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
     table = spark.sql(f"SELECT * FROM VALUES {values} AS t(gram, {', '.join(columns)})")
     keyed = id_and_text(docs).withColumn("th", F.xxhash64("text"))
     gate = r"(?i)(?<![a-z0-9])(?:%s)(?![a-z0-9])" % "|".join(re.escape(w).replace(r"\-", "-") for w in gate_words())
-    lines = keyed.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(gate) | F.col("line").rlike(NAMES_LICENCE))
-    words = lines.select("doc_id", "th", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"), F.col("line").rlike(NAMES_LICENCE).alias("named"))
+    lines = keyed.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(gate))
+    words = lines.select("doc_id", "th", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
 
     def held(template):
         ws = sorted(set(words_of(template)))
@@ -147,17 +161,17 @@ def scan_paragraphs(docs: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     judged = words.withColumns(likes).withColumn("grams", F.array_distinct(F.concat("words", pairs)))
     keys = ["doc_id", "th", "paragraph"]
-    grams = judged.select(*keys, "named", *likes, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").dropDuplicates([*keys, "gram"])
-    met = grams.groupBy(*keys).agg(F.max("named").alias("named"), *[F.max(c).alias(c) for c in likes], *[F.sum(c).alias(c) for c in columns])
+    grams = judged.select(*keys, *likes, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").dropDuplicates([*keys, "gram"])
+    met = grams.groupBy(*keys).agg(*[F.max(c).alias(c) for c in likes], *[F.sum(c).alias(c) for c in columns])
     scores = [F.col(c) + F.lit(float(b)) for c, b in zip(columns, bias)]
     top = F.greatest(*scores)
     total = sum((F.exp(s - top) for s in scores[1:]), F.exp(scores[0] - top))
     chances = [F.exp(s - top) / total for s in scores]
     best = F.coalesce(*[F.when(s == top, F.lit(n)) for s, n in zip(scores, CLASSES)])
     likeness = F.coalesce(*[F.when(best == f, F.col(f"like{i}")) for i, f in enumerate(sorted(TEMPLATES))], F.lit(0.0))
-    back = met.select(*keys, "named", best.alias("best"), (F.lit(1.0) / total).alias("best_chance"), (F.lit(1.0) - chances[-1]).alias("licence_chance"), likeness.alias("likeness"))
+    back = met.select(*keys, best.alias("best"), (F.lit(1.0) / total).alias("best_chance"), (F.lit(1.0) - chances[-1]).alias("licence_chance"), likeness.alias("likeness"))
     sure = (F.col("best_chance") >= SURE) & (F.col("likeness") >= CONFIRM)
-    family = F.when(sure, F.col("best")).when((F.col("licence_chance") >= SURE) & F.col("named"), F.lit("unknown"))
+    family = F.when(sure, F.col("best")).when(F.col("licence_chance") >= SURE, F.lit("unknown"))
     return back.select("doc_id", "th", "paragraph", family.alias("family"), F.round(F.when(sure, F.col("best_chance")).otherwise(F.col("licence_chance")), 4).alias("probability")).filter("family is not null")
 
 

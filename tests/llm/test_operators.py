@@ -271,6 +271,19 @@ def test_gate_loses_no_confirmed_paragraph():
                 assert gate & set(kept)
 
 
+def test_unlisted_notices_are_unknown(spark):
+    lines = ["All rights reserved.", "Copyright 2020 Foo. All rights reserved.", "Distributed under CC BY-ND 4.0.", "Licensed under the Eclipse Public License 2.0", "The table was reserved.", "He worked at MIT and in public service.", "To.", "Les Rech."]
+    got = license_scan.scan_documents(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["families"] for r in got] == ["unknown"] * 4 + [""] * 4
+
+
+def test_gate_loses_no_unknown_paragraph():
+    gate, (weights, bias) = set(license_scan.gate_words()), license_scan.trained()
+    assert all(gate & set(g.split(" ")) for g in weights)
+    p = np.exp(bias - bias.max())
+    assert 1 - p[-1] / p.sum() < license_scan.SURE
+
+
 # lines
 
 
