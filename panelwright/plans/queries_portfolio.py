@@ -322,10 +322,22 @@ def breaker_exposure(spark, sf_dir):
     return portfolio.breaker_exposure(index_equity(spark, sf_dir), portfolio.CircuitBreaker())
 
 
+def panel_windows(p):
+    """Windows of 12 and 6 months from the panel's first date to its last; a rest at the end is a shorter test window."""
+    first, last = p.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return []
+    windows = backtest.generate_windows(first, last, 12, 6)
+    stop = windows[-1][3] if windows else backtest.add_months(first, 12)
+    if stop < last:
+        windows.append((backtest.add_months(first, 6 * len(windows)), stop, stop, last))
+    return windows
+
+
 @query("walk_forward")
 def walk_forward(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
-    windows = backtest.generate_windows(datetime.date(1996, 1, 1), datetime.date(1998, 1, 1), 12, 6)
+    windows = panel_windows(p)
     curve, periods = backtest.walk_forward(p, strategies.get_strategy("gtja_momentum")(p), windows)
     return backtest.overall_metrics(curve, periods)
 
@@ -359,7 +371,7 @@ def continuous_backtest(spark, sf_dir):
 def walk_forward_silos(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
     silos = [(strategies.get_strategy("gtja_momentum")(p), 0.6), (strategies.get_strategy("mean_reversion")(p), 0.4)]
-    windows = backtest.generate_windows(datetime.date(1996, 1, 1), datetime.date(1997, 7, 2), 12, 6)
+    windows = panel_windows(p)
     return backtest.overall_metrics(*backtest.walk_forward_silos(p, silos, windows, max_weight=0.3))
 
 

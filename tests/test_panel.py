@@ -279,3 +279,13 @@ def test_empty_panels(spark, panel):
     assert factors.with_factors(empty, ["calc_rsi", "calc_macd_like"]).count() == 0
     assert evaluation.ic(evaluation.forward_returns(empty, (5,)), ["close"]).count() == 0
     assert cleaning.detect_limit_price(empty).count() == 0 and math.isfinite(0.0)
+
+
+def test_walk_forward_windows_cover_the_panel(spark):
+    from panelwright.plans.queries_portfolio import panel_windows
+
+    first, last = datetime.date(1995, 1, 2), datetime.date(2001, 11, 26)
+    w = panel_windows(spark.createDataFrame([(first,), (last,)], "date date"))
+    assert len(w) == 12 and w[0][0] == first and w[-1][3] == last
+    assert all(a[3] == b[2] for a, b in zip(w, w[1:]))
+    assert panel_windows(spark.createDataFrame([], "date date")) == []
