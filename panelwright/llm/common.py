@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,47 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made and remembered.
+    Only where the setting is absent and driver and executors are one process (local master) a temporary folder is made
+    and remembered; on a cluster its absence is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="panelwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders made inside each open ``scratch`` block.
+_SCRATCH: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def delete_dirs(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the folders that operators made inside the block, but for those taken off the list that it yields.
+
+    For callers that write an operator's result before the block ends; results still to be read need their folders.
+    """
+    _SCRATCH.append([])
+    try:
+        yield _SCRATCH[-1]
+    finally:
+        delete_dirs(spark, _SCRATCH.pop())
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -65,13 +96,32 @@ def bucket_of(column, bounds: list):
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
-    fine = F.array(*[F.lit(b).cast("long") for b in bounds])
-    coarse = F.array(*[F.lit(b).cast("long") for b in bounds[step - 1 :: step]])
+
+    def table(cuts):  # one literal, folded once, however many cuts there are
+        return F.split(F.lit(",".join(str(int(b)) for b in cuts)), ",").cast("array<long>")
+
+    fine, coarse = table(bounds), table(bounds[step - 1 :: step])
     base = F.size(F.filter(coarse, lambda b: b <= column)) * step
     rest = F.size(F.filter(F.slice(fine, base + 1, F.lit(step)), lambda b: b <= column))
     return F.when(column.isNull(), 0).otherwise(base + rest)
 
 
+def split_join(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, spread) -> DataFrame:
+    """Inner join of rows with a materialised table of one row for each key, however many rows a key has.
+
+    n: column of per_key with the number of the key's rows.  A key with more than a share of 1 / (8 * partitions) of all
+    rows is dealt over as many salts as it has such shares, by the hash of spread; its row of per_key is repeated for each.
+    There are fewer than 8 * partitions such keys at any size, so the table of their salts is broadcast.
+    """
+    parts = 8 * partitions(rows.sparkSession)
+    share = max(1, (per_key.agg(F.sum(n)).first()[0] or 0) // parts)
+    salts = F.ceil(F.col(n) / share).cast("int")
+    hot = F.broadcast(per_key.filter(F.col(n) > share).select(*keys, salts.alias("__salts")))
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(spread, F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    repeated = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(repeated.drop(n), [*keys, "__salt"]).drop("__salt")
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A broadcast hint for a materialised table of narrow rows that is found small enough; else the table as it is."""
     return F.broadcast(df) if df.count() <= most_rows else df

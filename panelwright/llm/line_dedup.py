@@ -13,7 +13,8 @@ code points.  Lines of blanks alone always stay.  Rows alike in doc_id and text
 4. Equal variants join through the earliest line of their group - an aggregate, never all pairs -
    and the edit distance of each line to that earliest one is verified on the texts.
 
-Null texts are empty: one blank line, nothing removed.  Empty tables give empty results.
+Null texts are empty: one blank line, nothing removed.  Empty tables give empty results.  A line of any length is hashed as
+a whole.  Other columns stay as they are; an input's own ``line_dedup_*`` columns are replaced.
 """
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, id_and_text, materialise
+from .common import broadcast_if_small, id_and_text, materialise, split_join
 from .mph import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -81,19 +82,39 @@ def edges_of(size: int) -> np.ndarray:
     return np.arange(SEGMENTS + 1) * size // SEGMENTS
 
 
-def _emit_segments(batches):
+def _batches(made, names: list[str], rows: int = 20_000):
+    """Record batches of about so many rows from an iterator of (h1, h2, columns) for single lines."""
     import pyarrow as pa
 
-    for b in batches:
-        for h1, h2, line in zip(*(b.column(n).to_pylist() for n in ("h1", "h2", "line"))):
-            made = LineHash(line)
-            k = np.concatenate([made.around(size, edges_of(size)) for size in (made.n, made.n - 1)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), h1)), pa.array(np.full(len(k), h2)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(k)], names=["h1", "h2", "segment", "k"])
+    held, size = [], 0
 
+    def flush():
+        lengths = [len(c[0]) for _, _, c in held]
+        keys = [np.repeat(np.array([r[i] for r in held], np.int64), lengths) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, *map(np.concatenate, zip(*(c for _, _, c in held))))], names=["h1", "h2", *names])
 
-def _emit_variants(batches):
-    import pyarrow as pa
+    for row in made:
+        held.append(row)
+        size += len(row[2][0])
+        if size >= rows:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _emit_segments(batches):
+    def lines():
+        for b in batches:
+            for h1, h2, line in zip(*(b.column(n).to_pylist() for n in ("h1", "h2", "line"))):
+                made = LineHash(line)
+                k = np.concatenate([made.around(size, edges_of(size)) for size in (made.n, made.n - 1)]).astype(np.int64)
+                yield h1, h2, (np.arange(len(k), dtype=np.int32), k)
 
+    return _batches(lines(), ["segment", "k"])
+
+
+def _variants(batches):
     for b in batches:
         for h1, h2, line, segments in zip(*(b.column(n).to_pylist() for n in ("h1", "h2", "line", "segments"))):
             made = LineHash(line)
@@ -105,7 +126,11 @@ def _emit_variants(batches):
                 v.append(made.deleted(at))
                 p.append(np.full(len(at), -2) if longer else at)
             v, p = np.unique(np.stack([np.concatenate(v).astype(np.int64), np.concatenate(p).astype(np.int64)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), h1)), pa.array(np.full(len(v), h2)), pa.array(v), pa.array(p)], names=["h1", "h2", "v", "p"])
+            yield h1, h2, (v, p)
+
+
+def _emit_variants(batches):
+    return _batches(_variants(batches), ["v", "p"])
 
 
 def distinct_lines(lines: DataFrame, near_from: int) -> DataFrame:
@@ -148,20 +173,30 @@ def dedup_lines(docs: DataFrame, near_from: int = 16) -> DataFrame:
     lines = lines_of(docs)
     distinct = distinct_lines(lines, near_from)
     near = near_links(lines, distinct, near_from).withColumn("near", F.lit(True))
-    doomed = distinct.join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near"))
-    met = materialise(lines.select(*PLACE, "h1", "h2").join(doomed, ["h1", "h2"]), "line-places")
-    first = met.filter("not near").groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"))
-    later = met.filter("not near").join(first, ["h1", "h2"]).filter(F.struct(*PLACE) > F.col("first"))
+    doomed = distinct.join(near, ["h1", "h2"], "left").filter("n > 1 or near").select("h1", "h2", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    doomed = materialise(doomed, "line-doomed")
+    met = split_join(lines.select(*PLACE, "h1", "h2"), doomed, ["h1", "h2"], "n", F.xxhash64(*PLACE))
+    met = materialise(met, "line-places")
+    # of equal lines the earliest stays: one row for each line, sums first, then the same split
+    repeated = materialise(met.filter("not near").groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")), "line-first")
+    later = split_join(met.filter("not near").select(*PLACE, "h1", "h2"), repeated, ["h1", "h2"], "n", F.xxhash64(*PLACE)).filter(F.struct(*PLACE) > F.col("first"))
     gone = later.select(*PLACE).unionByName(met.filter("near").select(*PLACE))
     return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
+def _without(lines, removed):
+    """Elements of an array but those at the ascending positions in removed: the stretches between them, so that cost is linear."""
+    gaps = F.zip_with(F.concat(F.array(F.lit(-1)), removed), F.concat(removed, F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    return F.flatten(gaps)
+
+
 def without_repeated_lines(docs: DataFrame, near_from: int = 16) -> DataFrame:
     """All columns of docs with text rewritten, and n_lines, n_removed (as line_dedup_*).  One row for each input row."""
     keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     gone = dedup_lines(docs, near_from).select(F.col("doc_id").alias("__g"), F.col("th").alias("__t"), F.col("removed").alias("__removed"))
     both = keyed.join(gone, F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__th") == F.col("__t")), "left")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    kept = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains(F.col("__removed"), i)))
-    out = both.withColumn("line_dedup_lines", F.size(lines)).withColumn("line_dedup_removed", F.coalesce(F.size("__removed"), F.lit(0)))
-    return out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).drop("__id", "__th", "__g", "__t", "__removed")
+    both = both.withColumn("__lines", lines)
+    kept = F.array_join(_without(F.col("__lines"), F.col("__removed")), "\n")
+    out = both.withColumn("line_dedup_lines", F.size("__lines")).withColumn("line_dedup_removed", F.coalesce(F.size("__removed"), F.lit(0)))
+    return out.withColumn("text", F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)).drop("__id", "__th", "__g", "__t", "__removed", "__lines")
