@@ -6,7 +6,10 @@ equal payloads in several shards the first (by shard name and offset) becomes th
 carry: digest, shard, offset, length.  Header-only range reads fill the metadata columns, and a full
 read gives back the payload for features.  Equal payloads have equal values throughout.
 
-Null texts are empty payloads (one row of padding).  An empty table gives an empty result.
+Null texts are empty payloads (one row of padding).  An empty table gives an empty result.  Repeated rows and rows with
+equal texts each get a row, with the same address and values.  A text of any length is one payload.  Columns other than
+doc_id and text are ignored, whatever their names.  Shard names are random (a repeated task never overwrites another's
+shard), so shard and offset differ from run to run while all other columns do not.
 """
 from __future__ import annotations
 
@@ -20,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_dir, id_and_text, materialise, partitions
+from .common import filesystem, fresh_dir, id_and_text, materialise, partitions, split_join
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -170,9 +173,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     stored = store(docs)
     head = metadata(stored).select("digest", "width", "height", "bit_depth")
     full = read_back(stored).withColumnRenamed("length", "media_bytes")
-    return (
-        stored.select("doc_id", "n_bytes", "digest")
-        .join(full, "digest")
-        .join(head, "digest")
-        .select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "width", "height", "bit_depth")
-    )
+    used = stored.groupBy("digest").agg(F.count("*").alias("n_rows"))
+    media = materialise(full.join(head, "digest").join(used, "digest"), "media-read")
+    rows = split_join(stored.select("doc_id", "n_bytes", "digest"), media, ["digest"], "n_rows", F.xxhash64("doc_id"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "width", "height", "bit_depth")
