@@ -1,6 +1,8 @@
 """Point-in-time panels from announcement events: surprise pools, acceleration, as-of joins, standardisation."""
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,37 +20,62 @@ def previous_season(end_date: Column) -> Column:
     return F.when(md == "0331", F.concat((y - 1).cast("string"), F.lit("1231"))).when(md == "0630", F.concat(year, F.lit("0331"))).when(md == "0930", F.concat(year, F.lit("0630"))).when(md == "1231", F.concat(year, F.lit("0930")))
 
 
+class Reporters:
+    """Latest (actual, predicted) profit of the codes that have both, in two sorted lists: a rank costs two searches."""
+
+    def __init__(self):
+        self.of, self.sorted = {}, ([], [])
+
+    def put(self, code, pair) -> None:
+        old = self.of.pop(code, None)
+        if old is not None:
+            for side, v in zip(self.sorted, old):
+                side.pop(bisect_left(side, v))
+        if None not in pair:
+            self.of[code] = pair
+            for side, v in zip(self.sorted, pair):
+                insort(side, v)
+
+    def surprise(self, code) -> float | None:
+        """Average rank of the code's actual profit less that of its predicted one, over the number of reporters; three at least."""
+        if len(self.of) < 3 or code not in self.of:
+            return None
+        actual, predicted = (bisect_left(side, v) + bisect_right(side, v) for side, v in zip(self.sorted, self.of[code]))
+        return (actual - predicted) / 2 / len(self.of)
+
+
 def pit_surprise(events: DataFrame) -> DataFrame:
-    """Adds raw_surprise.  Events of a season form a pool in order of announcement: a forecast scores by its kind; an express report
-    scores its rank by actual less by predicted profit among the season's reporters so far, three at least, else by kind."""
+    """Adds raw_surprise.  A forecast scores by its kind.  An express report scores its rank by actual less its rank by predicted profit
+    among the codes of its season that have reported both so far, three at least; else by its kind, the code's last forecast's first.
+
+    Order within a season: announcement, code, event type.  What a code has reported (its last forecast's prediction or one that
+    an express report brings, its last actual, its last kind) comes from windows; only the ranks among reporters need a season as one group.
+    """
     import pandas as pd
 
-    names = events.columns
-
-    def score(pdf):
-        pdf = pdf.sort_values(["ann_date", "code", "event_type"], kind="stable").reset_index(drop=True)
-        pool, out = {}, []
-        for e in pdf.itertuples(index=False):
-            mine = pool.setdefault(e.code, {"p": None, "a": None, "t": None})
-            if e.event_type == "forecast":
-                mine["p"], mine["t"] = e.predicted_profit, e.forecast_type
-                out.append(FORECAST_SCORE.get(e.forecast_type, 0.0))
-            elif e.event_type == "express":
-                mine["a"] = e.actual_profit
-                if not pd.isna(e.predicted_profit):
-                    mine["p"] = e.predicted_profit
-                peers = {c: s for c, s in pool.items() if s["a"] is not None and s["p"] is not None}
-                if len(peers) >= 3 and e.code in peers:
-                    a, p = (pd.Series({c: s[k] for c, s in peers.items()}).rank(pct=True)[e.code] for k in "ap")
-                    out.append(a - p)
-                else:
-                    out.append(FORECAST_SCORE.get(mine["t"] or e.forecast_type, 0.0))
-            else:
-                out.append(None)
-        return pdf[names].assign(raw_surprise=pd.Series(out, dtype="float64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return events.groupBy("end_date").applyInPandas(score, f"{schema}, raw_surprise double")
+    forecast, express = F.col("event_type") == "forecast", F.col("event_type") == "express"
+    past = Window.partitionBy("end_date", "code").orderBy("ann_date", "event_type").rowsBetween(Window.unboundedPreceding, 0)
+
+    def latest(told, value):
+        return F.last(F.when(told, F.struct(value)), ignorenulls=True).over(past)[value]
+
+    known = events.withColumns({"__p": latest(forecast | (express & F.col("predicted_profit").isNotNull()), "predicted_profit"), "__a": latest(express, "actual_profit"), "__t": latest(forecast, "forecast_type")})
+    score = F.create_map(*[F.lit(x) for kv in FORECAST_SCORE.items() for x in kv])
+    kind = F.when(forecast, F.col("forecast_type")).otherwise(F.coalesce("__t", "forecast_type"))
+    known = known.withColumn("__k", F.when(forecast | express, F.coalesce(F.try_element_at(score, kind), F.lit(0.0))))
+    names = [f.name for f in known.schema.fields]
+
+    def ranked(pdf):
+        season, out = Reporters(), []
+        pdf = pdf.sort_values(["ann_date", "code", "event_type"], kind="stable")
+        for code, event, p, a, k in zip(pdf["code"], pdf["event_type"], pdf["__p"], pdf["__a"], pdf["__k"]):
+            season.put(code, tuple(None if pd.isna(v) else v for v in (a, p)))
+            rank = season.surprise(code) if event == "express" else None
+            out.append(k if rank is None else rank)
+        return pdf[names].assign(raw_surprise=pd.Series(out, index=pdf.index, dtype="float64"))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
+    return known.groupBy("end_date").applyInPandas(ranked, f"{schema}, raw_surprise double").drop("__p", "__a", "__t", "__k")
 
 
 def acceleration(events: DataFrame, value: str = "raw_surprise") -> DataFrame:

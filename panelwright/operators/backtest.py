@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from datetime import date as Day
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -14,8 +15,6 @@ from . import cleaning, portfolio
 
 EXITS = ("sell", "stop_loss", "take_profit", "atr_stop_loss")
 RISK_FREE, YEAR = 0.03 / 252, 252
-TRADES = "run_id string, date date, code string, action string, price double, shares long, pnl double, cost double"
-EQUITY = "run_id string, date date, equity double, cash double, position_value double, returns double"
 
 
 @dataclass(frozen=True)
@@ -131,10 +130,10 @@ class Engine:
         return trades, equity
 
 
-def run_backtests(positions: DataFrame, prices: DataFrame, engines: dict[str, Engine], market: DataFrame | None = None, atr_window: int = 14, capital: float | None = None, limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(trades, equity) of all runs.  positions: run_id, date, code, shares; prices: date, code, close, the same for each run.
+def played_runs(positions: DataFrame, prices: DataFrame, engines: dict[str, Engine], market: DataFrame | None = None, atr_window: int = 14, capital: float | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """One row a run: run_id, its trades and its equity.  positions: run_id, date, code, shares; prices: date, code, close, the same for each run.
 
-    limits: date, code, limit_up, limit_down as prices.  Each run's group holds its own copy of the prices it trades on.
+    limits: date, code, limit_up, limit_down as prices.  A run's group holds the prices of the codes that it ever targets.
     """
     import pandas as pd
 
@@ -175,26 +174,60 @@ def run_backtests(positions: DataFrame, prices: DataFrame, engines: dict[str, En
                 atr.setdefault(d, {})[c] = a
                 bounds.setdefault(d, {})[c] = tuple(None if x is None or math.isnan(x) else x for x in (up, down))
         trades, equity = engine.play(days, targets, prices_, atr, bounds, capital)
-        a = pd.DataFrame([(key[0], "trade", d, c, k, p, float(s), pnl, fee) for d, c, k, p, s, pnl, fee in trades] + [(key[0], "equity", d, None, None, e, cash, value, back) for d, e, cash, value, back in equity], columns=["run_id", "kind", "date", "code", "action", "a", "b", "c", "d"])
-        return a
+        named = [[dict(zip(names, row)) for row in rows] for names, rows in ((("date", "code", "action", "price", "shares", "pnl", "cost"), trades), (("date", "equity", "cash", "position_value", "returns"), equity))]
+        return pd.DataFrame({"run_id": [key[0]], "trades": [named[0]], "equity": [named[1]]})
 
-    made = rows.groupBy("run_id").applyInPandas(play, "run_id string, kind string, date date, code string, action string, a double, b double, c double, d double")
-    trades = made.filter("kind = 'trade'").select("run_id", "date", "code", "action", F.col("a").alias("price"), F.col("b").cast("long").alias("shares"), F.col("c").alias("pnl"), F.col("d").alias("cost"))
-    equity = made.filter("kind = 'equity'").select("run_id", "date", F.col("a").alias("equity"), F.col("b").alias("cash"), F.col("c").alias("position_value"), F.col("d").alias("returns"))
-    return trades, equity
+    return rows.groupBy("run_id").applyInPandas(play, PLAYED)
 
 
-def metrics(trades: DataFrame, equity: DataFrame, capital: float = 1_000_000) -> DataFrame:
-    """One row per run: total and annual return, Sharpe ratio, greatest drawdown, win rate, trades, cost and cost ratio."""
-    dd = portfolio.drawdowns(equity).groupBy("run_id").agg(F.max(F.abs("drawdown")).alias("max_drawdown"))
+PLAYED = "run_id string, trades array<struct<date:date,code:string,action:string,price:double,shares:bigint,pnl:double,cost:double>>, equity array<struct<date:date,equity:double,cash:double,position_value:double,returns:double>>"
+
+
+def exploded(played: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(trades, equity) from one row a run."""
+    trades = played.select("run_id", F.explode("trades").alias("t")).select("run_id", "t.*")
+    return trades, played.select("run_id", F.explode("equity").alias("e")).select("run_id", "e.*")
+
+
+def run_backtests(positions: DataFrame, prices: DataFrame, engines: dict[str, Engine], market: DataFrame | None = None, atr_window: int = 14, capital: float | None = None, limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(trades, equity) of all runs; as played_runs."""
+    return exploded(played_runs(positions, prices, engines, market, atr_window, capital, limits))
+
+
+def played_metrics(played: DataFrame, capital: float = 1_000_000) -> DataFrame:
+    """The figures of ``metrics`` from one row a run, so that each run is replayed once."""
+    exit_, t = lambda x: x["action"].isin(*EXITS), F.col("trades")
+    total = lambda f: F.aggregate(t, F.lit(0.0), lambda s, x: s + f(x))
+    exits = F.size(F.filter(t, exit_))
+    stats = played.select(
+        "run_id",
+        F.coalesce(ratio(F.size(F.filter(t, lambda x: exit_(x) & (x["pnl"] > 0))), exits), F.lit(0.0)).alias("win_rate"),
+        F.size(t).cast("long").alias("trade_count"),
+        total(lambda x: x["cost"]).alias("total_cost"),
+        F.coalesce(ratio(total(lambda x: x["cost"]), total(lambda x: x["shares"] * x["price"])), F.lit(0.0)).alias("cost_ratio"),
+        F.explode("equity").alias("e"),
+    ).select("*", F.col("e.date").alias("date"), F.col("e.equity").alias("equity"), F.col("e.returns").alias("returns"))
+    peak = F.max("equity").over(Window.partitionBy("run_id").orderBy("date"))
+    off = stats.withColumn("drawdown", F.abs(F.when(peak > 0, (F.col("equity") - peak) / peak).otherwise(F.col("equity") - peak)))
     x = F.col("returns") - RISK_FREE
-    e = equity.groupBy("run_id").agg(F.max_by("equity", "date").alias("final"), F.count("*").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
+    once = [F.max(c).alias(c) for c in ("win_rate", "trade_count", "total_cost", "cost_ratio")]
+    e = off.groupBy("run_id").agg(F.max_by("equity", "date").alias("final"), F.count("*").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"), F.max("drawdown").alias("max_drawdown"), *once)
+    return _figures(e, capital, F.col("s") > 0).select("run_id", "total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "trade_count", "total_cost", "cost_ratio")
+
+
+def _figures(e: DataFrame, capital: float, enough) -> DataFrame:
+    """Adds total_return, annual_return and sharpe_ratio from final, n, m and s."""
     total = F.col("final") / capital - 1
-    e = e.select("run_id", total.alias("total_return"), F.when((F.col("n") > 1) & (total > -1), F.pow(1 + total, F.lit(float(YEAR)) / F.col("n")) - 1).otherwise(0.0).alias("annual_return"), F.when(F.col("s") > 0, F.col("m") / F.col("s") * math.sqrt(YEAR)).otherwise(0.0).alias("sharpe_ratio"))
-    exits = F.col("action").isin(*EXITS)
-    t = trades.groupBy("run_id").agg(ratio(F.count_if(exits & (F.col("pnl") > 0)), F.count_if(exits)).alias("win_rate"), F.count("*").alias("trade_count"), F.sum("cost").alias("total_cost"), ratio(F.sum("cost"), F.sum(F.col("shares") * F.col("price"))).alias("cost_ratio"))
-    out = e.join(dd, "run_id").join(t, "run_id", "left")
-    return out.fillna({"win_rate": 0.0, "trade_count": 0, "total_cost": 0.0, "cost_ratio": 0.0})
+    annual = F.when((F.col("n") > 1) & (total > -1), F.pow(1 + total, F.lit(float(YEAR)) / F.col("n")) - 1).otherwise(0.0)
+    return e.withColumns({"total_return": total, "annual_return": annual, "sharpe_ratio": F.when(enough, F.col("m") / F.col("s") * math.sqrt(YEAR)).otherwise(0.0)})
+
+
+def metrics(trades: DataFrame, equity: DataFrame, capital: float = 1_000_000) -> DataFrame:
+    """One row per run: total and annual return, Sharpe ratio, greatest drawdown, win rate, trades, cost and cost ratio."""
+    t = trades.groupBy("run_id").agg(F.collect_list(F.struct("date", "code", "action", "price", "shares", "pnl", "cost")).alias("trades"))
+    e = equity.groupBy("run_id").agg(F.collect_list(F.struct("date", "equity", "cash", "position_value", "returns")).alias("equity"))
+    both = e.join(t, "run_id", "left").withColumn("trades", F.coalesce("trades", F.array().cast(t.schema["trades"].dataType)))
+    return played_metrics(both, capital)
 
 
 def equity_metrics(equity: DataFrame, capital: float = 1_000_000) -> DataFrame:
@@ -206,8 +239,7 @@ def equity_metrics(equity: DataFrame, capital: float = 1_000_000) -> DataFrame:
 def metrics_of_returns(rows: DataFrame, dd: DataFrame, capital: float) -> DataFrame:
     x = F.col("r") - RISK_FREE
     e = rows.groupBy("run_id").agg(F.max_by("equity", "date").alias("final"), F.count("*").alias("n"), F.avg(x).alias("m"), F.stddev_pop(x).alias("s"))
-    total = F.col("final") / capital - 1
-    e = e.select("run_id", total.alias("total_return"), F.when((F.col("n") > 1) & (total > -1), F.pow(1 + total, F.lit(float(YEAR)) / F.col("n")) - 1).otherwise(0.0).alias("annual_return"), F.when((F.col("n") > 2) & (F.col("s") > 1e-10), F.col("m") / F.col("s") * math.sqrt(YEAR)).otherwise(0.0).alias("sharpe_ratio"))
+    e = _figures(e, capital, (F.col("n") > 2) & (F.col("s") > 1e-10)).select("run_id", "total_return", "annual_return", "sharpe_ratio")
     return e.join(dd.groupBy("run_id").agg(F.max(F.abs("drawdown")).alias("max_drawdown")), "run_id")
 
 
@@ -218,7 +250,7 @@ def build_positions(data: DataFrame, signals: DataFrame, capital: float = 1_000_
         days = signals.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1).filter(F.col("i") % rebalance_days == 0)
         signals = signals.join(F.broadcast(days.select("date")), "date", "left_semi")
     out = portfolio.equal_weight(signals, data, capital, exposure)
-    return portfolio.smooth_positions(out, data, capital, dead_zone, before) if dead_zone > 0 else out
+    return portfolio.smooth_positions(out, data, capital, dead_zone, before, exposure=exposure) if dead_zone > 0 else out
 
 
 def run_pipeline(data: DataFrame, runs: dict[str, DataFrame], engine: Engine | dict[str, Engine] = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, **build) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -232,9 +264,8 @@ def run_pipeline(data: DataFrame, runs: dict[str, DataFrame], engine: Engine | d
         if max_weight is not None:
             p = portfolio.apply_position_limit(p, max_weight)
         parts.append(p.withColumn("run_id", F.lit(name)))
-    positions = reduce(DataFrame.unionByName, parts)
-    trades, equity = run_backtests(positions, data, engines, data)
-    return trades, equity, metrics(trades, equity, next(iter(engines.values())).capital)
+    played = played_runs(reduce(DataFrame.unionByName, parts), data, engines, data)
+    return *exploded(played), played_metrics(played, next(iter(engines.values())).capital)
 
 
 def add_months(d: Day, n: int) -> Day:
@@ -244,33 +275,128 @@ def add_months(d: Day, n: int) -> Day:
 
 
 def generate_windows(first: Day, last: Day, train_months: int = 12, test_months: int = 3, step_months: int | None = None) -> list[tuple[Day, Day, Day, Day]]:
-    """(train start, train end, test start, test end), ends inclusive; windows that do not end by last are left out."""
+    """(train start, train end, test start, test end), ends inclusive; the test begins the day after training ends, and windows that do
+    not end by last are left out.
+    """
     out, start = [], first
     while True:
         mid = add_months(start, train_months)
-        end = add_months(mid, test_months)
+        end = add_months(mid + timedelta(days=1), test_months)
         if end > last:
             return out
-        out.append((start, mid, mid, end))
+        out.append((start, mid, mid + timedelta(days=1), end))
         start = add_months(start, step_months or test_months)
 
 
-def walk_forward(data: DataFrame, signals: DataFrame, windows: list, engine: Engine = Engine(), **build) -> tuple[DataFrame, DataFrame]:
-    """(equity with period, per-period metrics).  Capital goes from one period to the next, so periods run in turn; signals of all are one table.
+#: A day's targets of a walk-forward run: the period, and each code's weight after each step that cuts whole lots.
+TARGETS = "period int, date date, code string, weights array<double>, close double, exposure double"
+
+
+def play_periods(engine: Engine, periods: list[tuple[Day, Day]], days: list, targets: dict, prices: dict) -> tuple[list, list]:
+    """(equity rows, figures) of periods in turn, each with the capital that the one before ended with.
+
+    targets: {period: {day: {code: (weights, close, exposure)}}}.  Shares follow from the capital, in whole lots after each step.
+    A period without targets keeps its capital and has figures of 0; later periods drop their first row, the day that the one before ended on.
+    """
+    capital, curve, figures = engine.capital, [], []
+    for k, (start, stop) in enumerate(periods):
+        inside = [d for d in days if start <= d <= stop]
+        if not inside:
+            continue
+        if k not in targets:
+            figures.append((k, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0))
+            continue
+        shares = {}
+        for day, held in targets[k].items():
+            for code, (weights, close, exposure) in held.items():
+                if close is None or close != close or close == 0:
+                    continue
+                n = math.floor(capital * exposure * weights[0] / close / portfolio.LOT) * portfolio.LOT
+                for old, new in zip(weights, weights[1:]):
+                    n = math.floor(n * new / old / portfolio.LOT + 1e-9) * portfolio.LOT if old else 0
+                shares.setdefault(day, {})[code] = n
+        trades, equity = engine.play(inside, shares, prices, capital=capital)
+        figures.append((k, *run_figures(trades, equity, capital)))
+        curve += [(k, *row) for row in (equity if not curve else equity[1:])]
+        capital = curve[-1][2] if curve else capital
+    return curve, figures
+
+
+def run_figures(trades: list, equity: list, capital: float) -> tuple:
+    """The figures of ``metrics`` of one played run."""
+    import numpy as np
+
+    value, back = np.array([e[1] for e in equity]), np.array([e[4] for e in equity]) - RISK_FREE
+    total, peak = value[-1] / capital - 1, np.maximum.accumulate(value)
+    annual = (1 + total) ** (YEAR / len(value)) - 1 if len(value) > 1 and total > -1 else 0.0
+    sharpe = back.mean() / back.std() * math.sqrt(YEAR) if back.std() > 0 else 0.0
+    exits = [t for t in trades if t[2] in EXITS]
+    cost, turned = sum(t[6] for t in trades), sum(t[4] * t[3] for t in trades)
+    drawdown = np.abs(np.where(peak > 0, (value - peak) / np.where(peak > 0, peak, 1), value - peak)).max()
+    return float(total), float(annual), float(sharpe), float(drawdown), sum(t[5] > 0 for t in exits) / len(exits) if exits else 0.0, len(trades), float(cost), cost / turned if turned else 0.0
+
+
+def walk_forward_targets(data: DataFrame, positions: DataFrame, windows: list, exposure: DataFrame | None = None) -> DataFrame:
+    """period, date, code, weights, close, exposure: the positions of each period.  positions: date, code, weights."""
+    spans = F.broadcast(data.sparkSession.createDataFrame([(k, w[2], w[3]) for k, w in enumerate(windows)], "period int, start date, stop date"))
+    priced = positions.join(data.select("date", "code", "close").dropDuplicates(["date", "code"]), ["date", "code"], "left")
+    priced = priced.withColumn("exposure", F.lit(1.0)) if exposure is None else priced.join(F.broadcast(exposure.select("date", "exposure")), "date", "left").withColumn("exposure", F.coalesce("exposure", F.lit(1.0)))
+    return priced.join(spans, F.col("date").between(F.col("start"), F.col("stop"))).select("period", "date", "code", "weights", "close", "exposure")
+
+
+def walk_periods(data: DataFrame, targets: DataFrame, windows: list, engine: Engine) -> tuple[DataFrame, DataFrame]:
+    """(equity with period, per-period metrics): all periods in one plan and one group, for one period's capital depends on the one before."""
+    import pandas as pd
+
+    spans = [(w[2], w[3]) for w in windows]
+    empty = {"period": "int", "weights": "array<double>", "exposure": "double"}
+    days = data.select("date").distinct().select("date", F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("close"), *[F.lit(None).cast(t).alias(n) for n, t in empty.items()])
+    quotes = data.select("date", "code", "close").dropDuplicates(["date", "code"]).join(targets.select("code").distinct(), "code").select("date", "code", "close", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()])
+    rows = days.unionByName(quotes).unionByName(targets.select("date", "code", "close", *empty))
+
+    def run(pdf):
+        known, targets_, prices = [], {}, {}
+        for d, c, close, k, weights, share in pdf[["date", "code", "close", *empty]].itertuples(index=False):
+            if not isinstance(c, str):
+                known.append(d)
+            elif k == k and k is not None:
+                targets_.setdefault(int(k), {}).setdefault(d, {})[c] = (list(weights), close, share)
+            else:
+                prices.setdefault(d, {})[c] = close
+        curve, figures = play_periods(engine, spans, sorted(known), targets_, prices)
+        names = ("period", "date", "equity", "cash", "position_value", "returns"), ("period", *FIGURES)
+        return pd.DataFrame({"equity": [[dict(zip(names[0], r)) for r in curve]], "figures": [[dict(zip(names[1], r)) for r in figures]]})
+
+    made = rows.groupBy(F.lit(1)).applyInPandas(run, "equity array<struct<period:int,date:date,equity:double,cash:double,position_value:double,returns:double>>, figures array<struct<period:int,total_return:double,annual_return:double,sharpe_ratio:double,max_drawdown:double,win_rate:double,trade_count:bigint,total_cost:double,cost_ratio:double>>")
+    return made.select(F.explode("equity").alias("e")).select("e.*"), made.select(F.explode("figures").alias("f")).select("f.*")
+
+
+FIGURES = ("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "trade_count", "total_cost", "cost_ratio")
 
-    Later periods drop their first equity row, whose day is the last one's of the period before.
+
+def walk_forward(data: DataFrame, signals: DataFrame, windows: list, engine: Engine = Engine(), exposure: DataFrame | None = None, pool: DataFrame | None = None, industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, dead_zone: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(equity with period, per-period metrics).  Capital goes from one period to the next.
+
+    exposure: date, exposure - the share of capital invested.  pool: date, code - what may be bought.  dead_zone smooths weights over the
+    periods as one series, so that each period starts from the weights that the one before ended with.
     """
-    capital, curves, figures = engine.capital, [], []
-    for k, (_, _, start, stop) in enumerate(windows):
-        inside = F.col("date").between(F.lit(start), F.lit(stop))
-        positions = build_positions(data.filter(inside), signals.filter(inside), capital, **build).withColumn("run_id", F.lit(f"p{k}"))
-        trades, equity = run_backtests(positions, data.filter(inside), {f"p{k}": engine}, data, capital=capital)
-        equity = equity.cache()
-        figures.append(metrics(trades, equity, capital).withColumn("period", F.lit(k)))
-        curves.append((equity if k == 0 else equity.filter(F.col("date") > F.lit(start))).withColumn("period", F.lit(k)))
-        row = equity.agg(F.max_by("equity", "date").alias("e")).first()
-        capital = row["e"] if row["e"] is not None else capital
-    return reduce(DataFrame.unionByName, curves), reduce(DataFrame.unionByName, figures)
+    signals = signals if pool is None else signals.join(pool.select("date", "code").distinct(), ["date", "code"], "left_semi")
+    tradable = cleaning.enforce_t1(cleaning.filter_tradable(data, signals)).filter("signal = 1")
+    held = tradable.select("date", "code", ratio(F.lit(1.0), F.count("*").over(Window.partitionBy("date"))).alias("weight"))
+    if dead_zone > 0:
+        held = portfolio.smooth_positions(held, data, engine.capital, dead_zone).select("date", "code", "weight")
+    return walk_periods(data, walk_forward_targets(data, _capped(held, industries, industry_cap, max_weight), windows, exposure), windows, engine)
+
+
+def _capped(held: DataFrame, industries: DataFrame | None, industry_cap: float | None, max_weight: float | None) -> DataFrame:
+    """date, code, weights: the weight before and after each cap that applies."""
+    steps, out = ["w0"], held.select("date", "code", "weight", F.lit(0).cast("long").alias("shares"), F.col("weight").alias("w0"))
+    caps = [] if industries is None or industry_cap is None else [lambda p: portfolio.apply_industry_cap(p, industries, industry_cap)]
+    caps += [] if max_weight is None else [lambda p: portfolio.apply_position_limit(p, max_weight)]
+    for k, cap in enumerate(caps, 1):
+        out = cap(out).withColumn(f"w{k}", F.col("weight"))
+        steps.append(f"w{k}")
+    return out.select("date", "code", F.array(*steps).alias("weights"))
 
 
 def overall_metrics(curve: DataFrame, periods: DataFrame, capital: float = 1_000_000) -> DataFrame:
@@ -326,21 +452,13 @@ def run_matrix(data: DataFrame, pools: DataFrame, names: list[str], engine: Engi
     return out.withColumns({"pool": F.substring_index("run_id", "|", 1), "strategy": F.substring_index("run_id", "|", -1)}).drop("run_id")
 
 
-def walk_forward_silos(data: DataFrame, silos: list[tuple[DataFrame, float]], windows: list, engine: Engine = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None) -> tuple[DataFrame, DataFrame]:
+def walk_forward_silos(data: DataFrame, silos: list[tuple[DataFrame, float]], windows: list, engine: Engine = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, exposure: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Walk-forward over several silos of signals whose weights add up per date; caps apply to the sum.  As walk_forward otherwise."""
-    capital, curves, figures = engine.capital, [], []
-    for k, (_, _, start, stop) in enumerate(windows):
-        inside = F.col("date").between(F.lit(start), F.lit(stop))
-        quotes = data.filter(inside)
-        merged = merge_silos([(build_positions(quotes, s.filter(inside), capital), w) for s, w in silos], quotes, capital)
-        if industries is not None and industry_cap is not None:
-            merged = portfolio.apply_industry_cap(merged, industries, industry_cap)
-        if max_weight is not None:
-            merged = portfolio.apply_position_limit(merged, max_weight)
-        trades, equity = run_backtests(merged.withColumn("run_id", F.lit(f"p{k}")), quotes, {f"p{k}": engine}, data, capital=capital)
-        equity = equity.cache()
-        figures.append(metrics(trades, equity, capital).withColumn("period", F.lit(k)))
-        curves.append((equity if k == 0 else equity.filter(F.col("date") > F.lit(start))).withColumn("period", F.lit(k)))
-        last = equity.agg(F.max_by("equity", "date").alias("e")).first()["e"]
-        capital = last if last is not None else capital
-    return reduce(DataFrame.unionByName, curves), reduce(DataFrame.unionByName, figures)
+    parts = []
+    for signals, share in silos:
+        buys = cleaning.enforce_t1(cleaning.filter_tradable(data, signals)).filter("signal = 1")
+        parts.append(buys.select("date", "code", (ratio(F.lit(1.0), F.count("*").over(Window.partitionBy("date"))) * share).alias("weight")))
+    total = reduce(DataFrame.unionByName, parts).groupBy("date", "code").agg(F.sum("weight").alias("weight"))
+    day = F.sum("weight").over(Window.partitionBy("date"))
+    held = total.withColumn("weight", F.col("weight") / F.when(day == 0, 1.0).otherwise(day))
+    return walk_periods(data, walk_forward_targets(data, _capped(held, industries, industry_cap, max_weight), windows, exposure), windows, engine)

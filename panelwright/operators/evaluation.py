@@ -23,31 +23,47 @@ def forward_returns(df: DataFrame, windows=(1, 5, 20), exclude_untradable: bool
     return df.withColumns({n: F.when(~stop, c) for n, c in ahead.items()})
 
 
-def long_pairs(df: DataFrame, factors: list[str], windows=(5,)) -> DataFrame:
-    """date, code, factor, fwd_window, x, y for complete pairs."""
+def long_pairs(df: DataFrame, factors: list[str], windows=(5,), by: tuple = ()) -> DataFrame:
+    """date, code, factor, fwd_window, x, y - and the columns named in by - for complete pairs."""
     both = F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(w).alias("fwd_window"), F.col(f).cast("double").alias("x"), F.col(f"fwd_ret_{w}d").alias("y")) for f in factors for w in windows])
-    return df.select("date", "code", F.explode(both).alias("p")).select("date", "code", "p.*").filter("x is not null and y is not null")
+    return df.select("date", "code", *by, F.explode(both).alias("p")).select("date", "code", *by, "p.*").filter("x is not null and y is not null")
 
 
 def pearson(x: str, y: str) -> Column:
     return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _tied(*columns: np.ndarray) -> int:
+    """Pairs of rows that are alike in all columns."""
+    count = np.unique(np.stack(columns), axis=1, return_counts=True)[1].astype(np.int64)
+    return int((count * (count - 1) // 2).sum())
+
+
+def _inversions(order: np.ndarray) -> int:
+    """Pairs of ranks where a greater one comes first: counted bit by bit, from the highest, within rows alike in the bits above."""
+    total, rank = 0, order.astype(np.int64)
+    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
+        one = (rank >> bit) & 1
+        new = np.r_[True, (rank[1:] >> (bit + 1)) != (rank[:-1] >> (bit + 1))]
+        before = np.cumsum(one) - one
+        total += int(((before - before[np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0))]) * (1 - one)).sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]
+    return total
+
+
 def _kendall(x: np.ndarray, y: np.ndarray) -> float | None:
-    """tau-b; pairs are counted in rows of the pair matrix."""
-    s = tx = ty = 0
-    for i in range(len(x) - 1):
-        a, b = np.sign(x[i + 1 :] - x[i]), np.sign(y[i + 1 :] - y[i])
-        s, tx, ty = s + (a * b).sum(), tx + np.abs(a).sum(), ty + np.abs(b).sum()
-    return float(s / np.sqrt(tx * ty)) if tx and ty else None
+    """tau-b from tied and discordant pairs."""
+    pairs, tx, ty, both = len(x) * (len(x) - 1) // 2, _tied(x), _tied(y), _tied(x, y)
+    if tx == pairs or ty == pairs:
+        return None
+    discordant = _inversions(np.unique(y[np.lexsort((y, x))], return_inverse=True)[1])
+    return float((pairs - tx - ty + both - 2 * discordant) / np.sqrt(float(pairs - tx) * float(pairs - ty)))
 
 
 def ic(df: DataFrame, factors: list[str], windows=(5,), method: str = "spearman", min_obs: int = 5, by: tuple = ()) -> DataFrame:
     """date, factor, fwd_window, ic, n (and the columns named in by).  Dates with fewer than min_obs pairs are absent; a constant side gives null."""
     keys = ["date", "factor", "fwd_window", *by]
-    pairs = long_pairs(df.select("date", "code", *factors, *[f"fwd_ret_{w}d" for w in windows]), factors, windows)
-    if by:
-        pairs = pairs.join(df.select("date", "code", *by), ["date", "code"])
+    pairs = long_pairs(df, factors, windows, by)
     if method == "kendall":
         import pandas as pd
 
@@ -154,11 +170,9 @@ def size_liquidity_layers(df: DataFrame, bins: int = 3) -> DataFrame:
 
 def ic_by_layer(df: DataFrame, factors: list[str], windows=(5,), min_obs: int = 5, min_days: int = 20) -> DataFrame:
     """factor, fwd_window, layer, mean_ic, t_stat, n_days: all rows, and each size-liquidity cell."""
-    cell = F.concat_ws("_", "size_layer", "liq_layer")
-    tagged = df.withColumn("layer", F.when(F.col("size_layer").isNotNull() & F.col("liq_layer").isNotNull(), cell))
-    parts = ic(tagged.filter("layer is not null"), factors, windows, min_obs=min_obs, by=("layer",))
-    everything = ic(df, factors, windows, min_obs=min_obs).withColumn("layer", F.lit("all"))
-    out = everything.select("factor", "fwd_window", "layer", "ic").unionByName(parts.select("factor", "fwd_window", "layer", "ic"))
+    cell = F.when(F.col("size_layer").isNotNull() & F.col("liq_layer").isNotNull(), F.concat_ws("_", "size_layer", "liq_layer"))
+    both = df.withColumn("layer", F.explode(F.array_compact(F.array(F.lit("all"), cell))))
+    out = ic(both, factors, windows, min_obs=min_obs, by=("layer",))
     stats = out.groupBy("factor", "fwd_window", "layer").agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("s"), F.count("ic").alias("n_days"))
     return stats.select("factor", "fwd_window", "layer", "mean_ic", F.when(F.col("n_days") >= min_days, ratio(F.col("mean_ic"), F.col("s")) * F.sqrt("n_days")).alias("t_stat"), "n_days")
 
@@ -169,15 +183,51 @@ def last_dates(df: DataFrame, n: int) -> DataFrame:
     return df.join(F.broadcast(dates), "date", "left_semi")
 
 
+def daily_correlations(df: DataFrame, factors: list[str], min_obs: int = 20, method: str = "spearman", by: tuple = ()) -> DataFrame:
+    """by, date, factor_a, factor_b, c: correlations of complete pairs on each date with min_obs of them; null for a constant side.
+
+    A date's cross-section is one group: each factor is ranked once, and again only for pairs where values are missing.
+    """
+    import pandas as pd
+
+    if method not in ("spearman", "pearson"):
+        raise ValueError(f"unknown method {method!r}")
+    keys = [*by, "date"]
+    at = [(i, j) for i in range(len(factors)) for j in range(i + 1, len(factors))]
+
+    def ranks(x):
+        return pd.DataFrame(x).rank().to_numpy() if method == "spearman" else x
+
+    def run(key, pdf):
+        x = pdf[factors].to_numpy(float)
+        known = ~np.isnan(x)
+        whole = known.all(axis=0)
+        r = np.where(whole, ranks(x), 0.0)
+        r = r - r.mean(axis=0)
+        dot, n = r.T @ r, known.T.astype(np.int64) @ known.astype(np.int64)
+        out = []
+        for i, j in at:
+            if n[i, j] < min_obs:
+                continue
+            if whole[i] and whole[j]:
+                xy, xx, yy = dot[i, j], dot[i, i], dot[j, j]
+            else:
+                pair = ranks(x[known[:, i] & known[:, j]][:, [i, j]])
+                pair = pair - pair.mean(axis=0)
+                (xx, xy), (_, yy) = pair.T @ pair
+            scale = np.sqrt(xx * yy)
+            out.append((*key, factors[i], factors[j], xy / scale if scale > 1e-12 else None))
+        return pd.DataFrame(out, columns=[*keys, "factor_a", "factor_b", "c"]).astype({"c": "float64"})
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", factor_a string, factor_b string, c double"
+    values = [F.col(f).cast("double").alias(f) for f in factors]
+    return df.select(*keys, *values).groupBy(*keys).applyInPandas(run, schema).withColumn("c", F.nanvl("c", F.lit(None).cast("double")))
+
+
 def corr_matrix(df: DataFrame, factors: list[str], window: int = 60, agg: str = "mean", min_obs: int = 20, method: str = "spearman") -> DataFrame:
-    """factor_a, factor_b, corr, n_dates: per-date correlations of complete pairs over the last dates, averaged.  All pairs of a row are made in one pass."""
-    recent = last_dates(df.select("date", "code", *factors), window)
-    pairs = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(factors) for b in factors[i + 1 :]])
-    long = recent.select("date", "code", F.explode(pairs).alias("p")).select("date", "code", "p.*").filter("x is not null and y is not null")
-    keys = ["date", "factor_a", "factor_b"]
-    if method == "spearman":
-        long = long.withColumns({"x": rank_pct("x", keys), "y": rank_pct("y", keys)})
-    daily = long.groupBy(*keys).agg(pearson("x", "y").alias("c"), F.count("*").alias("n")).filter(F.col("n") >= min_obs)
+    """factor_a, factor_b, corr, n_dates: per-date correlations of complete pairs over the last dates, averaged (or their median)."""
+    daily = daily_correlations(last_dates(df.select("date", "code", *factors), window), factors, min_obs, method)
     over = F.avg("c") if agg == "mean" else F.percentile("c", F.lit(0.5))
     return daily.groupBy("factor_a", "factor_b").agg(over.alias("corr"), F.count("c").alias("n_dates"))
 
@@ -360,6 +410,12 @@ def pivot_matrix(results: DataFrame, index: str, column: str, value: str, column
     return results.groupBy(index).pivot(column, columns).agg(F.max(value))
 
 
+def best_result(results: DataFrame, metric: str = "sharpe_ratio") -> DataFrame:
+    """The row with the greatest metric; ties by the remaining columns; none of an empty table."""
+    rest = [c for c in results.columns if c != metric]
+    return results.orderBy(F.col(metric).desc_nulls_last(), *rest).limit(1)
+
+
 def best_per_pool(results: DataFrame, metric: str, pool: str = "pool") -> DataFrame:
     """The row with the greatest metric of each pool; ties by the remaining columns."""
     rest = [c for c in results.columns if c not in (pool, metric)]

@@ -5,6 +5,8 @@ A window of n rows gives a value only where it holds n values.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ def by_code():
     return Window.partitionBy("code").orderBy("date")
 
 
-#: Rows in a block of the exponential mean; weights stay within double range for decay rates up to one half.
-EWM_BLOCK = 1000
+#: Blocks of the exponential mean have a power of so many rows (one size serves the usual rates, and so one sort).
+EWM_BLOCK = 8
 
 
 def _col(x) -> Column:
@@ -126,18 +128,32 @@ def ewm_position(df: DataFrame) -> DataFrame:
     return df if "__t" in df.columns else df.withColumn("__t", F.row_number().over(by_code()) - 1)
 
 
+def ewm_block(keep: float) -> int:
+    """Rows in a block: over a block the weights fall below double precision (e^-40) but stay within double range (e^690)."""
+    rate, rows_ = -math.log(keep), 1
+    while rows_ * rate < 40:
+        rows_ *= EWM_BLOCK
+    return min(rows_, max(1, int(690 / rate)))
+
+
 def ewm(x, n: int, m: int) -> Column:
     """Exponential mean with weight m/n, adjusted, nulls keeping their place; null until n values have been seen.
 
-    Needs ``ewm_position``.  Weights are powers relative to a block of EWM_BLOCK rows; a row sums its own block so
-    far and the block before, whose remainder is below double precision.
+    Needs ``ewm_position``.  Weights are powers relative to a block of rows; a row sums its own block so far and the block
+    before.  What lies before that weighs less than double precision, whatever the rate, since the block's length follows it.
     """
+    if not 0 < m <= n:
+        raise ValueError("the weight m / n must lie above 0 and not above 1")
     x, keep = _col(x), 1 - m / n
-    block, inner = F.floor(F.col("__t") / EWM_BLOCK), F.col("__t") % EWM_BLOCK
+    if keep == 0:  # only the last value counts
+        last_value = F.last(x, ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
+        return F.when(F.count(x).over(by_code().rowsBetween(Window.unboundedPreceding, 0)) >= n, last_value)
+    size = ewm_block(keep)
+    block, inner = F.floor(F.col("__t") / size), F.col("__t") % size
     lift = F.pow(F.lit(1 / keep), inner)
     here = Window.partitionBy("code", block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     last = Window.partitionBy("code").orderBy(block).rangeBetween(-1, -1)
-    fade = F.pow(F.lit(keep), F.lit(float(EWM_BLOCK)))
+    fade = F.pow(F.lit(keep), F.lit(float(size)))
 
     def total(v):
         return F.coalesce(F.sum(v).over(here), F.lit(0.0)) + F.coalesce(F.sum(v).over(last), F.lit(0.0)) * fade

@@ -330,7 +330,7 @@ def panel_windows(p):
     windows = backtest.generate_windows(first, last, 12, 6)
     stop = windows[-1][3] if windows else backtest.add_months(first, 12)
     if stop < last:
-        windows.append((backtest.add_months(first, 6 * len(windows)), stop, stop, last))
+        windows.append((backtest.add_months(first, 6 * len(windows)), stop - datetime.timedelta(days=1), stop, last))
     return windows
 
 
@@ -460,7 +460,7 @@ def pair_trading(spark, sf_dir):
 
 # announcements
 
-_EV = """ev0 AS (SELECT CAST(c_nationkey AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS ann_date, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
+_EV = """ev0 AS (SELECT CAST(c_nationkey AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS ann_date, o_totalprice, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey),
  ev AS (SELECT code, ann_date, strftime(date_trunc('quarter', ann_date) - INTERVAL 1 DAY, '%Y%m%d') AS end_date, avg(o_totalprice) / 1000 AS roe, avg(c_acctbal) / 100 AS ocfps, sum(o_totalprice) AS actual_profit, sum(c_acctbal) * 20 AS predicted_profit FROM ev0 GROUP BY 1, 2, 3)"""
 _DAYS = "dy AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS date FROM orders)"
 

@@ -87,13 +87,12 @@ def calendar(panel: DataFrame) -> DataFrame:
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Announcement events per nation: code, ann_date, end_date (season end), roe, ocfps; one per code, day and season."""
+    """Announcement events per nation, of all orders: code, ann_date, end_date (season end), roe, ocfps; one per code, day and season."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").cast("string").alias("code"), F.to_date("o_orderdate").alias("ann_date"), "o_totalprice", "c_acctbal", "o_orderpriority")
+    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").cast("string").alias("code"), F.to_date("o_orderdate").alias("ann_date"), "o_totalprice", "c_acctbal")
     quarter = F.date_trunc("quarter", F.col("ann_date"))
     season = F.date_format(F.date_sub(quarter.cast("date"), 1), "yyyyMMdd")
-    first = F.col("o_orderpriority") == "1-URGENT"
-    return rows.filter(first).withColumn("end_date", season).groupBy("code", "ann_date", "end_date").agg((F.avg("o_totalprice") / 1000).alias("roe"), (F.avg("c_acctbal") / 100).alias("ocfps"), F.sum("o_totalprice").alias("actual_profit"), (F.sum("c_acctbal") * 20).alias("predicted_profit"))
+    return rows.withColumn("end_date", season).groupBy("code", "ann_date", "end_date").agg((F.avg("o_totalprice") / 1000).alias("roe"), (F.avg("c_acctbal") / 100).alias("ocfps"), F.sum("o_totalprice").alias("actual_profit"), (F.sum("c_acctbal") * 20).alias("predicted_profit"))
 
 
 def with_previous_close(panel: DataFrame) -> DataFrame:

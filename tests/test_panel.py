@@ -232,7 +232,8 @@ def test_backtests_run_together(panel):
 
 def test_windows_of_months():
     w = backtest.generate_windows(datetime.date(2020, 1, 31), datetime.date(2021, 6, 30), 12, 2)
-    assert w[0] == (datetime.date(2020, 1, 31), datetime.date(2021, 1, 31), datetime.date(2021, 1, 31), datetime.date(2021, 3, 31)) and len(w) == 2
+    assert w[0] == (datetime.date(2020, 1, 31), datetime.date(2021, 1, 31), datetime.date(2021, 2, 1), datetime.date(2021, 4, 1)) and len(w) == 2
+    assert all(train_end < test_start for _, train_end, test_start, _ in w)
 
 
 def test_unit_root_and_kalman():
