@@ -52,11 +52,18 @@ def _factor(args) -> None:
         names = args.name.split(",")
         out = evaluation.evaluate_factors(data if set(names) <= set(data.columns) else factors.with_factors(data, names), names, tuple(args.window))
     else:
-        states = lifecycle.monitor(data, args.name.split(",") if args.name else None, tuple(args.window))
+        old = io.load_state(data.sparkSession, args.out) if args.out and not args.full else None
+        limits = {"active": args.active, "decay": args.decay, "min_sustain": args.min_sustain}
+        states, changes, skipped = lifecycle.update_monitor(data, old, args.name.split(",") if args.name else None, tuple(args.window), args.rolling, args.min_periods, exclude_untradable=not args.keep_untradable, **limits)
+        for name in skipped:
+            print("skipped:", name)
         if args.out:
-            old = io.load_state(data.sparkSession, args.out)
-            states = states if old is None else lifecycle.merge_states(old, states)
-            io.save_state(states, args.out)
+            changes = changes.persist()
+            io.save_state(states if old is None else lifecycle.merge_states(old, states), args.out)
+            if not changes.isEmpty():
+                io.save_changes(changes, args.out)
+            print(lifecycle.render_changes(changes))
+            changes.unpersist()
             states = io.load_state(data.sparkSession, args.out)
         out = lifecycle.status_table(states)
         args.out = None
@@ -69,10 +76,9 @@ def _clean(args) -> None:
     spark, c = _session(), LifecycleConfig(**parse_params(args.param))
     data = io.as_panel(io.load_parquet(spark, args.data))
     if args.command == "clean-b":
-        names = lifecycle.usable_factors(data, args.name.split(",") if args.name else None)
-        ics = evaluation.ic(evaluation.forward_returns(factors.with_factors(data, names), (c.fwd_window,)), names, (c.fwd_window,)).persist()
-        ends = ics.selectExpr("min(date)", "max(date)").first()
-        periods, summary = lifecycle.phase_b(ics, lifecycle.oos_windows(ends[0], ends[1], c.train_months, c.test_months), c.top_k, c.window, c.n_iters, c.fwd_window)
+        ends = data.selectExpr("min(date)", "max(date)").first()
+        states = io.load_state(spark, args.state) if args.state else lifecycle.monitor(data, args.name.split(",") if args.name else None)
+        periods, summary = lifecycle.phase_b(data, states, lifecycle.oos_windows(ends[0], ends[1], c.train_months, c.test_months), c.top_k, c.window, c.n_iters, c.fwd_window, c.corr_window, c.threshold, c.linkage, c.representative)
         show(periods, args)
         show(summary, args)
         return
@@ -80,7 +86,14 @@ def _clean(args) -> None:
         states = io.load_state(spark, args.state) if args.state else lifecycle.monitor(data)
         show(lifecycle.phase_a(data, states, c.corr_window, c.threshold, c.linkage, c.representative, c.fwd_window), args)
     elif args.command == "clean-c":
-        show(lifecycle.phase_c(data, {n: 1.0 for n in args.name.split(",")}, c.rebalance, c.top_n, c.bottom_n, backtest.Engine(cost=backtest.TradingCost())), args)
+        names = args.name.split(",")
+        states = io.load_state(spark, args.state) if args.state else lifecycle.monitor(data, names) if args.weighting == "ic_weighted" else None
+        as_of = data.selectExpr("max(date)").first()[0]
+        weights = lifecycle.synth_weights(states, names, as_of, args.weighting, c.fwd_window)
+        compare = lifecycle.phase_c(data, weights, c.rebalance, c.top_n, c.bottom_n, backtest.Engine(cost=backtest.TradingCost())).persist()
+        show(compare, args)
+        show(lifecycle.phase_c_summary(compare), args)
+        compare.unpersist()
     else:
         show(lifecycle.mining_screen(data, args.name.split(",")), args)
 
@@ -107,12 +120,20 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--tag")
     f.add_argument("--kind")
     f.add_argument("--out")
+    f.add_argument("--rolling", type=int, default=60)
+    f.add_argument("--min-periods", type=int, default=20)
+    f.add_argument("--active", type=float, default=2.0)
+    f.add_argument("--decay", type=float, default=1.0)
+    f.add_argument("--min-sustain", type=int, default=20)
+    f.add_argument("--keep-untradable", action="store_true")
+    f.add_argument("--full", action="store_true")
     f.set_defaults(run=_factor)
     for name in ("clean-a", "clean-b", "clean-c", "mining-screen"):
         c = sub.add_parser(name, parents=[shared])
         c.add_argument("--data", required=True)
         c.add_argument("--state")
         c.add_argument("--name", default="")
+        c.add_argument("--weighting", choices=["equal", "ic_weighted"], default="equal")
         c.add_argument("--param", nargs="*", default=[])
         c.set_defaults(run=_clean)
     k = sub.add_parser("cache", parents=[shared])

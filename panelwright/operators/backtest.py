@@ -244,28 +244,41 @@ def metrics_of_returns(rows: DataFrame, dd: DataFrame, capital: float) -> DataFr
 
 
 def build_positions(data: DataFrame, signals: DataFrame, capital: float = 1_000_000, rebalance_days: int | None = None, dead_zone: float = 0.0, exposure: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
-    """Tradable signals, every rebalance_days-th signal date, equal weights, smoothed where a dead zone is given."""
+    """Tradable signals, every rebalance_days-th signal date, equal weights, smoothed where a dead zone is given; runs (run_id) each on its own."""
     signals = cleaning.enforce_t1(cleaning.filter_tradable(data, signals))
     if rebalance_days is not None:
-        days = signals.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1).filter(F.col("i") % rebalance_days == 0)
-        signals = signals.join(F.broadcast(days.select("date")), "date", "left_semi")
+        run = cleaning.run_keys(signals)
+        by = Window.partitionBy(*run).orderBy("date") if run else Window.orderBy("date")  # one row a date
+        days = signals.select(*run, "date").distinct().withColumn("i", F.row_number().over(by) - 1).filter(F.col("i") % rebalance_days == 0)
+        signals = signals.join(F.broadcast(days.select(*run, "date")), [*run, "date"], "left_semi")
     out = portfolio.equal_weight(signals, data, capital, exposure)
     return portfolio.smooth_positions(out, data, capital, dead_zone, before, exposure=exposure) if dead_zone > 0 else out
 
 
-def run_pipeline(data: DataFrame, runs: dict[str, DataFrame], engine: Engine | dict[str, Engine] = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, **build) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(trades, equity, metrics) of named signal tables, all in one plan: positions, caps, engine."""
-    engines = engine if isinstance(engine, dict) else {name: engine for name in runs}
+def run_pipeline(data: DataFrame, runs: dict[str, DataFrame] | DataFrame, engine: Engine | dict[str, Engine] = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, **build) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trades, equity, metrics) of named signal tables (or one with run_id), all in one plan: positions, caps, engine.
+
+    Runs of equal capital are built side by side, so that a step is one exchange however many runs there are.
+    """
+    if isinstance(runs, dict):
+        names = list(runs)
+        signals = {name: s.withColumn("run_id", F.lit(name)) for name, s in runs.items()}
+    else:
+        names = [r["run_id"] for r in runs.select("run_id").distinct().orderBy("run_id").collect()]  # a handful of runs
+        signals = {name: runs.filter(F.col("run_id") == name) for name in names}
+    engines = engine if isinstance(engine, dict) else {name: engine for name in names}
     parts = []
-    for name, signals in runs.items():
-        p = build_positions(data, signals, engines[name].capital, **build)
+    for capital in dict.fromkeys(engines[n].capital for n in names):
+        mine = [n for n in names if engines[n].capital == capital]
+        alike = runs if len(mine) == len(names) and not isinstance(runs, dict) else reduce(DataFrame.unionByName, (signals[n] for n in mine))
+        p = build_positions(data, alike, capital, **build)
         if industries is not None and industry_cap is not None:
             p = portfolio.apply_industry_cap(p, industries, industry_cap)
         if max_weight is not None:
             p = portfolio.apply_position_limit(p, max_weight)
-        parts.append(p.withColumn("run_id", F.lit(name)))
+        parts.append(p)
     played = played_runs(reduce(DataFrame.unionByName, parts), data, engines, data)
-    return *exploded(played), played_metrics(played, next(iter(engines.values())).capital)
+    return *exploded(played), played_metrics(played, engines[names[0]].capital)
 
 
 def add_months(d: Day, n: int) -> Day:

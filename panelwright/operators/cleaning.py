@@ -56,6 +56,11 @@ def _flag(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(False))
 
 
+def run_keys(df: DataFrame) -> list[str]:
+    """run_id where a table holds several runs side by side."""
+    return ["run_id"] if "run_id" in df.columns else []
+
+
 def filter_tradable(market: DataFrame, signals: DataFrame) -> DataFrame:
     """Buys at the upper limit or in suspension and sells at the lower limit or in suspension become signal 0 with confidence 0."""
     flags = [c for c in ("limit_up", "limit_down", "is_suspended") if c in market.columns]
@@ -68,8 +73,8 @@ def filter_tradable(market: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def enforce_t1(signals: DataFrame) -> DataFrame:
-    """Of several signals for a code on a day only buys stay."""
-    many = F.count("*").over(Window.partitionBy("date", "code")) > 1
+    """Of several signals for a code on a day (and of a run, where signals have run_id) only buys stay."""
+    many = F.count("*").over(Window.partitionBy(*run_keys(signals), "date", "code")) > 1
     marked = signals.withColumn("__many", many & (F.col("signal") != 1))
     return marked.withColumns({"signal": F.when(F.col("__many"), 0).otherwise(F.col("signal")), "confidence": F.when(F.col("__many"), 0.0).otherwise(F.col("confidence"))}).drop("__many")
 

@@ -40,7 +40,10 @@ def run_states(ts: list, active: float = 2.0, decay: float = 1.0, min_sustain: i
 
 
 def state_machine(rolled: DataFrame, active: float = 2.0, decay: float = 1.0, min_sustain: int = 20) -> DataFrame:
-    """date, factor, fwd_window, ic, rolling_ic, rolling_ir, t_stat, state, sustain_days.  One group per factor and window."""
+    """date, factor, fwd_window, ic, rolling_ic, rolling_ir, t_stat, state, sustain_days, old_state (null but where the state changes).
+
+    One group per factor and window.
+    """
     import pandas as pd
 
     cols = ["date", *KEYS, "ic", "rolling_ic", "rolling_ir", "t_stat"]
@@ -48,20 +51,32 @@ def state_machine(rolled: DataFrame, active: float = 2.0, decay: float = 1.0, mi
     def run(pdf):
         pdf = pdf.sort_values("date")
         states = run_states([None if pd.isna(t) else t for t in pdf["t_stat"]], active, decay, min_sustain)
-        days, n = [], 0
-        for k, s in enumerate(states):
-            n = n + 1 if k and states[k - 1] == s else 1
-            days.append(n)
-        return pdf[cols].assign(state=states, sustain_days=days)
+        days, olds = [], []
+        for now, old in zip(states, [None, *states]):
+            days.append(days[-1] + 1 if now == old else 1)
+            olds.append(None if old is None or now == old else old)
+        return pdf[cols].assign(state=states, sustain_days=days, old_state=olds)
 
     kinds = dict(rolled.dtypes)
-    return rolled.select(*cols).groupBy(*KEYS).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", state string, sustain_days long")
+    return rolled.select(*cols).groupBy(*KEYS).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", state string, sustain_days long, old_state string")
+
+
+def diff_states(states: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """date, factor, fwd_window, old_state, new_state: where the state changes from one day to the next - or, given the old table, where
+    a row's state is another than the old table's row of the same key has.
+    """
+    if old is None:
+        changed = states.filter("old_state is not null")
+    else:
+        before = old.select("date", *KEYS, F.col("state").alias("__old"))
+        changed = states.join(before, ["date", *KEYS]).filter("__old <> state").withColumn("old_state", F.col("__old"))
+    return changed.select("date", *KEYS, "old_state", F.col("state").alias("new_state"))
 
 
-def diff_states(states: DataFrame) -> DataFrame:
-    """date, factor, fwd_window, old_state, new_state where the state changes."""
-    old = F.lag("state").over(Window.partitionBy(*KEYS).orderBy("date"))
-    return states.withColumn("old_state", old).filter("old_state <> state").select("date", *KEYS, "old_state", F.col("state").alias("new_state"))
+def render_changes(changes: DataFrame) -> str:
+    """One line a change, by date; the changes of a monitor run are few."""
+    rows = changes.orderBy("date", *KEYS).collect()
+    return "\n".join([f"{len(rows)} changes of state" if rows else "no change of state", *(f"{r['date']}  {r['factor']}  fwd={r['fwd_window']}  {r['old_state']} -> {r['new_state']}" for r in rows)])
 
 
 def usable_factors(df: DataFrame, names: list[str] | None = None) -> list[str]:
@@ -70,14 +85,54 @@ def usable_factors(df: DataFrame, names: list[str] | None = None) -> list[str]:
     return [n for n in names if set(get_spec(n).needs) <= set(df.columns)]
 
 
-def monitor(data: DataFrame, names: list[str] | None = None, windows=(5,), window: int = 60, min_periods: int = 20, since=None, **states) -> DataFrame:
-    """States of all factors.  Factor values always come from the whole history; since restricts the dates that are given back."""
+def skipped_factors(df: DataFrame, names: list[str]) -> list[str]:
+    """Factors that df lacks inputs for, with what is missing."""
+    return [f"{n} (missing: {', '.join(sorted(set(get_spec(n).needs) - set(df.columns)))})" for n in names if not set(get_spec(n).needs) <= set(df.columns)]
+
+
+def rolled_ics(data: DataFrame, names: list[str], windows=(5,), window: int = 60, min_periods: int = 20, min_obs: int = 5, exclude_untradable: bool = True) -> DataFrame:
+    made = evaluation.forward_returns(with_factors(data, names), windows, exclude_untradable)
+    return evaluation.rolling_ic(evaluation.ic(made, names, windows, min_obs=min_obs), window, min_periods)
+
+
+def monitor(data: DataFrame, names: list[str] | None = None, windows=(5,), window: int = 60, min_periods: int = 20, since=None, min_obs: int = 5, exclude_untradable: bool = True, **states) -> DataFrame:
+    """States of all factors that data has the inputs of.  Days on which a code cannot be traded (flags in data) do not count unless
+    exclude_untradable is off.  Everything comes from the whole history; since restricts the dates that are given back.
+    """
     names = usable_factors(data, names)
-    made = evaluation.forward_returns(with_factors(data, names), windows)
-    out = state_machine(evaluation.rolling_ic(evaluation.ic(made, names, windows), window, min_periods), **states)
+    out = state_machine(rolled_ics(data, names, windows, window, min_periods, min_obs, exclude_untradable), **states)
     return out if since is None else out.filter(F.col("date") >= F.lit(since))
 
 
+#: Rows of history that the longest factor looks back on.
+LOOKBACK = 60
+
+
+def update_monitor(data: DataFrame, old: DataFrame | None, names: list[str] | None = None, windows=(5,), window: int = 60, min_periods: int = 20, min_obs: int = 5, exclude_untradable: bool = True, **states) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(new rows, changes against the old table, factors left out).  Only the tail of data is read again.
+
+    The tail starts a window, two lookbacks and the longest forward window before the old table's last date; its values are adopted from
+    a lookback and a forward window before that date on, where all of them are settled.  The state machine runs over the old
+    statistics before that date and the new ones after it, so that it remembers what a full run would.
+    """
+    every = names or [n for n in list_factors(kind="single") if get_spec(n).alias_of is None]
+    usable = usable_factors(data, every)
+    last = None if old is None else old.agg(F.max("date")).first()[0]
+    days = [] if last is None else sorted(r["date"] for r in data.select("date").distinct().collect())  # one row a date
+    at = days.index(last) if last in days else -1
+    cut = at - (window + 2 * LOOKBACK + max(windows))
+    if cut <= 0:
+        new = monitor(data, usable, windows, window, min_periods, None, min_obs, exclude_untradable, **states)
+    else:
+        adopt = F.lit(days[at - (LOOKBACK + max(windows))])
+        rolled = rolled_ics(data.filter(F.col("date") >= F.lit(days[cut])), usable, windows, window, min_periods, min_obs, exclude_untradable)
+        cols = ["date", *KEYS, "ic", "rolling_ic", "rolling_ir", "t_stat"]
+        whole = rolled.filter(F.col("date") >= adopt).select(*cols).unionByName(old.filter((F.col("date") < adopt) & F.col("factor").isin(usable)).select(*cols))
+        new = state_machine(whole, **states).filter(F.col("date") >= adopt)
+    changes = diff_states(new) if old is None else diff_states(new, old)
+    return new, changes.limit(0) if old is None else changes, skipped_factors(data, every)
+
+
 def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old rows but those that new ones replace, and the new ones."""
     return old.join(new.select("date", *KEYS), ["date", *KEYS], "left_anti").unionByName(new)
@@ -85,9 +140,9 @@ def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def status_table(states: DataFrame) -> DataFrame:
     """Latest state of each factor with the date of its last change."""
-    last = states.groupBy(*KEYS).agg(F.max_by(F.struct("date", "state", "t_stat", "sustain_days"), "date").alias("l"))
-    changed = diff_states(states).groupBy(*KEYS).agg(F.max("date").alias("last_change"))
-    return last.select(*KEYS, "l.*").join(changed, KEYS, "left")
+    changed = F.max(F.when(F.col("old_state").isNotNull(), F.col("date"))).alias("last_change")
+    last = states.groupBy(*KEYS).agg(F.max_by(F.struct("date", "state", "t_stat", "sustain_days"), "date").alias("l"), changed)
+    return last.select(*KEYS, "l.*", "last_change")
 
 
 def phase_a(data: DataFrame, states: DataFrame, window: int = 60, threshold: float = 0.7, linkage: str = "ward", by: str = "t_stat", fwd_window: int = 5) -> DataFrame:
@@ -152,43 +207,106 @@ def bootstrap_null(ics: DataFrame, by: list[str], n_iters: int = 200, window: in
     return ics.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", null_q double")
 
 
-def phase_b(ics: DataFrame, windows: list, top_k: int = 5, t_window: int = 60, n_iters: int = 200, fwd_window: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(periods, summary): per month window the factors that pass their own null at the train end, and whether the test month agrees in sign.
+def representatives(rows: list[tuple], ids: dict[str, int], by: str = "t_stat") -> set[str]:
+    """The best factor of each cluster by global rank of |t|, |ir| or the mean of both (missing last, ties by name).  rows: factor, t, ir."""
+    def ranks(k):
+        size = {r[0]: -1.0 if r[k] is None or r[k] != r[k] else abs(r[k]) for r in rows}
+        return {f: 1 + sum(o > v for o in size.values()) for f, v in size.items()}
 
-    All windows are one plan: each IC row goes to the windows that hold it.
+    t, ir = ranks(1), ranks(2)
+    score = {"t_stat": t, "ir": ir, "combined": {f: (t[f] + ir[f]) / 2 for f in t}}[by]
+    return {min((f for f in ids if ids[f] == c), key=lambda f: (score[f], f)) for c in set(ids.values())}
+
+
+def phase_b(data: DataFrame, states: DataFrame, windows: list, top_k: int = 5, t_window: int = 60, n_iters: int = 200, fwd_window: int = 5, corr_window: int = 60, threshold: float = 0.7, linkage: str = "ward", by: str = "t_stat", exclude_untradable: bool = True, min_obs: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(periods, summary) of out-of-sample validation, all windows in one plan.
+
+    At the end of each training window: the factors in state active or decaying; one of each cluster of alike ones (correlations of
+    the last corr_window training days); those whose t passes 1 and the null quantile of their own training ICs; the
+    top_k by |t|.  A pick wins if its IC within the test window alone has t beyond 2 in the direction of training.
     """
-    spark = ics.sparkSession
+    import pandas as pd
+
+    spark = data.sparkSession
     w = F.broadcast(spark.createDataFrame([(k, *x) for k, x in enumerate(windows)], "period int, tr0 date, tr1 date, te0 date, te1 date"))
-    mine = ics.filter((F.col("fwd_window") == fwd_window) & F.col("ic").isNotNull()).select("date", "factor", "ic")
-    train = mine.join(w, F.col("date").between(F.col("tr0"), F.col("tr1")))
-    recent = train.withColumn("k", F.row_number().over(Window.partitionBy("period", "factor").orderBy(F.col("date").desc()))).filter(F.col("k") <= t_window)
-    t = recent.groupBy("period", "factor").agg(F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s"), F.count("*").alias("n"))
-    t = t.select("period", "factor", (F.col("m") / F.nullif("s", F.lit(0.0)) * F.sqrt("n")).alias("train_t"))
-    chosen = t.join(bootstrap_null(train, ["period", "factor"], n_iters, t_window), ["period", "factor"]).filter(F.abs("train_t") > F.greatest(F.lit(1.0), F.col("null_q")))
+    days = data.select("date").distinct()
+    if not windows or days.join(w.filter("period = 0"), F.col("date").between(F.col("te0"), F.col("te1"))).count() <= fwd_window + 5:
+        raise ValueError("the data hold no test window, or one too short for the forward window")
+    mine = states.filter(F.col("fwd_window") == fwd_window)
+    ends = days.join(w, F.col("date").between(F.col("tr0"), F.col("tr1"))).groupBy("period").agg(F.max("date").alias("date"))
+    open_ = mine.join(F.broadcast(ends), "date").filter(F.col("state").isin("active", "decaying")).select("period", "factor", F.col("t_stat").alias("train_t"), F.col("rolling_ir").alias("ir"))
+    names = sorted(r["factor"] for r in mine.select("factor").distinct().collect())  # the registry's at most
+    made = evaluation.forward_returns(with_factors(data, names), (fwd_window,), exclude_untradable).withColumn("__end", F.lead("date", fwd_window).over(evaluation.by_code()))
+    recent = days.join(w, F.col("date") <= F.col("tr1")).withColumn("k", F.row_number().over(Window.partitionBy("period").orderBy(F.col("date").desc()))).filter(F.col("k") <= corr_window).select("period", "date")
+    daily = evaluation.daily_correlations(made.select("date", "code", *names).join(F.broadcast(recent), "date"), names, min_obs, by=("period",))
+    alike = daily.groupBy("period", "factor_a", "factor_b").agg(F.avg("c").alias("corr"))
+
+    def cluster(left, right):
+        rows = [(f, t, i) for f, t, i in zip(left["factor"], left["train_t"], left["ir"])]
+        found = {(a, b): c for a, b, c in zip(right["factor_a"], right["factor_b"], right["corr"])} if len(right) else {}
+        ids = evaluation.cluster_redundant(sorted(r[0] for r in rows), found, threshold, linkage) if rows else {}
+        best = representatives(rows, ids, by)
+        return pd.DataFrame([(left["period"].iloc[0], f, ids[f], t) for f, t, _ in rows if f in best], columns=["period", "factor", "cluster", "train_t"])
+
+    reps = open_.groupBy("period").cogroup(alike.groupBy("period")).applyInPandas(cluster, "period int, factor string, cluster int, train_t double")
+    train = mine.filter("ic is not null").select("date", "factor", "ic").join(w, F.col("date").between(F.col("tr0"), F.col("tr1")))
+    passed = reps.join(bootstrap_null(train, ["period", "factor"], n_iters, t_window), ["period", "factor"]).filter(F.abs("train_t") > F.greatest(F.lit(1.0), F.col("null_q")))
     best = F.row_number().over(Window.partitionBy("period").orderBy(F.abs("train_t").desc(), "factor"))
-    chosen = chosen.withColumn("rank", best).filter(F.col("rank") <= top_k)
-    test = mine.join(w, F.col("date").between(F.col("te0"), F.col("te1")))
-    stats = test_stats(test, by=("period", "factor"))
-    periods = chosen.join(stats, ["period", "factor"], "left").withColumn("win", F.coalesce(F.signum("ic_mean") == F.signum("train_t"), F.lit(False)))
-    summary = periods.agg(F.count("*").alias("picks"), F.count_if("win").alias("wins"), F.avg(F.col("win").cast("double")).alias("win_rate"), F.avg("null_q").alias("null_mean"))
-    return periods, summary
+    chosen = passed.withColumn("rank", best).filter(F.col("rank") <= top_k)
+    # forward returns that end inside the test window
+    test = made.join(w.select("period", "te0", "te1"), F.col("date").between(F.col("te0"), F.col("te1")) & (F.col("__end") <= F.col("te1")))
+    stats = test_stats(evaluation.ic(test, names, (fwd_window,), by=("period",)), by=("period", "factor"))
+    win = ((F.col("train_t") > 0) & (F.col("ic_t") > 2)) | ((F.col("train_t") < 0) & (F.col("ic_t") < -2))
+    periods = chosen.join(stats, ["period", "factor"], "left").withColumns({"win": F.coalesce(win, F.lit(False)), "sig": F.coalesce("sig", F.lit(False))})
+    return periods, oos_summary(periods, len(windows))
+
+
+def oos_summary(periods: DataFrame, total: int) -> DataFrame:
+    return periods.agg(F.lit(total).alias("periods_total"), F.countDistinct("period").alias("periods_with_selection"), F.count("*").alias("picks"), F.count_if("win").alias("wins"), F.avg(F.col("win").cast("double")).alias("win_rate"), F.avg(F.col("sig").cast("double")).alias("sig_rate"), F.avg("null_q").alias("null_mean"))
+
+
+def synth_weights(states: DataFrame, names: list[str], as_of, weighting: str = "equal", fwd_window: int = 5, lookback: int = 60) -> dict[str, float]:
+    """Weights of a composite: 1 each, or by mean recent IC (a negative one turns the rank round)."""
+    if weighting == "equal":
+        return {n: 1.0 for n in names}
+    if weighting != "ic_weighted":
+        raise ValueError(f"unknown weighting {weighting!r}")
+    ics = states.filter((F.col("fwd_window") == fwd_window) & F.col("factor").isin(names)).select("date", "factor", "ic")
+    return {r["factor"]: r["weight"] for r in evaluation.ic_weights(ics, as_of, lookback).orderBy("factor").collect()}  # one row a factor
+
+
+def phase_c_summary(compare: DataFrame) -> DataFrame:
+    """best_single, its and the composite's Sharpe ratio, and whether the composite beats it.  compare: run_id and metrics."""
+    single = compare.filter("run_id <> 'composite'").agg(F.max_by("run_id", F.struct("sharpe_ratio", "run_id")).alias("best_single"), F.max("sharpe_ratio").alias("best_single_sharpe"))
+    both = single.crossJoin(compare.filter("run_id = 'composite'").select(F.col("sharpe_ratio").alias("synth_sharpe")))  # one row each
+    return both.withColumn("synth_beats_best_single", F.col("synth_sharpe") > F.col("best_single_sharpe"))
+
+
+def compare_backtests(data: DataFrame, signals: dict[str, DataFrame], engine=None, max_weight: float | None = 0.3, dead_zone: float = 0.015) -> tuple[DataFrame, DataFrame]:
+    """(metrics by run_id, equity curves by run_id) of several signal tables."""
+    _, equity, figures = backtest.run_pipeline(data, signals, engine or backtest.Engine(), max_weight=max_weight, dead_zone=dead_zone)
+    return figures, equity
 
 
 def phase_c(data: DataFrame, weights: dict[str, float], rebalance: int = 20, top_n: int = 10, bottom_n: int = 5, engine=None, **build) -> DataFrame:
-    """Metrics of the composite of factors and of each alone, as runs of one plan."""
-    made = with_factors(data, list(weights))
-    runs = {"composite": strategies.composite_signals(made, weights, rebalance=rebalance, top_n=top_n, bottom_n=bottom_n)}
-    runs |= {f: strategies.composite_signals(made, {f: w}, rebalance=rebalance, top_n=top_n, bottom_n=bottom_n) for f, w in weights.items()}
-    return backtest.run_pipeline(data, runs, engine or backtest.Engine(), **build)[2]
+    """Metrics of the composite of factors and of each alone, as runs of one plan; weights as from ``synth_weights``."""
+    runs = {"composite": weights, **{f: {f: w} for f, w in weights.items()}}
+    signals = strategies.composite_runs(with_factors(data, list(weights)), runs, rebalance, top_n, bottom_n)
+    engines = {r: engine or backtest.Engine() for r in runs}
+    played = backtest.played_runs(backtest.build_positions(data, signals, engines["composite"].capital, **build), data, engines, data)
+    return backtest.played_metrics(played, engines["composite"].capital)
 
 
-def mining_screen(data: DataFrame, names: list[str], windows=(5,), t_active: float = 2.0, layer_t: float = 2.81, min_days: int = 20) -> DataFrame:
-    """factor, fwd_window, all_t, domain (universal, the layers beyond layer_t, or none) and sign."""
-    made = evaluation.size_liquidity_layers(evaluation.forward_returns(with_factors(data, names), windows))
-    t = evaluation.ic_by_layer(made, names, windows, min_days=min_days)
-    strong = F.when((F.col("layer") != "all") & (F.abs("t_stat") >= layer_t), F.col("layer"))
-    s = t.groupBy(*KEYS).agg(F.max(F.when(F.col("layer") == "all", F.col("t_stat"))).alias("all_t"), F.array_join(F.sort_array(F.collect_set(strong)), ",").alias("cells"))
-    domain = F.when(F.abs("all_t") >= t_active, "universal").when(F.col("cells") != "", F.col("cells")).otherwise("none")
-    return s.withColumn("domain", domain).select(*KEYS, "all_t", "domain", F.when(F.col("domain") == "none", 0).when(F.col("all_t") > 0, 1).otherwise(-1).alias("sign"))
+#: Layers of the screen: all codes, and each cell of size and liquidity.
+LAYERS = ("all", *(f"{s}_{l}" for s in ("small", "mid", "large") for l in ("low", "mid", "high")))
 
 
+def mining_screen(data: DataFrame, names: list[str], windows=(5,), t_active: float = 2.0, layer_t: float = 2.81, min_days: int = 10, min_obs: int = 5) -> DataFrame:
+    """factor, fwd_window, mean_ic, t_stat and n_days of all codes and of each layer, domain (universal, the layers beyond layer_t, or none) and sign."""
+    made = evaluation.size_liquidity_layers(evaluation.forward_returns(with_factors(data, names), windows))
+    t = evaluation.ic_by_layer(made, names, windows, min_obs, min_days)
+    values = ("mean_ic", "t_stat", "n_days")
+    wide = t.groupBy(*KEYS).agg(*[F.max(F.when(F.col("layer") == layer, F.col(v))).alias(f"{layer}_{v}") for layer in LAYERS for v in values])
+    strong = F.array_compact(F.array(*[F.when(F.abs(f"{layer}_t_stat") >= layer_t, F.lit(layer)) for layer in LAYERS[1:]]))
+    domain = F.when(F.abs("all_t_stat") >= t_active, "universal").when(F.size(strong) > 0, F.array_join(F.sort_array(strong), ",")).otherwise("none")
+    return wide.withColumn("domain", domain).withColumn("sign", F.when(F.col("domain") == "none", 0).when(F.col("all_t_stat") > 0, 1).otherwise(-1))

@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import chain, groupby, repeat
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
+from .cleaning import run_keys
 from .evaluation import combine_factor_scores
 from .factors import with_factors
 from .timeseries import by_code, change, rank_pct, rolling_mean, rolling_std, rows
@@ -45,29 +47,31 @@ def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n:
 
     Unscored codes rank last (or not at all with drop_unscored); ties go by code.  A code held in the period before and not bought again is
     sold on the rebalance date with sell_exited.  Confidence is the score (or one less it when ascending) for buys, 0.5 for sells.
+    Runs side by side (run_id) are ranked each on its own, on the same dates.
     """
+    run = run_keys(df)
     if top_n <= 0 and bottom_n <= 0:
         raise ValueError("top_n or bottom_n must be positive")
     dates = date_index(df).withColumn("period", F.when(F.col("i") >= min_window, F.floor((F.col("i") - min_window) / rebalance)))
     dates = F.broadcast(dates.withColumn("start", (F.col("i") - min_window) % rebalance == 0))
-    day = df.select("date", "code", score).join(dates.filter("period is not null and start"), "date")
+    day = df.select(*run, "date", "code", score).join(dates.filter("period is not null and start"), "date")
     if drop_unscored:
         day = day.filter(F.col(score).isNotNull())
-    by = Window.partitionBy("period")
+    by = Window.partitionBy(*run, "period")
     first = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
     day = day.withColumns({"rn": F.row_number().over(by.orderBy(first, "code")), "n": F.count("*").over(by)}).filter(F.col("n") >= min_rows)
     bought = F.col("rn") <= top_n
     picked = day.filter(bought | (F.col("rn") > F.col("n") - bottom_n))
     worth = F.coalesce(1 - F.col(score) if ascending else F.col(score), F.lit(0.5))
-    picked = picked.select("period", "code", F.when(bought, 1).otherwise(-1).alias("s"), F.when(bought, worth).otherwise(0.5).alias("c"))
-    out = df.select("date", "code").join(dates, "date").join(picked, ["period", "code"], "left")
+    picked = picked.select(*run, "period", "code", F.when(bought, 1).otherwise(-1).alias("s"), F.when(bought, worth).otherwise(0.5).alias("c"))
+    out = df.select(*run, "date", "code").join(dates, "date").join(picked, [*run, "period", "code"], "left")
     signal, confidence = F.coalesce("s", F.lit(0)), F.coalesce("c", F.lit(0.0))
     if sell_exited:
-        held = picked.filter("s = 1").select((F.col("period") + 1).alias("period"), "code", F.lit(True).alias("held"))
-        out = out.join(held, ["period", "code"], "left")
+        held = picked.filter("s = 1").select(*run, (F.col("period") + 1).alias("period"), "code", F.lit(True).alias("held"))
+        out = out.join(held, [*run, "period", "code"], "left")
         gone = F.col("start") & F.coalesce("held", F.lit(False)) & (signal != 1)
         signal, confidence = F.when(gone, -1).otherwise(signal), F.when(gone, 0.5).otherwise(confidence)
-    return out.select("date", "code", signal.cast("int").alias("signal"), confidence.alias("confidence"))
+    return out.select(*run, "date", "code", signal.cast("int").alias("signal"), confidence.alias("confidence"))
 
 
 def weighted_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -142,6 +146,17 @@ def composite_signals(df: DataFrame, weights: dict[str, float], **params) -> Dat
     return scores_to_signals(combine_factor_scores(df, weights), "score", **params)
 
 
+def composite_runs(df: DataFrame, runs: dict[str, dict[str, float]], rebalance=20, top_n=10, bottom_n=5) -> DataFrame:
+    """Signals of several composites (run_id: weights) side by side: factors are ranked once, and one plan holds all runs."""
+    out, scores = df, []
+    for k, weights in enumerate(runs.values()):
+        out = combine_factor_scores(out, weights, f"__s{k}")
+        scores.append(f"__s{k}")
+    each = F.array(*[F.struct(F.lit(r).alias("run_id"), F.col(c).alias("score")) for r, c in zip(runs, scores)])
+    long = out.select("date", "code", F.explode(each).alias("x")).select("x.run_id", "date", "code", "x.score")
+    return scores_to_signals(long, "score", rebalance, top_n, bottom_n)
+
+
 def _threshold(df: DataFrame, buy, sell, confidence, valid=None) -> DataFrame:
     """1, -1 or 0 by two conditions, sells before buys, where valid; confidence is clipped at 1 and missing counts as 0."""
     ok = F.lit(True) if valid is None else valid
@@ -298,22 +313,25 @@ def regime_inputs(data: DataFrame, trend_window: int = 20) -> DataFrame:
 
 
 def merge_short_runs(labels: list, least: int) -> list:
-    """Runs under least days join a neighbour, from left to right."""
-    runs: list[list] = []
-    for x in labels:
-        if runs and runs[-1][0] == x:
-            runs[-1][1] += 1
-        else:
-            runs.append([x, 1])
-    out: list[list] = []
-    for label, n in runs:
-        if out and out[-1][1] < least and out[-1][0] != label:
-            out[-1] = [label, out[-1][1] + n]
-        elif out and n < least:
-            out[-1][1] += n
+    """Runs of fewer than least days give way to a neighbour.
+
+    The days are read from left to right into islands.  An island that is still short when another label begins takes that label's
+    run in and its name; a run that comes to an island long enough, but is short itself, is taken in under the island's name.
+    """
+    def islands():
+        for label, days in groupby(labels):
+            yield label, len(list(days))
+
+    done: list[tuple] = []
+    for label, n in islands():
+        name, size = done[-1] if done else (None, 0)
+        if done and size < least and name != label:
+            done[-1] = (label, size + n)
+        elif done and n < least:
+            done[-1] = (name, size + n)
         else:
-            out.append([label, n])
-    return [label for label, n in out for _ in range(n)]
+            done.append((label, n))
+    return list(chain.from_iterable(repeat(label, n) for label, n in done))
 
 
 def confirm(labels: list, lag: int) -> list:

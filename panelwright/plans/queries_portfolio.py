@@ -555,9 +555,10 @@ def phase_a(spark, sf_dir):
 @query("phase_b")
 def phase_b(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
-    ics = evaluation.ic(evaluation.forward_returns(factors.with_factors(p, FACTORS), (5,)), FACTORS)
-    windows = lifecycle.oos_windows(datetime.date(1996, 1, 1), datetime.date(2001, 12, 31), 24, 3)
-    return lifecycle.phase_b(ics, windows, t_window=40)[0]
+    first, last = p.agg(F.min("date"), F.max("date")).first()
+    names = ["calc_momentum_5d_change", "calc_momentum_6d_return", "calc_momentum_20d_return", "calc_ma_slope_20d", "calc_volume_ratio", "calc_rsi"]
+    windows = lifecycle.oos_windows(first, last, 24, 3)
+    return lifecycle.phase_b(p, lifecycle.monitor(p, names, min_sustain=5), windows, t_window=40, min_obs=5)[0]
 
 
 @query("phase_c")

@@ -165,6 +165,16 @@ def save_state(states: DataFrame, root: str) -> str:
     return path
 
 
+def save_changes(changes: DataFrame, root: str) -> None:
+    """Adds changes to the log; what is there stays."""
+    changes.write.mode("append").parquet(f"{root}/changes")
+
+
+def load_changes(spark: SparkSession, root: str) -> DataFrame | None:
+    fs, path = _folder(spark, f"{root}/changes")
+    return spark.read.parquet(f"{root}/changes") if fs.exists(path) else None
+
+
 def load_state(spark: SparkSession, root: str) -> DataFrame | None:
     fs, pointer = _folder(spark, f"{root}/current")
     if not fs.exists(pointer):
