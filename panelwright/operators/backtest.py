@@ -380,7 +380,7 @@ def walk_periods(data: DataFrame, targets: DataFrame, windows: list, engine: Eng
         names = ("period", "date", "equity", "cash", "position_value", "returns"), ("period", *FIGURES)
         return pd.DataFrame({"equity": [[dict(zip(names[0], r)) for r in curve]], "figures": [[dict(zip(names[1], r)) for r in figures]]})
 
-    made = rows.groupBy(F.lit(1)).applyInPandas(run, "equity array<struct<period:int,date:date,equity:double,cash:double,position_value:double,returns:double>>, figures array<struct<period:int,total_return:double,annual_return:double,sharpe_ratio:double,max_drawdown:double,win_rate:double,trade_count:bigint,total_cost:double,cost_ratio:double>>")
+    made = rows.groupBy(F.lit(1).alias("walk")).applyInPandas(run, "equity array<struct<period:int,date:date,equity:double,cash:double,position_value:double,returns:double>>, figures array<struct<period:int,total_return:double,annual_return:double,sharpe_ratio:double,max_drawdown:double,win_rate:double,trade_count:bigint,total_cost:double,cost_ratio:double>>")
     return made.select(F.explode("equity").alias("e")).select("e.*"), made.select(F.explode("figures").alias("f")).select("f.*")
 
 

@@ -34,6 +34,21 @@ _simple("op_rolling_sum", _col(lambda: ts.rolling_sum("volume", 10)), sql.roll("
 _simple("op_ts_max", _col(lambda: ts.ts_max("high", 10)), sql.roll("max", "high", 10))
 _simple("op_ts_min", _col(lambda: ts.ts_min("low", 10)), sql.roll("min", "low", 10))
 _simple("op_sma", _col(lambda: ts.ewm("close", 12, 2)), sql.ewm("close", 12, 2))
+
+
+def _long_ewm(name: str, n: int, m: int) -> None:
+    """The exponential mean on daily bars by return flag, some 2,500 rows a code, by its recursion."""
+    keep = repr(1 - m / n)
+    ctes = f"d AS MATERIALIZED (SELECT *, row_number() OVER ({sql.BC}) AS i FROM ({sql.bars('l_returnflag').replace(chr(39) + 'week' + chr(39), chr(39) + 'day' + chr(39))})), e AS (SELECT code, i, close AS a, 1.0::DOUBLE AS b FROM d WHERE i = 1 UNION ALL SELECT d.code, d.i, d.close + a * {keep}, 1 + b * {keep} FROM e JOIN d ON d.code = e.code AND d.i = e.i + 1)"
+
+    @query(name, f"WITH RECURSIVE {ctes} SELECT date, code, {sql.rounded(f'CASE WHEN i >= {n} THEN a / b END', 6, 'value')} FROM d JOIN e USING (code, i)")
+    def run(spark, sf_dir):
+        made = ts.ewm_position(panels.daily_bars(spark, sf_dir)).withColumn("value", ts.ewm("close", n, m))
+        return made.select("date", "code", rounded("value", 6).alias("value"))
+
+
+_long_ewm("op_sma_slow", 250, 1)
+_long_ewm("op_sma_fast", 3, 2)
 _simple("op_corr", _col(lambda: ts.corr("close", "volume", 10)), sql.cor("close", "volume", 10))
 _simple("op_rolling_cov", _col(lambda: ts.rolling_cov("close", "volume", 10)), sql.cov("close", "volume", 10), 3)
 _simple("op_rank", _col(lambda: ts.rank_pct("close")), sql.prank("close"))
@@ -44,7 +59,20 @@ _simple("op_streak", lambda df: ts.streak(df, F.col("close") > F.col("open"), "v
 _simple("op_div0", _col(lambda: div0(F.col("close") - F.col("open"), F.col("high") - F.col("low"))), sql.div0("close - open", "high - low"))
 
 
-@query("factor_table", None)
+def _table_sql() -> str:
+    """All factors side by side, from the panel with company figures and money flow."""
+    ctes, names = [f"{sql.FIGURES}, {sql.FLOWS}, wf AS MATERIALIZED (SELECT * FROM f JOIN w USING (date, code))"], list(sql.FACTORS)
+    for k, n in enumerate(names):
+        stages, final, digits, *_ = sql.FACTORS[n]
+        last = "wf"
+        for j, cols in enumerate([{"t": f"row_number() OVER ({sql.BC}) - 1"}, *stages]):
+            ctes.append(f"x{k}_{j} AS (SELECT *, {', '.join(f'{v} AS {c}' for c, v in cols.items())} FROM {last})")
+            last = f"x{k}_{j}"
+        ctes.append(f"v{k} AS (SELECT date, code, {sql.rounded(final, digits, n)} FROM {last})")
+    return f"WITH {', '.join(ctes)} SELECT * FROM v0" + "".join(f" JOIN v{k} USING (date, code)" for k in range(1, len(names)))
+
+
+@query("factor_table", _table_sql())
 def factor_table(spark, sf_dir):
     """All single factors in one plan."""
     names = [n for n in factors.list_factors(kind="single") if factors.get_spec(n).alias_of is None]
@@ -174,6 +202,12 @@ def corr_matrix(spark, sf_dir):
     return evaluation.corr_matrix(factors.with_factors(panels.bars(spark, sf_dir), names), names, min_obs=5).withColumn("corr", rounded("corr", 6))
 
 
+@query("corr_matrix_median", f"""WITH {_CM}, z AS (SELECT date, factor_a, factor_b, {_corr_agg('x', 'y')} AS c FROM m GROUP BY 1, 2, 3 HAVING count(*) >= 5) SELECT factor_a, factor_b, {sql.rounded('quantile_cont(c, 0.5)', 6, 'corr')}, count(c) AS n_dates FROM z GROUP BY 1, 2""")
+def corr_matrix_median(spark, sf_dir):
+    names = ["calc_momentum_20d_return", "calc_momentum_5d_change", "calc_volume_ratio"]
+    return evaluation.corr_matrix(factors.with_factors(panels.bars(spark, sf_dir), names), names, agg="median", min_obs=5, method="pearson").withColumn("corr", rounded("corr", 6))
+
+
 @query("demean_industry", f"WITH {sql.P}, {sql.INDUSTRY}, j AS (SELECT p.*, industry FROM p LEFT JOIN i USING (code)), a AS (SELECT *, count(close) OVER (PARTITION BY date, coalesce(industry, '__unknown__')) AS k FROM j), b AS (SELECT *, CASE WHEN k >= 3 THEN industry ELSE '__unknown__' END AS g FROM a) SELECT date, code, {sql.rounded('close - avg(close) OVER (PARTITION BY date, g)', 6, 'close')} FROM b")
 def demean_industry(spark, sf_dir):
     made = evaluation.neutralize_factors(panels.bars(spark, sf_dir), panels.industries(spark, sf_dir), ["close"])
@@ -204,9 +238,9 @@ def factor_audit(spark, sf_dir):
     return a.select(*[rounded(c, 6).alias(c) for c in ("coverage", "stability", "dispersion")], "active")
 
 
-@query("select_tradable", f"WITH {_AUDIT}, z AS (SELECT date, code, CASE WHEN cov >= 0.5 AND stab >= 0.3 AND disp >= 0.1 THEN 1 ELSE 0 END AS pass_count FROM k2), y AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY pass_count DESC, code) AS rank FROM z WHERE pass_count >= 1) SELECT date, code, pass_count, rank FROM y WHERE n >= 5 AND rank <= 10")
+@query("select_tradable", f"WITH {_AUDIT}, z AS (SELECT date, code, CASE WHEN cov >= 0.5 AND stab >= -0.1 AND disp >= 0.1 THEN 1 ELSE 0 END AS pass_count FROM k2), y AS (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY pass_count DESC, code) AS rank FROM z WHERE pass_count >= 1) SELECT date, code, pass_count, rank FROM y WHERE n >= 5 AND rank <= 10")
 def select_tradable(spark, sf_dir):
-    return evaluation.select_tradable(two_factors(spark, sf_dir), FACTORS[:1], top_n=10, min_coverage=0.5)
+    return evaluation.select_tradable(two_factors(spark, sf_dir), FACTORS[:1], top_n=10, min_coverage=0.5, min_stability=-0.1)
 
 
 @query("industry_momentum", f"WITH {sql.P}, {sql.INDUSTRY}, a AS (SELECT p.*, industry, close / {sql.lag('close', 1)} - 1 AS ret FROM p JOIN i USING (code)), b AS (SELECT *, {sql.roll('avg', 'ret', 20)} AS m FROM a) SELECT date, industry, {sql.rounded('avg(m)', 6, 'momentum')} FROM b GROUP BY 1, 2")
@@ -217,7 +251,7 @@ def industry_momentum(spark, sf_dir):
 
 # cleaning
 
-_LIMITS = f"{sql.P}, a AS (SELECT *, {sql.lag('close', 1)} AS b FROM p), lim AS (SELECT *, coalesce(b IS NOT NULL AND close >= round_even(b * 1.1 * 100, 0) / 100 - 0.001, false) AS limit_up, coalesce(b IS NOT NULL AND close <= round_even(b * 0.9 * 100, 0) / 100 + 0.001, false) AS limit_down FROM a)"
+_LIMITS = f"{sql.P}, a AS (SELECT *, {sql.lag('close', 1)} AS b FROM p), lim AS (SELECT *, coalesce(b IS NOT NULL AND close >= round_even(b * (1 + {sql.LIMIT}) * 100, 0) / 100 - 0.001, false) AS limit_up, coalesce(b IS NOT NULL AND close <= round_even(b * (1 - {sql.LIMIT}) * 100, 0) / 100 + 0.001, false) AS limit_down FROM a)"
 
 
 @query("limit_price", f"WITH {_LIMITS} SELECT date, code, limit_up, limit_down FROM lim")
@@ -234,7 +268,7 @@ def suspension_grid(spark, sf_dir):
     return cleaning.detect_suspension(p, panels.calendar(p)).select("date", "code", rounded("close", 6).alias("close"), "volume", "is_suspended")
 
 
-@query("clean_market", f"WITH {_GRID}, b AS (SELECT *, lag(close) OVER ({sql.BC}) AS pc FROM sus) SELECT date, code, volume, is_suspended, coalesce(close >= round_even(pc * 1.1 * 100, 0) / 100 - 0.001, false) AS limit_up, coalesce(close <= round_even(pc * 0.9 * 100, 0) / 100 + 0.001, false) AS limit_down FROM b")
+@query("clean_market", f"WITH {_GRID}, b AS (SELECT *, lag(close) OVER ({sql.BC}) AS pc FROM sus) SELECT date, code, volume, is_suspended, coalesce(close >= round_even(pc * (1 + {sql.LIMIT}) * 100, 0) / 100 - 0.001, false) AS limit_up, coalesce(close <= round_even(pc * (1 - {sql.LIMIT}) * 100, 0) / 100 + 0.001, false) AS limit_down FROM b")
 def clean_market(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
     return cleaning.clean_market_data(p, panels.calendar(p)).select("date", "code", "volume", "is_suspended", "limit_up", "limit_down")

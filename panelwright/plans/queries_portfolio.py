@@ -3,13 +3,15 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import announcements, backtest, cleaning, evaluation, factors, lifecycle, pairs, portfolio, strategies
 from ..sources import panels
+from . import oracle_engine as eng
 from . import oracle_sql as sql
 from .catalogue import full_panel, query, rounded
-from .queries_evaluation import _IC, FACTORS, two_factors
+from .queries_evaluation import _IC, _LAYERS, _ROLLED, FACTORS, two_factors
 
 
 def _signals(df):
@@ -183,13 +185,43 @@ def regime_inputs(spark, sf_dir):
     return r.select("date", *[rounded(c, 6).alias(c) for c in ("breadth", "median_return", "realized_vol")])
 
 
-@query("detect_regime")
+def _ewm5(x: str) -> str:
+    """Exponential mean of span 5 over the days, missing values keeping their place."""
+    f = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"sum({x} * pow(1.5, t)) {f} / sum(CASE WHEN {x} IS NOT NULL THEN pow(1.5, t) END) {f}"
+
+
+def regime_sql(index: bool) -> str:
+    """CTEs from p to ``rg`` (date, regime): labels by smoothed breadth, median return and volatility, runs under seven days merged."""
+    w60 = "OVER (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+    held = f"""{_IDX}, ia AS (SELECT date, close > s AND s > l AS bull, close < s AND s < l AS bear FROM (SELECT date, close, CASE WHEN count(*) OVER a = 50 THEN avg(close) OVER a END AS s, CASE WHEN count(*) OVER b = 200 THEN avg(close) OVER b END AS l FROM ix WINDOW a AS (ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), b AS (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)))""" if index else "ia AS (SELECT date, false AS bull, false AS bear FROM p GROUP BY 1)"
+    return f"""g0 AS (SELECT *, {sql.roll('avg', 'close', 20)} AS m, close / {sql.lag('close', 20)} - 1 AS r20, close / {sql.lag('close', 1)} - 1 AS r1 FROM p),
+ g1 AS (SELECT date, avg(CASE WHEN close > m THEN 1.0 ELSE 0.0 END) - 0.5 AS b, quantile_cont(r20, 0.5) AS m, stddev_samp(r1) AS v, row_number() OVER (ORDER BY date) - 1 AS t FROM g0 GROUP BY 1),
+ g2 AS (SELECT date, t, {_ewm5('b')} AS b, {_ewm5('m')} AS m, {_ewm5('v')} AS v FROM g1),
+ g3 AS (SELECT *, coalesce(CASE WHEN count(v) {w60} >= 20 THEN quantile_cont(v, 0.75) {w60} END, (SELECT quantile_cont(v, 0.75) FROM g2)) AS hi, coalesce(CASE WHEN count(v) {w60} >= 20 THEN quantile_cont(v, 0.25) {w60} END, (SELECT quantile_cont(v, 0.25) FROM g2)) AS lo FROM g2),
+ g4 AS (SELECT *, coalesce(v > hi, false) AS hot, coalesce(v < lo, false) AS cold, coalesce(b > 0, false) OR coalesce(m > 0, false) AS up, coalesce(b < 0, false) OR coalesce(m < 0, false) AS down FROM g3),
+ g5 AS (SELECT date, t, CASE WHEN NOT hot AND NOT cold AND abs(b) > 0.15 AND down THEN 'trend_down' WHEN NOT hot AND NOT cold AND abs(b) > 0.15 AND up THEN 'trend_up' WHEN hot AND NOT abs(b) > 0.2 THEN 'volatile' WHEN hot AND down THEN 'trend_down' WHEN hot AND up THEN 'trend_up' ELSE 'range' END AS label FROM g4),
+ {held}, g6 AS (SELECT g5.date, t, CASE WHEN (label = 'trend_up' AND coalesce(bear, false)) OR (label = 'trend_down' AND coalesce(bull, false)) THEN 'range' ELSE label END AS label FROM g5 LEFT JOIN ia USING (date)),
+ g7 AS (SELECT *, count(*) FILTER (n) OVER (ORDER BY t) AS k FROM (SELECT *, label IS DISTINCT FROM lag(label) OVER (ORDER BY t) AS n FROM g6)),
+ g8 AS MATERIALIZED (SELECT k, any_value(label) AS label, count(*) AS n FROM g7 GROUP BY 1),
+ g9 AS (SELECT k, label AS name, n AS size, 1 AS o FROM g8 WHERE k = 1 UNION ALL SELECT g8.k, CASE WHEN size < 7 AND name <> label THEN label WHEN g8.n < 7 THEN name ELSE label END, CASE WHEN (size < 7 AND name <> label) OR g8.n < 7 THEN size + g8.n ELSE g8.n END, CASE WHEN (size < 7 AND name <> label) OR g8.n < 7 THEN o ELSE o + 1 END FROM g9 JOIN g8 ON g8.k = g9.k + 1),
+ rg AS (SELECT date, last_value(name) OVER (PARTITION BY o ORDER BY g9.k, t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS regime, t FROM g7 JOIN g9 USING (k))"""
+
+
+@query("detect_regime", f"WITH RECURSIVE {sql.P}, {regime_sql(True)} SELECT date, regime FROM rg")
 def detect_regime(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
     return strategies.detect_regime(p, index=index_of(p))
 
 
-@query("regime_switch")
+#: Changes of label take effect ten days later, if the new one has stayed.
+_SURE = """cf AS (SELECT t, regime AS sure, NULL::VARCHAR AS pending, 0::BIGINT AS since FROM rg WHERE t = 0
+ UNION ALL SELECT rg.t, CASE WHEN regime = pending AND rg.t - since >= 10 THEN pending ELSE sure END, CASE WHEN regime = pending THEN CASE WHEN rg.t - since >= 10 THEN NULL ELSE pending END WHEN pending IS NOT NULL OR regime <> sure THEN regime END, CASE WHEN regime = pending THEN since WHEN pending IS NOT NULL OR regime <> sure THEN rg.t ELSE since END FROM cf JOIN rg ON rg.t = cf.t + 1),
+ sr AS (SELECT date, sure FROM cf JOIN rg USING (t))"""
+_RSI_SIG = f"""rs AS (WITH {_factor_ctes(['calc_rsi'])[0]} SELECT date, code, CASE WHEN v0 > 70 THEN -1 WHEN v0 < 30 THEN 1 ELSE 0 END AS signal, CASE WHEN v0 IS NOT NULL THEN least(abs(v0 - 50) / 50, 1.0) ELSE 0.0 END AS confidence FROM fx)"""
+
+
+@query("regime_switch", f"WITH RECURSIVE {sql.P}, {regime_sql(False)}, {_SURE}, {_two_signals()}, {_RSI_SIG}, u AS (SELECT 'trend_up' AS sure, * FROM m UNION ALL SELECT 'range', * FROM r UNION ALL SELECT 'volatile', * FROM rs) SELECT p.date, p.code, coalesce(signal, 0) AS signal, {sql.rounded('coalesce(confidence, 0)', 6, 'confidence')} FROM p JOIN sr USING (date) LEFT JOIN u ON u.sure = sr.sure AND u.date = p.date AND u.code = p.code")
 def regime_switch(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
     return _signals(strategies.regime_switch(p, strategies.detect_regime(p), {"trend_up": "gtja_momentum", "range": "mean_reversion", "volatile": "rsi_reversal"}))
@@ -220,7 +252,7 @@ def equal_weight(spark, sf_dir):
     return _positions(momentum_positions(spark, sf_dir))
 
 
-@query("tradable_filter", f"WITH {_MOM}, a AS (SELECT date, code, close, {sql.lag('close', 1)} AS b FROM p), lm AS (SELECT date, code, coalesce(close >= round_even(b * 1.1 * 100, 0) / 100 - 0.001, false) AS u, coalesce(close <= round_even(b * 0.9 * 100, 0) / 100 + 0.001, false) AS d FROM a) SELECT date, code, CASE WHEN (signal = 1 AND u) OR (signal = -1 AND d) THEN 0 ELSE signal END AS signal, {sql.rounded('CASE WHEN (signal = 1 AND u) OR (signal = -1 AND d) THEN 0 ELSE confidence END', 6, 'confidence')} FROM sig JOIN lm USING (date, code)")
+@query("tradable_filter", f"WITH {_MOM}, a AS (SELECT date, code, close, {sql.lag('close', 1)} AS b FROM p), lm AS (SELECT date, code, coalesce(close >= round_even(b * (1 + {sql.LIMIT}) * 100, 0) / 100 - 0.001, false) AS u, coalesce(close <= round_even(b * (1 - {sql.LIMIT}) * 100, 0) / 100 + 0.001, false) AS d FROM a) SELECT date, code, CASE WHEN (signal = 1 AND u) OR (signal = -1 AND d) THEN 0 ELSE signal END AS signal, {sql.rounded('CASE WHEN (signal = 1 AND u) OR (signal = -1 AND d) THEN 0 ELSE confidence END', 6, 'confidence')} FROM sig JOIN lm USING (date, code)")
 def tradable_filter(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
     return _signals(cleaning.filter_tradable(cleaning.detect_limit_price(p), strategies.get_strategy("gtja_momentum")(p)))
@@ -258,17 +290,35 @@ def industry_tilt(spark, sf_dir):
     return _positions(portfolio.apply_industry_tilt(momentum_positions(spark, sf_dir), ind, m))
 
 
-@query("position_limit", f"WITH {_EW} SELECT date, code, {sql.rounded('least(weight, 0.15)', 6, 'weight')}, CAST(floor(shares * least(weight, 0.15) / weight / 100 + 1e-9) * 100 AS BIGINT) AS shares FROM ew")
+def uneven_positions(spark, sf_dir):
+    """Weights by rank of code: 1 to 5 parts of 15."""
+    parts = F.row_number().over(Window.partitionBy("date").orderBy("code"))
+    p = momentum_positions(spark, sf_dir).withColumn("k", parts)
+    return p.select("date", "code", (F.col("k") / F.sum("k").over(Window.partitionBy("date"))).alias("weight"), "shares")
+
+
+_UNEVEN = f"{_EW}, ue AS (SELECT 'all' AS run_id, date, code, k / sum(k) OVER (PARTITION BY date) AS weight, shares FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY code) AS k FROM ew))"
+
+
+@query("position_limit", f"WITH RECURSIVE {_UNEVEN}, {eng.limited('ue', 0.25)} SELECT date, code, {sql.rounded('weight', 6, 'weight')}, shares FROM lim")
 def position_limit(spark, sf_dir):
-    return _positions(portfolio.apply_position_limit(momentum_positions(spark, sf_dir), 0.15))
+    return _positions(portfolio.apply_position_limit(uneven_positions(spark, sf_dir), 0.25))
 
 
-@query("smooth_positions")
+@query("smooth_positions", f"WITH RECURSIVE {_UNEVEN}, {eng.smoothed('ue', 0.05)} SELECT date, code, {sql.rounded('weight', 6, 'weight')}, shares FROM smo")
 def smooth_positions(spark, sf_dir):
-    return _positions(portfolio.smooth_positions(momentum_positions(spark, sf_dir), panels.bars(spark, sf_dir), dead_zone=0.05))
+    return _positions(portfolio.smooth_positions(uneven_positions(spark, sf_dir), panels.bars(spark, sf_dir), dead_zone=0.05))
+
+
+@query("smooth_with_exposure", f"WITH RECURSIVE {_UNEVEN}, {eng.smoothed('ue', 0.05)} SELECT date, smo.code, {sql.rounded('weight', 6, 'weight')}, coalesce(floor(1000000.0 * CASE WHEN month(date) % 2 = 0 THEN 0.5 ELSE 1.0 END * weight / so.close / 100) * 100, 0)::BIGINT AS shares FROM smo JOIN so USING (run_id, date, code, weight)")
+def smooth_with_exposure(spark, sf_dir):
+    """Half the capital in even months; other days are fully invested."""
+    p = panels.bars(spark, sf_dir)
+    exposure = p.select("date").distinct().filter(F.month("date") % 2 == 0).select("date", F.lit(0.5).alias("exposure"))
+    return _positions(portfolio.smooth_positions(uneven_positions(spark, sf_dir), p, dead_zone=0.05, exposure=exposure))
 
 
-@query("risk_rules")
+@query("risk_rules", f"WITH RECURSIVE {_EW}, ue AS (SELECT 'all' AS run_id, * FROM ew), {eng.limited('ue', 0.1)} SELECT date, code, {sql.rounded('weight', 6, 'weight')}, shares FROM lim")
 def risk_rules(spark, sf_dir):
     p = cleaning.detect_limit_price(panels.bars(spark, sf_dir))
     rules = [portfolio.get_risk_rule(n)() for n in portfolio.list_risk_rules()]
@@ -284,20 +334,28 @@ def _run(spark, sf_dir, engine=None, **build):
     return backtest.run_pipeline(p, {"momentum": strategies.get_strategy("gtja_momentum")(p), "reversal": strategies.get_strategy("mean_reversion")(p)}, engine or backtest.Engine(cost=backtest.TradingCost()), **build)
 
 
-@query("backtest_trades")
+def _figures(df):
+    return df.select(*[c for c in df.columns if c not in (*eng.FIGURES, "run_id", "trade_count")], *(["run_id"] if "run_id" in df.columns else []), *[rounded(c, 6).alias(c) for c in eng.FIGURES], "trade_count")
+
+
+_TWO_RUNS = f"{sql.P}, {_two_signals()}, tg AS ({eng.equal_weights('m', run='momentum')} UNION ALL {eng.equal_weights('r', run='reversal')}), {eng.days_of(chr(83) + 'ELECT unnest([' + repr('momentum') + ', ' + repr('reversal') + ']) AS run_id')}"
+_COSTED = f"WITH RECURSIVE {_TWO_RUNS}, {eng.engine(k=eng.COST)}"
+
+
+@query("backtest_trades", f"{_COSTED} SELECT run_id, date, code, action, {sql.rounded('price', 6, 'price')}, shares, {sql.rounded('pnl', 4, 'pnl')}, {sql.rounded('cost', 4, 'cost')} FROM (SELECT run_id, date, unnest(trades, recursive := true) FROM bt WHERE len(trades) > 0)")
 def backtest_trades(spark, sf_dir):
     return _run(spark, sf_dir)[0].select("run_id", "date", "code", "action", rounded("price", 6).alias("price"), "shares", rounded("pnl", 4).alias("pnl"), rounded("cost", 4).alias("cost"))
 
 
-@query("backtest_equity")
+@query("backtest_equity", f"WITH RECURSIVE {_TWO_RUNS}, ax AS (WITH {_factor_ctes(['calc_atr'])[0]} SELECT * FROM fx), fx AS (SELECT * FROM ax), {eng.engine(k=eng.COST, stop=-0.3, take=0.6, swing=3.0, breaker=True)} SELECT run_id, date, {sql.rounded('eq', 3, 'equity')}, {sql.rounded('cash', 3, 'cash')}, {sql.rounded('value', 3, 'position_value')}, {sql.rounded('back', 6, 'returns')} FROM bt WHERE i > 0")
 def backtest_equity(spark, sf_dir):
     engine = backtest.Engine(stop_loss=-0.3, take_profit=0.6, atr_multiplier=3.0, cost=backtest.TradingCost(), breaker=portfolio.CircuitBreaker())
-    return _run(spark, sf_dir, engine)[1]
+    return _run(spark, sf_dir, engine)[1].select("run_id", "date", *[rounded(c, 3).alias(c) for c in ("equity", "cash", "position_value")], rounded("returns", 6).alias("returns"))
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", f"{_COSTED}, {eng.figures()} SELECT run_id, {eng.SELECT_FIGURES} FROM fg")
 def backtest_metrics(spark, sf_dir):
-    return _run(spark, sf_dir)[2]
+    return _figures(_run(spark, sf_dir)[2])
 
 
 _EQ = f"eq AS (SELECT 'index' AS run_id, date, 500.0 * sum(close * volume) / sum(volume) AS equity FROM p GROUP BY 2)"
@@ -317,9 +375,10 @@ def equity_metrics(spark, sf_dir):
     return backtest.equity_metrics(index_equity(spark, sf_dir)).select(*[rounded(c, 6).alias(c) for c in ("total_return", "annual_return", "sharpe_ratio", "max_drawdown")])
 
 
-@query("breaker_exposure")
+@query("breaker_exposure", f"""WITH RECURSIVE {sql.P}, {_EQ}, en AS MATERIALIZED (SELECT *, max(equity) OVER (ORDER BY date) AS peak, row_number() OVER (ORDER BY date) AS i FROM eq), eb AS (SELECT run_id, date, i, peak, (equity - peak) / peak AS dd FROM en), ec AS (SELECT *, CASE WHEN dd >= -0.05 THEN 1.0 WHEN dd <= -0.15 THEN 0.1 ELSE 0.1 + (1 - 0.1) * pow((dd + 0.15) / (-0.05 + 0.15), 2.0) END AS raw FROM eb),
+ ee AS (SELECT 0::BIGINT AS i, 1.0::DOUBLE AS now UNION ALL SELECT ec.i, CASE WHEN abs(raw - now) > 0.05 THEN raw ELSE now END FROM ee JOIN ec ON ec.i = ee.i + 1) SELECT run_id, date, {sql.rounded('now', 6, 'exposure')} FROM ee JOIN ec USING (i)""")
 def breaker_exposure(spark, sf_dir):
-    return portfolio.breaker_exposure(index_equity(spark, sf_dir), portfolio.CircuitBreaker())
+    return portfolio.breaker_exposure(index_equity(spark, sf_dir), portfolio.CircuitBreaker()).withColumn("exposure", rounded("exposure", 6))
 
 
 def panel_windows(p):
@@ -334,12 +393,21 @@ def panel_windows(p):
     return windows
 
 
-@query("walk_forward")
+def _walk(weights: str, limit: float | None = None) -> str:
+    """CTEs from held weights ``hw`` (run_id, date, code, weight) to tg of a walk-forward run: targets with their weights after each cap."""
+    cap = f"hs AS (SELECT *, 0 AS shares FROM hw), {eng.limited('hs', limit)}, hx AS (SELECT run_id, date, code, [hw.weight, lim.weight] AS weights FROM hw JOIN lim USING (run_id, date, code))" if limit is not None else "hx AS (SELECT run_id, date, code, [weight] AS weights FROM hw)"
+    return f"{weights}, {cap}, tg AS (SELECT run_id, period, date, hx.code, weights, close AS x FROM hx JOIN wn ON date BETWEEN start AND stop LEFT JOIN p USING (date, code))"
+
+
+def _overall(df):
+    return df.select(*[rounded(c, 6).alias(c) for c in (*eng.WALK, "per_period_ir")])
+
+
+@query("walk_forward", f"WITH RECURSIVE {_MOM}, {eng.walk_days(12, 6)}, {_walk('hw AS (SELECT ' + repr('walk') + ' AS run_id, date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM sig WHERE signal = 1)')}, {eng.walk_dx('tg')}, {eng.engine(walk=True)}, {eng.walk_figures()} SELECT {eng.SELECT_WALK} FROM wo")
 def walk_forward(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
-    windows = panel_windows(p)
-    curve, periods = backtest.walk_forward(p, strategies.get_strategy("gtja_momentum")(p), windows)
-    return backtest.overall_metrics(curve, periods)
+    curve, periods = backtest.walk_forward(p, strategies.get_strategy("gtja_momentum")(p), panel_windows(p))
+    return _overall(backtest.overall_metrics(curve, periods))
 
 
 @query("merge_silos", f"WITH {_EW}, a AS (SELECT date, code, weight * 0.7 AS w FROM ew UNION ALL SELECT date, code, 0.3 / count(*) OVER (PARTITION BY date) AS w FROM sig WHERE signal = -1), s AS (SELECT date, code, sum(w) AS w FROM a GROUP BY 1, 2), n AS (SELECT date, code, w / sum(w) OVER (PARTITION BY date) AS w FROM s) SELECT date, code, {sql.rounded('w', 6, 'weight')}, CAST(floor(1000000.0 * w / close / 100) * 100 AS BIGINT) AS shares FROM n JOIN p USING (date, code)")
@@ -350,29 +418,46 @@ def merge_silos(spark, sf_dir):
     return _positions(backtest.merge_silos([(a, 0.7), (b, 0.3)], p))
 
 
-@query("param_sweep")
+def _runs(parts: dict[str, str], engine_sql: str) -> str:
+    """WITH ... fg for signal tables by run: SQL that yields (date, code, signal) for each."""
+    signals = " UNION ALL ".join(f"SELECT '{r}' AS run_id, date, code, signal FROM ({q})" for r, q in parts.items())
+    names = "SELECT unnest([" + ", ".join(f"'{r}'" for r in parts) + "]) AS run_id"
+    return f"WITH RECURSIVE {sql.P}, ss AS MATERIALIZED ({signals}), tg AS ({eng.equal_weights('ss')}), {eng.days_of(names)}, {engine_sql}, {eng.figures()}"
+
+
+_GRID = [{"rebalance": r, "top_n": n} for r in (10, 20) for n in (3, 5)]
+
+
+@query("param_sweep", f"{_runs({f'{k:04d}': 'WITH ' + _MOM_SCORE + ', ' + hold_sql('sc', g['rebalance'], g['top_n'], 3, 21) + ' SELECT * FROM sig' for k, g in enumerate(_GRID)}, eng.engine())} SELECT run_id, {eng.SELECT_FIGURES} FROM fg")
 def param_sweep(spark, sf_dir):
-    return backtest.run_sweep(panels.bars(spark, sf_dir), "gtja_momentum", cleaning.build_grid({"rebalance": [10, 20], "top_n": [3, 5]}))
+    return _figures(backtest.run_sweep(panels.bars(spark, sf_dir), "gtja_momentum", cleaning.build_grid({"rebalance": [10, 20], "top_n": [3, 5]})))
+
 
+_POOL_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+_POOL_RUNS = {f"{pool}|{name}": f"WITH {sql.INDUSTRY}, m AS (WITH {cte}) SELECT m.* FROM m JOIN i USING (code) WHERE industry = '{pool}'" for pool in _POOL_NAMES for name, cte in (("mean_reversion", f"{_two_signals()} SELECT date, code, signal FROM r"), ("rsi_reversal", f"{_RSI_SIG} SELECT date, code, signal FROM rs"))}
 
-@query("run_matrix")
+
+@query("run_matrix", f"{_runs(_POOL_RUNS, eng.engine())} SELECT split_part(run_id, '|', 1) AS pool, split_part(run_id, '|', 2) AS strategy, {eng.SELECT_FIGURES} FROM fg")
 def run_matrix(spark, sf_dir):
     pools = panels.industries(spark, sf_dir).select(F.col("industry").alias("pool"), "code")
-    return backtest.run_matrix(panels.bars(spark, sf_dir), pools, ["mean_reversion", "rsi_reversal"])
+    return _figures(backtest.run_matrix(panels.bars(spark, sf_dir), pools, ["mean_reversion", "rsi_reversal"]))
 
 
-@query("continuous_backtest")
+@query("continuous_backtest", f"{_runs({'continuous': 'WITH ' + _MOM + ' SELECT * FROM sig'}, eng.engine())}, bz AS (SELECT *, eq / lag(eq) OVER (ORDER BY i) - 1 - 0.03 / 252 AS x, max(eq) OVER (ORDER BY i) AS top FROM bt WHERE i > 0) SELECT 'continuous' AS run_id, {sql.rounded('arg_max(eq, i) / 1000000 - 1', 6, 'total_return')}, {sql.rounded('pow(arg_max(eq, i) / 1000000, 252.0 / count(*)) - 1', 6, 'annual_return')}, {sql.rounded('avg(x) / stddev_pop(x) * sqrt(252)', 6, 'sharpe_ratio')}, {sql.rounded('max(abs((eq - top) / top))', 6, 'max_drawdown')} FROM bz")
 def continuous_backtest(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
-    return backtest.continuous_backtest(p, strategies.get_strategy("gtja_momentum")(p))[2]
+    made = backtest.continuous_backtest(p, strategies.get_strategy("gtja_momentum")(p))[2]
+    return made.select("run_id", *[rounded(c, 6).alias(c) for c in ("total_return", "annual_return", "sharpe_ratio", "max_drawdown")])
+
 
+_SILOS = f"{_two_signals()}, h0 AS (SELECT date, code, 0.6 / count(*) OVER (PARTITION BY date) AS w FROM m WHERE signal = 1 UNION ALL SELECT date, code, 0.4 / count(*) OVER (PARTITION BY date) FROM r WHERE signal = 1), hw AS (SELECT 'walk' AS run_id, date, code, sum(w) / sum(sum(w)) OVER (PARTITION BY date) AS weight FROM h0 GROUP BY date, code)"
 
-@query("walk_forward_silos")
+
+@query("walk_forward_silos", f"WITH RECURSIVE {sql.P}, {eng.walk_days(12, 6)}, {_walk(_SILOS, 0.3)}, {eng.walk_dx('tg')}, {eng.engine(walk=True)}, {eng.walk_figures()} SELECT {eng.SELECT_WALK} FROM wo")
 def walk_forward_silos(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
     silos = [(strategies.get_strategy("gtja_momentum")(p), 0.6), (strategies.get_strategy("mean_reversion")(p), 0.4)]
-    windows = panel_windows(p)
-    return backtest.overall_metrics(*backtest.walk_forward_silos(p, silos, windows, max_weight=0.3))
+    return _overall(backtest.overall_metrics(*backtest.walk_forward_silos(p, silos, panel_windows(p), max_weight=0.3)))
 
 
 @query("pool_matrix", f"WITH {sql.FIGURES}, {sql.INDUSTRY}, a AS (SELECT industry AS pool, CASE WHEN month(date) <= 6 THEN 'h1' ELSE 'h2' END AS half, avg(close) AS v FROM f JOIN i USING (code) GROUP BY 1, 2) SELECT pool, {sql.rounded('''max(v) FILTER (half = 'h1')''', 4, 'h1')}, {sql.rounded('''max(v) FILTER (half = 'h2')''', 4, 'h2')} FROM a GROUP BY 1")
@@ -408,12 +493,11 @@ def signal_spread(spark, sf_dir):
 
 # pairs
 
-_PAIRS = [(0, "1", "2"), (1, "3", "4"), (2, "5", "6")]
-_PQ = f"{sql.P}, pr AS (SELECT * FROM (VALUES (0, '1', '2'), (1, '3', '4'), (2, '5', '6')) t(pair, code_a, code_b)), pp AS (SELECT pair, a.date, ln(a.close) AS la, ln(b.close) AS lb FROM pr JOIN p a ON a.code = code_a JOIN p b ON b.code = code_b AND b.date = a.date), ps AS (SELECT *, la - covar_pop(la, lb) OVER k / nullif(var_pop(lb) OVER k, 0) * lb AS spread FROM pp WINDOW k AS (PARTITION BY pair))"
+_PQ = f"{sql.P}, pr AS (SELECT s_suppkey::INTEGER AS pair, s_suppkey::VARCHAR AS code_a, other::VARCHAR AS code_b FROM (SELECT s_suppkey, lead(s_suppkey) OVER w AS other, row_number() OVER w AS k FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)) WHERE k % 2 = 1 AND other IS NOT NULL), pp AS (SELECT pair, a.date, ln(a.close) AS la, ln(b.close) AS lb FROM pr JOIN p a ON a.code = code_a JOIN p b ON b.code = code_b AND b.date = a.date), ps AS (SELECT *, la - covar_pop(la, lb) OVER k / nullif(var_pop(lb) OVER k, 0) * lb AS spread FROM pp WINDOW k AS (PARTITION BY pair))"
 
 
 def _pair_rows(spark, sf_dir):
-    return pairs.pair_prices(panels.bars(spark, sf_dir), F.broadcast(spark.createDataFrame(_PAIRS, "pair int, code_a string, code_b string")))
+    return pairs.pair_prices(panels.bars(spark, sf_dir), panels.pairs(spark, sf_dir))
 
 
 @query("pair_spread", f"WITH {_PQ} SELECT pair, date, {sql.rounded('spread', 6, 'spread')} FROM ps")
@@ -439,23 +523,31 @@ def pair_cointegration(spark, sf_dir):
     return pairs.cointegration(_pair_rows(spark, sf_dir))
 
 
-@query("pair_kalman")
+@query("pair_kalman", f"""WITH RECURSIVE {_PQ}, kn AS MATERIALIZED (SELECT pair, date, la, lb, row_number() OVER (PARTITION BY pair ORDER BY date) AS i FROM pp), k0 AS (SELECT pair, regr_slope(la, lb) AS b FROM kn WHERE i <= 10 GROUP BY 1),
+ kf AS (SELECT pair, 0::BIGINT AS i, b AS beta, 1.0::DOUBLE AS var FROM k0 UNION ALL SELECT pair, i, beta + g * (la - beta * lb), (1 - g * lb) * ahead FROM (SELECT *, ahead * lb / (ahead * lb * lb + 0.001) AS g FROM (SELECT kn.pair, kn.i, la, lb, beta, var + 0.00001 AS ahead FROM kf JOIN kn ON kn.pair = kf.pair AND kn.i = kf.i + 1)))
+ SELECT pair, date, {sql.rounded('beta', 5, 'beta')} FROM kf JOIN kn USING (pair, i)""")
 def pair_kalman(spark, sf_dir):
-    return pairs.kalman_betas(_pair_rows(spark, sf_dir))
+    return pairs.kalman_betas(_pair_rows(spark, sf_dir)).withColumn("beta", rounded("beta", 5))
 
 
 _PZ = "OVER (PARTITION BY pair ORDER BY date ROWS BETWEEN 60 PRECEDING AND CURRENT ROW)"
 
 
-@query("pair_zscores", f"WITH {_PQ}, z0 AS (SELECT pair, date, la, lb, count(*) {_PZ} AS n, covar_pop(la, lb) {_PZ} / nullif(var_pop(lb) {_PZ}, 0) AS b, avg(la) {_PZ} AS ma, avg(lb) {_PZ} AS mb, var_pop(la) {_PZ} AS va, var_pop(lb) {_PZ} AS vb, covar_pop(la, lb) {_PZ} AS c FROM pp), z1 AS (SELECT *, sqrt(greatest(va - 2 * b * c + b * b * vb, 0)) AS sd FROM z0) SELECT pair, date, {sql.rounded('CASE WHEN n > 60 THEN CASE WHEN sd > 1e-10 THEN ((la - b * lb) - (ma - b * mb)) / sd ELSE 0 END END', 5, 'z')} FROM z1")
+_Z = f"{_PQ}, z0 AS (SELECT pair, date, la, lb, count(*) {_PZ} AS n, covar_pop(la, lb) {_PZ} / nullif(var_pop(lb) {_PZ}, 0) AS b, avg(la) {_PZ} AS ma, avg(lb) {_PZ} AS mb, var_pop(la) {_PZ} AS va, var_pop(lb) {_PZ} AS vb, covar_pop(la, lb) {_PZ} AS c FROM pp), z1 AS (SELECT *, sqrt(greatest(va - 2 * b * c + b * b * vb, 0)) AS sd FROM z0), z2 AS (SELECT pair, date, CASE WHEN n > 60 THEN CASE WHEN sd > 1e-10 THEN ((la - b * lb) - (ma - b * mb)) / sd ELSE 0 END END AS z FROM z1)"
+
+
+@query("pair_zscores", f"WITH {_Z} SELECT pair, date, {sql.rounded('z', 5, 'z')} FROM z2")
 def pair_zscores(spark, sf_dir):
-    p = F.broadcast(spark.createDataFrame(_PAIRS, "pair int, code_a string, code_b string"))
-    return strategies.pair_zscores(panels.bars(spark, sf_dir), p).select("pair", "date", rounded("z", 5).alias("z"))
+    return strategies.pair_zscores(panels.bars(spark, sf_dir), panels.pairs(spark, sf_dir)).select("pair", "date", rounded("z", 5).alias("z"))
 
 
-@query("pair_trading")
+@query("pair_trading", f"""WITH RECURSIVE {_Z}, zn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY date) AS i FROM z2),
+ zt AS (SELECT pair, 0::BIGINT AS i, 0 AS held, NULL::DOUBLE AS z FROM pr UNION ALL SELECT zn.pair, zn.i, CASE WHEN zn.z IS NULL THEN held WHEN held = 0 THEN CASE WHEN zn.z < -2 THEN 1 WHEN zn.z > 2 THEN -1 ELSE 0 END WHEN abs(zn.z) < 0.5 THEN 0 ELSE held END, zn.z FROM zt JOIN zn ON zn.pair = zt.pair AND zn.i = zt.i + 1),
+ zl AS (SELECT date, pair, held AS s, least(abs(zt.z) / 2.0, 1.0) AS c FROM zt JOIN zn USING (pair, i) WHERE zt.z IS NOT NULL AND held <> 0), zs AS (SELECT date, code_a AS code, s, c FROM zl JOIN pr USING (pair) UNION ALL SELECT date, code_b, -s, c FROM zl JOIN pr USING (pair))
+ SELECT p.date, p.code, coalesce(s, 0) AS signal, {sql.rounded('coalesce(c, 0)', 6, 'confidence')} FROM p LEFT JOIN zs ON zs.date = p.date AND zs.code = p.code AND c > 0""")
 def pair_trading(spark, sf_dir):
-    return _signals(strategies.get_strategy("pair_trading")(panels.bars(spark, sf_dir), [(a, b) for _, a, b in _PAIRS]))
+    named = [(r["code_a"], r["code_b"]) for r in panels.pairs(spark, sf_dir).orderBy("pair").collect()]  # the strategy takes a list of pairs
+    return _signals(strategies.get_strategy("pair_trading")(panels.bars(spark, sf_dir), named))
 
 
 # announcements
@@ -504,39 +596,93 @@ def earnings_events(spark, sf_dir):
     return e.select("code", "ann_date", "end_date", F.when(even, "forecast").otherwise("express").alias("event_type"), "predicted_profit", "actual_profit", F.when(even, kind).alias("forecast_type"))
 
 
-@query("earnings_panel")
-def earnings_panel(spark, sf_dir):
-    e = earnings_events(spark, sf_dir)
-    return announcements.earnings_panel(e, month_days(spark, sf_dir), e)
+_SCORE = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in announcements.FORECAST_SCORE.items()) + " ELSE 0.0 END"
+_KINDS = "[" + ", ".join(f"'{k}'" for k in announcements.FORECAST_SCORE) + "]"
+_PIT = f"""{_EV}, ee AS (SELECT code, ann_date, end_date, CASE WHEN day(ann_date) % 2 = 0 THEN 'forecast' ELSE 'express' END AS event_type, predicted_profit AS pp, actual_profit AS ap, CASE WHEN day(ann_date) % 2 = 0 THEN {_KINDS}[month(ann_date) % 8 + 1] END AS kind FROM ev),
+ eo AS (SELECT *, row_number() OVER (PARTITION BY end_date ORDER BY ann_date, code, event_type) AS o FROM ee),
+ es AS (SELECT *, last_value(pp) OVER h AS p_now, last_value(CASE WHEN event_type = 'express' THEN ap END IGNORE NULLS) OVER h AS a_now, last_value(kind IGNORE NULLS) OVER h AS k_now, lead(o) OVER (PARTITION BY end_date, code ORDER BY o) AS until FROM eo WINDOW h AS (PARTITION BY end_date, code ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ er AS (SELECT e.end_date, e.o, count(*) AS n, (count(*) FILTER (s.a_now < e.a_now) + count(*) FILTER (s.a_now <= e.a_now)) / 2.0 AS ra, (count(*) FILTER (s.p_now < e.p_now) + count(*) FILTER (s.p_now <= e.p_now)) / 2.0 AS rp FROM es e JOIN es s ON s.end_date = e.end_date AND s.o <= e.o AND coalesce(s.until > e.o, true) AND s.a_now IS NOT NULL AND s.p_now IS NOT NULL WHERE e.event_type = 'express' GROUP BY 1, 2),
+ ps AS (SELECT es.*, CASE WHEN event_type = 'forecast' THEN {_SCORE.format('kind')} WHEN n >= 3 THEN (ra - rp) / n ELSE {_SCORE.format('k_now')} END AS raw FROM es LEFT JOIN er USING (end_date, o))"""
 
 
-@query("pit_surprise")
+@query("pit_surprise", f"WITH {_PIT} SELECT code, ann_date, end_date, event_type, {sql.rounded('raw', 6, 'raw_surprise')} FROM ps")
 def pit_surprise(spark, sf_dir):
-    return announcements.pit_surprise(earnings_events(spark, sf_dir))
+    made = announcements.pit_surprise(earnings_events(spark, sf_dir))
+    return made.select("code", "ann_date", "end_date", "event_type", rounded("raw_surprise", 6).alias("raw_surprise"))
+
+
+def _z0(c: str) -> str:
+    return f"coalesce({_z(c)}, 0.0)"
+
+
+@query("earnings_panel", f"WITH {_PIT}, {_DAYS}, lv AS (SELECT code, end_date, arg_max(raw, ann_date) AS v FROM ps GROUP BY 1, 2), ac AS (SELECT e.code, e.ann_date, e.end_date, e.raw AS s, coalesce(e.raw - lv.v, 0) AS a FROM ps e LEFT JOIN lv ON lv.code = e.code AND lv.end_date = {_PREV}), g AS (SELECT date, code FROM dy, (SELECT DISTINCT code FROM ps)), j AS (SELECT g.date, g.code, s, a FROM g ASOF LEFT JOIN ac ON g.code = ac.code AND g.date >= ac.ann_date) SELECT date, code, {sql.rounded(_z0('s'), 6, 'earnings_surprise')}, {sql.rounded(_z0('a'), 6, 'earnings_acceleration')} FROM j")
+def earnings_panel(spark, sf_dir):
+    e = earnings_events(spark, sf_dir)
+    made = announcements.earnings_panel(e, month_days(spark, sf_dir), e)
+    return made.select("date", "code", *[rounded(c, 6).alias(c) for c in ("earnings_surprise", "earnings_acceleration")])
 
 
 # life cycle
 
 
-@query("monitor_states")
-def monitor_states(spark, sf_dir):
+_ST = f"{_ROLLED}, {eng.states('ro', 5)}"
+_STATE_VALUES = ("ic", "rolling_ic", "rolling_ir", "t_stat")
+
+
+def _states(spark, sf_dir):
     return lifecycle.monitor(panels.bars(spark, sf_dir), FACTORS, min_sustain=5)
 
 
-@query("monitor_changes")
+@query("monitor_states", f"WITH RECURSIVE {_ST} SELECT date, factor, fwd_window, {', '.join(sql.rounded(c, 6, c) for c in _STATE_VALUES)}, state, sustain_days, old_state FROM st")
+def monitor_states(spark, sf_dir):
+    return _states(spark, sf_dir).select("date", "factor", "fwd_window", *[rounded(c, 6).alias(c) for c in _STATE_VALUES], "state", "sustain_days", "old_state")
+
+
+@query("monitor_update", f"WITH RECURSIVE {_ST}, ds AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM p)) SELECT st.date, factor, fwd_window, {sql.rounded('t_stat', 6, 't_stat')}, state, sustain_days FROM st JOIN ds USING (date) WHERE i >= n - 10 - 65")
+def monitor_update(spark, sf_dir):
+    """New rows after a table that ends five dates earlier: as a full run has them, from the tail alone."""
+    p = panels.bars(spark, sf_dir)
+    last = p.select("date").distinct().orderBy(F.col("date").desc()).limit(6).agg(F.min("date")).first()[0]
+    old = lifecycle.monitor(p.filter(F.col("date") <= F.lit(last)), FACTORS, min_sustain=5)
+    new = lifecycle.update_monitor(p, old, FACTORS, min_sustain=5)[0]
+    return new.select("date", "factor", "fwd_window", rounded("t_stat", 6).alias("t_stat"), "state", "sustain_days")
+
+
+@query("monitor_changes", f"WITH RECURSIVE {_ST} SELECT date, factor, fwd_window, old_state, state AS new_state FROM st WHERE old_state IS NOT NULL")
 def monitor_changes(spark, sf_dir):
-    return lifecycle.diff_states(monitor_states(spark, sf_dir))
+    return lifecycle.diff_states(_states(spark, sf_dir))
+
+
+_STATUS = f"SELECT factor, fwd_window, max(date) AS date, arg_max(state, date) AS state, {sql.rounded('last(t_stat ORDER BY date)', 6, 't_stat')}, arg_max(sustain_days, date) AS sustain_days, max(date) FILTER (old_state IS NOT NULL) AS last_change FROM st GROUP BY 1, 2"
 
 
-@query("monitor_status")
+@query("monitor_status", f"WITH RECURSIVE {_ST} {_STATUS}")
 def monitor_status(spark, sf_dir):
-    return lifecycle.status_table(monitor_states(spark, sf_dir))
+    return lifecycle.status_table(_states(spark, sf_dir)).withColumn("t_stat", rounded("t_stat", 6))
+
+
+_BAR_FACTORS = [n for n in sql.FACTORS if len(sql.FACTORS[n]) == 3]
+
+
+def _all_states() -> str:
+    """CTEs to st of all factors that bars alone feed."""
+    ctes, last = _factor_ctes(_BAR_FACTORS)
+    names = ", ".join(f"'{n}'" for n in _BAR_FACTORS)
+    values = ", ".join(f"v{k}::DOUBLE" for k in range(len(_BAR_FACTORS)))
+    ranks = ", ".join(f"{sql.prank(c, 'date, factor')} AS r{c}" for c in "xy")
+    corr = "CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-14 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END"
+    w = "OVER (PARTITION BY factor, fwd_window ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
+    return f"""{ctes}, yl AS (SELECT date, code, lead(close, 5) OVER ({sql.BC}) / close - 1 AS y FROM p), al AS (SELECT date, code, unnest([{names}]) AS factor, unnest([{values}]) AS x, y FROM {last} JOIN yl USING (date, code)),
+ ar AS (SELECT *, {ranks} FROM (SELECT * FROM al WHERE x IS NOT NULL AND y IS NOT NULL)), ic AS (SELECT date, factor, 5 AS fwd_window, {corr} AS ic FROM ar GROUP BY 1, 2 HAVING count(*) >= 5), ro AS (SELECT *, count(ic) {w} AS k, avg(ic) {w} AS m, stddev_samp(ic) {w} AS s FROM ic), {eng.states('ro', 5)}"""
 
 
-@query("monitor_all_factors")
+@query("monitor_all_factors", f"WITH RECURSIVE {_all_states()} {_STATUS.replace(sql.rounded('last(t_stat ORDER BY date)', 6, 't_stat'), sql.rounded('last(t_stat ORDER BY date)', 2, 't_stat'))}")
 def monitor_all_factors(spark, sf_dir):
-    """Latest state of every single factor that bars alone feed."""
-    return lifecycle.status_table(lifecycle.monitor(panels.bars(spark, sf_dir), min_sustain=5))
+    """Latest state of every single factor that bars alone feed.
+
+    Two decimals: deviations of whole numbers tie but for the last bits, which the two engines sum in other orders.
+    """
+    return lifecycle.status_table(lifecycle.monitor(panels.bars(spark, sf_dir), min_sustain=5)).withColumn("t_stat", rounded("t_stat", 2))
 
 
 @query("test_period_stats", f"WITH {_IC}, s AS (SELECT factor, avg(ic) AS m, stddev_samp(ic) AS sd, count(ic) AS n FROM ic WHERE date >= DATE '2000-01-01' GROUP BY 1) SELECT factor, {sql.rounded('m', 6, 'ic_mean')}, {sql.rounded('m / nullif(sd, 0) * sqrt(n)', 6, 'ic_t')}, n AS ic_n, abs(m / nullif(sd, 0) * sqrt(n)) > 2 AS sig FROM s")
@@ -561,11 +707,46 @@ def phase_b(spark, sf_dir):
     return lifecycle.phase_b(p, lifecycle.monitor(p, names, min_sustain=5), windows, t_window=40, min_obs=5)[0]
 
 
-@query("phase_c")
+def _composite(weights: dict[int, float]) -> str:
+    """Signals of a composite of the two factors (v0, v1): weighted mean of the ranks present."""
+    top = " + ".join(f"coalesce(q{k} * {w}, 0)" for k, w in weights.items())
+    total = " + ".join(f"CASE WHEN q{k} IS NULL THEN 0 ELSE {w} END" for k, w in weights.items())
+    return f"WITH {_factor_ctes(FACTORS)[0]}, cq AS (SELECT date, code, {sql.prank('v0')} AS q0, {sql.prank('v1')} AS q1 FROM fx), sd AS (SELECT date, code, ({top}) / nullif({total}, 0) AS score FROM cq), {hold_sql('sd', 20, 10, 5, 0, drop=True, exited=True, min_rows=0)} SELECT * FROM sig"
+
+
+@query("phase_c", f"{_runs({'composite': _composite({0: 1.0, 1: 1.0}), FACTORS[0]: _composite({0: 1.0}), FACTORS[1]: _composite({1: 1.0})}, eng.engine())} SELECT run_id, {eng.SELECT_FIGURES} FROM fg")
 def phase_c(spark, sf_dir):
-    return lifecycle.phase_c(panels.bars(spark, sf_dir), {FACTORS[0]: 1.0, FACTORS[1]: 1.0})
+    return _figures(lifecycle.phase_c(panels.bars(spark, sf_dir), {FACTORS[0]: 1.0, FACTORS[1]: 1.0}))
+
 
+_MINED = ["calc_moneyflow_net_ratio", "calc_moneyflow_streak", "calc_moneyflow_big_net_ratio"]
 
-@query("mining_screen")
+
+def _screen_sql() -> str:
+    ctes = [f"{sql.FIGURES}, {sql.FLOWS}, wf AS (SELECT * FROM f JOIN w USING (date, code))"]
+    for k, n in enumerate(_MINED):
+        stages, final, *_ = sql.FACTORS[n]
+        last = "wf"
+        for j, cols in enumerate([{"t": f"row_number() OVER ({sql.BC}) - 1"}, *stages]):
+            ctes.append(f"u{k}_{j} AS (SELECT *, {', '.join(f'{v} AS {c}' for c, v in cols.items())} FROM {last})")
+            last = f"u{k}_{j}"
+        ctes.append(f"u{k} AS (SELECT date, code, round(({final})::DOUBLE, 12) AS x FROM {last})")
+    every = " UNION ALL ".join(f"SELECT '{n}' AS factor, * FROM u{k}" for k, n in enumerate(_MINED))
+    layers = _LAYERS.replace("FROM f WINDOW", "FROM wf WINDOW")
+    wide = ", ".join(f"max({v}) FILTER (layer = '{layer}') AS \"{layer}_{v}\"" for layer in lifecycle.LAYERS for v in ("m", "t", "n"))
+    named = ", ".join(", ".join((sql.rounded(f'"{layer}_m"', 6, f'"{layer}_mean_ic"'), sql.rounded(f'"{layer}_t"', 5, f'"{layer}_t_stat"'), f'"{layer}_n" AS "{layer}_n_days"')) for layer in lifecycle.LAYERS)
+    strong = "list_sort(list_filter([" + ", ".join(f"CASE WHEN abs(\"{layer}_t\") >= 2.81 THEN '{layer}' END" for layer in lifecycle.LAYERS[1:]) + "], lambda x: x IS NOT NULL))"
+    return f"""WITH {', '.join(ctes)}{layers}, yy AS (SELECT date, code, size_layer || '_' || liq_layer AS cell, lead(close, 5) OVER ({sql.BC}) / close - 1 AS y FROM ly),
+ b AS (SELECT factor, date, code, unnest(['all', cell]) AS layer, x, y FROM ({every}) JOIN yy USING (date, code) WHERE x IS NOT NULL AND y IS NOT NULL),
+ r AS (SELECT *, {sql.prank('x', 'date, factor, layer')} AS rx, {sql.prank('y', 'date, factor, layer')} AS ry FROM b WHERE layer IS NOT NULL),
+ ic AS (SELECT factor, date, layer, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-14 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS ic FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+ c AS (SELECT factor, layer, avg(ic) AS m, CASE WHEN count(ic) >= 10 THEN avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(ic)) END AS t, count(ic) AS n FROM ic GROUP BY 1, 2), wd AS (SELECT factor, {wide} FROM c GROUP BY 1),
+ dm AS (SELECT *, CASE WHEN abs(all_t) >= 2 THEN 'universal' WHEN len({strong}) > 0 THEN array_to_string({strong}, ',') ELSE 'none' END AS domain FROM wd)
+ SELECT factor, 5 AS fwd_window, {named}, domain, CASE WHEN domain = 'none' THEN 0 WHEN all_t > 0 THEN 1 ELSE -1 END AS sign FROM dm"""
+
+
+@query("mining_screen", _screen_sql())
 def mining_screen(spark, sf_dir):
-    return lifecycle.mining_screen(full_panel(spark, sf_dir), ["calc_moneyflow_net_ratio", "calc_moneyflow_streak", "calc_moneyflow_big_net_ratio"])
+    made = lifecycle.mining_screen(full_panel(spark, sf_dir), _MINED)
+    digits = {"mean_ic": 6, "t_stat": 5}
+    return made.select(*[rounded(c, next(d for e, d in digits.items() if c.endswith(e))).alias(c) if c.endswith(tuple(digits)) else F.col(c) for c in made.columns])

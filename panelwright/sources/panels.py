@@ -1,7 +1,7 @@
 """Panels derived from the star-schema tables: bars, money flow, company figures, industries, announcements."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.timeseries import by_code
@@ -25,10 +25,15 @@ def bucket_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(table(spark, sf_dir, "lineitem"), F.col("l_partkey") % 50)
 
 
-def _bars(items: DataFrame, code) -> DataFrame:
+def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per return flag: long series, three codes."""
+    return _bars(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"), lambda c: F.to_date(c))
+
+
+def _bars(items: DataFrame, code, day=_week) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    rows = items.select(_week("l_shipdate").alias("date"), code.cast("string").alias("code"), price.alias("px"), order.alias("o"), "l_quantity")
+    rows = items.select(day("l_shipdate").alias("date"), code.cast("string").alias("code"), price.alias("px"), order.alias("o"), "l_quantity")
     return rows.groupBy("date", "code").agg(F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"))
 
 
@@ -44,6 +49,13 @@ def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.col("s_suppkey").cast("string").alias("code"), F.col("r_name").alias("industry"))
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair, code_a, code_b: the suppliers of each nation, two by two in order of key; an odd one out stays alone."""
+    by = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.lead("s_suppkey").over(by).alias("other"), F.row_number().over(by).alias("k"))
+    return s.filter("k % 2 = 1 and other is not null").select(F.col("s_suppkey").cast("int").alias("pair"), F.col("s_suppkey").cast("string").alias("code_a"), F.col("other").cast("string").alias("code_b"))
+
+
 def figures(panel: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with company figures: circ_mv, total_mv, turnover_rate, pe, pb, and per-report columns."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("code"), F.col("s_acctbal").alias("bal"))
