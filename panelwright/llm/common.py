@@ -106,20 +106,23 @@ def bucket_of(column, bounds: list):
     return F.when(column.isNull(), 0).otherwise(base + rest)
 
 
-def split_join(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, spread) -> DataFrame:
-    """Inner join of rows with a materialised table of one row for each key, however many rows a key has.
+def split_join(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, spread, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, however many rows a key has.
 
-    n: column of per_key with the number of the key's rows.  A key with more than a share of 1 / (8 * partitions) of all
-    rows is dealt over as many salts as it has such shares, by the hash of spread; its row of per_key is repeated for each.
-    There are fewer than 8 * partitions such keys at any size, so the table of their salts is broadcast.
+    n: the number of the key's rows, in counts (default: in per_key), a materialised table of all keys that repeat.  A key with
+    more than a share of 1 / (2 * partitions) of those rows is dealt over as many salts as it has such shares (the next power
+    of two), by the hash of spread; its row of per_key is repeated for each.  There are fewer than 2 * partitions such keys at
+    any size, so their hashes go into the plan itself.
     """
-    parts = 8 * partitions(rows.sparkSession)
-    share = max(1, (per_key.agg(F.sum(n)).first()[0] or 0) // parts)
-    salts = F.ceil(F.col(n) / share).cast("int")
-    hot = F.broadcast(per_key.filter(F.col(n) > share).select(*keys, salts.alias("__salts")))
-    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(spread, F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
-    repeated = per_key.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return dealt.join(repeated.drop(n), [*keys, "__salt"]).drop("__salt")
+    counts, key = per_key if counts is None else counts, F.xxhash64(*keys)
+    share = max(1, (counts.agg(F.sum(n)).first()[0] or 0) // (2 * partitions(rows.sparkSession)))
+    tiers: dict[int, list[int]] = {}
+    for r in counts.filter(F.col(n) > share).select(key.alias("key"), F.ceil(F.col(n) / share).alias("shares")).collect():  # under 2 * partitions rows
+        tiers.setdefault(1 << (int(r["shares"]) - 1).bit_length(), []).append(r["key"])
+    salts = F.coalesce(*[F.when(key.isin(hashes), F.lit(k)) for k, hashes in sorted(tiers.items())], F.lit(1))
+    dealt = rows.withColumn("__salt", F.pmod(spread, salts).cast("int"))
+    repeated = per_key.drop(n).withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(repeated, [*keys, "__salt"]).drop("__salt")
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:

@@ -5,26 +5,31 @@ Sorting a suffix for every byte would move LENGTH times the corpus.  Instead:
 1. In every window of LENGTH bytes the k-gram of least hash (leftmost of equals) is the window's anchor: equal windows
    have equal anchors at equal offsets, so only about one position in eighty stands for all windows around it.
 2. Anchors whose k-gram hash occurs once in the corpus end here.  The others are summed up by their context (all bytes
-   of their windows): a context that occurs twice repeats in full, wherever it occurs.
+   of their windows), so that copies meet the sort as one: a context that occurs twice repeats in full, wherever it occurs.
 3. Where contexts of one k-gram differ, some of their windows may still be equal.  Their suffixes are dealt out by
-   sampled splitters on the leading bytes (ties stay together); each bucket forms the suffixes at all window starts,
-   sorts them by multikey quicksort on 8-byte symbols, and finds neighbours with LENGTH equal bytes.  A k-gram with
-   more than GROUP contexts, which no single bucket should hold, is compared across buckets by its windows' 128-bit
-   hashes, pre-aggregated, instead.
+   sampled splitters on the leading bytes; each bucket forms the suffixes at all window starts, sorts them by multikey
+   quicksort on 8-byte symbols, and finds neighbours with LENGTH equal bytes.  A k-gram with more than GROUP contexts does
+   not fit one bucket: each of its suffixes is a row, dealt by splitters on all its bytes and its place, so that even
+   equal suffixes spread over buckets; a bucket compares neighbours, and its first and last run with those of the
+   buckets next to it.
 4. Repeated windows become byte ranges of documents, merged per document and cut out.
 
-Every step is exact but for 128-bit hash equality.  Null texts are empty; texts under LENGTH bytes are never touched;
-rows alike in doc_id and text count as separate copies of each other and get the same result; empty tables stay empty.
+Every step is exact but for the hash equality of k-grams and contexts (128 bits together).  A text longer than SLICE is
+cut into slices that overlap by LENGTH - 1 bytes, so that each window is in one of them.  Null texts are empty; texts
+under LENGTH bytes are never touched; rows alike in doc_id and text count as separate copies of each other and get the
+same result; empty tables stay empty.  Other columns are ignored; with keep_text they are carried, and an input's own
+``suffix_*`` columns are replaced.
 """
 from __future__ import annotations
 
 import hashlib
+from itertools import chain, groupby, islice
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, claim_worker, id_and_text, materialise, partitions
+from .common import broadcast_if_small, claim_worker, id_and_text, materialise, partitions, split_join
 from .mph import mix
 
 LENGTH, K = 200, 40
@@ -75,6 +80,19 @@ def window_anchors(buf: np.ndarray, starts: np.ndarray, stops: np.ndarray):
     return p[new], at[new], at[last], h[p[new]]
 
 
+def _together(slices):
+    """Lists of slices of about SLICE bytes in all, at least one each."""
+    held, size = [], 0
+    for s in slices:
+        if held and size + len(s[2]) > SLICE:
+            yield held
+            held, size = [], 0
+        held.append(s)
+        size += len(s[2])
+    if held:
+        yield held
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """doc_id, th, place, g, c.  place packs first window (from bit 24), windows - 1 (12 bits), anchor - first window (12 bits)."""
     import pyarrow as pa
@@ -85,21 +103,16 @@ def anchors(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             ids, ths = b.column("doc_id"), b.column("th").to_numpy()
-            texts = b.column("raw").to_pylist()
-            k = 0
-            while k < len(texts):
-                j, size = k, 0
-                while j < len(texts) and (j == k or size + len(texts[j]) <= SLICE):
-                    size += len(texts[j])
-                    j += 1
-                raw = b"".join(texts[k:j])
-                edges = np.cumsum([0, *map(len, texts[k:j])])
+            slices = ((i, at, raw[at : at + SLICE + LENGTH - 1]) for i, raw in enumerate(b.column("raw").to_pylist()) for at in range(0, max(1, len(raw) - LENGTH + 1), SLICE))
+            for part in _together(slices):
+                raw = b"".join(x for _, _, x in part)
+                of, first = (np.array([x[i] for x in part], np.int64) for i in (0, 1))
+                edges = np.cumsum([0, *(len(x) for _, _, x in part)])
                 p, lo, hi, g = window_anchors(np.frombuffer(raw, np.uint8), edges[:-1], edges[1:])
                 doc = np.searchsorted(edges, p, "right") - 1
                 c = np.fromiter((digest(raw[s : e + LENGTH], o) for s, e, o in zip(lo.tolist(), hi.tolist(), (p - lo).tolist())), np.uint64, len(p))
-                place = ((lo - edges[doc]) << 24) | ((hi - lo) << 12) | (p - lo)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + k)), pa.array(ths[doc + k]), pa.array(place), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["doc_id", "th", "place", "g", "c"])
-                k = j
+                place = ((lo - edges[doc] + first[doc]) << 24) | ((hi - lo) << 12) | (p - lo)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[doc])), pa.array(ths[of[doc]]), pa.array(place), pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["doc_id", "th", "place", "g", "c"])
 
     keyed = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("raw"))
     return keyed.mapInArrow(run, "doc_id long, th long, place long, g long, c long")
@@ -158,7 +171,7 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-WINDOWS = "g long, c long, windows array<struct<first:int,last:int>>"
+WINDOWS = "g long, c long, n long, windows array<struct<first:int,last:int>>"
 
 
 def partial_repeats(bytes_of: DataFrame) -> DataFrame:
@@ -175,7 +188,7 @@ def partial_repeats(bytes_of: DataFrame) -> DataFrame:
             flags = equal_windows([r[2] for r in held], [r[3] for r in held], [names.setdefault(r[0], len(names)) for r in held])
             out = [(r[0], r[1], _ranges(f)) for r, f in zip(held, flags) if r[4] == 1 and f.any()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([[{"first": a, "last": z} for a, z in o[2]] for o in out], kind)], names=["g", "c", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([1] * len(out), pa.int64()), pa.array([[{"first": a, "last": z} for a, z in o[2]] for o in out], kind)], names=["g", "c", "n", "windows"])
 
         for b in batches:
             for d, *row in zip(*(b.column(n).to_pylist() for n in ("lead", "g", "c", "context", "before", "n"))):
@@ -192,32 +205,67 @@ def partial_repeats(bytes_of: DataFrame) -> DataFrame:
 
 
 def partial_repeats_hot(bytes_of: DataFrame) -> DataFrame:
-    """The same for k-grams with very many contexts: windows meet by 128-bit hash, whatever bucket they are in."""
+    """The same for k-grams with very many contexts: one sorted order of suffixes over all buckets, compared across their borders."""
     import pyarrow as pa
-    import xxhash
 
-    def run(batches):
-        digest = xxhash.xxh3_128_digest
+    def suffixes(batches):
         for b in batches:
             for g, c, context, before, n in zip(*(b.column(x).to_pylist() for x in ("g", "c", "context", "before", "n"))):
                 m = len(context) - LENGTH + 1
-                pair = np.frombuffer(b"".join(digest(context[i : i + LENGTH], before - i) for i in range(m)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * m, pa.int64()), pa.array([c] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["g", "c", "n", "i", "w1", "w2"])
-
-    rows = materialise(bytes_of.select("g", "c", "context", "before", "n").mapInArrow(run, "g long, c long, n long, i int, w1 long, w2 long"), "hot-windows")
-    often = rows.groupBy("w1", "w2").agg(F.count("*").alias("k")).filter("k > 1").select("w1", "w2")
-    hit = rows.filter("n = 1").join(often, ["w1", "w2"])
-    return hit.groupBy("g", "c").agg(F.transform(F.sort_array(F.collect_list("i")), lambda i: F.struct(i.alias("first"), i.alias("last"))).alias("windows"))
+                bytes_ = [(before - i).to_bytes(2, "big") + context[i : i + LENGTH] for i in range(m)]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * m, pa.int64()), pa.array([c] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m, dtype=np.int32)), pa.array(bytes_, pa.binary())], names=["g", "c", "n", "i", "suffix"])
+
+    names = ["g", "c", "n", "i", "suffix"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int32(), pa.bool_()]
+
+    def judged(rows, part):
+        """Rows that occur twice; a bucket's first and last suffix as marks (g null); and lone rows there, undecided (twice null)."""
+        count, lone, suffix = 0, None, None
+        for suffix, run in groupby(rows, key=lambda r: r[4]):
+            head, second = next(run), next(run, None)
+            if count == 0:
+                yield None, None, None, None, suffix, None, part, False
+            lone = None
+            if second is not None:
+                for row in chain((head, second), run):
+                    yield *row[:4], None, True, part, None
+            elif count == 0:
+                yield *head, None, part, None
+            else:
+                lone = head
+            count += 1
+        if lone is not None:
+            yield *lone, None, part, None
+        if count:
+            yield None, None, None, None, suffix, None, part, True
+
+    def neighbours(batches):
+        from pyspark import TaskContext
+
+        rows = (row for b in batches for row in zip(*(b.column(x).to_pylist() for x in names)))
+        made = judged(rows, TaskContext.get().partitionId())
+        while held := list(islice(made, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*held), kinds)], names=[*names, "twice", "part", "is_last"])
+
+    rows = materialise(bytes_of.select("g", "c", "context", "before", "n").mapInArrow(suffixes, "g long, c long, n long, i int, suffix binary"), "hot-suffixes")
+    dealt = rows.repartitionByRange(partitions(bytes_of.sparkSession), "suffix", "c", "i").sortWithinPartitions("suffix", "c", "i")
+    found = materialise(dealt.mapInArrow(neighbours, "g long, c long, n long, i int, suffix binary, twice boolean, part int, is_last boolean"), "hot-neighbours")
+    order = Window.orderBy("part", "is_last")  # two marks a bucket
+    across = F.when(F.col("is_last"), F.lead("suffix").over(order)).otherwise(F.lag("suffix").over(order))
+    met = found.filter("is_last is not null").withColumn("other", across).filter("other = suffix").select("part", "suffix").distinct()
+    lone = found.filter("twice is null and is_last is null").join(met, ["part", "suffix"], "left_semi")
+    hit = found.filter("twice").select("g", "c", "n", "i").unionByName(lone.select("g", "c", "n", "i")).filter("n = 1")
+    return hit.groupBy("g", "c", "n").agg(F.transform(F.sort_array(F.collect_list("i")), lambda i: F.struct(i.alias("first"), i.alias("last"))).alias("windows"))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, th, ranges: byte ranges [start, stop) of each document that has any, unmerged."""
     found = materialise(anchors(docs), "anchors")
-    twice = found.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
-    hot = materialise(found.join(twice, "g"), "hot-anchors")
+    twice = materialise(found.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1"), "hot-grams")
+    hot = materialise(split_join(found, twice, ["g"], "k", F.xxhash64("doc_id", "th", "place")), "hot-anchors")
     contexts = materialise(hot.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "place")).alias("rep")), "contexts")
-    groups = contexts.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("g", "k")
-    contested = materialise(contexts.join(groups, "g").select("g", "c", "n", "k", "rep.*"), "contested")
+    groups = materialise(contexts.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("g", "k", F.col("k").alias("rows")), "contested-grams")
+    contested = materialise(split_join(contexts, groups, ["g"], "rows", F.col("c")).select("g", "c", "n", "k", "rep.*"), "contested")
     first, before = F.shiftright("place", 24), F.col("place").bitwiseAND(4095)
     windows = F.shiftright("place", 12).bitwiseAND(4095)
     keyed = id_and_text(docs).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("raw"))
@@ -227,10 +275,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     some = partial_repeats(bytes_of.filter(F.col("k") <= GROUP))
     if not bytes_of.filter(F.col("k") > GROUP).isEmpty():
         some = some.unionByName(partial_repeats_hot(bytes_of.filter(F.col("k") > GROUP)))
-    whole = contexts.filter("n > 1").select("g", "c", F.lit(None).cast("array<struct<first:int,last:int>>").alias("windows"))
+    whole = contexts.filter("n > 1").select("g", "c", "n", F.lit(None).cast("array<struct<first:int,last:int>>").alias("windows"))
     verdict = materialise(whole.unionByName(some), "verdicts")
     full = F.array(F.struct(F.lit(0).alias("first"), windows.cast("int").alias("last")))
-    cut = hot.join(verdict, ["g", "c"]).select("doc_id", "th", first.alias("at"), F.explode(F.coalesce("windows", full)).alias("w"))
+    cut = split_join(hot, verdict, ["g", "c"], "n", F.xxhash64("doc_id", "th", "place")).select("doc_id", "th", first.alias("at"), F.explode(F.coalesce("windows", full)).alias("w"))
     ranges = cut.select("doc_id", "th", (F.col("at") + F.col("w.first")).alias("start"), (F.col("at") + F.col("w.last") + LENGTH).alias("stop"))
     return ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
@@ -261,10 +309,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     names = docs.columns if keep_text else ["doc_id", "text"]
     keyed = docs.select(*names).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__raw", F.coalesce("text", F.lit("")))
     joined = keyed.withColumn("__th", F.xxhash64("__raw")).join(ranges, F.col("__id").eqNullSafe(F.col("__g")) & (F.col("__th") == F.col("__t")), "left")
-    rest = [n for n in names if n not in ("doc_id", "text")] if keep_text else []
     made = {"n_bytes": ("long", pa.int64()), "n_removed": ("long", pa.int64()), "n_spans": ("long", pa.int64()), "kept_sha256": ("string", pa.string())}
     if keep_text:
         made = {"text": ("string", pa.string())} | {f"suffix_{n}": t for n, t in made.items()}
+    rest = [n for n in names if n != "doc_id" and n not in made] if keep_text else []
 
     def run(batches):
         for b in batches:
