@@ -173,7 +173,6 @@ def media_columns(docs: DataFrame) -> DataFrame:
     stored = store(docs)
     head = metadata(stored).select("digest", "width", "height", "bit_depth")
     full = read_back(stored).withColumnRenamed("length", "media_bytes")
-    used = stored.groupBy("digest").agg(F.count("*").alias("n_rows"))
-    media = materialise(full.join(head, "digest").join(used, "digest"), "media-read")
-    rows = split_join(stored.select("doc_id", "n_bytes", "digest"), media, ["digest"], "n_rows", F.xxhash64("doc_id"))
+    shared = materialise(stored.groupBy("digest").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "media-shared")
+    rows = split_join(stored.select("doc_id", "n_bytes", "digest"), full.join(head, "digest"), ["digest"], "n_rows", F.xxhash64("doc_id"), shared)
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "width", "height", "bit_depth")
