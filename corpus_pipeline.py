@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, line dedup, n-gram Jaccard join, suffix-array dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next one's docs.
-All but the last return the columns of documents, with n_chars kept true to the text.
+All but the last return the columns of documents, with n_chars kept true to the text.  Other columns of docs are dropped, whatever
+their names.  Null texts are empty; texts of any length are taken whole; rows alike in doc_id and text are one after the
+n-gram stage; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -9,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import materialise, table
+from panelwright.llm.common import materialise, scratch, table
 from panelwright.llm.line_dedup import without_repeated_lines
 from panelwright.llm.ngram_join import without_near_copies
 from panelwright.llm.packing import pack_documents
@@ -25,7 +27,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score 0.5 or more; the model learns from labelled rows outside the held-out fifth."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), carry=[c for c in docs.columns if c != "doc_id"])
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), carry=COLUMNS[1:])
     return scored.filter("predicted = 0").select(*COLUMNS)
 
 
@@ -65,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  A stage's intermediate tables go once its own table is written; so do earlier stages' tables."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    before = []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            own = made.pop()
+            made += before
+        before = [own]
     return docs
