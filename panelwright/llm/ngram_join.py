@@ -4,30 +4,34 @@
    are one class; its representative is the least (doc_id, text hash).  All further work is on representatives.
 2. Bands of rows, their counts chosen for the target recall at the threshold, shuffle on band hashes.
    Only buckets with two classes or more go on; chains of buckets are candidate groups (connected components).
-3. Each candidate group is cut into blocks of BLOCK members and each pair of blocks is one task's
-   work: it compares the members there on their full sets, counts each one's links, and emits a spanning
-   forest of the verified links - never the pairs themselves.  A group of thousands is so spread over many
-   tasks, and no candidate is left out; pairs that share no band but a group are compared as well.
+3. The pairs that share a bucket are verified on their full sets, each pair once.  What meets in one place is a whole
+   group, or, where weak collisions have chained more than BLOCK members for each band into a group, each of its buckets
+   alone, the pair being verified in the first bucket that it shares: so a member is copied at most as often as there
+   are bands, for each block of BLOCK members in a bucket.  Each pair of blocks is one task's work: it counts each
+   member's links and emits a spanning forest of them - never the pairs themselves.
 4. Components of the forest edges, by tables alone, give the classes of near copies.
 
 Nulls are empty texts.  A text of fewer than n words is one n-gram of all its words; a text without words has an
-empty set and links to nothing.  Repeated rows each get a row.  Empty tables give empty results.
+empty set and links to nothing.  Texts of any length are taken whole.  Repeated rows each get a row; of equal texts the
+least doc_id represents the class, nulls first.  Other columns are ignored (or carried by without_near_copies), whatever
+their names.  Empty tables give empty results.
 """
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, claim_worker, id_and_text, materialise
+from .common import broadcast_if_small, claim_worker, id_and_text, materialise, split_join
 from .components import components
 from .mph import mix
 
 _WORDS = re.compile(r"\w+").findall
 MEMO = 200_000
-BLOCK = 256
+BLOCK = 128
 
 
 def bands_for(threshold: float, recall: float, most: int = 512) -> tuple[int, int]:
@@ -113,17 +117,18 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, th long, size long, s1 long, s2 long, bands array<long>")
 
 
-def verify_block(left: list, right: list | None, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def verify_block(left: list, right: list | None, threshold: float, candidates=None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of two lists of (id, set) - or within one list - as (link counts left, right, forest edges).
 
-    One set at a time is marked in the left sets' common universe; sums over the left sets laid end to end give its
-    intersections with all of them, so memory is linear in the block's n-grams.
+    candidates: boolean matrix of the pairs to verify (default: all).  One set at a time is marked in the left sets'
+    common universe; sums over the candidates' sets give its intersections with them, so memory is linear in the n-grams.
     """
     other = left if right is None else right
     n, m = len(left), len(other)
     universe, flat = np.unique(np.concatenate([s for _, s in left]), return_inverse=True)
     sizes = np.array([len(s) for _, s in left])
-    starts, mark = np.cumsum(np.r_[0, sizes])[:-1], np.zeros(len(universe) + 1, np.int32)
+    ends = np.cumsum(sizes)
+    starts, mark = ends - sizes, np.zeros(len(universe) + 1, np.int32)
     count_l, count_r, parent, edges = np.zeros(n, np.int64), np.zeros(m, np.int64), list(range(n + m)), []
 
     def root(x):
@@ -133,15 +138,23 @@ def verify_block(left: list, right: list | None, threshold: float) -> tuple[np.n
         return x
 
     for j, (_, s) in enumerate(other):
+        ask = np.ones(n, bool) if candidates is None else candidates[:, j].copy()
+        if right is None:
+            ask[j:] = False
+        # sets whose sizes alone rule the pair out
+        ask &= np.minimum(sizes, len(s)) >= threshold * np.maximum(sizes, len(s)) - 1e-6
+        ask = np.flatnonzero(ask)
+        if not len(ask):
+            continue
         at = np.searchsorted(universe, s)
         at = at[universe[np.minimum(at, len(universe) - 1)] == s]
         mark[at] = 1
-        common = np.add.reduceat(mark[flat], starts)
+        if 4 * len(ask) > n:
+            common = np.add.reduceat(mark[flat], starts)[ask]
+        else:
+            common = np.array([mark[flat[starts[i] : ends[i]]].sum() for i in ask.tolist()])
         mark[at] = 0
-        ok = common >= threshold * (sizes + len(s) - common) - 1e-6
-        if right is None:
-            ok[j:] = False
-        hit = np.flatnonzero(ok)
+        hit = ask[common >= threshold * (sizes[ask] + len(s) - common) - 1e-6]
         count_l[hit] += 1
         count_r[j] += len(hit)
         me = j if right is None else n + j
@@ -153,6 +166,16 @@ def verify_block(left: list, right: list | None, threshold: float) -> tuple[np.n
     return (count_l + count_r if right is None else count_l), count_r, edges
 
 
+def sharing(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of rows of two arrays of band hashes share a band - or, given one (0 or more), share that band and none before it."""
+    if band < 0:
+        return functools.reduce(np.logical_or, (a[:, k, None] == b[None, :, k] for k in range(a.shape[1])))
+    out = a[:, band, None] == b[None, :, band]
+    for k in range(band):
+        out &= a[:, k, None] != b[None, :, k]
+    return out
+
+
 def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, th, class_id, n_links, group_id: one row for each input row.
 
@@ -169,37 +192,44 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     buckets = spread.groupBy("band", "h").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("band", "h", "a")
     edges = spread.join(buckets, ["band", "h"]).select(F.col("node").alias("b"), "a").filter("a <> b").distinct()
     groups = components(edges).select("node", F.col("component").alias("cand"))
-    members = materialise(groups.join(classes.select("node", "s1", "s2", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), "node"), "members")
+    members = materialise(groups.join(classes.select("node", "bands", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")), "node"), "members")
+    sizes = materialise(members.groupBy("cand").agg(F.count("*").alias("n")), "group-sizes")
+    # where a member's pairs are verified: in its group (band -1), or in each bucket of a group that is too large for that
+    whole = split_join(members.select("node", "cand"), sizes.filter(F.col("n") <= BLOCK * bands).withColumn("of", F.col("n")), ["cand"], "n", F.col("node")).select("node", F.col("cand").alias("place"), F.lit(-1).alias("band"), "of")
+    large = split_join(members.select("node", "cand", "bands"), sizes.filter(F.col("n") > BLOCK * bands).withColumn("of", F.col("n")), ["cand"], "n", F.col("node")).select("node", F.posexplode("bands").alias("band", "place"))
+    shared = materialise(large.groupBy("band", "place").agg(F.count("*").alias("n")).filter("n > 1").withColumn("of", F.col("n")), "large-buckets")
+    parts = split_join(large, shared, ["band", "place"], "n", F.col("node")).select("node", "place", "band", "of")
+    # each member goes to every pair of blocks that holds its own; a small group has the one pair (0, 0)
+    blocked = whole.unionByName(parts).withColumn("of", F.ceil(F.col("of") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    turns = blocked.groupBy("node").agg(F.collect_list(F.struct("place", "band", "of", "block")).alias("places"))  # one for each band at most
     # full n-gram sets, of one text for each candidate class
     texts = id_and_text(docs).withColumn("th", F.xxhash64("text"))
     wanted = materialise(members.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "node"), "wanted")
     met = texts.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("node", "text")
-    held = met.dropDuplicates(["node"]).join(members.select("node", "cand"), "node")
-    sizes = members.groupBy("cand").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocked = held.join(sizes, "cand").withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    # each member goes to every pair of blocks that holds its own; a small group has the one pair (0, 0)
-    turn = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    work = blocked.select("node", "cand", "text", "block", F.explode(turn).alias("p")).select("node", "cand", "text", "block", "p.x", "p.y")
+    held = met.dropDuplicates(["node"]).join(turns, "node").join(members.select("node", "bands"), "node")
+    turn = F.transform(F.sequence(F.lit(0), F.col("p.of") - 1), lambda o: F.struct(F.least("p.block", o).alias("x"), F.greatest("p.block", o).alias("y")))
+    work = held.select("node", "text", "bands", F.explode("places").alias("p")).select("node", "text", "bands", "p.*", F.explode(turn).alias("t")).select("node", "text", "bands", "place", "band", "block", "t.x", "t.y")
 
     def compare(key, pdf):
-        _, x, y = key
+        _, band, x, y = key
         pdf = pdf.sort_values("node")
+        at, nodes = pdf["block"].to_numpy(), pdf["node"].to_numpy()
+        hashes = np.array(pdf["bands"].tolist(), np.int64)
+        a = np.flatnonzero(at == x)
+        b = a if x == y else np.flatnonzero(at == y)
+        none = pd.DataFrame({"node": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "to": pd.Series([], dtype="Int64")})
+        asked = sharing(hashes[a], hashes[b], int(band)) if len(a) and len(b) else np.zeros((0, 0), bool)
+        if not asked.any():
+            return none
         sets = Shingler(n, bands, rows).sets(pdf["text"].tolist())
-        rowed = [(int(k), s) for k, s in zip(pdf["node"], sets)]
-        at = pdf["block"].to_numpy()
-        left = [r for r, b in zip(rowed, at) if b == x]
-        right = None if x == y else [r for r, b in zip(rowed, at) if b == y]
-        out = []
-        if left and (right is None or right):
-            cl, cr, found = verify_block(left, right, threshold)
-            other = left if right is None else right
-            out += [(left[i][0], int(c), None) for i, c in enumerate(cl) if c]
-            out += [(right[j][0], int(c), None) for j, c in enumerate(cr) if c] if right is not None else []
-            out += [(left[i][0], 0, other[j][0]) for i, j in found]
-        return pd.DataFrame({"node": pd.Series([o[0] for o in out], dtype="int64"), "links": pd.Series([o[1] for o in out], dtype="int64"), "to": pd.Series([o[2] for o in out], dtype="Int64")})
-
-    verified = materialise(work.groupBy("cand", "x", "y").applyInPandas(compare, "node long, links long, to long"), "verified")
+        left, other = [(int(nodes[i]), sets[i]) for i in a], [(int(nodes[i]), sets[i]) for i in b]
+        cl, cr, found = verify_block(left, None if x == y else other, threshold, asked)
+        out = [(left[i][0], int(c), None) for i, c in enumerate(cl) if c]
+        out += [(other[j][0], int(c), None) for j, c in enumerate(cr) if c] if x != y else []
+        out += [(left[i][0], 0, other[j][0]) for i, j in found]
+        return pd.DataFrame({"node": pd.Series([o[0] for o in out], dtype="int64"), "links": pd.Series([o[1] for o in out], dtype="int64"), "to": pd.Series([o[2] for o in out], dtype="Int64")}) if out else none
+
+    verified = materialise(work.groupBy("place", "band", "x", "y").applyInPandas(compare, "node long, links long, to long"), "verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("n_links"))
     joined = components(verified.filter("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     least = joined.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("group_rep"))
