@@ -135,7 +135,7 @@ def update_monitor(data: DataFrame, old: DataFrame | None, names: list[str] | No
 
 def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old rows but those that new ones replace, and the new ones."""
-    return old.join(new.select("date", *KEYS), ["date", *KEYS], "left_anti").unionByName(new)
+    return old.join(new.select("date", *KEYS), ["date", *KEYS], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def status_table(states: DataFrame) -> DataFrame:

@@ -71,6 +71,16 @@ def test_ewm_over_blocks_and_gaps(spark, monkeypatch):
     same(series(ts.ewm_position(df).withColumn("e", ts.ewm("x", 5, 1)), "e"), pd.Series(x).ewm(alpha=0.2, min_periods=5).mean(), 1e-9)
 
 
+@pytest.mark.parametrize("n, m", [(250, 1), (3, 2), (4, 3), (100, 99), (5, 5)])
+def test_ewm_at_any_rate(spark, n, m):
+    x = 100 + np.random.default_rng(2).normal(size=2400).cumsum()
+    df = spark.createDataFrame([(day(i), "a", float(v)) for i, v in enumerate(x)], "date date, code string, x double")
+    same(series(ts.ewm_position(df).withColumn("e", ts.ewm("x", n, m)), "e"), pd.Series(x).ewm(alpha=m / n, min_periods=n).mean(), 1e-8)
+    for wrong in (0, n + 1):
+        with pytest.raises(ValueError):
+            ts.ewm("x", n, wrong)
+
+
 def test_rank_is_average_of_ties(spark):
     df = spark.createDataFrame([(D0, c, v) for c, v in zip("abcde", (3.0, 1.0, 3.0, None, 2.0))], "date date, code string, x double")
     same(series(df.withColumn("r", ts.rank_pct("x")), "r"), [0.875, 0.25, 0.875, np.nan, 0.5])
@@ -197,6 +207,60 @@ def test_position_limit_and_caps(spark):
     assert abs(got.sum() - 1) < 1e-9 and abs(got["a"] + got["b"] - 0.5) < 1e-9
 
 
+def test_position_limit_against_repeated_clipping(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for d in range(40):
+        n = int(rng.integers(1, 9))
+        w = rng.dirichlet(np.full(n, 0.5)) * rng.choice([1.0, 0.7])
+        w = np.round(w, 3) if d % 2 else w
+        rows += [(day(d), f"c{k}", float(v), 10_000) for k, v in enumerate(w)]
+        for _ in range(60):
+            over = np.clip(w - 0.3, 0, None).sum()
+            w = np.minimum(w, 0.3)
+            free = w < 0.3 - 1e-12
+            if over < 1e-14 or not free.any():
+                break
+            w = w + free * over / free.sum()
+        want |= {(day(d), f"c{k}"): v for k, v in enumerate(w)}
+    got = portfolio.apply_position_limit(spark.createDataFrame(rows, "date date, code string, weight double, shares long"), 0.3).collect()
+    assert len(got) == len(rows) and all(abs(r["weight"] - want[r["date"], r["code"]]) < 1e-9 for r in got)
+    none = portfolio.apply_position_limit(spark.createDataFrame(rows[:2], "date date, code string, weight double, shares long"), 0.0).collect()
+    assert all(r["weight"] == 0 and r["shares"] == 0 for r in none)
+
+
+def test_dead_zone_keeps_exposure(spark):
+    signals = spark.createDataFrame([(day(i), c, 1, 1.0) for i in range(3) for c in "ab"], "date date, code string, signal int, confidence double")
+    data = spark.createDataFrame([(day(i), c, 10.0) for i in range(3) for c in "ab"], "date date, code string, close double")
+    half = spark.createDataFrame([(day(i), 0.5) for i in range(3)], "date date, exposure double")
+    for zone in (0.0, 0.01):
+        assert {r["shares"] for r in backtest.build_positions(data, signals, exposure=half, dead_zone=zone).collect()} == {25_000}
+
+
+def test_kendall_against_pairs():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 40, 200):
+        for high in (3, 1000):
+            x, y = rng.integers(0, high, n).astype(float), rng.integers(0, high, n).astype(float)
+            a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+            scale = np.sqrt((a != 0).sum() * (b != 0).sum())
+            got = evaluation._kendall(x, y)
+            assert got is None if scale == 0 else abs(got - (a * b).sum() / scale) < 1e-12
+
+
+def test_daily_correlations_with_gaps(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(size=(60, 3)), columns=list("xyz"))
+    pdf.loc[::4, "y"] = np.nan
+    pdf["k"] = 1.0
+    df = spark.createDataFrame([(day(i % 2), f"{i:02d}", *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(pdf[["x", "y", "z", "k"]].to_numpy())], "date date, code string, x double, y double, z double, k double")
+    got = {(r["date"], r["factor_a"], r["factor_b"]): r["c"] for r in evaluation.daily_correlations(df, ["x", "y", "z", "k"], 5).collect()}
+    for d in (0, 1):
+        want = pdf.iloc[d::2].corr(method="spearman")
+        for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+            assert abs(got[day(d), a, b] - want.loc[a, b]) < 1e-12
+        assert got[day(d), "x", "k"] is None
+
+
 def test_circuit_breaker():
     b = portfolio.CircuitBreaker()
     assert b.exposure_at(-0.01) == 1 and b.exposure_at(-0.2) == 0.1 and 0.1 < b.exposure_at(-0.1) < 1
@@ -275,6 +339,115 @@ def test_states_and_bootstrap(spark):
     assert (a == b).all() and abs(a.mean()) < 0.2 and np.isnan(lifecycle.bootstrap_t(x[:10], 5, 60)).all()
 
 
+@pytest.fixture(scope="module")
+def long_panel(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(12):
+        px = 30 + rng.normal(0, 0.4, 420).cumsum() + c
+        rows += [(day(i), f"60{c:04d}", p, p + 0.2, p - 0.2, p, float(rng.integers(1, 9) * 100)) for i, p in enumerate(np.maximum(px, 2.0).tolist())]
+    return spark.createDataFrame(rows, "date date, code string, open double, high double, low double, close double, volume double")
+
+
+NAMES = ["calc_momentum_5d_change", "calc_momentum_6d_return", "calc_volume_ratio", "calc_rsi"]
+
+
+def test_incremental_monitor_agrees_with_a_full_run(spark, long_panel):
+    from panelwright.sources import io
+
+    cut = F.col("date") <= F.lit(day(400))
+    old = lifecycle.monitor(long_panel.filter(cut), NAMES, min_sustain=4).cache()
+    new, changes, skipped = lifecycle.update_monitor(long_panel, old, [*NAMES, "calc_turnover"], min_sustain=4)
+    full = {(r["date"], r["factor"]): (r["state"], r["sustain_days"], round(r["t_stat"] or 0.0, 8)) for r in lifecycle.monitor(long_panel, NAMES, min_sustain=4).collect()}
+    rows = new.collect()
+    assert rows and all(full[r["date"], r["factor"]] == (r["state"], r["sustain_days"], round(r["t_stat"] or 0.0, 8)) for r in rows)
+    assert max(r["date"] for r in rows) > day(400) and min(r["date"] for r in rows) > day(300)
+    assert len(skipped) == 1 and "total_mv" in skipped[0] and changes.count() == 0
+    other = old.withColumn("state", F.lit("odd"))
+    assert lifecycle.diff_states(new, other).count() == new.join(old, ["date", "factor", "fwd_window"], "left_semi").count()
+    assert lifecycle.render_changes(lifecycle.diff_states(old)).count(" -> ") == lifecycle.diff_states(old).count()
+    old.unpersist()
+
+
+def test_changes_are_appended(spark, tmp_path):
+    from panelwright.sources import io
+
+    root = f"file://{tmp_path}/m"
+    row = spark.createDataFrame([(D0, "f", 5, "dead", "active")], "date date, factor string, fwd_window int, old_state string, new_state string")
+    assert io.load_changes(spark, root) is None
+    io.save_changes(row, root)
+    io.save_changes(row, root)
+    assert io.load_changes(spark, root).count() == 2
+
+
+def test_phase_b_by_hand(spark, long_panel, monkeypatch):
+    """A factor that knows the future is picked and wins; one that knows it turned round in training and right in testing loses."""
+    ahead = evaluation.forward_returns(long_panel, (5,)).fillna(0.0, ["fwd_ret_5d"])
+    flip = F.when(F.col("date") < F.lit(day(250)), -F.col("fwd_ret_5d")).otherwise(F.col("fwd_ret_5d"))
+    noise = (F.pmod(F.xxhash64("date", "code"), F.lit(1000)) / 1000 - 0.5) * 0.1
+    data = ahead.withColumns({"volume": F.col("fwd_ret_5d") + noise, "open": flip + noise})
+    factors.register_factor("seer", lambda t: F.col("volume"))
+    factors.register_factor("turncoat", lambda t: F.col("open"))
+    states = lifecycle.monitor(data, ["seer"], min_sustain=2).unionByName(lifecycle.monitor(data, ["turncoat"], min_sustain=2).withColumn("state", F.lit("active")))
+    windows = lifecycle.oos_windows(D0, day(419), 8, 2)
+    monkeypatch.setattr(lifecycle, "with_factors", lambda df, names, *a: df.withColumns({n: F.col({"seer": "volume", "turncoat": "open"}[n]) for n in names}))
+    periods, summary = lifecycle.phase_b(data, states, windows, t_window=40, n_iters=50, threshold=0.9999, min_obs=5)
+    got = {(r["period"], r["factor"]): r for r in periods.collect()}
+    assert got[0, "seer"]["win"] and not got[0, "turncoat"]["win"] and got[0, "turncoat"]["train_t"] < 0
+    s = summary.first()
+    assert s["periods_total"] == len(windows) and s["picks"] == len(got) and 0 < s["win_rate"] < 1
+    with pytest.raises(ValueError):
+        lifecycle.phase_b(data, states, [], t_window=40)
+
+
+def test_representatives():
+    rows = [("a", 2.0, 0.1), ("b", -3.0, 0.2), ("c", None, 0.3), ("d", 1.0, 0.1)]
+    ids = {"a": 1, "b": 1, "c": 2, "d": 2}
+    assert lifecycle.representatives(rows, ids) == {"b", "d"} and lifecycle.representatives(rows, ids, "ir") == {"b", "c"}
+
+
+def test_composites_weights_and_summary(spark, long_panel):
+    states = lifecycle.monitor(long_panel, NAMES[:2], min_sustain=4)
+    w = lifecycle.synth_weights(states, NAMES[:2], day(419), "ic_weighted")
+    assert set(w) == set(NAMES[:2]) and abs(sum(map(abs, w.values())) - 1) < 1e-9
+    compare = lifecycle.phase_c(long_panel, lifecycle.synth_weights(None, NAMES[:2], None), top_n=3, bottom_n=1)
+    rows = {r["run_id"]: r for r in compare.collect()}
+    one = lifecycle.phase_c_summary(compare).first()
+    assert set(rows) == {"composite", *NAMES[:2]} and one["best_single_sharpe"] == max(rows[n]["sharpe_ratio"] for n in NAMES[:2])
+    alone = lifecycle.phase_c(long_panel, {NAMES[0]: 1.0}, top_n=3, bottom_n=1).filter("run_id = 'composite'").first()
+    assert abs(alone["total_return"] - rows[NAMES[0]]["total_return"]) < 1e-12
+    with pytest.raises(ValueError):
+        lifecycle.synth_weights(states, NAMES, day(1), "odd")
+
+
+def test_runs_are_replayed_once(panel):
+    signals = strategies.get_strategy("gtja_momentum")(panel, rebalance=10)
+    figures = backtest.run_pipeline(panel, {"a": signals, "b": strategies.reverse(signals)}, backtest.Engine())[2]
+    plan = figures._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
+    assert evaluation.best_result(figures, "total_return").count() == 1
+
+
+def test_walk_forward_chains_capital(panel):
+    signals = strategies.get_strategy("gtja_momentum")(panel, rebalance=5, min_window=5)
+    windows = [(day(0), day(29), day(30), day(50)), (day(20), day(49), day(50), day(70))]
+    curve, periods = backtest.walk_forward(panel, signals, windows, backtest.Engine(capital=50_000))
+    rows = curve.orderBy("period", "date").collect()
+    assert [r["period"] for r in periods.orderBy("period").collect()] == [0, 1] and rows[0]["date"] == day(30)
+    assert min(r["date"] for r in rows if r["period"] == 1) > day(50) and len({r["date"] for r in rows}) == len(rows)
+    none = backtest.walk_forward(panel, signals, windows, pool=panel.limit(0))
+    assert none[0].count() == 0 and [r["trade_count"] for r in none[1].collect()] == [0, 0]
+    half = panel.select("date").distinct().withColumn("exposure", F.lit(0.1))
+    low = backtest.walk_forward(panel, signals, windows, backtest.Engine(capital=50_000), exposure=half)[0]
+    assert low.agg(F.max("position_value")).first()[0] < curve.agg(F.max("position_value")).first()[0]
+
+
+def test_mining_screen_columns(panel):
+    made = panel.withColumns({"circ_mv": F.col("close") * 100, "turnover_rate": F.col("volume") / 100})
+    out = lifecycle.mining_screen(made, ["calc_momentum_5d_change"], min_obs=1, min_days=1)
+    assert {"all_mean_ic", "small_low_t_stat", "large_high_n_days", "domain", "sign"} <= set(out.columns) and out.count() == 1
+
+
 def test_empty_panels(spark, panel):
     empty = panel.limit(0)
     assert factors.with_factors(empty, ["calc_rsi", "calc_macd_like"]).count() == 0
