@@ -109,3 +109,30 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("bars").count() == 24
+
+
+def test_vendor_tables(spark, tmp_path):
+    import datetime
+
+    from panelwright.sources import vendor
+
+    d = datetime.date
+    bars = spark.createDataFrame([("600001.SH", "20240102", 1.0, 2.0, 0.5, 1.5, 1.1, 300.0), ("000002.SZ", "20240103", 1.0, 2.0, 0.5, None, 1.1, 0.0)], "ts_code string, trade_date string, open double, high double, low double, close double, pre_close double, vol double")
+    got = vendor.daily(bars, ["600001.SH"], d(2024, 1, 1), d(2024, 1, 2)).collect()
+    assert [(r["date"], r["code"], r["volume"]) for r in got] == [(d(2024, 1, 2), "600001", 300.0)]
+    forecast = spark.createDataFrame([("600001.SH", "20240110", "20231231", "预增", 10.0, 30.0), ("600002.SH", "bad", "20231231", "续亏", None, 4.0)], "ts_code string, ann_date string, end_date string, type string, net_profit_min double, net_profit_max double")
+    express = spark.createDataFrame([("600001.SH", 20240120, "20231231", "25.5", None)], "ts_code string, ann_date int, end_date string, n_income_attr_p string, increase_rate double")
+    events = {(r["code"], r["event_type"]): r for r in vendor.earnings_events(forecast, express).collect()}
+    assert events["600001", "forecast"]["predicted_profit"] == 20.0 and events["600002", "forecast"]["predicted_profit"] == 4.0 and events["600002", "forecast"]["ann_date"] is None
+    assert events["600001", "express"]["actual_profit"] == 25.5 and events["600001", "express"]["ann_date"] == d(2024, 1, 20)
+    flow = spark.createDataFrame([("600001.SH", "20240102", 5.0)], "ts_code string, trade_date string, net_mf_amount double")
+    out = vendor.money_flow(flow)
+    assert len(out.columns) == 20 and out.first()["net_mf_amount"] == 5.0 and out.first()["buy_sm_vol"] is None
+    figures = spark.createDataFrame([("600001.SH", day, "x", 2.0, 30_000.0, 20_000.0, 1.0) for day in ("20240102", "20240106")], "ts_code string, trade_date string, pe string, pb double, total_mv double, circ_mv double, turnover_rate double")
+    calendar = spark.createDataFrame([(d(2024, 1, 2), 1), (d(2024, 1, 6), 0)], "cal_date date, is_open int")
+    row = vendor.over_days(vendor.daily_figures(figures), calendar, d(2024, 1, 1), d(2024, 1, 31)).collect()
+    assert len(row) == 1 and row[0]["total_mv"] == 3.0 and row[0]["pe"] is None
+    figures.write.parquet(f"{tmp_path}/f")
+    assert vendor.read_folder(spark, f"{tmp_path}/f", "figures").count() == 2
+    with pytest.raises(ValueError):
+        vendor.read_folder(spark, str(tmp_path), "odd")
