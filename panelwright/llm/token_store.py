@@ -1,12 +1,14 @@
 """Token ids in flat binary shards, with a minimal-perfect-hash index from document keys to shard offsets.
 
 Format.  A shard holds the ids of a contiguous doc_id range, ascending, each document closed by the end
-id, as raw little-endian integers of the narrowest width that holds the vocabulary.  An index file covers
-the keys of one hash bucket: a perfect hash gives a slot, the slot holds a 64-bit key fingerprint,
-shard number, offset and length.  A lookup costs one hash and one read, whatever the corpus size.
+id, as raw little-endian integers of the narrowest width that holds the vocabulary.  Shards are as many as
+hold about SHARD_BYTES of text each.  An index file has a section for each hash bucket of keys - a perfect hash
+gives a slot, the slot holds a 64-bit key fingerprint, shard number, offset and length - and, once, the paths of
+the shards that its sections name.  A lookup costs one hash and one read, whatever the corpus size.
 
 Rows with a null doc_id sort first.  Repeated doc_ids are told apart by their ordinal (order: id, then
-ids' bytes).  Null texts are empty: they hold the end id alone.  An empty table gives an empty result.
+ids' bytes).  Null texts are empty: they hold the end id alone.  An empty table gives an empty result.  A text
+of any length is one document.  Other columns are ignored, whatever their names.
 Files carry the writer's random suffix, so a repeated task never writes over another's file; only files
 named in the committed metadata are read.
 """
@@ -24,8 +26,8 @@ from .common import bucket_of, filesystem, fresh_dir, id_and_text, materialise,
 from .mph import MinimalPerfectHash
 
 ENTRY = np.dtype([("print", "<u8"), ("shard", "<u4"), ("offset", "<u8"), ("length", "<u8")])
-#: Keys in one index file, about.
-INDEX_KEYS = 2_048
+#: Keys in one section of an index file, about; text in one shard, about.
+INDEX_KEYS, SHARD_BYTES = 2_048, 1 << 30
 
 
 def key_hashes(doc_ids: list, ordinals: list) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Write shards and index files.  Returns (rows: doc_id, ordinal, shard, part; index files: part, path).
+    """Write shards and index files.  Returns (rows: doc_id, ordinal, part; index sections: part, path and places in the file).
 
     One shuffle carries the packed ids to their shard; a second one carries keys and offsets only.
     Shard ranges come from doc_id quantiles, so that a hot source or long texts do not gather in one.
@@ -99,7 +101,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> tuple[
     spark = docs.sparkSession
     root = fresh_dir(spark, "token-store")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    bounds = range_bounds(ids, "doc_id", min(4096, 4 * partitions(spark)))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounds = range_bounds(ids, "doc_id", max(4 * partitions(spark), -(-size // SHARD_BYTES)))
 
     def write(batches):
         fs, base = filesystem(root)
@@ -134,28 +137,38 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> tuple[
 
     def index(batches):
         fs, base = filesystem(root)
-        held, part, batches = [], None, iter(batches)
+        name, out, at, shards, made, held, part = None, None, 0, {}, [], [], None
 
         def flush():
+            nonlocal at
             doc, ordinal, shard, path, offset, length, width = zip(*held)
-            built = KeyIndex.build(doc, ordinal, shard, offset, length, dict(zip(shard, path)), width[0])
-            name = f"{base}/index-{part:06d}-{uuid.uuid4().hex}.mph"
-            with fs.open_output_stream(name) as f:
-                f.write(built.dumps())
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name], pa.string())], names=["part", "index_path"])
+            raw = KeyIndex.build(doc, ordinal, shard, offset, length, {}, width[0]).dumps()
+            shards.update(zip(shard, path))
+            out.write(raw)
+            made.append((part, at, len(raw)))
+            at += len(raw)
 
         for b in batches:
             for p, *row in zip(*(b.column(n).to_pylist() for n in ("part", "doc_id", "ordinal", "shard", "path", "offset", "length", "width"))):
+                if out is None:
+                    name = f"{base}/index-{uuid.uuid4().hex}.mph"
+                    out = fs.open_output_stream(name)
                 if p != part and held:
-                    yield flush()
+                    flush()
                     held = []
                 part = p
                 held.append(row)
         if held:
-            yield flush()
+            flush()
+            names = json.dumps({str(k): v for k, v in shards.items()}).encode()
+            out.write(names)
+            out.close()
+            rows = [(p, name, o, n, at, len(names)) for p, o, n in made]
+            kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["part", "index_path", "at", "bytes", "names_at", "names_bytes"])
 
-    files = materialise(meta.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(index, "part int, index_path string"), "token-index")
-    return meta.select("doc_id", "ordinal", "shard", "part", "length"), files.withColumn("root", F.lit(root))
+    files = materialise(meta.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(index, "part int, index_path string, at long, bytes long, names_at long, names_bytes long"), "token-index")
+    return meta.select("doc_id", "ordinal", "part"), files.withColumn("root", F.lit(root))
 
 
 def read_keys(keys: DataFrame, files: DataFrame) -> DataFrame:
@@ -163,9 +176,9 @@ def read_keys(keys: DataFrame, files: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def read(batches):
-        part, index, fs, handles = None, None, None, {}
+        part, index, fs, handles, file, shards = None, None, None, {}, (None, None), {}
         for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in ("part", "index_path", "root", "doc_id", "ordinal", "shard")}
+            cols = {n: b.column(n).to_pylist() for n in ("part", "index_path", "at", "bytes", "names_at", "names_bytes", "root", "doc_id", "ordinal")}
             start, n = 0, b.num_rows
             while start < n:
                 stop = start
@@ -174,14 +187,18 @@ def read_keys(keys: DataFrame, files: DataFrame) -> DataFrame:
                 if cols["part"][start] != part:
                     part = cols["part"][start]
                     fs = fs or filesystem(cols["root"][start])[0]
-                    with fs.open_input_file(cols["index_path"][start]) as f:
-                        index = KeyIndex.loads(f.read())
+                    if cols["index_path"][start] != file[0]:
+                        if file[1]:
+                            file[1].close()
+                        file = cols["index_path"][start], fs.open_input_file(cols["index_path"][start])
+                        shards = json.loads(file[1].read_at(cols["names_bytes"][start], cols["names_at"][start]))
+                    index = KeyIndex.loads(file[1].read_at(cols["bytes"][start], cols["at"][start]))
                 at = index.find(cols["doc_id"][start:stop], cols["ordinal"][start:stop])
                 found = index.entries[at[at >= 0]]
                 rows = {}
                 for k in np.argsort(found, order=["shard", "offset"]).tolist():
                     e = found[k]
-                    path = index.shards[int(e["shard"])]
+                    path = shards[str(int(e["shard"]))]
                     if path not in handles:
                         if len(handles) >= 64:
                             handles.pop(next(iter(handles))).close()
@@ -189,26 +206,24 @@ def read_keys(keys: DataFrame, files: DataFrame) -> DataFrame:
                     size = int(e["length"]) * index.width
                     raw = handles[path].read_at(size, int(e["offset"]) * index.width)
                     ids = np.frombuffer(raw, f"<u{index.width}").astype("<u4")
-                    rows[k] = (len(ids), zlib.crc32(ids.tobytes()), int(e["offset"]))
+                    rows[k] = (int(e["shard"]), len(ids), zlib.crc32(ids.tobytes()), int(e["offset"]))
                 kept = np.flatnonzero(at >= 0).tolist()
                 if kept:
                     doc = [cols["doc_id"][start + i] for i in kept]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc, pa.int64()), pa.array([cols["ordinal"][start + i] for i in kept], pa.int64()), pa.array([cols["shard"][start + i] for i in kept], pa.int32()), *(pa.array([rows[k][c] for k in range(len(kept))], pa.int64()) for c in range(3))],
+                        [pa.array(doc, pa.int64()), pa.array([cols["ordinal"][start + i] for i in kept], pa.int64()), *(pa.array([rows[k][c] for k in range(len(kept))], t) for c, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64())))],
                         names=["doc_id", "ordinal", "shard", "n_tokens", "ids_crc32", "offset"],
                     )
                 start = stop
 
-    spark = keys.sparkSession
-    joined = keys.drop("length").join(F.broadcast(files), "part")  # one row for INDEX_KEYS keys
-    dealt = joined.repartition(partitions(spark), "part").sortWithinPartitions("part")
+    parts = partitions(keys.sparkSession)  # both sides are dealt by part, each key's rows beside its section
+    dealt = keys.repartition(parts, "part").join(files.repartition(parts, "part"), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(read, "doc_id long, ordinal long, shard int, n_tokens long, ids_crc32 long, offset long")
 
 
 def store_and_read_back(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ordinal, shard: all from the files, start over all documents before."""
-    keys, files = write_store(docs, tokenizer_path, end_id)
-    totals = keys.groupBy("shard").agg(F.sum("length").alias("total"))  # at most 4096 shards
+    read = materialise(read_keys(*write_store(docs, tokenizer_path, end_id)), "token-read")
+    totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # one row for SHARD_BYTES of text
     before = totals.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    read = read_keys(keys, files).join(F.broadcast(before), "shard")
-    return read.select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "ordinal", "shard")
+    return read.join(before, "shard").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "ordinal", "shard")
