@@ -6,10 +6,15 @@ toxic than in clean documents.  The chain (one per sentence) has token features
 and endings) and transition weights, fitted by maximum likelihood with forward-backward in numpy.  A
 document's score is a logistic function of its highest and its summed marginals, fitted on the same sample.
 
-Bounds (documented parameters): at most ``sample`` labelled documents of each label, none longer than
-``longest`` characters, take part in training; scoring reads whole texts of all rows.  Labels, language,
-source and doc_id never enter a score.  Null texts are empty and score like any text without words;
-without any toxic training row all scores are the share of toxic rows.  Repeated rows score alike.
+Bounds (documented parameters): at most ``sample`` labelled documents of each label with at most ``characters``
+characters in all take part in training, whole texts chosen by a hash of doc_id, long ones included; of the sample's
+sentences without any telling feature ``others`` stand for all, weighted by their number.  Scoring reads whole texts of
+all rows.  Labels, language, source and doc_id never enter a score.
+
+Null texts are empty and score like any text without words; texts and sentences of any length are run whole.  Without
+any toxic, or any clean, training row all scores are the share of toxic rows.  A repeated doc_id trains with one of its
+texts; repeated rows score alike.  An empty table gives an empty result.  A carried column that has the name of a result
+column is replaced by the result.
 """
 from __future__ import annotations
 
@@ -26,11 +31,9 @@ from .common import claim_worker, id_and_text
 
 _TOKENS = re.compile(r"\w+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
-#: Longest chain; a longer sentence is cut.
-CHAIN = 512
+#: Chains beyond this length are run one by one, shorter ones side by side; results are the same.
+LONG = 256
 MEMO = 200_000
-#: Chains without any telling feature that take part in training.
-OTHER_CHAINS = 20_000
 AFFIXES = (4, 5, 6, 7)
 
 
@@ -68,21 +71,18 @@ class Memo(dict):
 
 
 def chains(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token positions without stops, start of each chain among them); chains end at stops, documents' ends and CHAIN tokens."""
+    """(token positions without stops, start of each chain among them); chains end at stops and documents' ends."""
     stop = np.isinf(values)
     keep = np.flatnonzero(~stop)
     if not len(keep):
         return keep, np.zeros(0, np.int64)
     group = np.cumsum(stop)[keep]
     new = np.r_[True, (group[1:] != group[:-1]) | (docs[keep][1:] != docs[keep][:-1])]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(keep)), 0))
-    new |= (np.arange(len(keep)) - first) % CHAIN == 0
     return keep, np.flatnonzero(new)
 
 
-def _layout(starts: np.ndarray, n: int):
-    """Chains longest first: (order, lengths, starts) and how many are alive at each step."""
-    lengths = np.diff(np.r_[starts, n])
+def _layout(starts: np.ndarray, lengths: np.ndarray):
+    """Chains longest first: starts, lengths, and how many are alive at each step."""
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     alive = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
@@ -93,9 +93,21 @@ def forward_backward(e: np.ndarray, starts: np.ndarray, trans) -> tuple[np.ndarr
     """Odds of state 1 against 0: forward r, backward s and marginal r*s, for emissions e of all chains laid end to end."""
     t = np.exp(np.asarray(trans, float))
     x, r, s = np.exp(e), np.empty(len(e)), np.ones(len(e))
-    begin, lengths, alive = _layout(starts, len(e))
+    ends = np.r_[starts[1:], len(e)]
+    (t00, t01), (t10, t11) = t.tolist()
+    for a, z in zip(starts[ends - starts > LONG].tolist(), ends[ends - starts > LONG].tolist()):
+        xs = x[a:z].tolist()
+        odds, back = [xs[0]], [1.0]
+        for v in xs[1:]:
+            odds.append(v * (t01 + odds[-1] * t11) / (t00 + odds[-1] * t10))
+        for v in xs[:0:-1]:
+            y = v * back[-1]
+            back.append((t10 + y * t11) / (t00 + y * t01))
+        r[a:z], s[a:z] = odds, back[::-1]
+    short = ends - starts <= LONG
+    begin, lengths, alive = _layout(starts[short], (ends - starts)[short])
     if not len(begin):
-        return r, s, r
+        return r, s, r * s
     prev = r[begin] = x[begin]
     for k in range(1, len(alive)):
         at = begin[: alive[k]] + k
@@ -144,7 +156,7 @@ def _lone(words: list[list[str]]) -> list[int]:
     return out
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02) -> Model:
+def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02, others: int = 20_000) -> Model:
     y = np.asarray(toxic)
     words = [_TOKENS.findall(t.lower()) for t in texts]
     if not y.sum() or y.all():
@@ -176,13 +188,15 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02)
     all_keep, all_starts = chains(values, docs)
     hit = np.fromiter((bool(of[flat[k]]) for k in all_keep), bool, len(all_keep))
     all_label = hit & (y[docs[all_keep]] == 1)
-    # chains with a labelled token or a telling feature, and a spread of the others
+    # chains with a labelled token or a telling feature, and others that stand for all without, weighted by their share
     chain = np.cumsum(np.isin(np.arange(len(all_keep)), all_starts)) - 1
     told = np.bincount(chain, hit, len(all_starts)) > 0
     rest = np.flatnonzero(~told)
-    told[rest[:: max(1, len(rest) // OTHER_CHAINS)]] = True
-    used = told[chain]
-    keep, label = all_keep[used], all_label[used].astype(float)
+    taken = rest[:: max(1, -(-len(rest) // others))]
+    weight = told.astype(float)
+    weight[taken] = len(rest) / max(1, len(taken))
+    used = weight[chain] > 0
+    keep, label, many = all_keep[used], all_label[used].astype(float), weight[chain][used]
     starts = np.flatnonzero(np.r_[True, np.diff(chain[used]) != 0])
     ids = [of[flat[k]] for k in keep]
     row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
@@ -191,7 +205,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02)
     inner[starts] = False
     nxt = np.flatnonzero(inner)
     seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (label[nxt - 1].astype(int), label[nxt].astype(int)), 1)
+    np.add.at(seen_pairs, (label[nxt - 1].astype(int), label[nxt].astype(int)), many[nxt])
     # maximum likelihood by Adagrad on the mean gradient
     w, bias, trans = np.zeros(len(names)), -3.0, np.zeros((2, 2))
     gw, gb, gt, scale = np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8), max(1.0, label.sum())
@@ -203,9 +217,10 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02)
         a1, b1, x1, t = r[nxt - 1], s[nxt], np.exp(e[nxt]), np.exp(trans)
         xi[:, 0, 0], xi[:, 0, 1], xi[:, 1, 0], xi[:, 1, 1] = t[0, 0], t[0, 1] * x1 * b1, a1 * t[1, 0], a1 * t[1, 1] * x1 * b1
         xi /= xi.sum(axis=(1, 2), keepdims=True)
-        dw = (np.bincount(col, (label - p)[row], len(names)) - l2 * w) / scale
-        db = ((label - p).sum()) / scale
-        dt = (seen_pairs - xi.sum(axis=0) - l2 * trans) / scale
+        off = many * (label - p)
+        dw = (np.bincount(col, off[row], len(names)) - l2 * w) / scale
+        db = off.sum() / scale
+        dt = (seen_pairs - (many[nxt, None, None] * xi).sum(axis=0) - l2 * trans) / scale
         gw, gb, gt = gw + dw * dw, gb + db * db, gt + dt * dt
         w, bias, trans = w + 0.5 * dw / np.sqrt(gw), bias + 0.3 * db / np.sqrt(gb), trans + 0.1 * dt / np.sqrt(gt)
     model = Model({f: float(w[i]) for f, i in names.items() if w[i]}, float(bias), tuple(map(tuple, trans.tolist())))
@@ -221,14 +236,28 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int) -> tuple[list[str], list[int]]:
-    """Bounded sample of labelled rows outside the held-out fifth; ids are chosen by hash before any text is read."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int, characters: int) -> tuple[list[str], list[int]]:
+    """Bounded sample of labelled rows outside the held-out fifth.
+
+    Of each label the ``sample`` documents that come first by a hash of doc_id are looked at (their lengths alone), and taken in that
+    order as long as their characters fit; a document that does not fit is passed over.  2 * characters at most reach the driver.
+    """
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     open_rows = one.filter(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
+    texts = id_and_text(docs).filter("doc_id is not null")
+    sized = open_rows.join(texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")), "doc_id")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = open_rows.filter("toxic = 1").orderBy(*by_hash).limit(sample).unionByName(open_rows.filter("toxic = 0").orderBy(*by_hash).limit(sample))
-    rows = id_and_text(docs).filter(F.length("text") <= longest).join(F.broadcast(ids), "doc_id").collect()  # 2 * sample ids at most
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    seen = [r for k in (1, 0) for r in sized.filter(F.col("toxic") == k).orderBy(*by_hash).limit(sample).collect()]  # 2 * sample rows
+    left, ids = {0: characters, 1: characters}, []
+    for r in seen:
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            ids.append((r["doc_id"], r["toxic"]))
+    if not ids:
+        return [], []
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int"))
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
@@ -265,7 +294,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     """
     import pyarrow as pa
 
-    carry = list(carry or [])
+    carry = [c for c in carry or [] if c not in ("doc_id", "held_out", "score", "predicted", "spans")]
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
@@ -285,5 +314,6 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     return scored.select(F.col("__id").alias("doc_id"), *carry, held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.col("__spans").alias("spans"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, longest: int = 4000, carry: list[str] | None = None) -> DataFrame:
-    return score(docs, fit(*training_rows(docs, labels, sample, longest)), carry)
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, characters: int = 8_000_000, carry: list[str] | None = None) -> DataFrame:
+    """Scores all rows of docs by a tagger trained on at most sample documents and characters of each label."""
+    return score(docs, fit(*training_rows(docs, labels, sample, characters)), carry)
