@@ -4,6 +4,9 @@ Documents are tokenized, ended with an id, and cut into full windows plus one re
 dealt into groups of some thousands by a hash (so no key, source or length can make a group large),
 and each group is packed on its own: longest first, each into the tightest open window that holds it,
 found in a segment tree indexed by remaining capacity.  Only piece lengths are shuffled, never ids.
+
+Null texts are empty; an empty text is its end id alone.  A text of any length is cut into full windows first.  Rows with a
+null doc_id are packed like others.  Ties in length go by doc_id and start.  Other columns are ignored, whatever their names.
 """
 from __future__ import annotations
 
@@ -89,9 +92,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int)
 
 
 def pack(pieces: DataFrame, window: int) -> DataFrame:
-    """Adds sequence_id (unique) and offset (gapless from 0).  Pieces should be materialised: they are read twice.
+    """Adds sequence_id (unique) and offset (gapless from 0).  Pieces must be a materialised table: they are read twice.
 
-    Repeated rows are packed as often as they occur; an empty table gives an empty result.
+    Repeated rows are packed as often as they occur, each by its place in the table, so that copies of one row spread over the
+    groups too; an empty table gives an empty result.
     """
     import pandas as pd
 
@@ -103,7 +107,7 @@ def pack(pieces: DataFrame, window: int) -> DataFrame:
         return pdf.drop(columns="part").assign(sequence_id=np.array(bins, np.int64) + (int(key[0]) << 32), offset=np.array(offsets, np.int64))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     return pieces.withColumn("part", part).groupBy("part").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 

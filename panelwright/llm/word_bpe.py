@@ -6,6 +6,7 @@ ASCII blanks only; whatever else counts as white space stays inside a chunk and
 """
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -20,6 +21,19 @@ _CHUNK = re.compile(r"[^ \t\n\r]+").findall
 #: White space of str.split() beyond the ASCII blanks: texts with any are cut at the four blanks alone.
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 _MARKS = frozenset(".,!?;:")
+#: The normalizer and pre-tokenizer of a vocabulary file for which cutting at blanks is exact.  Files with any
+#: other are encoded whole text by whole text.
+NORMALIZERS = ["NFC", r"Replace \s+", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind that NORMALIZERS and SPLIT describe."""
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds = [" ".join(filter(None, (n["type"], (n.get("pattern") or {}).get("Regex")))) for n in norm.get("normalizers", [])]
+    splits = [(s.get("pattern") or {}).get("Regex") for s in pre.get("pretokenizers", []) if s["type"] == "Split"]
+    prefixed = any(s.get("add_prefix_space") for s in pre.get("pretokenizers", []))
+    return kinds == NORMALIZERS and splits == [SPLIT] and not prefixed
 
 
 def chunks_of(text: str) -> list[str]:
@@ -32,6 +46,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_chunk = cuts_at_blanks(json.load(f))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = "<u2" if self.width == 2 else "<u4"
         self.code = "H" if self.width == 2 else "I"
@@ -103,6 +119,8 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in the narrowest unsigned type that holds the vocabulary."""
         out: list[bytes] = []
+        if not self.by_chunk:
+            return [array(self.code, self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
         for at in range(0, len(texts), 256):
             found = [chunks_of(t) for t in texts[at : at + 256]]
             if len(self.memo) > MEMO:
