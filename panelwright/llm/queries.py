@@ -90,6 +90,39 @@ ORACLE = {
  m AS (SELECT node, min(root) AS group_id FROM r GROUP BY 1), l AS (SELECT a AS node, count(*) AS n_links FROM e GROUP BY 1)
  SELECT g.doc_id, coalesce(c.class_id, g.doc_id) AS class_id, coalesce(l.n_links, 0) AS n_links, coalesce(m.group_id, g.doc_id) AS group_id
  FROM g LEFT JOIN c ON c.s = g.s AND len(g.s) > 0 LEFT JOIN m ON m.node = c.class_id LEFT JOIN l ON l.node = c.class_id""",
+    # lines within one edit share one half (of the shorter, cut in the middle) with it; candidates are compared by their characters
+    "op3_line_dedup": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ u AS (SELECT r, doc_id, unnest(range(len(ls))) AS k, unnest(ls) AS line FROM d), w AS (SELECT * FROM u WHERE length(trim(line, ' ')) > 0),
+ f AS (SELECT line, min({'d': doc_id, 'k': k}) AS at, length(line) AS n FROM w GROUP BY 1),
+ g AS MATERIALIZED (SELECT *, n // 2 AS h FROM f WHERE n >= 16),
+ o AS MATERIALIZED (SELECT *, (n - 1) // 2 AS h FROM f WHERE n >= 17),
+ e AS (SELECT a.line AS x, b.line AS y FROM g a JOIN g b ON a.n = b.n AND left(a.line, a.h) = left(b.line, b.h) AND a.at > b.at
+  UNION SELECT a.line, b.line FROM g a JOIN g b ON a.n = b.n AND right(a.line, a.n - a.h) = right(b.line, b.n - b.h) AND a.at > b.at),
+ c AS (SELECT x AS line FROM e WHERE len(list_filter(list_zip(string_split(x, ''), string_split(y, '')), lambda p: p[1] <> p[2])) = 1),
+ l AS (SELECT a.line AS x, b.line AS y, a.at AS p, b.at AS q FROM o a JOIN g b ON a.n = b.n + 1 AND left(a.line, a.h) = left(b.line, b.h)
+  UNION SELECT a.line, b.line, a.at, b.at FROM o a JOIN g b ON a.n = b.n + 1 AND right(a.line, a.n - 1 - a.h) = right(b.line, b.n - b.h)),
+ i AS (SELECT * FROM l WHERE len(list_filter(range(1, length(x) + 1), lambda j: left(x, j - 1) || substr(x, j + 1) = y)) > 0),
+ near AS (SELECT line FROM c UNION SELECT CASE WHEN p > q THEN x ELSE y END FROM i),
+ z AS (SELECT w.r, w.k FROM w JOIN f USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR {'d': w.doc_id, 'k': w.k} > f.at),
+ m AS (SELECT r, list(k) AS ks FROM z GROUP BY 1),
+ t AS (SELECT doc_id, len(ls) AS n_lines, coalesce(len(ks), 0) AS n_removed, array_to_string(list_filter(ls, lambda x, j: ks IS NULL OR NOT list_contains(ks, j - 1)), chr(10)) AS kept FROM d LEFT JOIN m USING (r))
+ SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars_kept, sha256(kept) AS kept_sha256 FROM t""",
+    # as sets of digests: sketches of equal sets are equal, and peeling gives back set differences
+    "op5_fingerprints": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS rn FROM documents),
+ x AS (SELECT *, coalesce(lead(t) OVER (ORDER BY rn), first_value(t) OVER (ORDER BY rn)) AS nx FROM d),
+ e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2) AS ed FROM x),
+ v AS (SELECT rn, unnest([1, 2, 3]) AS v, unnest([t, ed, nx]) AS s FROM e),
+ k AS (SELECT rn, v, list_distinct(list_transform(regexp_extract_all(s, '[^.!?\n]{1,120}[.!?\n]*|[.!?\n]+'), lambda p: ('0x' || substr(md5(p), 1, 15))::BIGINT)) AS ks FROM v),
+ u AS (SELECT rn, v, unnest(ks) AS key FROM k WHERE v < 3),
+ b AS (SELECT rn, v, key, key & 1073741823 AS lo, key >> 30 AS hi FROM u),
+ c AS (SELECT rn, v, key, xor((lo * 1073741789) >> 20, (hi * 998244353) >> 18) AS chk, unnest([lo % 8, 8 + hi % 8, 16 + (xor((lo * 1073741789) >> 25, hi) & 1073741823) % 8]) AS cell FROM b),
+ g AS (SELECT rn, v, cell, count(*) AS n, bit_xor(key) AS key, bit_xor(chk) AS chk FROM c GROUP BY 1, 2, 3),
+ f AS (SELECT rn, v, string_agg(cell || ':' || n || ':' || format('{:x}', key) || ':' || format('{:x}', chk), ' ' ORDER BY cell) AS cells FROM g GROUP BY 1, 2),
+ z AS (SELECT rn, max(ks) FILTER (v = 1) AS a, max(ks) FILTER (v = 2) AS e, max(ks) FILTER (v = 3) AS n FROM k GROUP BY 1),
+ m AS (SELECT rn, len(a) AS la, len(e) AS le, len(n) AS ln, len(list_intersect(a, e)) AS ie, len(list_intersect(a, n)) AS i_n FROM z)
+ SELECT e.doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, concat_ws(' ', la, fa.cells) AS fingerprint, concat_ws(' ', le, fe.cells) AS edited_fingerprint,
+ CASE WHEN la + le = 0 THEN 1.0::DOUBLE ELSE (2 * ie)::DOUBLE / (2 * (la + le - ie)) END AS near_edited, CASE WHEN la + ln = 0 THEN 1.0::DOUBLE ELSE (2 * i_n)::DOUBLE / (2 * (la + ln - i_n)) END AS near_next
+ FROM e JOIN m USING (rn) LEFT JOIN f fa ON fa.rn = e.rn AND fa.v = 1 LEFT JOIN f fe ON fe.rn = e.rn AND fe.v = 2""",
     "op7_suffix_dedup": r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
  w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM d)),
  t AS (SELECT x FROM w GROUP BY 1 HAVING count(*) > 1),
@@ -102,3 +135,10 @@ ORACLE = {
  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string([substring(h, 2 * y[1] + 1, 2 * (y[2] - y[1])) for y in ks], '') || substring(h, 2 * l + 1) END)) AS kept_sha256
  FROM d LEFT JOIN f USING (doc_id)""",
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """ORACLE, and the SQL of the licence scan, which holds its trained weights."""
+    from .license_scan import scan_sql
+
+    return ORACLE | {"op6_license_scan": scan_sql()}

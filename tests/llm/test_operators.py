@@ -136,6 +136,28 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, WORDS).count() == 0
 
 
+def test_copies_of_a_row_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 10)
+    out = packing.pack_documents(spark.createDataFrame([(1, "the same words")] * 200, "doc_id long, text string"), WORDS, 1, 64).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(out) == 200 and len(groups) > 10 and max(groups.values()) < 40
+
+
+def test_other_tokenizer_files_are_encoded_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(WORDS))
+    assert word_bpe.cuts_at_blanks(spec)
+    spec["normalizer"] = None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    mine, lib = word_bpe.ChunkEncoder(str(path)), Tokenizer.from_file(str(path))
+    for t, raw in zip(["Some Words", "", "a  b"], mine.encode(["Some Words", "", "a  b"])):
+        assert np.frombuffer(raw, mine.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(3)
     lengths = [rng.randint(1, 64) for _ in range(400)]
@@ -235,12 +257,24 @@ def test_fingerprints(docs, rows, empty):
 
 
 def test_fingerprints_retry_on_small_sketches(docs, rows, monkeypatch):
-    """Far too few cells at first: larger ones recover, or all digests count."""
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(fingerprints, "cells_for", lambda total: F.lit(8).cast("long"))
+    """Far too few cells: larger ones recover, or the digest lists settle the rest; likenesses are the same."""
+    monkeypatch.setattr(fingerprints, "ROOM", 150)
     got = fingerprints.fingerprint_versions(docs).collect()
-    assert len(got) == len(rows) and all(0 <= r["near_edited"] <= 1 for r in got)
+    order = sorted(texts(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    expect = Counter()
+    for i, (d, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        h = len(t) // 2
+        expect[d, len(t), round(likeness(paragraphs(t), paragraphs(t[: len(t) - h] + nxt[:h])), 9), round(likeness(paragraphs(t), paragraphs(nxt)), 9)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == expect
+
+
+def test_peeling_recovers_the_differing_digests(spark):
+    mine, other = {10**15 + 7919 * k for k in range(30)}, {10**15 + 7919 * k for k in range(24)} | {5 * 10**14 + k for k in range(5)}
+    dealt = spark.createDataFrame([(1, 1, sorted(mine), sorted(other), sorted(mine), 0, 12)], "bucket int, rn int, own array<long>, edited array<long>, next array<long>, pair int, expect int")
+    got = fingerprints.peel(fingerprints.larger(dealt, fingerprints.PAIRS), ["bucket", "rn", "pair"], recover=True).first()
+    assert got["rest"] == [] and got["d"] == 11
+    assert {(f["key"], f["n"]) for f in got["found"]} == {(k, 1) for k in mine - other} | {(k, -1) for k in other - mine}
 
 
 def test_fingerprints_run_no_python(docs):
@@ -261,6 +295,38 @@ def test_licence_scan(spark, docs, empty):
     assert license_scan.scan_documents(empty).count() == 0 and license_scan.scan_documents(docs).count() == docs.count()
 
 
+def test_licence_scan_runs_no_python(docs):
+    plan = license_scan.scan_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_notices_over_several_lines_and_prose(spark):
+    gpl = "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version."
+    apache = '# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+    prose = ["The terms of the license agreement between the two publishers were never released.", "He lost his fishing license and sold the boat.", "The copyright of the song was settled in court.", "The general public was let in at noon."]
+    rows = [(0, gpl), (1, "int x;\n\n" + apache + "\n\nint y;"), *((2 + k, t) for k, t in enumerate(prose)), (9, "word " * 50_000 + "\n" + "Released under the MIT License.")]
+    got = {r["doc_id"]: r["families"] for r in license_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "gpl", 1: "apache", 2: "", 3: "", 4: "", 5: "", 9: "mit"}
+
+
+def test_families_are_found_in_unseen_variations():
+    """Precision and recall of each family on notices that neither training nor calibration has seen."""
+    rng, (weights, bias) = random.Random(99), license_scan.trained()
+    right, said, asked = Counter(), Counter(), Counter()
+    for grams, c in license_scan.variations(rng, 12):
+        z = bias + sum((weights[g] for g in grams if g in weights), np.zeros(len(bias)))
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        k = int(p.argmax())
+        told = license_scan.CLASSES[k] if p[k] >= license_scan.SURE and k < len(license_scan.CLASSES) - 2 else ""
+        truth = license_scan.CLASSES[c] if c < len(license_scan.CLASSES) - 2 else ""
+        right[truth] += told == truth
+        said[told] += 1
+        asked[truth] += 1
+    for family in license_scan.TEMPLATES:
+        assert right[family] >= 0.7 * asked[family] and right[family] >= 0.9 * said[family], (family, right[family], asked[family], said[family])
+
+
 def test_gate_loses_no_confirmed_paragraph():
     gate, rng = set(license_scan.gate_words()), random.Random(1)
     for ts in license_scan.TEMPLATES.values():
@@ -337,8 +403,10 @@ def shingles(t, n=5):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
 
 
-def test_ngram_join(spark, empty, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+@pytest.mark.parametrize("block", [8, 2])
+def test_ngram_join(spark, empty, monkeypatch, block):
+    """Groups within and beyond the size that is taken apart into buckets."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(6)
     base = [text_of(rng, 120) for _ in range(6)]
     rows = [(i, t) for i, t in enumerate(base)]
@@ -427,6 +495,15 @@ def test_suffix_dedup(spark, monkeypatch, group, empty, rows):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 700)
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    made = [(d, "".join(rng.choice("ijklmn ") for _ in range(rng.randint(0, 900))) + shared[rng.randint(0, 500) :] + "é" * 300) for d in range(6)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in got) == brute_repeats(made)
+
+
 def test_multikey_groups():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 3, (300, 4))
@@ -437,6 +514,29 @@ def test_multikey_groups():
 # toxicity
 
 
+def test_long_chains_run_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    e, trans, starts = rng.normal(size=3000), rng.normal(size=(2, 2)), np.array([0, 5, 1500, 1501])
+    want = toxicity.forward_backward(e, starts, trans)
+    monkeypatch.setattr(toxicity, "LONG", 10_000)
+    for a, b in zip(want, toxicity.forward_backward(e, starts, trans)):
+        assert np.allclose(a, b)
+
+
+def test_training_rows_are_bounded_and_take_long_texts(spark):
+    docs = spark.createDataFrame([(d, "x" * (9000 if d % 2 else 10)) for d in range(60)] + [(1, "y"), (1, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 0, d % 3 == 0) for d in range(60)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    got, toxic = toxicity.training_rows(docs, labels, 100, 20_000)
+    assert all(sum(len(t) for t, k in zip(got, toxic) if k == label) <= 20_000 for label in (0, 1)) and any(len(t) == 9000 for t in got)
+    assert len(got) == len(toxic) <= 60
+
+
+def test_carried_columns_give_way_to_results(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "k")], "doc_id long, text string, score int, mine string")
+    out = toxicity.score(docs, toxicity.Model(), ["score", "mine"])
+    assert out.columns == ["doc_id", "mine", "held_out", "score", "predicted", "spans"] and out.first()["mine"] == "k"
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
@@ -481,6 +581,31 @@ def test_toxicity_without_labels(spark, docs, rows, empty):
     assert toxicity.toxicity(docs, none).count() == len(rows) and toxicity.toxicity(empty, none).count() == 0
 
 
+# shared helpers
+
+
+def test_scratch_deletes_what_was_made_inside(spark):
+    import os
+
+    from panelwright.llm.common import fresh_dir, materialise, scratch
+
+    with scratch(spark) as made:
+        kept = materialise(spark.range(3), "kept")
+        materialise(spark.range(2), "gone")
+        gone = made[1]
+        made.remove(made[0])
+    assert kept.count() == 3 and not os.path.exists(gone.removeprefix("file://")) and fresh_dir(spark, "x")
+
+
+def test_split_join_is_an_inner_join(spark):
+    from panelwright.llm.common import split_join
+
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 1, k) for k in range(500)], "key int, v int")
+    per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("v").alias("top")).filter("key <> 3")
+    got = split_join(rows, per_key, ["key"], "n", F.xxhash64("v"))
+    assert sorted(map(tuple, got.select("key", "v", "top").collect())) == sorted(map(tuple, rows.join(per_key, "key").select("key", "v", "top").collect()))
+
+
 # components
 
 
