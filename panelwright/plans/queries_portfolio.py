@@ -11,7 +11,7 @@ from ..sources import panels
 from . import oracle_engine as eng
 from . import oracle_sql as sql
 from .catalogue import full_panel, query, rounded
-from .queries_evaluation import _IC, _LAYERS, _ROLLED, FACTORS, two_factors
+from .queries_evaluation import _FWD, _IC, _LAYERS, _ROLLED, FACTORS, two_factors
 
 
 def _signals(df):
@@ -227,10 +227,23 @@ def regime_switch(spark, sf_dir):
     return _signals(strategies.regime_switch(p, strategies.detect_regime(p), {"trend_up": "gtja_momentum", "range": "mean_reversion", "volatile": "rsi_reversal"}))
 
 
-@query("audit_by_regime")
+def _regime_audit() -> str:
+    """CTE rc: coverage, stability and dispersion of both factors, on the rows of each regime alone."""
+    by = "PARTITION BY factor, regime, code"
+    f20 = f"OVER ({by} ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    stab = sql.cor("r", "lr", 20).replace("PARTITION BY code", by)
+    return f"""{_FWD}, {regime_sql(False)}, ra AS (SELECT regime, date, code, unnest(['{FACTORS[0]}', '{FACTORS[1]}']) AS factor, unnest([mom, vr]) AS x FROM b JOIN rg USING (date)), rk AS (SELECT *, {sql.prank('x', 'date, factor')} AS r FROM ra), rl AS (SELECT *, lag(r, 5) OVER ({by} ORDER BY date) AS lr FROM rk),
+ rc AS (SELECT factor, regime, CASE WHEN count(*) {f20} = 20 THEN avg(CASE WHEN x IS NULL THEN 0.0 ELSE 1.0 END) {f20} END AS cov, CASE WHEN {stab} IS NOT NULL THEN least(greatest({stab}, -1), 1) END AS stab, stddev_samp(x) OVER (PARTITION BY factor, date) / nullif(avg(abs(x)) OVER (PARTITION BY factor, date), 0) AS disp, row_number() OVER (PARTITION BY factor, date ORDER BY code) AS rn FROM rl)"""
+
+
+_MEDIANS = {"coverage": "avg(cov)", "stability": "quantile_cont(stab, 0.5)", "dispersion": "quantile_cont(disp, 0.5) FILTER (rn = 1)"}
+
+
+@query("audit_by_regime", f"WITH RECURSIVE {_regime_audit()} SELECT factor, regime, {', '.join(sql.rounded(x, 6, n) for n, x in _MEDIANS.items())}, coalesce(avg(cov) >= 0.8 AND {_MEDIANS['stability']} >= 0.3 AND {_MEDIANS['dispersion']} >= 0.1, false) AS active FROM rc GROUP BY 1, 2")
 def audit_by_regime(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
-    return evaluation.audit_factors_by_regime(factors.with_factors(p, FACTORS), FACTORS, strategies.detect_regime(p), lookback=20)
+    made = evaluation.audit_factors_by_regime(factors.with_factors(p, FACTORS), FACTORS, strategies.detect_regime(p), lookback=20)
+    return made.select("factor", "regime", *[rounded(c, 6).alias(c) for c in _MEDIANS], "active")
 
 
 # allocation and risk
