@@ -10,7 +10,7 @@ whose licence classes together reach SURE count as unknown.
 
 Every n-gram with a weight holds a telling word (a word of a template that is not common).  A paragraph without any has no
 evidence but the biases, which say none, and is passed over before any n-gram is made; that changes no result.  The
-weights, a few thousand rows at any corpus size, are broadcast.
+weights, some hundred n-grams at any corpus size, are a literal of the plan, and a paragraph is scored in its row.
 
 Defined results: null texts are empty; an empty text is one paragraph without hits; paragraphs of any length are taken whole.
 Each input row gets a row, rows alike in doc_id and text equal ones; of families that tie the first by name counts.  An
@@ -63,7 +63,8 @@ WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 NAMES_LICENCE = r"licen[sc]e[ds]?|copyright"
 SEED, COPIES, PLAIN = 11, 40, 40
 #: Common English words, which come last when words are chosen to find candidate paragraphs by and carry no weight alone.
-COMMON = frozenset("""a above according agreed all along and any applicable are as associated at basis be but by can code conditions copies copy deal details
+STOPS = frozenset("a an and any are as at be but by can for from had has have he if in into is it its may not of on one or that the this to was were will with you your".split())
+COMMON = STOPS | frozenset("""a above according agreed all along and any applicable are as associated at basis be but by can code conditions copies copy deal details
  distributed either even except express file files fitness following for form forms free granted have holder holders hope if implied in included including into is it kind
  language later law limited list may modify more must name names neither nor not notice obtain of on one option or other particular permitted
  person prior products program promote provided public publish published purpose received required retain see sell shall should source specific
@@ -158,7 +159,7 @@ def gate_words() -> list[str]:
     out: set[str] = set()
     for ts in TEMPLATES.values():
         for t in ts:
-            ws = sorted(set(words_of(t)), key=lambda w: (w in COMMON, of[w], -len(w), w))
+            ws = sorted(set(words_of(t)), key=lambda w: (w in STOPS, w in COMMON, of[w], -len(w), w))
             out.update(ws[: int(len(ws) * (1 - CONFIRM) + 1e-9) + 1])
     return sorted(out.union(telling_words()))
 
@@ -168,32 +169,40 @@ def paragraphs_of(text):
     return F.split(F.regexp_replace(F.regexp_replace(text, MARKS, ""), WRAP, "$1 "), "\n")
 
 
+def _once(df: DataFrame, keys: list[str], **values) -> DataFrame:
+    """keys and the named values, computed once a row: a generator in between, through which no later filter or column is pushed or copied."""
+    made = F.explode(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))).alias("__once")
+    return df.select(*keys, made).select(*keys, "__once.*")
+
+
 def scan_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, th, paragraph, family, probability: one row for each paragraph with licence wording."""
-    spark = docs.sparkSession
     weights, bias = trained()
-    columns = [f"w{i}" for i in range(len(CLASSES))]
-    values = ", ".join("('%s', %s)" % (g, ", ".join(f"{x:.4f}D" for x in ws)) for g, ws in sorted(weights.items()))
-    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(gram, {', '.join(columns)})")
     keyed = id_and_text(docs).withColumn("th", F.xxhash64("text"))
     gate = r"(?i)(?<![a-z0-9])(?:%s)(?![a-z0-9])" % "|".join(re.escape(w).replace(r"\-", "-") for w in gate_words())
-    lines = keyed.select("doc_id", "th", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "line")).filter(F.col("line").rlike(gate))
-    words = lines.select("doc_id", "th", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)).alias("words"))
+    lines = keyed.filter(F.col("text").rlike(gate)).select("doc_id", "th", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "line")).filter(F.col("line").rlike(gate))
+    keys = ["doc_id", "th", "paragraph"]
+    words = _once(lines, keys, words=F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0)))
+    size = F.size("words")
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+    def listed(xs):
+        return F.array(*[F.lit(x) for x in xs])
+
+    # of a paragraph, however long, only the words of templates and the n-grams with a weight go on
+    vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
+    few = _once(words, keys, known=F.array_intersect("words", listed(vocabulary)), grams=F.array_intersect(F.concat("words", pairs), listed(sorted(weights)))).filter(F.size("grams") > 0)
 
     def held(template):
         ws = sorted(set(words_of(template)))
-        return F.size(F.array_intersect(F.array(*[F.lit(w) for w in ws]), "words")) / F.lit(float(len(ws)))
+        return F.size(F.array_intersect("known", listed(ws))) / F.lit(float(len(ws)))
 
-    likes = {f"like{i}": F.greatest(*[held(t) for t in TEMPLATES[f]], F.lit(0.0)) for i, f in enumerate(sorted(TEMPLATES))}
-    size = F.size("words")
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(size - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    judged = words.withColumns(likes).withColumn("grams", F.array_distinct(F.concat("words", pairs)))
-    keys = ["doc_id", "th", "paragraph"]
-    grams = judged.select(*keys, *likes, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").dropDuplicates([*keys, "gram"])
-    met = grams.groupBy(*keys).agg(*[F.max(c).alias(c) for c in likes], *[F.sum(c).alias(c) for c in columns])
+    table = F.create_map(*[x for g, ws in sorted(weights.items()) for x in (F.lit(g), F.array(*[F.lit(float(w)) for w in ws]))])
+    start = F.array(*[F.lit(float(b)) for b in bias])
+    scores = F.aggregate("grams", start, lambda total, g: F.zip_with(total, F.element_at(table, g), lambda a, b: a + b))
+    likes = F.array(*[F.greatest(*[held(t) for t in TEMPLATES[f]], F.lit(0.0)) for f in sorted(TEMPLATES)])
     families = sorted(TEMPLATES)
-    scores = F.array(*[F.col(c) + F.lit(float(b)) for c, b in zip(columns, bias)])
-    scored = met.select(*keys, F.array(*likes).alias("likes"), scores.alias("scores")).withColumn("top", F.array_max("scores"))
+    scored = _once(few, keys, likes=likes, scores=scores).withColumn("top", F.array_max("scores"))
     total = F.aggregate("scores", F.lit(0.0), lambda t, s: t + F.exp(s - F.col("top")))
     scored = scored.withColumns({"total": total, "at": F.array_position("scores", F.col("top")).cast("int")})
     none = F.exp(F.element_at("scores", -1) - F.col("top")) / F.col("total")
