@@ -158,7 +158,8 @@ def _lone(words: list[list[str]]) -> list[int]:
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 100, l2: float = 0.02, others: int = 20_000) -> Model:
     y = np.asarray(toxic)
-    words = [_TOKENS.findall(t.lower()) for t in texts]
+    same: dict[str, str] = {}  # one object for each distinct token
+    words = [[same.setdefault(w, w) for w in _TOKENS.findall(t.lower())] for t in texts]
     if not y.sum() or y.all():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(doc=(float(np.log(share / (1 - share))), 0.0, 0.0))
