@@ -315,6 +315,6 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     return scored.select(F.col("__id").alias("doc_id"), *carry, held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), F.col("__spans").alias("spans"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, characters: int = 8_000_000, carry: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 2000, characters: int = 2_500_000, carry: list[str] | None = None) -> DataFrame:
     """Scores all rows of docs by a tagger trained on at most sample documents and characters of each label."""
     return score(docs, fit(*training_rows(docs, labels, sample, characters)), carry)
