@@ -75,7 +75,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_line_dedup, op4_media_columns, op5_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_store, op9_toxicity, op10_byte_bpe)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import collapse_runs, planted_tail, run_report
+
+    return run_report(collapse_runs(table(spark, sf_dir, "documents"), planted_tail))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_line_dedup, op4_media_columns, op5_fingerprints, op6_license_scan, op7_suffix_dedup, op8_token_store, op9_toxicity, op10_byte_bpe, op11_hard_negatives, op12_periodic_runs, op13_mixing)}
 
 #: DuckDB SQL for the operators that it can express.  The others call tokenizers, trained models or file formats, or would
 #: compare all pairs of lines; tests hold them to brute force, round trips and held-out accuracy.
@@ -134,6 +152,40 @@ ORACLE = {
  SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string([substring(h, 2 * y[1] + 1, 2 * (y[2] - y[1])) for y in ks], '') || substring(h, 2 * l + 1) END)) AS kept_sha256
  FROM d LEFT JOIN f USING (doc_id)""",
+    # trigrams that recur at distance q, as islands; one start and length is one run, of its least q.  crc32 by nibbles
+    "op12_periodic_runs": r"""WITH w0 AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ t AS (SELECT list(list_reduce([v, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t FROM (SELECT unnest(range(16)) AS v)),
+ h AS (SELECT r, xor(list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x) & 15, ascii(x) >> 4])), lambda c, v: xor(t[1 + (xor(c, v) & 15)], c >> 4)), 4294967295) AS h FROM w0, t WHERE doc_id IS NOT NULL),
+ e AS (SELECT r, doc_id, ws, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN h // 10 END AS g FROM w0 LEFT JOIN h USING (r)),
+ f AS (SELECT r, doc_id, n, CASE WHEN g IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[1 + CASE WHEN i < g % n THEN i ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END]) END AS ws FROM e),
+ p AS (SELECT r, n, unnest(range(n - 2)) AS i, ws FROM f WHERE n >= 6),
+ k AS MATERIALIZED (SELECT r, n, i, md5(ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) AS x FROM p),
+ j AS (SELECT a.r, a.i, b.i - a.i AS q FROM k a JOIN k b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+ s AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM j),
+ u AS (SELECT r, q, min(i) AS start, count(*) + 2 + q AS length FROM s GROUP BY r, q, g),
+ v AS (SELECT r, start, length, min(q) AS period FROM u WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+ m AS (SELECT r, count(*) AS n_runs, arg_max({'s': start, 'l': length, 'p': period}, {'l': length, 's': -start, 'p': -period}) AS b, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM v GROUP BY r),
+ d AS (SELECT r, list(DISTINCT i) AS ks FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM v) GROUP BY r),
+ z AS (SELECT r, list(y ORDER BY i) AS kept FROM (SELECT r, unnest(ws) AS y, unnest(range(n)) AS i FROM f SEMI JOIN d USING (r)) ANTI JOIN (SELECT r, unnest(ks) AS i FROM d) USING (r, i) GROUP BY r)
+ SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli, sha256(coalesce(t, '')) AS runs_sha256,
+ sha256(array_to_string(CASE WHEN n_runs IS NULL THEN ws ELSE kept END, ' ')) AS collapsed_sha256 FROM f LEFT JOIN m USING (r) LEFT JOIN z USING (r)""",
+    "op13_mixing": r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+ w AS (SELECT *, [5.0, 2.0, 1.0][1 + i % 3]::DOUBLE AS w, sum(n) OVER () AS total FROM s),
+ c AS (SELECT *, sum(2 * n) OVER o - 2 * n AS capped, sum(w) OVER () - (sum(w) OVER o - w) AS free FROM w WINDOW o AS (ORDER BY n / w, i)),
+ l AS (SELECT min_by((1.5 * total - capped)::DOUBLE / free, n / w) AS level FROM c WHERE (1.5 * total - capped)::DOUBLE / free * w <= 2 * n),
+ g AS (SELECT source, i, n, CASE WHEN w * coalesce(level, 1e300) >= 2 * n THEN (2 * n)::DOUBLE ELSE w * level END AS target FROM w, l),
+ b AS (SELECT d.doc_id, size, n, target, i % 3 AS k, floor(target + 0.5)::BIGINT AS goal, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS x FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+ p AS (SELECT *, greatest(least(goal - x, size), 0) AS p1, greatest(least(goal - x - n, size), 0) AS p2, CASE WHEN target > 0 THEN CASE WHEN goal > x AND size > 0 THEN x ELSE x + n END / target END AS y FROM b)
+ SELECT doc_id, size, n AS source_size, target, p1 + p2 AS taken, (p1 > 0)::BIGINT + (p2 > 0)::BIGINT AS n_plays,
+ CASE WHEN p1 + p2 > 0 THEN round(CASE k WHEN 0 THEN 2 * (y * 5) / (3 + sqrt(9 + 8 * (y * 5))) WHEN 1 THEN y ELSE 2 * y / (1.5 + sqrt(greatest(2.25 - 2 * y, 0))) END, 9) END AS first_at FROM p""",
+    "op11_hard_negatives": r"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS MATERIALIZED (SELECT a.r AS ar, a.vec_id AS a, b.r AS br, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY s DESC, b NULLS LAST, br) <= 5),
+ n AS (SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.s DESC, s.b NULLS LAST, s.br) AS rank, s.b AS negative_id, p.s AS positive_score, s.s AS negative_score
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+ SELECT * FROM n WHERE rank <= 3""",
 }
 
 
