@@ -52,19 +52,20 @@ def _factor(args) -> None:
         names = args.name.split(",")
         out = evaluation.evaluate_factors(data if set(names) <= set(data.columns) else factors.with_factors(data, names), names, tuple(args.window))
     else:
-        old = io.load_state(data.sparkSession, args.out) if args.out and not args.full else None
-        limits = {"active": args.active, "decay": args.decay, "min_sustain": args.min_sustain}
-        states, changes, skipped = lifecycle.update_monitor(data, old, args.name.split(",") if args.name else None, tuple(args.window), args.rolling, args.min_periods, exclude_untradable=not args.keep_untradable, **limits)
-        for name in skipped:
-            print("skipped:", name)
+        limits = {"active": args.active, "decay": args.decay, "min_sustain": args.min_sustain, "exclude_untradable": not args.keep_untradable}
+        asked = (args.name.split(",") if args.name else None, tuple(args.window), args.rolling, args.min_periods)
         if args.out:
+            changes, skipped = lifecycle.run_monitor(data, args.out, *asked, full=args.full, **limits)
             changes = changes.persist()
-            io.save_state(states if old is None else lifecycle.merge_states(old, states), args.out)
             if not changes.isEmpty():
                 io.save_changes(changes, args.out)
             print(lifecycle.render_changes(changes))
             changes.unpersist()
             states = io.load_state(data.sparkSession, args.out)
+        else:
+            states, _, skipped, _ = lifecycle.update_monitor(data, None, None, *asked, **limits)
+        for name in skipped:
+            print("skipped:", name)
         out = lifecycle.status_table(states)
         args.out = None
     if args.out:

@@ -15,23 +15,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import div0, positive, ratio
-from .timeseries import by_code, corr, cumulative_sum, delay, delta, ewm, ewm_position, rank_pct, rolling_cov, rolling_mean, rolling_std, rolling_sum, ts_max, ts_min
+from .timeseries import corr, delay, delta, ewm_position, rank_pct, rolling_cov, rolling_mean, rolling_std, rolling_sum, running_ewm, running_last, running_max, running_sum, ts_max, ts_min
 
 #: c: windows within a code, d: ranks within a date.
 LEVELS = ("c0", "c1", "c2", "c3", "d0", "c4", "c5", "d1", "c6")
 
 
 class Terms:
-    """Collects the terms of several factors, by level."""
+    """Collects the terms of several factors, by level.
 
-    def __init__(self):
+    Resumed, the rows are the last ones before and all new ones (__new).  Ranks of old dates are then those of the run that saw the whole date
+    (columns that end in _was), and operators that look back on all rows go on from their states (columns that end in _at)
+    over the rows that these do not hold yet (__fresh).
+    """
+
+    def __init__(self, resumed: bool = False):
         self.by_level: dict[str, dict[str, Column]] = {k: {} for k in LEVELS}
+        self.resumed, self.states = resumed, []
 
     def __call__(self, level: str, term: Column) -> Column:
         name = "__" + level + hashlib.md5(f"{term}".encode()).hexdigest()[:16]
-        self.by_level[level][name] = term
+        self.by_level[level][name] = F.when(F.col("__new"), term).otherwise(F.col(f"{name}_was")) if self.resumed and level[0] == "d" else term
+        return F.col(name)
+
+    def running(self, level: str, op: Callable, x, *args) -> Column:
+        """A term of an operator that looks back on all rows; its state is the column of the same name that ends in _now."""
+        x = F.col(x) if isinstance(x, str) else x
+        name = "__" + level + hashlib.md5(f"{op.__name__} {x} {args}".encode()).hexdigest()[:16]
+        value, state = op(F.when(F.col("__fresh"), x), *args, carry=F.col(f"{name}_at")) if self.resumed else op(x, *args)
+        self.by_level[level] |= {name: value, f"{name}_now": state}
+        self.states = sorted({*self.states, name})
         return F.col(name)
 
+    @property
+    def ranks(self) -> list[str]:
+        return sorted(n for level in LEVELS if level[0] == "d" for n in self.by_level[level])
+
     def applied(self, df: DataFrame) -> DataFrame:
         for level in LEVELS:
             if self.by_level[level]:
@@ -79,9 +98,9 @@ def list_factors(tag: str | None = None, kind: str | None = None) -> list[str]:
     return sorted(n for n, s in _REGISTRY.items() if (tag is None or tag in s.tags) and (kind is None or s.kind == kind))
 
 
-def with_factors(df: DataFrame, names: list[str], params: dict[str, dict] | None = None) -> DataFrame:
-    """The panel with a column for each factor.  Aliases share the primary's terms.  A missing input raises KeyError before any plan is built."""
-    terms, outs = Terms(), {}
+def scored(df: DataFrame, names: list[str], params: dict[str, dict] | None = None, resumed: bool = False) -> tuple[DataFrame, Terms]:
+    """The panel with a column for each factor, all terms' columns still there.  A missing input raises KeyError before any plan is built."""
+    terms, outs = Terms(resumed), {}
     for name in names:
         spec = get_spec(name)
         if spec.kind != "single":
@@ -89,7 +108,12 @@ def with_factors(df: DataFrame, names: list[str], params: dict[str, dict] | None
         if missing := [c for c in spec.needs if c not in df.columns]:
             raise KeyError(f"{name} needs {missing}")
         outs[name] = spec.func(terms, **{**spec.params, **(params or {}).get(name, {})})
-    return terms.applied(ewm_position(df)).select(*df.columns, *[c.cast("double").alias(n) for n, c in outs.items()])
+    return terms.applied(ewm_position(df)).select("*", *[c.cast("double").alias(n) for n, c in outs.items() if n not in df.columns]), terms
+
+
+def with_factors(df: DataFrame, names: list[str], params: dict[str, dict] | None = None) -> DataFrame:
+    """The panel with a column for each factor.  Aliases share the primary's terms."""
+    return scored(df, names, params)[0].select(*df.columns, *[n for n in names if n not in df.columns])
 
 
 def with_factor(df: DataFrame, name: str, **params) -> DataFrame:
@@ -231,7 +255,7 @@ def calc_vol_rank_intraday_corr_6d(t):
 @single(47, "volume_price")
 def calc_williams_r_smoothed_6d(t):
     top, low = t("c0", ts_max("high", 6)), t("c0", ts_min("low", 6))
-    return t("c2", ewm(t("c1", ratio(top - C(), top - low) * 100), 9, 1))
+    return t.running("c2", running_ewm, t("c1", ratio(top - C(), top - low) * 100), 9, 1)
 
 
 @single(118, "volume_price")
@@ -273,7 +297,7 @@ def calc_vol_rsi_6d(t):
 def _ewm_rsi(t, column: str, n: int) -> Column:
     d = t("c0", delta(column, 1))
     gain, size = t("c1", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0)))), t("c1", F.abs(d))
-    return div0(t("c2", ewm(gain, n, 1)), t("c2", ewm(size, n, 1))) * 100
+    return div0(t.running("c2", running_ewm, gain, n, 1), t.running("c2", running_ewm, size, n, 1)) * 100
 
 
 # volatility
@@ -356,15 +380,15 @@ def calc_ma_slope_20d(t):
 
 @single(89, "trend")
 def calc_macd_like(t):
-    d = t("c1", t("c0", ewm("close", 13, 2)) - t("c0", ewm("close", 27, 2)))
-    return (d - t("c2", ewm(d, 10, 2))) * 2
+    d = t("c1", t.running("c0", running_ewm, "close", 13, 2) - t.running("c0", running_ewm, "close", 27, 2))
+    return (d - t.running("c2", running_ewm, d, 10, 2)) * 2
 
 
 # volume-weighted price
 
 
 def _vwap(t) -> Column:
-    money, volume = t("c1", cumulative_sum(t("c0", _typical() * V()))), t("c1", cumulative_sum("volume"))
+    money, volume = t.running("c1", running_sum, t("c0", _typical() * V())), t.running("c1", running_sum, "volume")
     return t("c2", ratio(money, volume))
 
 
@@ -394,7 +418,7 @@ def calc_rsi(t, window=14):
 @single(None, "volume_price")
 def calc_obv(t):
     signed = t("c1", F.coalesce(F.signum(_move(t)), F.lit(0.0)) * V())
-    return t("c2", cumulative_sum(signed))
+    return t.running("c2", running_sum, signed)
 
 
 @single(None, "volume_price")
@@ -409,7 +433,7 @@ def calc_atr(t, window=14):
 
 @single(None, "liquidity", needs=("close", "volume"))
 def calc_amihud(t, window=20):
-    filled = t("c0", F.last("close", ignorenulls=True).over(by_code()))
+    filled = t.running("c0", running_last, "close")
     back = F.abs(ratio(t("c1", delta(filled, 1)), t("c1", delay(filled, 1))))
     traded = V() * C()
     return t("c3", rolling_mean(t("c2", F.when(traded > 0, ratio(back, traded))), window))
@@ -455,7 +479,7 @@ def calc_moneyflow_net_ratio(t):
 @single(None, "moneyflow", "mining", needs=("net_mf_amount",))
 def calc_moneyflow_streak(t):
     inflow = F.coalesce(F.col("net_mf_amount") > 0, F.lit(False))
-    ended = t("c0", F.max(F.when(~inflow, F.col("__t"))).over(by_code()))
+    ended = t.running("c0", running_max, F.when(~inflow, F.col("__t")))
     return F.when(inflow, F.col("__t") - F.coalesce(ended, F.lit(-1))).otherwise(0)
 
 

@@ -4,61 +4,34 @@ from __future__ import annotations
 from datetime import date as Day
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import backtest, evaluation, strategies
+from .carry import Carry, started
 from .factors import get_spec, list_factors, with_factors
+from .timeseries import islands, sustained
 
 KEYS = ["factor", "fwd_window"]
 
 
-def candidate(t: float | None, active: float = 2.0, decay: float = 1.0) -> str:
-    if t is None or t != t:
-        return "dead"
-    return "reverse" if t <= -active else "active" if t >= active else "decaying" if t >= decay else "dead"
-
-
-def run_states(ts: list, active: float = 2.0, decay: float = 1.0, min_sustain: int = 20) -> list[str]:
-    """State of each day: a new candidate takes over after min_sustain days in a row."""
-    if min_sustain < 1 or decay >= active:
-        raise ValueError("need min_sustain >= 1 and decay < active")
-    out, now, waiting, days = [], None, None, 0
-    for t in ts:
-        c = candidate(t, active, decay)
-        if now is None:
-            now = c
-        if c == now:
-            waiting, days = None, 0
-        else:
-            days = days + 1 if c == waiting else 1
-            waiting = c
-            if days >= min_sustain:
-                now, waiting, days = c, None, 0
-        out.append(now)
-    return out
+def candidate(t: str = "t_stat", active: float = 2.0, decay: float = 1.0) -> Column:
+    """The state that a t statistic stands for; a missing one is dead."""
+    t = F.nanvl(F.col(t), F.lit(None).cast("double"))
+    return F.when(t <= -active, "reverse").when(t >= active, "active").when(t >= decay, "decaying").otherwise("dead")
 
 
 def state_machine(rolled: DataFrame, active: float = 2.0, decay: float = 1.0, min_sustain: int = 20) -> DataFrame:
     """date, factor, fwd_window, ic, rolling_ic, rolling_ir, t_stat, state, sustain_days, old_state (null but where the state changes).
 
-    One group per factor and window.
+    The state is the last candidate that stood for min_sustain days in a row; the first day's candidate until there is one.
     """
-    import pandas as pd
-
+    if min_sustain < 1 or decay >= active:
+        raise ValueError("need min_sustain >= 1 and decay < active")
     cols = ["date", *KEYS, "ic", "rolling_ic", "rolling_ir", "t_stat"]
-
-    def run(pdf):
-        pdf = pdf.sort_values("date")
-        states = run_states([None if pd.isna(t) else t for t in pdf["t_stat"]], active, decay, min_sustain)
-        days, olds = [], []
-        for now, old in zip(states, [None, *states]):
-            days.append(days[-1] + 1 if now == old else 1)
-            olds.append(None if old is None or now == old else old)
-        return pdf[cols].assign(state=states, sustain_days=days, old_state=olds)
-
-    kinds = dict(rolled.dtypes)
-    return rolled.select(*cols).groupBy(*KEYS).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", state string, sustain_days long, old_state string")
+    out = sustained(rolled.select(*cols, candidate("t_stat", active, decay).alias("__c")), "__c", min_sustain, "state", KEYS)
+    before = F.lag("state").over(Window.partitionBy(*KEYS).orderBy("date"))
+    return islands(out.withColumn("__b", before), "state", KEYS).select(*cols, "state", F.col("__place").cast("long").alias("sustain_days"), F.when(F.col("__b") != F.col("state"), F.col("__b")).alias("old_state"))
 
 
 def diff_states(states: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -104,38 +77,62 @@ def monitor(data: DataFrame, names: list[str] | None = None, windows=(5,), windo
     return out if since is None else out.filter(F.col("date") >= F.lit(since))
 
 
-#: Rows of history that the longest factor looks back on.
-LOOKBACK = 60
-
-
-def update_monitor(data: DataFrame, old: DataFrame | None, names: list[str] | None = None, windows=(5,), window: int = 60, min_periods: int = 20, min_obs: int = 5, exclude_untradable: bool = True, **states) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(new rows, changes against the old table, factors left out).  Only the tail of data is read again.
+def update_monitor(data: DataFrame, old: DataFrame | None, carry: Carry | None, names: list[str] | None = None, windows=(5,), window: int = 60, min_periods: int = 20, min_obs: int = 5, exclude_untradable: bool = True, **states) -> tuple[DataFrame, DataFrame, list[str], Carry]:
+    """(new rows, changes against the old table, factors left out, carry for the next run).  old and carry: of the run before; without them
+    (or with other factors or windows) everything is read.
 
-    The tail starts a window, two lookbacks and the longest forward window before the old table's last date; its values are adopted from
-    a lookback and a forward window before that date on, where all of them are settled.  The state machine runs over the old
-    statistics before that date and the new ones after it, so that it remembers what a full run would.
+    Of data only the dates after the last run are read.  The carry holds, for each code, its last rows and the states of all terms that
+    look back further, so that factors of new rows are those of a full run however long a code was away.  New rows also complete
+    forward returns of each code's last rows before; the correlations of those dates are made anew over their whole cross-section,
+    however old they are.  States run over all correlations, one row a date and factor.  New rows: all from the first such date on.
     """
     every = names or [n for n in list_factors(kind="single") if get_spec(n).alias_of is None]
-    usable = usable_factors(data, every)
-    last = None if old is None else old.agg(F.max("date")).first()[0]
-    days = [] if last is None else sorted(r["date"] for r in data.select("date").distinct().collect())  # one row a date
-    at = days.index(last) if last in days else -1
-    cut = at - (window + 2 * LOOKBACK + max(windows))
-    if cut <= 0:
-        new = monitor(data, usable, windows, window, min_periods, None, min_obs, exclude_untradable, **states)
+    usable, skipped = usable_factors(data, every), skipped_factors(data, every)
+    if old is None or carry is None or not carry.serves(usable, windows):
+        carry = started(data, usable, windows, exclude_untradable)
+        ics = carry.ics(usable, windows, min_obs)
+        new = state_machine(evaluation.rolling_ic(ics, window, min_periods), **states)
+        return new, diff_states(new, old) if old is not None else diff_states(new).limit(0), skipped, carry
+    carry, done = carry.advanced(data, usable, windows, exclude_untradable)
+    dates = sorted(r["date"] for r in done.select("date").distinct().collect())  # one row a date
+    kept = old.select("date", *KEYS, "ic").filter(F.col("factor").isin(usable) & ~F.col("date").isin(dates))
+    ics = kept.unionByName(carry.ics(usable, windows, min_obs, dates).select("date", *KEYS, "ic"))
+    new = state_machine(evaluation.rolling_ic(ics, window, min_periods), **states)
+    new = new.filter(F.col("date") >= F.lit(dates[0])) if dates else new.limit(0)
+    return new, diff_states(new, old), skipped, carry
+
+
+def run_monitor(data: DataFrame, root: str, names: list[str] | None = None, windows=(5,), window: int = 60, min_periods: int = 20, min_obs: int = 5, exclude_untradable: bool = True, full: bool = False, **states) -> tuple[DataFrame, list[str]]:
+    """The monitor over a store (``sources.dated``): (changes, factors left out).
+
+    The first run, a full one, or one with other factors reads all of data; any other reads the dates after the last run, and writes new rows, what the
+    carry gained, and one row for each code.  States and carry of a version belong together.
+    """
+    from ..sources import dated, io
+
+    spark = data.sparkSession
+    every = names or [n for n in list_factors(kind="single") if get_spec(n).alias_of is None]
+    usable, skipped = usable_factors(data, every), skipped_factors(data, every)
+    version = (dated.versions(spark, root) or [None])[-1]
+    old = None if version is None else dated.read(spark, root, "states", version)
+    carry = None if old is None or full else io.load_carry(spark, root, version)
+    if carry is None or not carry.serves(usable, windows):
+        made = started(data, usable, windows, exclude_untradable)
+        segments = [dated.put(spark, root, t, getattr(made, t)) for t in ("codes", "scored", "returns")]
+        stored = Carry(*[spark.read.parquet(s.path) for s in segments])
+        new = state_machine(evaluation.rolling_ic(stored.ics(usable, windows, min_obs), window, min_periods), **states)
+        segments.append(dated.put(spark, root, "states", new))
     else:
-        adopt = F.lit(days[at - (LOOKBACK + max(windows))])
-        rolled = rolled_ics(data.filter(F.col("date") >= F.lit(days[cut])), usable, windows, window, min_periods, min_obs, exclude_untradable)
-        cols = ["date", *KEYS, "ic", "rolling_ic", "rolling_ir", "t_stat"]
-        whole = rolled.filter(F.col("date") >= adopt).select(*cols).unionByName(old.filter((F.col("date") < adopt) & F.col("factor").isin(usable)).select(*cols))
-        new = state_machine(whole, **states).filter(F.col("date") >= adopt)
-    changes = diff_states(new) if old is None else diff_states(new, old)
-    return new, changes.limit(0) if old is None else changes, skipped_factors(data, every)
-
-
-def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Old rows but those that new ones replace, and the new ones."""
-    return old.join(new.select("date", *KEYS), ["date", *KEYS], "left_anti").unionByName(new, allowMissingColumns=True)
+        new, _, _, next_ = update_monitor(data, old, carry, names, windows, window, min_periods, min_obs, exclude_untradable, **states)
+        scored, returns = next_.added
+        put = dated.put(spark, root, "states", new, dated.APPEND)
+        since = spark.read.parquet(put.path).agg(F.min("date")).first()[0]
+        segments = [] if since is None else [dated.Segment("states", put.path, since)]
+        segments += [dated.put(spark, root, "codes", next_.codes), dated.put(spark, root, "scored", scored, dated.APPEND), dated.put(spark, root, "returns", returns, dated.APPEND)]
+    wrote = [s for s in segments if s.table == "states"]
+    written = spark.read.parquet(wrote[0].path) if wrote else new.limit(0)
+    dated.commit(spark, root, segments)
+    return diff_states(written).limit(0) if old is None else diff_states(written, old), skipped
 
 
 def status_table(states: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import chain, groupby, repeat
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions.nulls import ratio
 from .cleaning import run_keys
 from .evaluation import combine_factor_scores
 from .factors import with_factors
-from .timeseries import by_code, change, rank_pct, rolling_mean, rolling_std, rows
+from .timeseries import by_code, change, ewm, ewm_position, islands, rank_pct, rolling_mean, rolling_quantile, rolling_std, rows, sustained
 
 _STRATEGIES: dict[str, Callable] = {}
 
@@ -230,34 +229,47 @@ def pair_zscores(data: DataFrame, pairs: DataFrame, lookback: int = 60, beta_met
     return out.select("pair", "code_a", "code_b", "date", "log_a", "log_b", z.alias("z"))
 
 
+def own_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs without those that name a code which an earlier one has taken.  pairs: pair (their order), code_a, code_b.
+
+    A pair stays if no earlier pair that stays shares a code with it.  Round by round, pairs that come first for both of their codes stay and
+    those that share a code with them go; most lists are done in one round.
+    """
+    left, kept = pairs.select("pair", "code_a", "code_b"), []
+    while True:
+        codes = left.select("pair", F.explode(F.array("code_a", "code_b")).alias("code"))
+        first = codes.groupBy("code").agg(F.min("pair").alias("first"))
+        judged = codes.join(first, "code").groupBy("pair").agg(F.min(F.col("first") == F.col("pair")).alias("stays"))
+        stay = left.join(judged.filter("stays"), "pair", "left_semi")
+        kept.append(stay)
+        taken = stay.select(F.explode(F.array("code_a", "code_b")).alias("code"))
+        free = left.join(taken.withColumnRenamed("code", "code_a"), "code_a", "left_anti").join(taken.withColumnRenamed("code", "code_b"), "code_b", "left_anti")
+        left = free.select("pair", "code_a", "code_b")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
+
+
 @register_strategy("pair_trading")
-def pair_trading(data: DataFrame, pairs: list[tuple[str, str]] = (), lookback=60, entry_zscore=2.0, exit_zscore=0.5, beta_method="ols") -> DataFrame:
-    """Enter against a wide spread, leave at a narrow one; the first pair to name a code has it."""
-    import pandas as pd
-
-    taken, kept = set(), []
-    for a, b in pairs:
-        if a not in taken and b not in taken:
-            taken |= {a, b}
-            kept.append((len(kept), a, b))
-    spark = data.sparkSession
-    scored = pair_zscores(data, F.broadcast(spark.createDataFrame(kept, "pair int, code_a string, code_b string")), lookback, beta_method)
-
-    def run(pdf):
-        pdf, held, side, sure = pdf.sort_values("date"), 0, [], []
-        for z in pdf["z"]:
-            if z == z:
-                if held == 0:
-                    held = 1 if z < -entry_zscore else -1 if z > entry_zscore else 0
-                elif abs(z) < exit_zscore:
-                    held = 0
-            known = z == z and held != 0
-            side.append(held if known else 0)
-            sure.append(min(abs(z) / entry_zscore, 1.0) if known else 0.0)
-        both = [pd.DataFrame({"date": pdf["date"], "code": pdf[c], "signal": [k * s for s in side], "confidence": sure}) for c, k in (("code_a", 1), ("code_b", -1))]
-        return pd.concat(both)
-
-    legs = scored.groupBy("pair").applyInPandas(run, "date date, code string, signal int, confidence double").filter("signal <> 0 and confidence > 0")
+def pair_trading(data: DataFrame, pairs: list[tuple[str, str]] | DataFrame = (), lookback=60, entry_zscore=2.0, exit_zscore=0.5, beta_method="ols") -> DataFrame:
+    """Enter against a wide spread, leave at a narrow one; the first pair to name a code has it.
+
+    pairs: a table (pair, code_a, code_b), or a list of codes two by two.  After a narrow spread the first wide one gives the side, until the
+    next narrow one: rows between two narrow ones are one stretch, so no state is carried from row to row.
+    """
+    if exit_zscore > entry_zscore:
+        raise ValueError("exit_zscore must not lie above entry_zscore")
+    if not isinstance(pairs, DataFrame):
+        pairs = data.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, code_a string, code_b string")
+    scored = pair_zscores(data, own_pairs(pairs), lookback, beta_method)
+    by = Window.partitionBy("pair").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    z = F.col("z")
+    wide = F.when(z < -entry_zscore, 1).when(z > entry_zscore, -1)
+    stretches = scored.withColumn("__stretch", F.count(F.when(F.abs(z) < exit_zscore, 1)).over(by))
+    held = F.first(wide, ignorenulls=True).over(Window.partitionBy("pair", "__stretch").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    sure = F.least(F.abs(z) / entry_zscore, F.lit(1.0))
+    sides = stretches.withColumn("__held", held).filter("z is not null and __held is not null").select("date", "code_a", "code_b", "__held", sure.alias("confidence"))
+    legs = sides.select("date", F.explode(F.array(F.struct(F.col("code_a").alias("code"), F.col("__held").alias("signal")), F.struct(F.col("code_b").alias("code"), (-F.col("__held")).alias("signal")))).alias("l"), "confidence")
+    legs = legs.select("date", "l.*", "confidence").filter("confidence > 0")
     return data.select("date", "code").join(legs, ["date", "code"], "left").select("date", "code", F.coalesce("signal", F.lit(0)).alias("signal"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
@@ -312,78 +324,66 @@ def regime_inputs(data: DataFrame, trend_window: int = 20) -> DataFrame:
     return made.groupBy("date").agg((F.avg("__up") - 0.5).alias("breadth"), F.percentile("__r", F.lit(0.5)).alias("median_return"), F.stddev_samp("__d").alias("realized_vol"))
 
 
-def merge_short_runs(labels: list, least: int) -> list:
-    """Runs of fewer than least days give way to a neighbour.
+def persistent(days: DataFrame, label: str, least: int, name: str) -> DataFrame:
+    """Adds name: the label with its short islands (runs of equal labels under ``least`` days) taken in.  days: one row a date.
 
-    The days are read from left to right into islands.  An island that is still short when another label begins takes that label's
-    run in and its name; a run that comes to an island long enough, but is short itself, is taken in under the island's name.
+    Up to the first island with which ``least`` days are over, all days bear that island's label (the last island's, if there are too few
+    days).  From then on a day bears the label of the last island of ``least`` days or more, its own included; that first one's until there is one.
     """
-    def islands():
-        for label, days in groupby(labels):
-            yield label, len(list(days))
-
-    done: list[tuple] = []
-    for label, n in islands():
-        name, size = done[-1] if done else (None, 0)
-        if done and size < least and name != label:
-            done[-1] = (label, size + n)
-        elif done and n < least:
-            done[-1] = (name, size + n)
-        else:
-            done.append((label, n))
-    return list(chain.from_iterable(repeat(label, n) for label, n in done))
-
-
-def confirm(labels: list, lag: int) -> list:
-    """Changes of label take effect only after lag days in a row."""
-    if lag <= 0 or len(labels) <= 1:
-        return list(labels)
-    out, sure, pending, since = [], labels[0], None, 0
-    for i, x in enumerate(labels):
-        if pending is not None and x == pending:
-            if i - since >= lag:
-                sure, pending = pending, None
-        elif pending is not None or x != sure:
-            pending, since = x, i
-        out.append(sure)
-    return out
-
-
-def _over_dates(df: DataFrame, func: Callable, schema: str) -> DataFrame:
-    """A function of the whole date series: one row a day, thousands at most, in one group."""
-    return df.groupBy(F.lit(1).alias("__one")).applyInPandas(lambda pdf: func(pdf.sort_values("date").reset_index(drop=True)), schema)
+    cut = islands(days.withColumn("__all", F.lit(1)), label, ["__all"])  # dates are few: one row a day
+    each = cut.groupBy("__island").agg(F.first(label).alias("l"), F.count("*").alias("n"))
+    by = Window.orderBy("__island")
+    each = each.withColumn("over", F.sum("n").over(by) >= least)
+    start = each.agg(F.min(F.when(F.col("over"), F.col("__island"))).alias("at"), F.max("__island").alias("end"))
+    base = each.join(F.broadcast(start), F.col("__island") == F.coalesce("at", "end")).select(F.col("__island").alias("at"), F.col("l").alias("base"))
+    named = each.join(F.broadcast(base))
+    long = F.when((F.col("n") >= least) & (F.col("__island") > F.col("at")), F.col("l"))
+    named = named.withColumn(name, F.coalesce(F.last(long, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.col("base")))
+    return cut.join(F.broadcast(named.select("__island", name)), "__island").drop("__island", "__place", "__all")
+
+
+def index_trend(index: DataFrame, short: int = 50, long: int = 200) -> DataFrame:
+    """date, bull and bear: an index's close beyond its short mean, and that beyond the long one; days without a close are passed over."""
+    w = Window.orderBy("date")  # one index, one row a day
+
+    def mean(n):
+        rows_ = w.rowsBetween(-(n - 1), 0)
+        return F.when(F.count("close").over(rows_) == n, F.avg("close").over(rows_))
+
+    s, l = mean(short), mean(long)
+    c = F.col("close")
+    made = index.filter("close is not null").select("date", ((c > s) & (s > l)).alias("bull"), ((c < s) & (s < l)).alias("bear"))
+    return made.select("date", *[F.coalesce(x, F.lit(False)).alias(x) for x in ("bull", "bear")])
 
 
 def detect_regime(data: DataFrame, trend_window=20, vol_lookback=60, vol_high_pct=75.0, vol_low_pct=25.0, strong=0.2, weak=0.15, ema_span=5, min_persistence=7, index: DataFrame | None = None) -> DataFrame:
     """date, regime: trend_up, trend_down, volatile or range.  Thresholds of the first days are those of the whole sample (a look-ahead, kept)."""
-    import numpy as np
-
-    daily = regime_inputs(data, trend_window)
-    daily = daily.join(index.select("date", F.col("close").alias("idx")), "date", "left") if index is not None else daily.withColumn("idx", F.lit(None).cast("double"))
-
-    def run(pdf):
-        smooth = pdf[["breadth", "median_return", "realized_vol"]].astype(float)
-        if ema_span > 1:
-            smooth = smooth.ewm(span=ema_span, min_periods=1).mean()
-        b, m, v = smooth["breadth"], smooth["median_return"], smooth["realized_vol"]
-        high, low = (v.rolling(vol_lookback, min_periods=20).quantile(q / 100).fillna(v.quantile(q / 100)) for q in (vol_high_pct, vol_low_pct))
-        hot, cold, up, down = v > high, v < low, (b > 0) | (m > 0), (b < 0) | (m < 0)
-        label = np.full(len(pdf), "range", dtype=object)
-        for mask, name in ((hot & (b.abs() > strong) & up, "trend_up"), (hot & (b.abs() > strong) & down, "trend_down"), (hot & ~(b.abs() > strong), "volatile"), (~hot & ~cold & (b.abs() > weak) & up, "trend_up"), (~hot & ~cold & (b.abs() > weak) & down, "trend_down")):
-            label[mask.to_numpy()] = name
-        if pdf["idx"].notna().any():
-            c = pdf["idx"].dropna()
-            s, l = c.rolling(50, min_periods=50).mean(), c.rolling(200, min_periods=200).mean()
-            bull, bear = ((c > s) & (s > l)).reindex(pdf.index, fill_value=False), ((c < s) & (s < l)).reindex(pdf.index, fill_value=False)
-            label[((label == "trend_up") & bear.to_numpy()) | ((label == "trend_down") & bull.to_numpy())] = "range"
-        return pdf[["date"]].assign(regime=merge_short_runs(list(label), min_persistence) if min_persistence > 1 else label)
-
-    return _over_dates(daily, run, "date date, regime string")
+    days = ewm_position(regime_inputs(data, trend_window).withColumn("code", F.lit("all")))  # one row a day
+    inputs = ("breadth", "median_return", "realized_vol")
+    if ema_span > 1:
+        days = days.select("date", "code", *[ewm(c, ema_span + 1, 2, 1).alias(c) for c in inputs])
+    whole = Window.partitionBy("code")
+    limits = {n: F.coalesce(rolling_quantile("realized_vol", q / 100, vol_lookback, 20), F.percentile("realized_vol", F.lit(q / 100)).over(whole)) for n, q in (("high", vol_high_pct), ("low", vol_low_pct))}
+    days = days.withColumns(limits)
+
+    def holds(x):
+        return F.coalesce(x, F.lit(False))
+
+    b, m, v = (F.col(c) for c in inputs)
+    hot, cold, up, down = holds(v > F.col("high")), holds(v < F.col("low")), holds(b > 0) | holds(m > 0), holds(b < 0) | holds(m < 0)
+    wide, mild = holds(F.abs(b) > strong), ~hot & ~cold & holds(F.abs(b) > weak)
+    label = F.when(mild & down, "trend_down").when(mild & up, "trend_up").when(hot & ~wide, "volatile").when(hot & down, "trend_down").when(hot & up, "trend_up").otherwise("range")
+    days = days.select("date", label.alias("label"))
+    if index is not None:
+        days = days.join(F.broadcast(index_trend(index)), "date", "left")
+        against = ((F.col("label") == "trend_up") & holds(F.col("bear"))) | ((F.col("label") == "trend_down") & holds(F.col("bull")))
+        days = days.select("date", F.when(against, "range").otherwise(F.col("label")).alias("label"))
+    return persistent(days, "label", min_persistence, "regime").select("date", "regime")
 
 
 def regime_switch(data: DataFrame, regimes: DataFrame, strategies: dict[str, str], confirmation_lag: int = 10) -> DataFrame:
     """Signals of the confirmed regime's strategy.  Strategies look back only, so each runs once and rows are picked by date; other regimes give 0."""
-    sure = _over_dates(regimes, lambda pdf: pdf.assign(regime=confirm(pdf["regime"].tolist(), confirmation_lag)), "date date, regime string")
+    sure = sustained(regimes.select("date", "regime", F.lit(1).alias("__all")), "regime", confirmation_lag + 1, "sure", ["__all"]).select("date", F.col("sure").alias("regime"))
     parts = [get_strategy(s)(data).withColumn("__regime", F.lit(r)) for r, s in strategies.items()]
     chosen = reduce(DataFrame.unionByName, parts).join(F.broadcast(sure), "date").filter(F.col("__regime") == F.col("regime"))
     out = data.select("date", "code").join(chosen.select("date", "code", "signal", "confidence"), ["date", "code"], "left")

@@ -100,12 +100,38 @@ def rank_pct(x, within=("date",)) -> Column:
     return F.when(x.isNotNull(), (F.rank().over(w) + (ties - 1) / 2) / total)
 
 
+def _so_far():
+    return by_code().rowsBetween(Window.unboundedPreceding, 0)
+
+
+# Operators that look back on all rows give their value and the state that a later run goes on from.  ``carry`` is the state of
+# the rows before the first one (null: there are none).
+
+
+def running_sum(x, carry: Column | None = None) -> tuple[Column, Column]:
+    total = F.sum(_col(x)).over(_so_far())
+    total = total if carry is None else F.coalesce(total + carry["v"], total, carry["v"])
+    return total, F.struct(total.cast("double").alias("v"))
+
+
+def running_last(x, carry: Column | None = None) -> tuple[Column, Column]:
+    last = F.last(_col(x), ignorenulls=True).over(_so_far())
+    last = last if carry is None else F.coalesce(last, carry["v"])
+    return last, F.struct(last.cast("double").alias("v"))
+
+
+def running_max(x, carry: Column | None = None) -> tuple[Column, Column]:
+    most = F.max(_col(x)).over(_so_far())
+    most = most if carry is None else F.greatest(most, carry["v"])
+    return most, F.struct(most.cast("double").alias("v"))
+
+
 def cumulative_sum(x) -> Column:
-    return F.sum(_col(x)).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
+    return running_sum(x)[0]
 
 
 def forward_fill(x) -> Column:
-    return F.last(_col(x), ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
+    return running_last(x)[0]
 
 
 def rolling_quantile(x, q: float, n: int, least: int) -> Column:
@@ -136,18 +162,25 @@ def ewm_block(keep: float) -> int:
     return min(rows_, max(1, int(690 / rate)))
 
 
-def ewm(x, n: int, m: int) -> Column:
-    """Exponential mean with weight m/n, adjusted, nulls keeping their place; null until n values have been seen.
+def ewm(x, n: int, m: int, least: int | None = None) -> Column:
+    """Exponential mean with weight m/n, adjusted, nulls keeping their place; null until ``least`` (n) values have been seen.
 
     Needs ``ewm_position``.  Weights are powers relative to a block of rows; a row sums its own block so far and the block
     before.  What lies before that weighs less than double precision, whatever the rate, since the block's length follows it.
     """
+    return running_ewm(x, n, m, least)[0]
+
+
+def running_ewm(x, n: int, m: int, least: int | None = None, carry: Column | None = None) -> tuple[Column, Column]:
+    """``ewm`` and its state: both sums as they stand at the row ``at``, and the values seen."""
     if not 0 < m <= n:
         raise ValueError("the weight m / n must lie above 0 and not above 1")
-    x, keep = _col(x), 1 - m / n
+    x, keep, least = _col(x), 1 - m / n, n if least is None else least
+    nothing = F.lit(0.0)
+    seen = F.count(x).over(_so_far()) + (0 if carry is None else F.coalesce(carry["seen"], F.lit(0)))
     if keep == 0:  # only the last value counts
-        last_value = F.last(x, ignorenulls=True).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
-        return F.when(F.count(x).over(by_code().rowsBetween(Window.unboundedPreceding, 0)) >= n, last_value)
+        last_value, state = running_last(x, None if carry is None else F.struct(carry["num"].alias("v")))
+        return F.when(seen >= least, last_value), F.struct(last_value.cast("double").alias("num"), F.lit(1.0).alias("den"), seen.alias("seen"), F.col("__t").cast("long").alias("at"))
     size = ewm_block(keep)
     block, inner = F.floor(F.col("__t") / size), F.col("__t") % size
     lift = F.pow(F.lit(1 / keep), inner)
@@ -155,8 +188,25 @@ def ewm(x, n: int, m: int) -> Column:
     last = Window.partitionBy("code").orderBy(block).rangeBetween(-1, -1)
     fade = F.pow(F.lit(keep), F.lit(float(size)))
 
-    def total(v):
-        return F.coalesce(F.sum(v).over(here), F.lit(0.0)) + F.coalesce(F.sum(v).over(last), F.lit(0.0)) * fade
+    def total(v, part):
+        # the carry, as it weighs at the first row of the block
+        before = nothing if carry is None else F.coalesce(carry[part] * F.pow(F.lit(keep), (block * size - carry["at"]).cast("double")), nothing)
+        return F.coalesce(F.sum(v).over(here), nothing) + F.coalesce(F.sum(v).over(last), nothing) * fade + before
+
+    num, den = total(x * lift, "num"), total(F.when(x.isNotNull(), lift), "den")
+    return F.when(seen >= least, ratio(num, den)), F.struct((num / lift).alias("num"), (den / lift).alias("den"), seen.alias("seen"), F.col("__t").cast("long").alias("at"))
+
+
+def islands(df: DataFrame, label: str, keys: list[str], order: str = "date") -> DataFrame:
+    """Adds __island, the number of the row's run of equal labels among rows alike in keys, and __place, its place in it from 1 on."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    marked = df.withColumn("__turn", F.when(F.lag(label).over(by).eqNullSafe(F.col(label)) & (F.row_number().over(by) > 1), 0).otherwise(1))
+    numbered = marked.withColumn("__island", F.sum("__turn").over(by)).drop("__turn")
+    return numbered.withColumn("__place", F.row_number().over(Window.partitionBy(*keys, "__island").orderBy(order)))
+
 
-    seen = F.count(x).over(by_code().rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(seen >= n, ratio(total(x * lift), total(F.when(x.isNotNull(), lift))))
+def sustained(df: DataFrame, label: str, days: int, name: str, keys: list[str], order: str = "date") -> DataFrame:
+    """Adds name: the last label that has stood for ``days`` rows in a row, from the row on that completes them; the first row's until then."""
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    stood = F.last(F.when(F.col("__place") >= days, F.col(label)), ignorenulls=True).over(by)
+    return islands(df, label, keys, order).withColumn(name, F.coalesce(stood, F.first(label).over(by))).drop("__island", "__place")

@@ -37,14 +37,14 @@ _simple("op_sma", _col(lambda: ts.ewm("close", 12, 2)), sql.ewm("close", 12, 2))
 
 
 def _long_ewm(name: str, n: int, m: int) -> None:
-    """The exponential mean on daily bars by return flag, some 2,500 rows a code, by its recursion."""
+    """The exponential mean on daily bars by return flag, some 2,500 rows a code, by its recursion.  Values lie in the thousands: four decimals."""
     keep = repr(1 - m / n)
     ctes = f"d AS MATERIALIZED (SELECT *, row_number() OVER ({sql.BC}) AS i FROM ({sql.bars('l_returnflag').replace(chr(39) + 'week' + chr(39), chr(39) + 'day' + chr(39))})), e AS (SELECT code, i, close AS a, 1.0::DOUBLE AS b FROM d WHERE i = 1 UNION ALL SELECT d.code, d.i, d.close + a * {keep}, 1 + b * {keep} FROM e JOIN d ON d.code = e.code AND d.i = e.i + 1)"
 
-    @query(name, f"WITH RECURSIVE {ctes} SELECT date, code, {sql.rounded(f'CASE WHEN i >= {n} THEN a / b END', 6, 'value')} FROM d JOIN e USING (code, i)")
+    @query(name, f"WITH RECURSIVE {ctes} SELECT date, code, {sql.rounded(f'CASE WHEN i >= {n} THEN a / b END', 4, 'value')} FROM d JOIN e USING (code, i)")
     def run(spark, sf_dir):
         made = ts.ewm_position(panels.daily_bars(spark, sf_dir)).withColumn("value", ts.ewm("close", n, m))
-        return made.select("date", "code", rounded("value", 6).alias("value"))
+        return made.select("date", "code", rounded("value", 4).alias("value"))
 
 
 _long_ewm("op_sma_slow", 250, 1)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import announcements, backtest, cleaning, evaluation, factors, lifecycle, pairs, portfolio, strategies
-from ..sources import panels
+from ..sources import dated, io, panels
 from . import oracle_engine as eng
 from . import oracle_sql as sql
 from .catalogue import full_panel, query, rounded
@@ -559,8 +559,7 @@ def pair_zscores(spark, sf_dir):
  zl AS (SELECT date, pair, held AS s, least(abs(zt.z) / 2.0, 1.0) AS c FROM zt JOIN zn USING (pair, i) WHERE zt.z IS NOT NULL AND held <> 0), zs AS (SELECT date, code_a AS code, s, c FROM zl JOIN pr USING (pair) UNION ALL SELECT date, code_b, -s, c FROM zl JOIN pr USING (pair))
  SELECT p.date, p.code, coalesce(s, 0) AS signal, {sql.rounded('coalesce(c, 0)', 6, 'confidence')} FROM p LEFT JOIN zs ON zs.date = p.date AND zs.code = p.code AND c > 0""")
 def pair_trading(spark, sf_dir):
-    named = [(r["code_a"], r["code_b"]) for r in panels.pairs(spark, sf_dir).orderBy("pair").collect()]  # the strategy takes a list of pairs
-    return _signals(strategies.get_strategy("pair_trading")(panels.bars(spark, sf_dir), named))
+    return _signals(strategies.get_strategy("pair_trading")(panels.bars(spark, sf_dir), panels.pairs(spark, sf_dir)))
 
 
 # announcements
@@ -651,16 +650,6 @@ def monitor_states(spark, sf_dir):
     return _states(spark, sf_dir).select("date", "factor", "fwd_window", *[rounded(c, 6).alias(c) for c in _STATE_VALUES], "state", "sustain_days", "old_state")
 
 
-@query("monitor_update", f"WITH RECURSIVE {_ST}, ds AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM p)) SELECT st.date, factor, fwd_window, {sql.rounded('t_stat', 6, 't_stat')}, state, sustain_days FROM st JOIN ds USING (date) WHERE i >= n - 10 - 65")
-def monitor_update(spark, sf_dir):
-    """New rows after a table that ends five dates earlier: as a full run has them, from the tail alone."""
-    p = panels.bars(spark, sf_dir)
-    last = p.select("date").distinct().orderBy(F.col("date").desc()).limit(6).agg(F.min("date")).first()[0]
-    old = lifecycle.monitor(p.filter(F.col("date") <= F.lit(last)), FACTORS, min_sustain=5)
-    new = lifecycle.update_monitor(p, old, FACTORS, min_sustain=5)[0]
-    return new.select("date", "factor", "fwd_window", rounded("t_stat", 6).alias("t_stat"), "state", "sustain_days")
-
-
 @query("monitor_changes", f"WITH RECURSIVE {_ST} SELECT date, factor, fwd_window, old_state, state AS new_state FROM st WHERE old_state IS NOT NULL")
 def monitor_changes(spark, sf_dir):
     return lifecycle.diff_states(_states(spark, sf_dir))
@@ -698,6 +687,35 @@ def monitor_all_factors(spark, sf_dir):
     return lifecycle.status_table(lifecycle.monitor(panels.bars(spark, sf_dir), min_sustain=5)).withColumn("t_stat", rounded("t_stat", 2))
 
 
+#: Codes whose number is 1 modulo 4 are away for 100 dates up to the sixth date from the end, where the old run stands.
+_AWAY = 100
+_GAPPED = f"""p0 AS ({sql.bars()}), ds AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS back FROM (SELECT DISTINCT date FROM p0)),
+ p AS (SELECT p0.* FROM p0 JOIN ds USING (date) WHERE NOT (code::INT % 4 = 1 AND back BETWEEN 5 AND 5 + {_AWAY})),
+ fd AS (SELECT min(date) AS first FROM (SELECT date, lead(date, 5) OVER ({sql.BC}) AS done FROM p) WHERE done > (SELECT date FROM ds WHERE back = 5))"""
+
+
+def gapped_panel(spark, sf_dir):
+    """The panel without those rows, and the date at which the old run stands."""
+    p = panels.bars(spark, sf_dir)
+    dates = p.select("date").distinct().withColumn("back", F.row_number().over(Window.orderBy(F.col("date").desc())) - 1)  # one row a date
+    p = p.join(F.broadcast(dates), "date").filter(~((F.col("code").cast("int") % 4 == 1) & F.col("back").between(5, 5 + _AWAY))).drop("back")
+    return p, dates.filter("back = 5").first()["date"]
+
+
+@query("monitor_update", f"WITH RECURSIVE {_all_states().replace(sql.P, _GAPPED, 1)} SELECT date, factor, fwd_window, {sql.rounded('t_stat', 2, 't_stat')}, state, sustain_days FROM st WHERE date >= (SELECT first FROM fd)")
+def monitor_update(spark, sf_dir):
+    """New rows of all bar factors after a run that ends five dates earlier, from what it carried and the last five dates alone.
+
+    A quarter of the codes come back after 100 dates; the rows from their last dates on are those of a full run.
+    """
+    p, last = gapped_panel(spark, sf_dir)
+    root = dated.working_folder(spark, "monitor")
+    lifecycle.run_monitor(p.filter(F.col("date") <= F.lit(last)), root, _BAR_FACTORS, min_sustain=5)
+    old, carry = io.load_state(spark, root), io.load_carry(spark, root)
+    new = lifecycle.update_monitor(p, old, carry, _BAR_FACTORS, min_sustain=5)[0]
+    return new.select("date", "factor", "fwd_window", rounded("t_stat", 2).alias("t_stat"), "state", "sustain_days")
+
+
 @query("test_period_stats", f"WITH {_IC}, s AS (SELECT factor, avg(ic) AS m, stddev_samp(ic) AS sd, count(ic) AS n FROM ic WHERE date >= DATE '2000-01-01' GROUP BY 1) SELECT factor, {sql.rounded('m', 6, 'ic_mean')}, {sql.rounded('m / nullif(sd, 0) * sqrt(n)', 6, 'ic_t')}, n AS ic_n, abs(m / nullif(sd, 0) * sqrt(n)) > 2 AS sig FROM s")
 def test_period_stats(spark, sf_dir):
     ics = evaluation.ic(two_factors(spark, sf_dir), FACTORS).filter(F.col("date") >= F.lit(datetime.date(2000, 1, 1)))

@@ -7,7 +7,6 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-import uuid
 from collections.abc import Callable, Iterable
 from datetime import date as Day
 
@@ -15,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dated
+
 #: Exchange code prefixes that the listing leaves out.
 OTHER_BOARD_PREFIXES = ("4", "8", "920")
 
@@ -132,37 +133,34 @@ def cached_factor(df: DataFrame, name: str, root: str, use_cache: bool = True, *
     return load_parquet(df.sparkSession, path)
 
 
-def _folder(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
-
-
 def clear_factor_cache(spark: SparkSession, root: str, name: str | None = None) -> bool:
-    fs, path = _folder(spark, root if name is None else f"{root}/{name}")
+    fs, path = dated.folder(spark, root if name is None else f"{root}/{name}")
     return bool(fs.delete(path, True))
 
 
 def cache_info(spark: SparkSession, root: str) -> dict:
     """Bytes and files below the cache folder."""
-    fs, path = _folder(spark, root)
+    fs, path = dated.folder(spark, root)
     if not fs.exists(path):
         return {"path": root, "files": 0, "bytes": 0}
     s = fs.getContentSummary(path)
     return {"path": root, "files": int(s.getFileCount()), "bytes": int(s.getLength())}
 
 
-# monitor states: a new version folder each time, and a pointer file; nothing is written over while it is read
+# monitor states, in versions by date: an update writes its own dates only
 
 
-def save_state(states: DataFrame, root: str) -> str:
-    path = f"{root}/v-{uuid.uuid4().hex}"
-    states.write.partitionBy("factor").parquet(path)
-    spark = states.sparkSession
-    fs, pointer = _folder(spark, f"{root}/current")
-    out = fs.create(pointer, True)
-    out.write(bytearray(path.encode()))
-    out.close()
-    return path
+def save_state(states: DataFrame, root: str, since=None) -> int:
+    """A new version: states from the date since on replace those that are there (None: all of them)."""
+    return dated.publish(states.sparkSession, root, {"states": (states, since)})
+
+
+def load_carry(spark: SparkSession, root: str, version: int | None = None):
+    """What the monitor carries from run to run; None where it is not there."""
+    from ..operators.carry import Carry
+
+    parts = [dated.read(spark, root, t, version) for t in ("codes", "scored", "returns")]
+    return None if any(p is None for p in parts) else Carry(*parts)
 
 
 def save_changes(changes: DataFrame, root: str) -> None:
@@ -171,13 +169,9 @@ def save_changes(changes: DataFrame, root: str) -> None:
 
 
 def load_changes(spark: SparkSession, root: str) -> DataFrame | None:
-    fs, path = _folder(spark, f"{root}/changes")
+    fs, path = dated.folder(spark, f"{root}/changes")
     return spark.read.parquet(f"{root}/changes") if fs.exists(path) else None
 
 
 def load_state(spark: SparkSession, root: str) -> DataFrame | None:
-    fs, pointer = _folder(spark, f"{root}/current")
-    if not fs.exists(pointer):
-        return None
-    path = spark.sparkContext.wholeTextFiles(f"{root}/current").first()[1]
-    return spark.read.parquet(path.strip())
+    return dated.read(spark, root, "states")

@@ -188,9 +188,7 @@ def test_every_strategy_runs(spark, panel):
 
 
 def test_persistence_and_confirmation():
-    assert strategies.merge_short_runs(list("aaabaaaccc"), 3) == list("aaaaaaaccc")
-    assert strategies.confirm(list("aabbbbab"), 2) == list("aaaabbbb")
-    assert strategies.confirm([], 3) == [] and strategies.route_params("odd") == strategies.ROUTES["range"]
+    assert strategies.route_params("odd") == strategies.ROUTES["range"]
 
 
 def test_smoothing_matches_hand_values():
@@ -329,11 +327,7 @@ def test_surprise_pool(spark):
     assert got["c", "express"] == pytest.approx(2 / 3 - 1 / 3)
 
 
-def test_states_and_bootstrap(spark):
-    assert lifecycle.run_states([3, 3, 0, 0, 0, 3], min_sustain=2) == ["active", "active", "active", "dead", "dead", "dead"]
-    assert lifecycle.run_states([None, -3], min_sustain=1) == ["dead", "reverse"]
-    with pytest.raises(ValueError):
-        lifecycle.run_states([1], active=1, decay=2)
+def test_bootstrap():
     x = np.random.default_rng(0).normal(size=200)
     a, b = lifecycle.bootstrap_t(x, 300, 60, 1), lifecycle.bootstrap_t(x, 300, 60, 1)
     assert (a == b).all() and abs(a.mean()) < 0.2 and np.isnan(lifecycle.bootstrap_t(x[:10], 5, 60)).all()
@@ -352,21 +346,142 @@ def long_panel(spark):
 NAMES = ["calc_momentum_5d_change", "calc_momentum_6d_return", "calc_volume_ratio", "calc_rsi"]
 
 
-def test_incremental_monitor_agrees_with_a_full_run(spark, long_panel):
-    from panelwright.sources import io
+#: One for each way of looking back: sums, exponential means of each other, last values, ranks of ranks, windows of windows.  The query has all.
+BAR_FACTORS = ["calc_obv", "calc_macd_like", "calc_vwap_deviation", "calc_rsi_6d", "calc_amihud", "calc_high_vol_rank_corr_3d", "calc_cci_12d", "calc_ma_slope_20d"]
+
+
+def stamped(states):
+    return {(r["date"], r["factor"], r["fwd_window"]): (r["state"], r["sustain_days"], r["old_state"], None if r["t_stat"] is None else round(r["t_stat"], 7)) for r in states.collect()}
+
+
+@pytest.fixture(scope="module")
+def gapped(long_panel):
+    """Codes 3 and 7 are away for 130 dates and come back after the old run; 9 trades on one date in five; 11 is new."""
+    i = F.datediff("date", F.lit(D0))
+    away = (F.col("code").isin("600003", "600007") & i.between(270, 400)) | ((F.col("code") == "600009") & (i % 5 != 0)) | ((F.col("code") == "600011") & (i < 403))
+    flags = {"is_suspended": (F.col("code") == "600002") & (i % 11 == 0), "limit_up": F.lit(None).cast("boolean")}
+    return long_panel.filter(~away).withColumns(flags).cache()
+
+
+def test_incremental_monitor_agrees_with_a_full_run(spark, gapped, tmp_path):
+    """Two forward windows, codes with gaps; in two steps through the store."""
+    from panelwright.sources import dated, io
+
+    ask = dict(names=[*BAR_FACTORS, "calc_turnover"], windows=(5, 2), min_sustain=4)
+    root = f"file://{tmp_path}/monitor"
+    untouched = None
+    for end in (400, 403, 419):
+        changes, skipped = lifecycle.run_monitor(gapped.filter(F.col("date") <= F.lit(day(end))), root, **ask)
+        assert len(skipped) == 1 and "total_mv" in skipped[0]
+        paths = {s[0] for s in dated.manifest(spark, root)["states"]}
+        assert untouched is None or untouched in paths  # the first run's files stay
+        untouched = untouched or min(paths)
+    full = lifecycle.monitor(gapped, BAR_FACTORS, (5, 2), min_sustain=4)
+    want, got = stamped(full), stamped(io.load_state(spark, root))
+    assert set(got) == set(want) and len(want) > 5_000
+    wrong = {k: (got[k], want[k]) for k in want if got[k] != want[k] and not (got[k][:3] == want[k][:3] and abs(got[k][3] - want[k][3]) < 1e-6)}
+    assert not wrong
+    first = stamped(dated.read(spark, root, "states", 0))
+    assert max(k[0] for k in first) <= day(400)
+    # the last step's rows begin where a code's last forward returns were completed, before the gap
+    segments = dated.manifest(spark, root)["states"]
+    assert min(s[1] for s in segments if s[1]) < day(272).isoformat()
+
+
+def test_update_from_nothing_new_and_other_factors(spark, gapped):
+    data = gapped.filter(F.col("date") <= F.lit(day(350)))
+    states, changes, _, carry = lifecycle.update_monitor(data, None, None, NAMES, min_sustain=4)
+    assert changes.count() == 0
+    new, changes, _, again = lifecycle.update_monitor(data, states, carry, NAMES, min_sustain=4)
+    assert new.count() == 0 and changes.count() == 0 and again.codes.count() == carry.codes.count()
+    assert not carry.serves([*NAMES, "calc_obv"], (5,)) and not carry.serves(NAMES, (3,))
+    other = states.withColumn("state", F.lit("odd"))
+    assert lifecycle.diff_states(states, other).count() == states.count()
+    assert lifecycle.render_changes(lifecycle.diff_states(states)).count(" -> ") == lifecycle.diff_states(states).count()
+
+
+def labels_of(spark, seqs):
+    rows = [(k, day(i), x) for k, seq in enumerate(seqs) for i, x in enumerate(seq)]
+    return spark.createDataFrame(rows, "factor int, date date, label string").withColumn("fwd_window", F.lit(5))
+
+
+def read_off(df, name):
+    out = {}
+    for r in df.orderBy("factor", "date").collect():
+        out.setdefault(r["factor"], []).append(r[name])
+    return out
+
+
+def odd_labels(n=60):
+    rng = np.random.default_rng(11)
+    return ["".join(rng.choice(list("abc")) * int(rng.integers(1, 6)) for _ in range(int(rng.integers(1, 12)))) for _ in range(n)] + ["a", "aaabaaaccc", "aabbbbab"]
+
+
+def test_sustained_labels(spark):
+    """The label in force changes on the k-th day in a row of another one."""
+    from panelwright.operators.timeseries import sustained
+
+    seqs = odd_labels()
+    for k in (1, 2, 3):
+        got = read_off(sustained(labels_of(spark, seqs), "label", k, "now", ["factor"]), "now")
+        for j, seq in enumerate(seqs):
+            now, want = seq[0], []
+            for i, x in enumerate(seq):
+                if seq[max(0, i - k + 1) : i + 1] == x * k:
+                    now = x
+                want.append(now)
+            assert got[j] == want
+
+
+def test_state_machine_by_hand(spark):
+    t = [[3, 3, 0, 0, 0, 3], [None, -3, -3], [1.5, 1.2, float("nan"), 2.0, 2.0]]
+    rows = [(str(k), 5, day(i), 0.0, 0.0, 0.0, x) for k, seq in enumerate(t) for i, x in enumerate(map(lambda v: None if v is None else float(v), seq))]
+    df = spark.createDataFrame(rows, "factor string, fwd_window int, date date, ic double, rolling_ic double, rolling_ir double, t_stat double")
+    got = lifecycle.state_machine(df, min_sustain=2)
+    assert read_off(got, "state") == {"0": ["active"] * 3 + ["dead"] * 3, "1": ["dead", "dead", "reverse"], "2": ["decaying"] * 4 + ["active"]}
+    assert read_off(got, "sustain_days")["0"] == [1, 2, 3, 1, 2, 3] and read_off(got, "old_state")["1"] == [None, None, "dead"]
+    assert lifecycle.state_machine(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        lifecycle.state_machine(df, active=1, decay=2)
+
+
+def test_short_islands_are_taken_in(spark):
+    """Against its meaning, read from left to right: the first days wait for enough of them, then only long islands speak."""
+    for j, seq in enumerate(odd_labels(7)):
+        for least in (1, 4):
+            got = strategies.persistent(labels_of(spark, [seq]).drop("factor", "fwd_window"), "label", least, "kept")
+            runs, at = [], 0
+            for x in seq:
+                if runs and runs[-1][0] == x:
+                    runs[-1][1] += 1
+                else:
+                    runs.append([x, 1])
+            ends = np.cumsum([n for _, n in runs])
+            first = next((i for i, e in enumerate(ends) if e >= least), len(runs) - 1)
+            names = [runs[first][0]] * (first + 1)
+            for x, n in runs[first + 1 :]:
+                names.append(x if n >= least else names[-1])
+            want = [name for name, (_, n) in zip(names, runs) for _ in range(n)]
+            assert [r["kept"] for r in got.orderBy("date").collect()] == want
+
+
+def test_pair_trading_by_hand(spark, monkeypatch):
+    z = [None, 0.1, 2.5, 3.0, 1.0, -2.5, 0.4, -2.1, None, -0.6, 0.2, 1.9]
+    held = [0, 0, -1, -1, -1, -1, 0, 1, 0, 1, 0, 0]
+    scored = spark.createDataFrame([(0, "a", "b", day(i), v) for i, v in enumerate(z)], "pair int, code_a string, code_b string, date date, z double")
+    monkeypatch.setattr(strategies, "pair_zscores", lambda *a: scored)
+    data = spark.createDataFrame([(day(i), c, 1.0) for i in range(len(z)) for c in "abx"], "date date, code string, close double")
+    got = {c: [r["signal"] for r in strategies.get_strategy("pair_trading")(data, [("a", "b")]).filter(F.col("code") == c).orderBy("date").collect()] for c in "abx"}
+    assert got == {"a": held, "b": [-h for h in held], "x": [0] * len(z)}
+    with pytest.raises(ValueError):
+        strategies.get_strategy("pair_trading")(data, [], entry_zscore=1.0, exit_zscore=2.0)
+
 
-    cut = F.col("date") <= F.lit(day(400))
-    old = lifecycle.monitor(long_panel.filter(cut), NAMES, min_sustain=4).cache()
-    new, changes, skipped = lifecycle.update_monitor(long_panel, old, [*NAMES, "calc_turnover"], min_sustain=4)
-    full = {(r["date"], r["factor"]): (r["state"], r["sustain_days"], round(r["t_stat"] or 0.0, 8)) for r in lifecycle.monitor(long_panel, NAMES, min_sustain=4).collect()}
-    rows = new.collect()
-    assert rows and all(full[r["date"], r["factor"]] == (r["state"], r["sustain_days"], round(r["t_stat"] or 0.0, 8)) for r in rows)
-    assert max(r["date"] for r in rows) > day(400) and min(r["date"] for r in rows) > day(300)
-    assert len(skipped) == 1 and "total_mv" in skipped[0] and changes.count() == 0
-    other = old.withColumn("state", F.lit("odd"))
-    assert lifecycle.diff_states(new, other).count() == new.join(old, ["date", "factor", "fwd_window"], "left_semi").count()
-    assert lifecycle.render_changes(lifecycle.diff_states(old)).count(" -> ") == lifecycle.diff_states(old).count()
-    old.unpersist()
+def test_first_pair_has_the_code(spark):
+    named = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "e"), ("a", "f"), ("g", "h")]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(named)], "pair int, code_a string, code_b string")
+    assert sorted(r["pair"] for r in strategies.own_pairs(df).collect()) == [0, 2, 4, 6]
+    assert strategies.own_pairs(df.limit(0)).count() == 0
 
 
 def test_changes_are_appended(spark, tmp_path):

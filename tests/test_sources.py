@@ -64,6 +64,41 @@ def test_states_are_versioned(spark, tmp_path):
     assert io.load_state(spark, root).count() == 2
 
 
+def test_updates_write_their_own_dates(spark, tmp_path):
+    """Files of earlier dates stay as they are; each version reads as it was; a race has one winner."""
+    from panelwright.sources import dated
+
+    root = f"file://{tmp_path}/s"
+
+    def table(first, n, v):
+        return spark.createDataFrame([(D(2024, 1, d), v) for d in range(first, first + n)], "date date, v int")
+
+    def values(version=None):
+        return {r["date"].day: r["v"] for r in dated.read(spark, root, "states", version).collect()}
+
+    assert dated.manifest(spark, root) == {} and dated.read(spark, root, "states") is None
+    io.save_state(table(1, 10, 1), root)
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert io.save_state(table(5, 10, 2), root, D(2024, 1, 8)) == 1
+    dated.publish(spark, root, {"other": (table(1, 3, 9), None)})
+    assert values() == {d: 1 if d < 8 else 2 for d in range(1, 15)} and values(0) == {d: 1 for d in range(1, 11)}
+    io.save_state(table(9, 2, 3), root, D(2024, 1, 9))
+    assert values() == {**{d: 1 for d in range(1, 8)}, 8: 2, 9: 3, 10: 3} and values(1)[9] == 2
+    assert {p: p.stat().st_mtime_ns for p in files} == files
+    dated.publish(spark, root, {"other": (table(4, 1, 8), dated.APPEND)})
+    assert dated.read(spark, root, "other").count() == 4
+    before = values()
+    dated.compact(spark, root, "states")
+    assert values() == before and len(dated.manifest(spark, root)["states"]) == 1 and dated.clean(spark, root, 1) == 3
+    assert values() == before and dated.versions(spark, root) == [5]
+    late = dated.put(spark, root, "states", table(1, 1, 7))
+    (tmp_path / "s/versions/000000006.json").write_text("{}")  # another writer, between reading and renaming
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dated, "versions", lambda *a: [5])
+        with pytest.raises(RuntimeError):
+            dated.commit(spark, root, [late])
+
+
 def test_config(spark):
     c = {"strategies": {"a": {"type": "gtja_momentum", "params": {"rebalance": 5}, "weight": 2}, "b": {"type": "mean_reversion", "reversed": True}, "c": {"enabled": False}}, "risk": {"position_limit": {"max_weight": 0.2}, "t1": None}, "backtest": {"capital": 5, "trading_cost": {}, "circuit_breaker": {}, "atr_stop_loss": {"atr_multiplier": 2}}}
     assert [n for n, _, _ in config.build_strategies(config.check_config(c))] == ["a", "b"]
