@@ -3,10 +3,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
+from ..sources.dated import materialised
 from .timeseries import rolling
 
 #: Score of a forecast by its kind (labels of the exchange's forecast types).
@@ -20,39 +22,88 @@ def previous_season(end_date: Column) -> Column:
     return F.when(md == "0331", F.concat((y - 1).cast("string"), F.lit("1231"))).when(md == "0630", F.concat(year, F.lit("0331"))).when(md == "0930", F.concat(year, F.lit("0630"))).when(md == "1231", F.concat(year, F.lit("0930")))
 
 
-class Reporters:
-    """Latest (actual, predicted) profit of the codes that have both, in two sorted lists: a rank costs two searches."""
+#: Values of a season that one block holds, at most but for what the quantiles are off.
+BLOCK_ROWS = 50_000
+#: Rows of a stretch of time that are counted at a time.
+CHUNK = 8192
 
-    def __init__(self):
-        self.of, self.sorted = {}, ([], [])
 
-    def put(self, code, pair) -> None:
-        old = self.of.pop(code, None)
-        if old is not None:
-            for side, v in zip(self.sorted, old):
-                side.pop(bisect_left(side, v))
-        if None not in pair:
-            self.of[code] = pair
-            for side, v in zip(self.sorted, pair):
-                insort(side, v)
+def standing_ranks(moves: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """key, side, o, n, rank of each question: how many values stand at that time, and the average rank of its own value among them.
 
-    def surprise(self, code) -> float | None:
-        """Average rank of the code's actual profit less that of its predicted one, over the number of reporters; three at least."""
-        if len(self.of) < 3 or code not in self.of:
-            return None
-        actual, predicted = (bisect_left(side, v) + bisect_right(side, v) for side, v in zip(self.sorted, self.of[code]))
-        return (actual - predicted) / 2 / len(self.of)
+    moves: key, side, o (time, unique order across all keys), part (stretch of time that o lies in; parts follow each other), value, w (+1 comes,
+    -1 goes, 0 asks); what comes and goes at the time of a question counts.
 
+    Values of a key and side are cut into blocks at quantiles: each edge is a block of its own (so that a value that a third of the rows have
+    is one), and what lies between two edges is another.  A rank is the sum of three parts: of stretches before, from the grid of sums by stretch and block, as
+    prefix sums; of lower blocks within the stretch, one task a stretch; of lower values within an open block, one task a block.  No task holds a key.
+    """
+    import pandas as pd
 
-def pit_surprise(events: DataFrame) -> DataFrame:
+    keys = ["key", "side"]
+    most = moves.filter("w = 1").groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    cuts = max(1, -(-most // (block_rows or BLOCK_ROWS)))
+    shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
+    edges = moves.filter("w = 1").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("value", shares, 50 * cuts)).alias("edges"))
+    blocks = 2 * cuts + 1
+    lower = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    moves = moves.join(F.broadcast(edges), keys).withColumn("block", 2 * lower + F.array_contains("edges", F.col("value")).cast("int")).drop("edges")
+    # the grid: by key, side and stretch all blocks
+    cells = moves.groupBy(*keys, "part", "block").agg(F.sum("w").alias("w"))
+    dense = cells.select(*keys, "part").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(cells, [*keys, "part", "block"], "left")
+    dense = dense.withColumn("same", F.coalesce(F.sum("w").over(Window.partitionBy(*keys, "block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = Window.partitionBy(*keys, "part")
+    grid = dense.withColumns({"less": F.coalesce(F.sum("same").over(within.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("same").over(within)}).drop("w")
+
+    def stretch(pdf):
+        """Sums of each block so far, at the questions of one stretch."""
+        pdf = pdf.sort_values(["o", "ask"])
+        so_far, out = np.zeros(blocks, np.int64), []
+        for lo in range(0, len(pdf), CHUNK):
+            part = pdf.iloc[lo : lo + CHUNK]
+            one = np.zeros((len(part), blocks), np.int64)
+            one[np.arange(len(part)), part["block"]] = part["w"]
+            sums = so_far + one.cumsum(axis=0)
+            so_far, ask = sums[-1], part["ask"].to_numpy(bool)
+            up, b = sums[ask].cumsum(axis=1), part["block"].to_numpy()[ask]
+            at, own = np.arange(len(b)), sums[ask][np.arange(len(b)), b]
+            out.append(part.loc[ask, [*keys, "part", "o", "block"]].assign(less1=up[at, b] - own, same1=own, n1=up[:, -1] if len(up) else own))
+        return pd.concat(out)
+
+    def inside(pdf):
+        """Lower and equal values that stand, at the questions of one open block."""
+        standing, less, equal = [], [], []
+        pdf = pdf.sort_values(["o", "ask"])
+        for v, w in zip(pdf["value"], pdf["w"]):
+            if w > 0:
+                insort(standing, v)
+            elif w < 0:
+                standing.pop(bisect_left(standing, v))
+            left = bisect_left(standing, v)
+            less.append(left)
+            equal.append(bisect_right(standing, v) - left)
+        out = pdf[[*keys, "o"]].assign(less2=less, equal2=equal)
+        return out[pdf["ask"]]
+
+    moves = moves.withColumn("ask", F.col("w") == 0)
+    kinds = dict(moves.dtypes)
+    named = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    timed = moves.select(*keys, "part", "o", "block", "w", "ask").groupBy(*keys, "part").applyInPandas(stretch, f"{named}, part {kinds['part']}, o {kinds['o']}, block int, less1 long, same1 long, n1 long")
+    opened = moves.filter("block % 2 = 0").select(*keys, "block", "o", "value", "w", "ask").groupBy(*keys, "block").applyInPandas(inside, f"{named}, o {kinds['o']}, less2 long, equal2 long")
+    got = timed.join(grid, [*keys, "part", "block"]).join(opened, [*keys, "o"], "left")
+    equal = F.when(F.col("block") % 2 == 1, F.col("same") + F.col("same1")).otherwise(F.col("equal2"))
+    rank = F.col("less") + F.col("less1") + F.coalesce("less2", F.lit(0)) + equal / 2
+    return got.select(*keys, "o", (F.col("n") + F.col("n1")).alias("n"), rank.alias("rank"))
+
+
+def pit_surprise(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Adds raw_surprise.  A forecast scores by its kind.  An express report scores its rank by actual less its rank by predicted profit
     among the codes of its season that have reported both so far, three at least; else by its kind, the code's last forecast's first.
 
     Order within a season: announcement, code, event type.  What a code has reported (its last forecast's prediction or one that
-    an express report brings, its last actual, its last kind) comes from windows; only the ranks among reporters need a season as one group.
+    an express report brings, its last actual, its last kind) comes from windows; a pair stands until the code's next event.  Events are
+    range-partitioned in that order, and ranks among what stands come from ``standing_ranks``: no task holds a season.
     """
-    import pandas as pd
-
     forecast, express = F.col("event_type") == "forecast", F.col("event_type") == "express"
     past = Window.partitionBy("end_date", "code").orderBy("ann_date", "event_type").rowsBetween(Window.unboundedPreceding, 0)
 
@@ -63,19 +114,24 @@ def pit_surprise(events: DataFrame) -> DataFrame:
     score = F.create_map(*[F.lit(x) for kv in FORECAST_SCORE.items() for x in kv])
     kind = F.when(forecast, F.col("forecast_type")).otherwise(F.coalesce("__t", "forecast_type"))
     known = known.withColumn("__k", F.when(forecast | express, F.coalesce(F.try_element_at(score, kind), F.lit(0.0))))
-    names = [f.name for f in known.schema.fields]
-
-    def ranked(pdf):
-        season, out = Reporters(), []
-        pdf = pdf.sort_values(["ann_date", "code", "event_type"], kind="stable")
-        for code, event, p, a, k in zip(pdf["code"], pdf["event_type"], pdf["__p"], pdf["__a"], pdf["__k"]):
-            season.put(code, tuple(None if pd.isna(v) else v for v in (a, p)))
-            rank = season.surprise(code) if event == "express" else None
-            out.append(k if rank is None else rank)
-        return pdf[names].assign(raw_surprise=pd.Series(out, index=pdf.index, dtype="float64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
-    return known.groupBy("end_date").applyInPandas(ranked, f"{schema}, raw_surprise double").drop("__p", "__a", "__t", "__k")
+    order = ["end_date", "ann_date", "code", "event_type"]
+    known = known.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__o": F.monotonically_increasing_id()})
+    known = materialised(known, "announcements")
+    by_code_ = Window.partitionBy("end_date", "code").orderBy("__o")
+    both = F.col("__a").isNotNull() & F.col("__p").isNotNull()
+    ends = known.withColumns({"__next": F.lead("__o").over(by_code_), "__next_part": F.lead("__part").over(by_code_)}).filter(both)
+
+    def move(o, part, w):
+        return F.struct(F.col(o).alias("o"), F.col(part).alias("part"), F.lit(w).alias("w"))
+
+    at = F.array(move("__o", "__part", 1), F.when(F.col("__next").isNotNull(), move("__next", "__next_part", -1)), F.when(express, move("__o", "__part", 0)))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).cast("double").alias("value")) for s, c in (("a", "__a"), ("p", "__p"))])
+    moves = ends.select(F.col("end_date").alias("key"), F.explode(F.array_compact(at)).alias("m"), sides.alias("s")).select("key", "m.*", F.explode("s").alias("s")).select("key", "o", "part", "w", "s.*")
+    ranks = standing_ranks(moves, block_rows)
+    wide = ranks.groupBy(F.col("key").alias("end_date"), F.col("o").alias("__o")).agg(F.max("n").alias("__n"), F.sum(F.when(F.col("side") == "a", F.col("rank")).otherwise(-F.col("rank"))).alias("__d"))
+    out = known.join(wide, ["end_date", "__o"], "left")
+    surprise = F.when(express & (F.col("__n") >= 3), F.col("__d") / F.col("__n"))
+    return out.withColumn("raw_surprise", F.coalesce(surprise, F.col("__k"))).drop("__p", "__a", "__t", "__k", "__o", "__part", "__n", "__d")
 
 
 def acceleration(events: DataFrame, value: str = "raw_surprise") -> DataFrame:

@@ -122,3 +122,10 @@ def working_folder(spark: SparkSession, tag: str) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="panelwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, tag: str) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and what sampling has dealt out stays as it is."""
+    path = working_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -327,6 +327,37 @@ def test_surprise_pool(spark):
     assert got["c", "express"] == pytest.approx(2 / 3 - 1 / 3)
 
 
+@pytest.mark.parametrize("block_rows", [2, 30, None])
+def test_ranks_among_what_stands(spark, block_rows):
+    """Against counting, with a value that a third has, over many blocks and stretches."""
+    rng, rows, asked, standing = np.random.default_rng(5), [], {}, {}
+    for key in "uv":
+        for o in range(240):
+            code, v = int(rng.integers(0, 25)), float(rng.choice([7.0, rng.integers(0, 40), rng.normal() * 9]))
+            now = standing.setdefault(key, {})
+            stamp = (ord(key) << 20) + o
+            if code in now:
+                rows.append((key, "a", stamp, o // 17, now[code], -1))
+            now[code] = v
+            rows.append((key, "a", stamp, o // 17, v, 1))
+            if o % 3:
+                rows.append((key, "a", stamp, o // 17, v, 0))
+                asked[stamp] = (len(now), sum(x < v for x in now.values()) + sum(x == v for x in now.values()) / 2)
+    df = spark.createDataFrame(rows, "key string, side string, o long, part int, value double, w int")
+    assert {r["o"]: (r["n"], r["rank"]) for r in announcements.standing_ranks(df, block_rows).collect()} == asked
+    assert announcements.standing_ranks(df.limit(0), block_rows).count() == 0
+
+
+def test_surprise_in_small_blocks(spark):
+    rng = np.random.default_rng(6)
+    kinds = list(announcements.FORECAST_SCORE)
+    rows = [(f"{int(rng.integers(0, 30))}", day(int(rng.integers(0, 90))), str(rng.choice(["20231231", "20240331"])), str(rng.choice(["forecast", "express"])), None if rng.random() < 0.2 else float(rng.integers(0, 9)), None if rng.random() < 0.2 else float(rng.integers(0, 9)), str(rng.choice(kinds)) if rng.random() < 0.7 else None) for _ in range(500)]
+    e = spark.createDataFrame(list({r[:4]: r for r in rows}.values()), "code string, ann_date date, end_date string, event_type string, predicted_profit double, actual_profit double, forecast_type string")
+    cols = ["code", "ann_date", "end_date", "event_type", "raw_surprise"]
+    sides = [sorted((tuple(r) for r in announcements.pit_surprise(e, b).select(*cols).collect()), key=str) for b in (3, None)]
+    assert sides[0] == sides[1] and len(sides[0]) == e.count()
+
+
 def test_bootstrap():
     x = np.random.default_rng(0).normal(size=200)
     a, b = lifecycle.bootstrap_t(x, 300, 60, 1), lifecycle.bootstrap_t(x, 300, 60, 1)
