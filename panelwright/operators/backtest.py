@@ -429,24 +429,20 @@ def merge_silos(silos: list[tuple[DataFrame, float]], prices: DataFrame, capital
 
 
 def run_sweep(data: DataFrame, strategy: str, grid: list[dict], engine: Engine = Engine(), **build) -> DataFrame:
-    """Metrics of a strategy for each set of parameters; a set that the strategy does not take gives a row of zeros."""
-    from .strategies import get_strategy
-
-    runs, failed = {}, []
-    for k, params in enumerate(grid):
-        try:
-            runs[f"{k:04d}"] = get_strategy(strategy)(data, **params)
-        except (TypeError, ValueError, KeyError):
-            failed.append(f"{k:04d}")
-    out = run_pipeline(data, runs, engine, **build)[2] if runs else None
+    """Metrics of a strategy for each set of parameters (run_id: its place); a set that the strategy does not take gives a row of zeros.
+
+    Sets of a rank-and-hold strategy are rows (``strategies.grid_signals``): scans and exchanges do not grow with the grid.
+    """
+    from .strategies import grid_signals
+
+    runs, failed = grid_signals(data, strategy, grid)
+    out = run_pipeline(data, runs, engine, **build)[2] if runs is not None else None
     if failed:
-        zero = data.sparkSession.createDataFrame([(f, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0) for f in failed], "run_id string, total_return double, annual_return double, sharpe_ratio double, max_drawdown double, win_rate double, trade_count long, total_cost double, cost_ratio double")
+        zero = data.sparkSession.createDataFrame([(f"{k:04d}", 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0) for k in failed], "run_id string, total_return double, annual_return double, sharpe_ratio double, max_drawdown double, win_rate double, trade_count long, total_cost double, cost_ratio double")
         out = zero if out is None else out.unionByName(zero)
     return out
 
 
-
-
 def continuous_backtest(data: DataFrame, signals: DataFrame, engine: Engine = Engine(), **build) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trades, equity, figures of the curve) over the whole range without re-training."""
     trades, equity, _ = run_pipeline(data, {"continuous": signals}, engine, **build)
@@ -455,13 +451,10 @@ def continuous_backtest(data: DataFrame, signals: DataFrame, engine: Engine = En
 
 def run_matrix(data: DataFrame, pools: DataFrame, names: list[str], engine: Engine = Engine(), params: dict[str, dict] | None = None, **build) -> DataFrame:
     """pool, strategy and metrics: every strategy in every pool, as runs of one plan.  pools: pool, code."""
-    from .strategies import get_strategy
+    from .strategies import pool_signals
 
-    runs = {}
-    for pool in sorted(r["pool"] for r in pools.select("pool").distinct().collect()):  # a handful of named pools
-        inside = data.join(F.broadcast(pools.filter(F.col("pool") == pool).select("code")), "code", "left_semi")
-        runs |= {f"{pool}|{name}": get_strategy(name)(inside, **(params or {}).get(name, {})) for name in names}
-    out = run_pipeline(data, runs, engine, **build)[2]
+    parts = [pool_signals(data, pools, name, (params or {}).get(name)).withColumn("run_id", F.concat("run_id", F.lit(f"|{name}"))) for name in names]
+    out = run_pipeline(data, reduce(DataFrame.unionByName, parts), engine, **build)[2]
     return out.withColumns({"pool": F.substring_index("run_id", "|", 1), "strategy": F.substring_index("run_id", "|", -1)}).drop("run_id")
 
 

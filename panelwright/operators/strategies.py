@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from ..functions.nulls import ratio
 from .cleaning import run_keys
 from .evaluation import combine_factor_scores
+from .factors import scored as factor_terms
 from .factors import with_factors
 from .timeseries import by_code, change, ewm, ewm_position, islands, rank_pct, rolling_mean, rolling_quantile, rolling_std, rows, sustained
 
 _STRATEGIES: dict[str, Callable] = {}
+#: Strategies whose signals of a code come from that code's rows alone.
+_OWN_ROWS: set[str] = set()
 
 
-def register_strategy(name: str, func: Callable | None = None):
-    """func(data, **params) -> date, code, signal, confidence."""
+def register_strategy(name: str, func: Callable | None = None, own_rows: bool = False):
+    """func(data, **params) -> date, code, signal, confidence.  own_rows: a code's signals come from its own rows alone."""
 
     def put(f):
         _STRATEGIES[name] = f
+        (_OWN_ROWS.add if own_rows else _OWN_ROWS.discard)(name)
         return f
 
     return put if func is None else put(func)
@@ -36,9 +40,9 @@ def list_strategies() -> list[str]:
     return sorted(_STRATEGIES)
 
 
-def date_index(df: DataFrame) -> DataFrame:
-    """date, i: position of each date.  Dates are few whatever the panel's width; only they are ordered as a whole."""
-    return df.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
+def date_index(df: DataFrame, run: list[str] = ()) -> DataFrame:
+    """date, i (and run): position of each date.  Dates are few whatever the panel's width; only they are ordered as a whole."""
+    return df.select(*run, "date").distinct().withColumn("i", F.row_number().over((Window.partitionBy(*run) if run else Window).orderBy("date")) - 1)
 
 
 def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n: int, min_window: int = 0, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2) -> DataFrame:
@@ -48,22 +52,33 @@ def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n:
     sold on the rebalance date with sell_exited.  Confidence is the score (or one less it when ascending) for buys, 0.5 for sells.
     Runs side by side (run_id) are ranked each on its own, on the same dates.
     """
-    run = run_keys(df)
     if top_n <= 0 and bottom_n <= 0:
         raise ValueError("top_n or bottom_n must be positive")
-    dates = date_index(df).withColumn("period", F.when(F.col("i") >= min_window, F.floor((F.col("i") - min_window) / rebalance)))
-    dates = F.broadcast(dates.withColumn("start", (F.col("i") - min_window) % rebalance == 0))
-    day = df.select(*run, "date", "code", score).join(dates.filter("period is not null and start"), "date")
+    dates = date_index(df).withColumns({"rebalance": F.lit(rebalance), "top_n": F.lit(top_n), "bottom_n": F.lit(bottom_n), "min_window": F.lit(min_window)})
+    return held_ranks(df, score, F.broadcast(dates), ascending, drop_unscored, sell_exited, min_rows)
+
+
+def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2) -> DataFrame:
+    """``hold_ranked`` with its parameters as columns of dates: date, i, rebalance, top_n, bottom_n, min_window - and run_id, where dates has it.
+
+    Any number of runs is one join with the scored panel; runs that df has itself keep theirs.
+    """
+    by_run = [c for c in ("run_id",) if c in dates.columns]
+    mine = run_keys(df)
+    run, on = mine or by_run, ["date", *[c for c in by_run if c in mine]]
+    place = F.col("i") - F.col("min_window")
+    dates = dates.withColumns({"period": F.when(place >= 0, F.floor(place / F.col("rebalance"))), "start": place % F.col("rebalance") == 0}).drop("i", "rebalance", "min_window")
+    day = df.select(*mine, "date", "code", score).join(dates.filter("period is not null and start"), on)
     if drop_unscored:
         day = day.filter(F.col(score).isNotNull())
     by = Window.partitionBy(*run, "period")
     first = F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last()
     day = day.withColumns({"rn": F.row_number().over(by.orderBy(first, "code")), "n": F.count("*").over(by)}).filter(F.col("n") >= min_rows)
-    bought = F.col("rn") <= top_n
-    picked = day.filter(bought | (F.col("rn") > F.col("n") - bottom_n))
+    bought = F.col("rn") <= F.col("top_n")
+    picked = day.filter(bought | (F.col("rn") > F.col("n") - F.col("bottom_n")))
     worth = F.coalesce(1 - F.col(score) if ascending else F.col(score), F.lit(0.5))
     picked = picked.select(*run, "period", "code", F.when(bought, 1).otherwise(-1).alias("s"), F.when(bought, worth).otherwise(0.5).alias("c"))
-    out = df.select(*run, "date", "code").join(dates, "date").join(picked, [*run, "period", "code"], "left")
+    out = df.select(*mine, "date", "code").join(dates.drop("top_n", "bottom_n"), on).join(picked, [*run, "period", "code"], "left")
     signal, confidence = F.coalesce("s", F.lit(0)), F.coalesce("c", F.lit(0.0))
     if sell_exited:
         held = picked.filter("s = 1").select(*run, (F.col("period") + 1).alias("period"), "code", F.lit(True).alias("held"))
@@ -73,9 +88,9 @@ def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n:
     return out.select(*run, "date", "code", signal.cast("int").alias("signal"), confidence.alias("confidence"))
 
 
-def weighted_score(df: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """score: weighted mean of percentile ranks; null if any factor is null."""
-    ranked = df.withColumns({f"__r_{f}": rank_pct(f) for f in weights})
+def weighted_score(df: DataFrame, weights: dict[str, float], within=("date",)) -> DataFrame:
+    """score: weighted mean of percentile ranks among rows alike in ``within``; null if any factor is null."""
+    ranked = df.withColumns({f"__r_{f}": rank_pct(f, within) for f in weights})
     total = sum((F.col(f"__r_{f}") * w for f, w in weights.items()), F.lit(0.0)) / sum(weights.values())
     return ranked.withColumn("score", F.round(total, 12)).drop(*[f"__r_{f}" for f in weights])
 
@@ -112,6 +127,63 @@ for _name in RANKED:
     register_strategy(_name, _ranked(_name))
 
 
+#: Parameters of the rank-and-hold family that can be rows.
+ROW_PARAMS = {"rebalance": 20, "top_n": 5, "bottom_n": 3, "min_window": None}
+
+
+def grid_signals(data: DataFrame, name: str, grid: list[dict]) -> tuple[DataFrame | None, list[int]]:
+    """(signals by run_id - the place in the grid - and the places that the strategy does not take).
+
+    In the rank-and-hold family, sets of parameters that share weights share the scored panel and are rows that it is joined with, so that the
+    plan is one whatever the grid.  Other strategies add a plan for each set.
+    """
+    parts, failed, alike = [], [], {}
+    for k, params in enumerate(grid):
+        rest = {p: v for p, v in params.items() if p not in ROW_PARAMS}
+        if name in RANKED and set(rest) <= {"weights"}:
+            row = {p: params.get(p, RANKED[name][1] if v is None else v) for p, v in ROW_PARAMS.items()}
+            if (row["top_n"] <= 0 and row["bottom_n"] <= 0) or row["rebalance"] <= 0:
+                failed.append(k)
+            else:
+                alike.setdefault(repr(sorted((rest.get("weights") or {}).items())), (rest.get("weights"), []))[1].append((f"{k:04d}", row))
+            continue
+        try:
+            parts.append(get_strategy(name)(data, **params).withColumn("run_id", F.lit(f"{k:04d}")))
+        except (TypeError, ValueError, KeyError):
+            failed.append(k)
+    for weights, rows_ in alike.values():
+        weights = {f: w for f, w in (weights or dict.fromkeys(RANKED[name][0], 1.0)).items() if w > 0}
+        scored = weighted_score(with_factors(data, list(weights)), weights)
+        sets = data.sparkSession.createDataFrame([(r, *(int(row[p]) for p in ROW_PARAMS)) for r, row in rows_], "run_id string, " + ", ".join(f"{p} int" for p in ROW_PARAMS))
+        dates = date_index(data).crossJoin(F.broadcast(sets))  # dates and sets of parameters, both few
+        parts.append(held_ranks(scored.select("date", "code", "score"), "score", dates, RANKED[name][2]))
+    return (reduce(DataFrame.unionByName, parts) if parts else None), failed
+
+
+def pool_signals(data: DataFrame, pools: DataFrame, name: str, params: dict | None = None) -> DataFrame:
+    """Signals of a strategy in each pool alone, by run_id (the pool's name).  pools: pool, code; a code may be in several.
+
+    Where a code's signals come from its own rows, they are made once; the rank-and-hold family makes factors once and ranks within each
+    pool; both are one plan whatever the pools.  Other strategies add a plan for each pool.
+    """
+    params = params or {}
+    member = pools.select(F.col("pool").alias("run_id"), "code").distinct()
+    if name in _OWN_ROWS:
+        return get_strategy(name)(data, **params).join(member, "code")
+    if name in RANKED and set(params) <= {*ROW_PARAMS, "weights"}:
+        weights = {f: w for f, w in (params.get("weights") or dict.fromkeys(RANKED[name][0], 1.0)).items() if w > 0}
+        made, terms = factor_terms(data, list(weights))
+        if not terms.ranks:  # no factor ranks codes against each other
+            made = made.select("date", "code", *weights).join(member, "code")
+            dates = date_index(made, ["run_id"]).withColumns({p: F.lit(params.get(p, RANKED[name][1] if v is None else v)) for p, v in ROW_PARAMS.items()})
+            return held_ranks(weighted_score(made, weights, ("date", "run_id")).select("run_id", "date", "code", "score"), "score", dates, RANKED[name][2])
+    parts = []
+    for pool in sorted(r["run_id"] for r in member.select("run_id").distinct().collect()):  # a handful of named pools
+        inside = data.join(member.filter(F.col("run_id") == pool).select("code"), "code", "left_semi")
+        parts.append(get_strategy(name)(inside, **params).withColumn("run_id", F.lit(pool)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register_strategy("reversed_gtja_vwap")
 def reversed_gtja_vwap(data: DataFrame, **params) -> DataFrame:
     return reverse(get_strategy("gtja_vwap")(data, **params))
@@ -164,7 +236,7 @@ def _threshold(df: DataFrame, buy, sell, confidence, valid=None) -> DataFrame:
     return df.select("date", "code", signal.cast("int").alias("signal"), F.when(confidence.isNotNull() & ok, c).otherwise(0.0).alias("confidence"))
 
 
-@register_strategy("mean_reversion")
+@register_strategy("mean_reversion", own_rows=True)
 def mean_reversion(data: DataFrame, window=20, num_std=2.0) -> DataFrame:
     """Buy under the lower Bollinger band, sell over the upper one."""
     made = data.withColumns({"__m": rolling_mean("close", window), "__s": rolling_std("close", window)})
@@ -172,7 +244,7 @@ def mean_reversion(data: DataFrame, window=20, num_std=2.0) -> DataFrame:
     return _threshold(made, off < -num_std * F.col("__s"), off > num_std * F.col("__s"), F.abs(ratio(off, num_std * F.col("__s"))), F.col("__m").isNotNull())
 
 
-@register_strategy("rsi_reversal")
+@register_strategy("rsi_reversal", own_rows=True)
 def rsi_reversal(data: DataFrame, window=14, oversold=30, overbought=70) -> DataFrame:
     made = data if "rsi" in data.columns else with_factors(data, ["calc_rsi"], {"calc_rsi": {"window": window}}).withColumnRenamed("calc_rsi", "rsi")
     return _threshold(made, F.col("rsi") < oversold, F.col("rsi") > overbought, F.abs(F.col("rsi") - 50) / 50)
@@ -183,7 +255,7 @@ def _volume_flags(data: DataFrame, vol_window: int, obv_window: int) -> DataFram
     return made.withColumn("__rising", F.coalesce(F.avg("calc_obv").over(rows(obv_window)) > F.col("calc_obv"), F.lit(False)))
 
 
-@register_strategy("momentum_breakout")
+@register_strategy("momentum_breakout", own_rows=True)
 def momentum_breakout(data: DataFrame, vol_window=20, vol_threshold=1.5, obv_window=10) -> DataFrame:
     """On a volume spike: buy unless the flow's mean lies above it, else sell.  The flag is as in the source of the rule."""
     made = _volume_flags(data, vol_window, obv_window)
@@ -191,7 +263,7 @@ def momentum_breakout(data: DataFrame, vol_window=20, vol_threshold=1.5, obv_win
     return _threshold(made, spike & ~F.col("__rising"), spike & F.col("__rising"), F.col("calc_volume_ratio") / vol_threshold)
 
 
-@register_strategy("momentum_trend")
+@register_strategy("momentum_trend", own_rows=True)
 def momentum_trend(data: DataFrame, vol_window=20, vol_threshold=1.5, obv_window=10, trend_window=60) -> DataFrame:
     made = _volume_flags(data, vol_window, obv_window).withColumn("__ma", rolling_mean("close", trend_window))
     spike = F.col("calc_volume_ratio") > vol_threshold

@@ -574,6 +574,40 @@ def test_runs_are_replayed_once(panel):
     assert evaluation.best_result(figures, "total_return").count() == 1
 
 
+def shape(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange"), plan.count("FlatMapGroupsInPandas"), plan.count("Window")
+
+
+def test_sweep_is_one_plan(panel):
+    """Sets of parameters are rows: each run is that of the strategy alone, and the plan does not grow with them."""
+    grid = [{"rebalance": r, "top_n": n, "min_window": 5} for r in (3, 7, 10) for n in (1, 2, 3)]
+    signals, failed = strategies.grid_signals(panel, "gtja_momentum", [*grid, {"top_n": 0, "bottom_n": 0}, {"odd": 1}])
+    assert failed == [9, 10]
+    for k in (0, 5):
+        alone = strategies.get_strategy("gtja_momentum")(panel, **grid[k])
+        assert sorted(map(tuple, signals.filter(F.col("run_id") == f"{k:04d}").drop("run_id").collect())) == sorted(map(tuple, alone.collect()))
+    few, many = (strategies.grid_signals(panel, "gtja_momentum", g)[0] for g in (grid[:2], grid))
+    assert shape(few) == shape(many)
+    made = backtest.run_sweep(panel, "gtja_momentum", [*grid[:2], {"odd": 1}])
+    rows = {r["run_id"]: r for r in made.collect()}
+    alone = backtest.run_pipeline(panel, {"x": strategies.get_strategy("gtja_momentum")(panel, **grid[1])})[2].first()
+    assert set(rows) == {"0000", "0001", "0002"} and rows["0001"]["total_return"] == pytest.approx(alone["total_return"]) and rows["0002"]["trade_count"] == 0
+
+
+def test_pools_are_rows(panel):
+    codes = sorted(r["code"] for r in panel.select("code").distinct().collect())
+    spark = panel.sparkSession
+    pools = spark.createDataFrame([("x", c) for c in codes[:4]] + [("y", c) for c in codes[2:]] + [("x", codes[0])], "pool string, code string")
+    for name in ("gtja_momentum", "rsi_reversal", "multifactor"):
+        got = strategies.pool_signals(panel, pools, name)
+        for pool in "xy":
+            inside = panel.join(pools.filter(F.col("pool") == pool).select("code"), "code", "left_semi")
+            assert sorted(map(tuple, got.filter(F.col("run_id") == pool).select("date", "code", "signal", "confidence").collect())) == sorted(map(tuple, strategies.get_strategy(name)(inside).collect()))
+    one = pools.filter("pool = 'x'")
+    assert shape(strategies.pool_signals(panel, one, "gtja_momentum")) == shape(strategies.pool_signals(panel, pools, "gtja_momentum"))
+
+
 def test_walk_forward_chains_capital(panel):
     signals = strategies.get_strategy("gtja_momentum")(panel, rebalance=5, min_window=5)
     windows = [(day(0), day(29), day(30), day(50)), (day(20), day(49), day(50), day(70))]
