@@ -33,10 +33,13 @@ PLACE = ["doc_id", "th", "line_no"]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), line_no, line, h1, h2 for each line that is not blank."""
+    """doc_id, th (text hash), line_no, line, h1, h2 for each line that is not blank.
+
+    A column seeds the hash of the next: with the constant first, the line is hashed under another seed, and h1 and h2 are 128 bits.
+    """
     keyed = id_and_text(docs).withColumn("th", F.xxhash64("text"))
     out = keyed.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return out.filter(F.length(F.trim("line")) > 0).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
+    return out.filter(F.length(F.trim("line")) > 0).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def _half_keys(line, near_from: int) -> dict:

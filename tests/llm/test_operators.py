@@ -59,6 +59,15 @@ def texts(rows):
 # lookups
 
 
+def test_line_hashes_are_independent(spark):
+    """Neither hash follows from the other: h2 is not h1 hashed on."""
+    df = line_dedup.lines_of(spark.createDataFrame([(k, f"line {k}\nother {k}") for k in range(50)], "doc_id long, text string"))
+    rows = df.withColumn("on", F.expr("xxhash64(1, line)")).collect()
+    assert all(r["h2"] == r["on"] for r in rows) and len({r["h1"] ^ r["h2"] for r in rows}) == len(rows)
+    chained = {r["x"] for r in df.select(F.xxhash64("line", F.lit(1)).alias("x")).collect()}
+    assert not chained & {r["h2"] for r in rows}
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 62, 5000).astype(np.uint64))
     h = mph.MinimalPerfectHash.loads(mph.MinimalPerfectHash.build(keys).dumps())
