@@ -232,44 +232,105 @@ def corr_matrix(df: DataFrame, factors: list[str], window: int = 60, agg: str =
     return daily.groupBy("factor_a", "factor_b").agg(over.alias("corr"), F.count("c").alias("n_dates"))
 
 
+LINKAGES = {
+    "single": lambda x, y, at, a, b, c: np.minimum(x, y),
+    "complete": lambda x, y, at, a, b, c: np.maximum(x, y),
+    "average": lambda x, y, at, a, b, c: (a * x + b * y) / (a + b),
+    "ward": lambda x, y, at, a, b, c: np.sqrt(np.maximum(0.0, ((a + c) * x**2 + (b + c) * y**2 - c * at**2) / (a + b + c))),
+}
+
+
+def distances(factors: list[str], correlations: dict[tuple[str, str], float | None]) -> np.ndarray:
+    """1 - |correlation| of each pair; 1 where it is missing."""
+    at, d = {f: i for i, f in enumerate(factors)}, np.ones((len(factors), len(factors)))
+    np.fill_diagonal(d, 0.0)
+    for (a, b), c in correlations.items():
+        if a in at and b in at and a != b and c is not None and not np.isnan(c):
+            d[at[a], at[b]] = d[at[b], at[a]] = 1 - abs(c)
+    return d
+
+
+def merge_table(factors: list[str], correlations: dict[tuple[str, str], float | None], linkage: str = "average") -> list[tuple[int, int, float, int]]:
+    """The dendrogram: (left, right, height, size) by rising height.  Factors are 0 to n - 1; the k-th merge makes node n + k.
+
+    Nearest-neighbour chain: each node is followed to its nearest neighbour until two are each other's nearest, which are merged; the rest of the
+    chain still holds, since these linkages never bring a merged node nearer.  Quadratic in time, a row of distances a step.
+    """
+    if linkage not in LINKAGES:
+        raise ValueError(f"unknown linkage {linkage!r}")
+    n, update = len(factors), LINKAGES[linkage]
+    d = distances(factors, correlations)
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        i = chain[-1]
+        j = int(np.argmin(d[i]))
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+            del chain[-2:]
+            i, j = min(i, j), max(i, j)
+            at = float(d[i, j])
+            merges.append((at, len(merges), i, j))
+            others = alive.copy()
+            others[[i, j]] = False
+            new = update(d[i, others], d[j, others], at, size[i], size[j], size[others])
+            d[i, others] = d[others, i] = new
+            d[j, :] = d[:, j] = np.inf
+            size[i] += size[j]
+            alive[j] = False
+        else:
+            chain.append(j)
+    # chains find merges in another order than that of heights
+    node, weight, out = {i: i for i in range(n)}, {i: 1 for i in range(n)}, []
+    root = list(range(n))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for at, _, i, j in sorted(merges):
+        a, b = top(i), top(j)
+        left, right = sorted((node[a], node[b]))
+        root[b] = a
+        weight[a] += weight[b]
+        out.append((left, right, at, weight[a]))
+        node[a] = n + len(out) - 1
+    return out
+
+
 def cluster_redundant(factors: list[str], correlations: dict[tuple[str, str], float | None], threshold: float = 0.7, linkage: str = "average") -> dict[str, int]:
-    """Cluster number of each factor, by first appearance: agglomeration on 1 - |corr| (missing: 1), cut at 1 - threshold."""
-    n = len(factors)
-    d = np.ones((n, n))
-    for i, a in enumerate(factors):
-        d[i, i] = 0.0
-        for j, b in enumerate(factors):
-            c = correlations.get((a, b), correlations.get((b, a)))
-            if i != j and c is not None and not np.isnan(c):
-                d[i, j] = 1 - abs(c)
-    groups, size = {i: [i] for i in range(n)}, {i: 1 for i in range(n)}
-    while len(groups) > 1:
-        keys = sorted(groups)
-        at, i, j = min((d[a, b], a, b) for k, a in enumerate(keys) for b in keys[k + 1 :])
-        if at > 1 - threshold:
+    """Cluster number of each factor, by first appearance: the dendrogram on 1 - |corr| cut at 1 - threshold."""
+    n, inside = len(factors), {i: [i] for i in range(len(factors))}
+    for k, (left, right, height, _) in enumerate(merge_table(factors, correlations, linkage)):
+        if height > 1 - threshold:
             break
-        for k in keys:
-            if k in (i, j):
-                continue
-            a, b, c = size[i], size[j], size[k]
-            if linkage == "single":
-                new = min(d[i, k], d[j, k])
-            elif linkage == "complete":
-                new = max(d[i, k], d[j, k])
-            elif linkage == "average":
-                new = (a * d[i, k] + b * d[j, k]) / (a + b)
-            elif linkage == "ward":
-                new = np.sqrt(max(0.0, ((a + c) * d[i, k] ** 2 + (b + c) * d[j, k] ** 2 - c * at**2) / (a + b + c)))
-            else:
-                raise ValueError(f"unknown linkage {linkage!r}")
-            d[i, k] = d[k, i] = new
-        groups[i] += groups.pop(j)
-        size[i] += size.pop(j)
-    label = {m: g for g, members in groups.items() for m in members}
+        inside[n + k] = inside.pop(left) + inside.pop(right)
+    label = {m: g for g, members in inside.items() for m in members}
     seen: dict[int, int] = {}
     return {f: seen.setdefault(label[i], len(seen) + 1) for i, f in enumerate(factors)}
 
 
+def dendrogram(df: DataFrame, factors: list[str], window: int = 60, linkage: str = "average", min_obs: int = 20) -> DataFrame:
+    """node, left, right, height, size, members: the merges of factors by their correlations; factors are a few hundred at most."""
+    rows = corr_matrix(df, factors, window, min_obs=min_obs).collect()  # one row a pair of factors
+    merges = merge_table(factors, {(r["factor_a"], r["factor_b"]): r["corr"] for r in rows}, linkage)
+    inside = {i: [f] for i, f in enumerate(factors)}
+    out = []
+    for k, (left, right, height, size) in enumerate(merges):
+        inside[len(factors) + k] = sorted(inside[left] + inside[right])
+        out.append((len(factors) + k, left, right, height, size, inside[len(factors) + k]))
+    return df.sparkSession.createDataFrame(out, "node int, left int, right int, height double, size int, members array<string>")
+
+
+def cophenetic(merged: DataFrame) -> DataFrame:
+    """factor_a, factor_b, height: where two factors first are in one node."""
+    a = merged.select("height", F.explode("members").alias("factor_a"), "members")
+    return a.select("height", "factor_a", F.explode("members").alias("factor_b")).filter("factor_a < factor_b").groupBy("factor_a", "factor_b").agg(F.min("height").alias("height"))
+
+
 def select_representative(clusters: DataFrame, by: str = "t_stat") -> DataFrame:
     """cluster, representative, members: the best global rank of a cluster; nulls last, ties by name.
 

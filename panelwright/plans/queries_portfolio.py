@@ -722,6 +722,30 @@ def test_period_stats(spark, sf_dir):
     return lifecycle.test_stats(ics).select("factor", rounded("ic_mean", 6).alias("ic_mean"), rounded("ic_t", 6).alias("ic_t"), "ic_n", "sig")
 
 
+#: The factors that phase A looks at.
+_ALIKE = ["calc_ma_slope_20d", "calc_momentum_20d_return", "calc_momentum_5d_change", "calc_momentum_6d_return", "calc_rsi", "calc_volume_ratio"]
+
+
+def _dendrogram_sql() -> str:
+    """Single linkage joins two factors at the least height over all ways between them of the longest step: distances squared until all ways are in."""
+    pairs_ = [(a, b) for a in range(len(_ALIKE)) for b in range(a + 1, len(_ALIKE))]
+    each = ", ".join(f"unnest([{', '.join(x)}]) AS {n}" for n, x in (("fa", [f"{a}" for a, _ in pairs_]), ("fb", [f"{b}" for _, b in pairs_]), ("x", [f"v{a}::DOUBLE" for a, _ in pairs_]), ("y", [f"v{b}::DOUBLE" for _, b in pairs_])))
+    corr = "CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-14 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END"
+    ways = ["m0 AS (SELECT fa AS a, fb AS b, h FROM dc UNION ALL SELECT fb, fa, h FROM dc UNION ALL SELECT k, k, 0.0 FROM (SELECT unnest(range(6)) AS k))"]
+    ways += [f"m{k + 1} AS (SELECT x.a, y.b, min(greatest(x.h, y.h)) AS h FROM m{k} x JOIN m{k} y ON x.b = y.a GROUP BY 1, 2)" for k in range(3)]
+    names = "[" + ", ".join(f"'{n}'" for n in _ALIKE) + "]"
+    return f"""WITH {_factor_ctes(_ALIKE)[0]}, dl AS (SELECT DISTINCT date FROM p ORDER BY date DESC LIMIT 60), dx AS (SELECT date, code, {each} FROM fx WHERE date IN (SELECT date FROM dl)), dk AS (SELECT * FROM dx WHERE x IS NOT NULL AND y IS NOT NULL),
+ dr AS (SELECT *, {sql.prank('x', 'date, fa, fb')} AS rx, {sql.prank('y', 'date, fa, fb')} AS ry FROM dk), dd AS (SELECT date, fa, fb, {corr} AS c FROM dr GROUP BY 1, 2, 3 HAVING count(*) >= 5), dc AS (SELECT fa, fb, coalesce(1 - abs(avg(c)), 1.0) AS h FROM dd GROUP BY 1, 2), {', '.join(ways)}
+ SELECT {names}[a + 1] AS factor_a, {names}[b + 1] AS factor_b, {sql.rounded('h', 6, 'height')} FROM m3 WHERE a < b"""
+
+
+@query("factor_dendrogram", _dendrogram_sql())
+def factor_dendrogram(spark, sf_dir):
+    """Heights at which factors come together."""
+    merged = evaluation.dendrogram(factors.with_factors(panels.bars(spark, sf_dir), _ALIKE), _ALIKE, linkage="single", min_obs=5)
+    return evaluation.cophenetic(merged).withColumn("height", rounded("height", 6))
+
+
 @query("phase_a")
 def phase_a(spark, sf_dir):
     p = panels.bars(spark, sf_dir)

@@ -148,6 +148,40 @@ def test_clusters_and_representatives(spark):
     assert {r["cluster"]: r["representative"] for r in evaluation.select_representative(rows).collect()} == {1: "b", 2: "d"}
 
 
+@pytest.mark.parametrize("linkage", ["single", "complete", "average", "ward"])
+def test_merge_table_against_all_pairs(linkage):
+    """Heights and members are those of merging the nearest pair over and over, with distances taken anew from the members."""
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 7, 15):
+        names = [f"f{i:02d}" for i in range(n)]
+        corr = {(a, b): float(rng.uniform(-1, 1)) for i, a in enumerate(names) for b in names[i + 1 :]}
+        d = evaluation.distances(names, corr)
+        merges = evaluation.merge_table(names, corr, linkage)
+        inside = {i: frozenset([i]) for i in range(n)}
+        groups, dist = [frozenset([i]) for i in range(n)], {}
+
+        def between(x, y):
+            if linkage == "ward":  # from squared distances alone
+                sq = lambda p, q: sum(d[i, j] ** 2 for i in p for j in q)
+                k = len(x) * len(y) / (len(x) + len(y))
+                return np.sqrt(max(0.0, 2 * k * (sq(x, y) / (len(x) * len(y)) - sq(x, x) / (2 * len(x) ** 2) - sq(y, y) / (2 * len(y) ** 2))))
+            steps = [d[i, j] for i in x for j in y]
+            return {"single": min, "complete": max, "average": np.mean}[linkage](steps)
+
+        want = []
+        while len(groups) > 1:
+            at, i, j = min((between(x, y), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
+            want.append((at, groups[i] | groups[j]))
+            groups = [g for k, g in enumerate(groups) if k not in (i, j)] + [groups[i] | groups[j]]
+        for k, (left, right, height, size) in enumerate(merges):
+            inside[n + k] = inside[left] | inside[right]
+            assert size == len(inside[n + k])
+        assert [h for _, _, h, _ in merges] == pytest.approx([h for h, _ in want])
+        assert [inside[n + k] for k in range(len(merges))] == [g for _, g in want]
+    with pytest.raises(ValueError):
+        evaluation.merge_table(["a"], {}, "odd")
+
+
 def test_demeaned_groups_sum_to_zero(panel):
     made = panel.withColumn("industry", F.when(F.col("code") < "600003", "x").otherwise("y"))
     out = evaluation.demean_by_industry(made, ["close"], 2)
