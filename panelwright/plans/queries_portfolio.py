@@ -716,6 +716,19 @@ def monitor_update(spark, sf_dir):
     return new.select("date", "factor", "fwd_window", rounded("t_stat", 2).alias("t_stat"), "state", "sustain_days")
 
 
+_KEPT = ["calc_high_vol_rank_corr_3d", "calc_macd_like", "calc_obv"]
+
+
+@query("factor_cache", f"WITH {_factor_ctes(_KEPT)[0].replace(sql.P, _GAPPED, 1)} SELECT date, code, {', '.join(sql.rounded(f'v{k}', 2, n) for k, n in enumerate(_KEPT))}, date > (SELECT date FROM ds WHERE back = 5) AS fresh FROM fx")
+def factor_cache(spark, sf_dir):
+    """Factors of a panel that has grown by five dates since they were cached, codes that come back among them; fresh: made by the second run."""
+    p, last = gapped_panel(spark, sf_dir)
+    root = dated.working_folder(spark, "factors")
+    io.cached_factors(p.filter(F.col("date") <= F.lit(last)), _KEPT, root)
+    values, first = io.cached_factors(p, _KEPT, root)
+    return values.select("date", "code", *[rounded(n, 2).alias(n) for n in _KEPT], (F.col("date") >= F.lit(first)).alias("fresh"))
+
+
 @query("test_period_stats", f"WITH {_IC}, s AS (SELECT factor, avg(ic) AS m, stddev_samp(ic) AS sd, count(ic) AS n FROM ic WHERE date >= DATE '2000-01-01' GROUP BY 1) SELECT factor, {sql.rounded('m', 6, 'ic_mean')}, {sql.rounded('m / nullif(sd, 0) * sqrt(n)', 6, 'ic_t')}, n AS ic_n, abs(m / nullif(sd, 0) * sqrt(n)) > 2 AS sig FROM s")
 def test_period_stats(spark, sf_dir):
     ics = evaluation.ic(two_factors(spark, sf_dir), FACTORS).filter(F.col("date") >= F.lit(datetime.date(2000, 1, 1)))

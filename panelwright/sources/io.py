@@ -133,6 +133,47 @@ def cached_factor(df: DataFrame, name: str, root: str, use_cache: bool = True, *
     return load_parquet(df.sparkSession, path)
 
 
+def date_digests(df: DataFrame) -> DataFrame:
+    """date, n, x, s: order-free digest of each date's rows, all columns."""
+    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    return df.groupBy("date").agg(F.count("*").alias("n"), F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(38,0)")).alias("s"))
+
+
+def cached_factors(df: DataFrame, names: list[str], root: str) -> tuple[DataFrame, Day | None]:
+    """(date, code and the factors, the first date that was made anew - None: all were there).
+
+    A digest is kept for each date.  Factors look back only, so values before the first date whose digest differs are right as they are.  Where
+    that date comes after all that are kept, new dates go on from the carry (``operators.carry``): nothing before them is read but the digests'
+    columns.  Where an old date has changed, or other factors are asked for, all rows are computed, and those from that date on are written.
+    A cache is of one panel and one set of columns; other columns count as a change of all dates.
+    """
+    from ..operators.carry import Carry, started
+    from ..operators.factors import get_spec
+
+    spark = df.sparkSession
+    path = f"{root}/factors-{params_hash({'columns': sorted(df.columns), **{n: get_spec(n).params for n in sorted(names)}})}"
+    version = (dated.versions(spark, path) or [None])[-1]
+    now = dated.materialised(date_digests(df), "digests")
+    if version is None:
+        first = now.agg(F.min("date")).first()[0]
+    else:
+        kept = dated.read(spark, path, "digests", version)
+        both = now.withColumn("here", F.lit(1)).join(kept.select("date", *[F.col(c).alias(f"k{c}") for c in "nxs"]), "date", "full")
+        same = F.col("here").isNotNull() & F.col("n").eqNullSafe(F.col("kn")) & F.col("x").eqNullSafe(F.col("kx")) & F.col("s").eqNullSafe(F.col("ks"))
+        first, last = both.agg(F.min(F.when(~same, F.col("date"))), F.max(F.when(F.col("kn").isNotNull(), F.col("date")))).first()
+    if first is not None:
+        if version is not None and last is not None and first > last:
+            carry = Carry(*[dated.read(spark, path, t, version) for t in ("codes", "scored")], spark.createDataFrame([], "date date, code string, fwd_window int, y double"))
+            carry = carry.advanced(df, names, (1,), False)[0]
+            values, how = carry.added[0], dated.APPEND
+        else:
+            carry = started(df, names, (1,), False)
+            values, how = carry.scored, None if version is None else first
+        parts = [dated.put(spark, path, "codes", carry.codes), dated.put(spark, path, "scored", values, how), dated.put(spark, path, "digests", now)]
+        version = dated.commit(spark, path, parts)
+    return dated.read(spark, path, "scored", version).select("date", "code", *names), first
+
+
 def clear_factor_cache(spark: SparkSession, root: str, name: str | None = None) -> bool:
     fs, path = dated.folder(spark, root if name is None else f"{root}/{name}")
     return bool(fs.delete(path, True))

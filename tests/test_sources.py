@@ -99,6 +99,32 @@ def test_updates_write_their_own_dates(spark, tmp_path):
             dated.commit(spark, root, [late])
 
 
+def test_factors_are_cached_by_date(spark, tmp_path):
+    """New dates go on from what is kept; a changed date is made anew with all that follow; nothing new, nothing written."""
+    names, root = ["calc_macd_like", "calc_obv", "calc_momentum_5d_change"], f"file://{tmp_path}/c"
+    df = rows(spark, 30)
+
+    def values(table):
+        return {(r["date"], r["code"]): tuple(None if r[n] is None else round(r[n], 9) for n in names) for r in table.collect()}
+
+    def cut(day):
+        return df.filter(F.col("date") <= F.lit(D(2024, 1, day)))
+
+    got, first = io.cached_factors(cut(20), names, root)
+    assert first == D(2024, 1, 1) and values(got) == values(factors.with_factors(cut(20), names))
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet") if "scored" in str(p)}
+    got, first = io.cached_factors(df, names, root)
+    assert first == D(2024, 1, 21) and values(got) == values(factors.with_factors(df, names))
+    assert {p: p.stat().st_mtime_ns for p in files} == files
+    assert io.cached_factors(df.repartition(5), names, root)[1] is None
+    other = df.withColumn("close", F.when((F.col("date") == F.lit(D(2024, 1, 12))) & (F.col("code") == "600001"), 1.0).otherwise(F.col("close")))
+    got, first = io.cached_factors(other, names, root)
+    assert first == D(2024, 1, 12) and values(got) == values(factors.with_factors(other, names))
+    fewer = other.filter(F.col("date") < F.lit(D(2024, 1, 25)))
+    got, first = io.cached_factors(fewer, names, root)
+    assert first == D(2024, 1, 25) and values(got) == values(factors.with_factors(fewer, names))
+
+
 def test_config(spark):
     c = {"strategies": {"a": {"type": "gtja_momentum", "params": {"rebalance": 5}, "weight": 2}, "b": {"type": "mean_reversion", "reversed": True}, "c": {"enabled": False}}, "risk": {"position_limit": {"max_weight": 0.2}, "t1": None}, "backtest": {"capital": 5, "trading_cost": {}, "circuit_breaker": {}, "atr_stop_loss": {"atr_multiplier": 2}}}
     assert [n for n, _, _ in config.build_strategies(config.check_config(c))] == ["a", "b"]
