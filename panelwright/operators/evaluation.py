@@ -33,31 +33,27 @@ def pearson(x: str, y: str) -> Column:
     return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def _tied(*columns: np.ndarray) -> int:
-    """Pairs of rows that are alike in all columns."""
-    count = np.unique(np.stack(columns), axis=1, return_counts=True)[1].astype(np.int64)
-    return int((count * (count - 1) // 2).sum())
+def kendall(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ic (tau-b; null for a constant side), n of the rows x, y alike in keys.
 
+    Discordant pairs are those whose ranks of y come in falling order when rows stand by x.  Two ranks differ first in one bit: so they are counted
+    bit by bit, among rows alike in the bits above, as the ones that stand before each zero.
+    """
+    def others(*columns):
+        return F.count("*").over(Window.partitionBy(*keys, *columns)) - 1
 
-def _inversions(order: np.ndarray) -> int:
-    """Pairs of ranks where a greater one comes first: counted bit by bit, from the highest, within rows alike in the bits above."""
-    total, rank = 0, order.astype(np.int64)
-    for bit in reversed(range(int(rank.max(initial=0)).bit_length())):
-        one = (rank >> bit) & 1
-        new = np.r_[True, (rank[1:] >> (bit + 1)) != (rank[:-1] >> (bit + 1))]
-        before = np.cumsum(one) - one
-        total += int(((before - before[np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0))]) * (1 - one)).sum())
-        rank = rank[np.argsort(rank >> bit, kind="stable")]
-    return total
+    whole = Window.partitionBy(*keys)
+    placed = pairs.select(*keys, "x", "y").withColumns({"n": F.count("*").over(whole), "at": F.row_number().over(whole.orderBy("x", "y")), "r": F.dense_rank().over(whole.orderBy("y")) - 1})
+    placed = placed.withColumns({"tx": others("x"), "ty": others("y"), "both": others("x", "y")})
+    bits = placed.withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin("n")) - 1))).withColumns({"one": F.expr("shiftright(r, bit) & 1"), "above": F.expr("shiftright(r, bit + 1)")})
+    ones = F.sum("one").over(Window.partitionBy(*keys, "bit", "above").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
 
+    def ties(c):  # each row meets each pair that it is in
+        return (F.sum(F.when(F.col("bit") == 0, F.col(c)).otherwise(0)) / 2).alias(c)
 
-def _kendall(x: np.ndarray, y: np.ndarray) -> float | None:
-    """tau-b from tied and discordant pairs."""
-    pairs, tx, ty, both = len(x) * (len(x) - 1) // 2, _tied(x), _tied(y), _tied(x, y)
-    if tx == pairs or ty == pairs:
-        return None
-    discordant = _inversions(np.unique(y[np.lexsort((y, x))], return_inverse=True)[1])
-    return float((pairs - tx - ty + both - 2 * discordant) / np.sqrt(float(pairs - tx) * float(pairs - ty)))
+    sums = bits.withColumn("falls", F.when(F.col("one") == 0, F.coalesce(ones, F.lit(0))).otherwise(0)).groupBy(*keys).agg(F.max("n").alias("n"), ties("tx"), ties("ty"), ties("both"), F.sum("falls").alias("falls"))
+    every = F.col("n").cast("double") * (F.col("n") - 1) / 2
+    return sums.select(*keys, ratio(every - F.col("tx") - F.col("ty") + F.col("both") - 2 * F.col("falls"), F.sqrt((every - F.col("tx")) * (every - F.col("ty")))).alias("ic"), "n")
 
 
 def ic(df: DataFrame, factors: list[str], windows=(5,), method: str = "spearman", min_obs: int = 5, by: tuple = ()) -> DataFrame:
@@ -65,15 +61,7 @@ def ic(df: DataFrame, factors: list[str], windows=(5,), method: str = "spearman"
     keys = ["date", "factor", "fwd_window", *by]
     pairs = long_pairs(df, factors, windows, by)
     if method == "kendall":
-        import pandas as pd
-
-        def run(pdf):
-            x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "ic": [_kendall(x, y)], "n": [len(x)]})
-
-        kinds = dict(pairs.dtypes)
-        schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ic double, n long"
-        return pairs.select(*keys, "x", "y").groupBy(*keys).applyInPandas(run, schema).filter(F.col("n") >= min_obs)
+        return kendall(pairs, keys).filter(F.col("n") >= min_obs)
     if method == "spearman":
         pairs = pairs.withColumns({"x": rank_pct("x", keys), "y": rank_pct("y", keys)})
     elif method != "pearson":

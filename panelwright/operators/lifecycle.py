@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 from datetime import date as Day
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nulls import ratio
 from . import backtest, evaluation, strategies
 from .carry import Carry, started
 from .factors import get_spec, list_factors, with_factors
@@ -171,37 +172,69 @@ def test_stats(ics: DataFrame, min_days: int = 5, by=("factor",)) -> DataFrame:
     return s.withColumn("ic_t", t).select(*by, "ic_mean", "ic_t", "ic_n", F.coalesce(F.abs("ic_t") > 2, F.lit(False)).alias("sig"))
 
 
-def bootstrap_t(values: np.ndarray, n_iters: int, window: int, seed: int | None = None) -> np.ndarray:
-    """t statistics of first-order autoregressions rebuilt from shuffled residuals: the null of no information.  All iterations at once."""
-    values = values[~np.isnan(values)]
-    if len(values) < max(window, 3) or values[:-1].var() == 0:
-        return np.full(n_iters, np.nan)
-    x, y = values[:-1], values[1:]
-    phi = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
-    res = y - y.mean() - phi * (x - x.mean())
-    res -= res.mean()
-    rng = np.random.default_rng(seed)
-    e = np.stack([rng.permutation(res) for _ in range(n_iters)])
-    out = np.zeros((n_iters, len(values)))
-    for j in range(1, len(values)):
-        out[:, j] = phi * out[:, j - 1] + e[:, j - 1]
-    tail = out[:, -window:]
-    sd = tail.std(axis=1, ddof=1)
-    return np.where(sd == 0, np.inf, tail.mean(axis=1) / np.where(sd == 0, 1, sd) * np.sqrt(tail.shape[1]))
+def bootstrap_draws(ics: DataFrame, by: list[str], n_iters: int = 200, window: int = 60, seed: int = 0) -> DataFrame:
+    """by, iter, t: t statistics of first-order autoregressions rebuilt from shuffled residuals, the null of no information.
+
+    Residuals stand in the order of the MD5 of seed, keys, iteration and place, so that any engine draws the same.  A series (one value a date) is one
+    row; its iterations run within it, each a pass that keeps the last window's moments only.  Series with fewer values than a window, or without
+    variation, have no rows; an iteration without variation has an infinite t.
+    """
+    at, whole = Window.partitionBy(*by).orderBy("date"), Window.partitionBy(*by)
+    rows = ics.select(*by, "date", F.nanvl(F.col("ic").cast("double"), F.lit(None).cast("double")).alias("v")).filter("v is not null").withColumns({"m": F.count("*").over(whole), "x": F.lag("v").over(at)})
+    rows = rows.filter("x is not null").withColumns({"phi": ratio(F.covar_pop("x", "v").over(whole), F.var_pop("x").over(whole)), "mx": F.avg("x").over(whole), "my": F.avg("v").over(whole)})
+    rest = F.col("v") - F.col("my") - F.col("phi") * (F.col("x") - F.col("mx"))
+    series = rows.withColumn("rest", rest).groupBy(*by).agg(F.first("m").alias("m"), F.first("phi").alias("phi"), F.array_sort(F.collect_list(F.struct("date", "rest"))).alias("rests")).filter((F.col("m") >= max(window, 3)) & F.col("phi").isNotNull())
+    drawn = series.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(n_iters - 1))))
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by], F.col("iter").cast("string"))
+    shuffled = F.transform(F.array_sort(F.transform("rests", lambda r, k: F.struct(F.md5(F.concat_ws("|", name, k.cast("string"))).alias("h"), r["rest"].alias("rest")))), lambda r: r["rest"])
+    start = F.struct(F.lit(1).alias("j"), F.lit(0.0).alias("last"), F.when(F.col("m") <= window, 1).otherwise(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s, e):
+        last, n = F.col("phi") * s["last"] + e, s["n"] + 1
+        off = last - s["mean"]
+        mean, inside = s["mean"] + off / n, s["j"] >= F.col("m") - window
+        return F.struct((s["j"] + 1).alias("j"), last.alias("last"), F.when(inside, n).otherwise(s["n"]).alias("n"), F.when(inside, mean).otherwise(s["mean"]).alias("mean"), F.when(inside, s["m2"] + off * (last - mean)).otherwise(s["m2"]).alias("m2"))
+
+    t = F.aggregate(shuffled, start, step, lambda s: F.when(s["m2"] == 0, F.lit(float("inf"))).otherwise(ratio(s["mean"], F.sqrt(ratio(s["m2"], s["n"] - 1))) * F.sqrt(s["n"].cast("double"))))
+    return drawn.select(*by, "iter", t.alias("t"))
 
 
 def bootstrap_null(ics: DataFrame, by: list[str], n_iters: int = 200, window: int = 60, seed: int = 0, q: float = 0.95) -> DataFrame:
-    """by, null_q: quantile of the absolute null t of each series; seeded by the series' keys."""
-    import pandas as pd
-    import zlib
+    """by, null_q: quantile of the absolute null t of each series."""
+    return bootstrap_draws(ics, by, n_iters, window, seed).groupBy(*by).agg(F.percentile(F.abs("t"), F.lit(q)).alias("null_q"))
+
+
+def null_histogram(draws: DataFrame, by: list[str], bins: int = 32, low: float = -4.0, high: float = 4.0) -> DataFrame:
+    """by, bin, lower, n: draws by fixed bins of t (the first and last also hold what lies beyond; null counts nowhere; empty bins are absent).
+
+    Bins do not depend on the draws, so histograms of parts add up (``merge_histograms``).
+    """
+    if bins < 1 or low >= high:
+        raise ValueError("need a bin and low < high")
+    width = (high - low) / bins
+    at = F.greatest(F.least(F.floor((F.greatest(F.least("t", F.lit(high)), F.lit(low)) - low) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
+    return draws.filter("t is not null").groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n")).select(*by, "bin", (F.col("bin") * width + low).alias("lower"), "n")
+
+
+def merge_histograms(parts: list[DataFrame], by: list[str]) -> DataFrame:
+    """The histogram of all parts' draws; parts: ``null_histogram`` with the same bins."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*by, "bin", "lower").agg(F.sum("n").alias("n"))
 
-    def run(key, pdf):
-        s = zlib.crc32("|".join(map(str, key)).encode()) ^ seed
-        t = np.abs(bootstrap_t(pdf.sort_values("date")["ic"].to_numpy(float), n_iters, window, s))
-        return pd.DataFrame([[*key, float(np.quantile(t, q)) if not np.isnan(t).all() else None]], columns=[*by, "null_q"])
 
-    kinds = dict(ics.dtypes)
-    return ics.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", null_q double")
+def state_spans(states: DataFrame) -> DataFrame:
+    """factor, fwd_window, state, start, end, days, mean_ir, mean_t: the life of a factor as stretches of dates in one state."""
+    runs = islands(states, "state", KEYS).groupBy(*KEYS, "__island", "state")
+    return runs.agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days"), F.avg("rolling_ir").alias("mean_ir"), F.avg("t_stat").alias("mean_t")).drop("__island")
+
+
+def factor_health(states: DataFrame, value: str = "rolling_ir") -> DataFrame:
+    """factor, fwd_window, date, value, shade: value over the greater of the absolute 5th and 95th percentiles of all values (1 if that is 0), kept
+    within -1 and 1; rows without a value have neither.
+    """
+    known = states.select(*KEYS, "date", F.nanvl(F.col(value), F.lit(None).cast("double")).alias("value"))
+    ends = known.agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("e")).select(F.greatest(F.abs(F.col("e")[0]), F.abs(F.col("e")[1])).alias("s"))
+    scaled = known.crossJoin(F.broadcast(ends.select(F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s"))))  # one row
+    return scaled.select(*KEYS, "date", "value", F.when(F.col("value").isNotNull(), F.greatest(F.least(F.col("value") / F.col("s"), F.lit(1.0)), F.lit(-1.0))).alias("shade"))
 
 
 def representatives(rows: list[tuple], ids: dict[str, int], by: str = "t_stat") -> set[str]:
@@ -235,8 +268,9 @@ def phase_b(data: DataFrame, states: DataFrame, windows: list, top_k: int = 5, t
     names = sorted(r["factor"] for r in mine.select("factor").distinct().collect())  # the registry's at most
     made = evaluation.forward_returns(with_factors(data, names), (fwd_window,), exclude_untradable).withColumn("__end", F.lead("date", fwd_window).over(evaluation.by_code()))
     recent = days.join(w, F.col("date") <= F.col("tr1")).withColumn("k", F.row_number().over(Window.partitionBy("period").orderBy(F.col("date").desc()))).filter(F.col("k") <= corr_window).select("period", "date")
-    daily = evaluation.daily_correlations(made.select("date", "code", *names).join(F.broadcast(recent), "date"), names, min_obs, by=("period",))
-    alike = daily.groupBy("period", "factor_a", "factor_b").agg(F.avg("c").alias("corr"))
+    met = recent.select("date").distinct()  # a date's correlations are those of every period that looks back on it
+    daily = evaluation.daily_correlations(made.select("date", "code", *names).join(F.broadcast(met), "date", "left_semi"), names, min_obs)
+    alike = daily.join(F.broadcast(recent), "date").groupBy("period", "factor_a", "factor_b").agg(F.avg("c").alias("corr"))
 
     def cluster(left, right):
         rows = [(f, t, i) for f, t, i in zip(left["factor"], left["train_t"], left["ir"])]

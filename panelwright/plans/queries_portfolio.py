@@ -456,6 +456,34 @@ def run_matrix(spark, sf_dir):
     return _figures(backtest.run_matrix(panels.bars(spark, sf_dir), pools, ["mean_reversion", "rsi_reversal"]))
 
 
+@query("best_result", f"{_runs({f'{k:04d}': 'WITH ' + _MOM_SCORE + ', ' + hold_sql('sc', g['rebalance'], g['top_n'], 3, 21) + ' SELECT * FROM sig' for k, g in enumerate(_GRID)}, eng.engine())} SELECT run_id, {eng.SELECT_FIGURES} FROM fg ORDER BY round(total_return, 6) DESC, run_id LIMIT 1")
+def best_result(spark, sf_dir):
+    """The set of the sweep with the greatest return."""
+    swept = param_sweep(spark, sf_dir)
+    return evaluation.best_result(swept.select("run_id", *[c for c in swept.columns if c != "run_id"]), "total_return")
+
+
+@query("best_per_pool", f"{_runs(_POOL_RUNS, eng.engine())}, rk AS (SELECT split_part(run_id, '|', 1) AS pool, split_part(run_id, '|', 2) AS strategy, *, row_number() OVER (PARTITION BY split_part(run_id, '|', 1) ORDER BY round(total_return, 6) DESC, split_part(run_id, '|', 2)) AS k FROM fg) SELECT pool, strategy, {eng.SELECT_FIGURES} FROM rk WHERE k = 1")
+def best_per_pool(spark, sf_dir):
+    """The strategy with the greatest return in each pool."""
+    made = run_matrix(spark, sf_dir)
+    return evaluation.best_per_pool(made.select("pool", "strategy", *[c for c in made.columns if c not in ("pool", "strategy")]), "total_return")
+
+
+@query("compare_backtests", f"WITH RECURSIVE {sql.P}, {_two_signals()}, ew AS ({eng.equal_weights('m', run='momentum')} UNION ALL {eng.equal_weights('r', run='reversal')}), {eng.smoothed('ew', 0.015)}, {eng.limited('smo', 0.3)}, tg AS (SELECT * FROM lim), {eng.days_of(chr(83) + 'ELECT unnest([' + repr('momentum') + ', ' + repr('reversal') + ']) AS run_id')}, {eng.engine()}, {eng.figures()} SELECT run_id, {eng.SELECT_FIGURES} FROM fg")
+def compare_backtests(spark, sf_dir):
+    """Two strategies side by side, with a dead zone and a limit on each weight."""
+    m, r = _pair_of_signals(spark, sf_dir)
+    return _figures(lifecycle.compare_backtests(panels.bars(spark, sf_dir), {"momentum": m, "reversal": r})[0])
+
+
+@query("rebalanced_positions", f"WITH {_MOM}, ds AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM sig)), kept AS (SELECT sig.* FROM sig JOIN ds USING (date) WHERE i % 5 = 0) SELECT date, code, {sql.rounded('weight', 6, 'weight')}, shares::BIGINT AS shares FROM ({eng.equal_weights('kept', run='all')})")
+def rebalanced_positions(spark, sf_dir):
+    """Positions of every fifth signal date."""
+    p = panels.bars(spark, sf_dir)
+    return _positions(backtest.build_positions(p, strategies.get_strategy("gtja_momentum")(p), rebalance_days=5))
+
+
 @query("continuous_backtest", f"{_runs({'continuous': 'WITH ' + _MOM + ' SELECT * FROM sig'}, eng.engine())}, bz AS (SELECT *, eq / lag(eq) OVER (ORDER BY i) - 1 - 0.03 / 252 AS x, max(eq) OVER (ORDER BY i) AS top FROM bt WHERE i > 0) SELECT 'continuous' AS run_id, {sql.rounded('arg_max(eq, i) / 1000000 - 1', 6, 'total_return')}, {sql.rounded('pow(arg_max(eq, i) / 1000000, 252.0 / count(*)) - 1', 6, 'annual_return')}, {sql.rounded('avg(x) / stddev_pop(x) * sqrt(252)', 6, 'sharpe_ratio')}, {sql.rounded('max(abs((eq - top) / top))', 6, 'max_drawdown')} FROM bz")
 def continuous_backtest(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
@@ -504,6 +532,29 @@ def signal_spread(spark, sf_dir):
     return evaluation.signal_spread(a).withColumn("spread", rounded("spread", 6))
 
 
+_DIAGNOSIS = f"""fr AS (SELECT date, code, unnest([1, 5, 20]) AS w, unnest([lead(close, 1) OVER ({sql.BC}), lead(close, 5) OVER ({sql.BC}), lead(close, 20) OVER ({sql.BC})]) / close - 1 AS r FROM p),
+ fa AS (SELECT w, signal, count(*) AS n, avg(r) AS mean, quantile_cont(r, 0.5) AS median, count(*) FILTER (r > 0) * 1.0 / count(*) AS hit FROM m JOIN fr USING (date, code) WHERE r IS NOT NULL GROUP BY 1, 2),
+ sc AS (SELECT 'momentum' AS stage, signal FROM m UNION ALL SELECT 'reversal', signal FROM r)"""
+
+
+@query("full_diagnosis", f"""WITH {sql.P}, {_two_signals()}, {_DIAGNOSIS}, al AS (
+ SELECT 'stage_counts' AS part, stage AS item, unnest(['total', 'buy', 'sell', 'hold']) AS name, unnest([count(*), count(*) FILTER (signal = 1), count(*) FILTER (signal = -1), count(*) FILTER (signal = 0)])::DOUBLE AS value FROM sc GROUP BY 2
+ UNION ALL SELECT 'forward_returns', w || '/' || signal, unnest(['count', 'mean', 'median', 'hit_rate']), unnest([n::DOUBLE, mean, median, hit]) FROM fa
+ UNION ALL SELECT 'spread', w::VARCHAR, 'spread', max(mean) FILTER (signal = 1) - max(mean) FILTER (signal = -1) FROM fa GROUP BY w)
+ SELECT part, item, name, {sql.rounded('value', 6, 'value')} FROM al""")
+def full_diagnosis(spark, sf_dir):
+    """All tables of the diagnosis as one, by part, item and name."""
+    m, r = _pair_of_signals(spark, sf_dir)
+    made = evaluation.full_diagnosis({"momentum": m, "reversal": r}, panels.bars(spark, sf_dir))
+
+    def long(part, item, names):
+        each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])
+        return made[part].select(F.lit(part).alias("part"), item.alias("item"), F.explode(each).alias("x")).select("part", "item", "x.*")
+
+    out = long("stage_counts", F.col("stage"), ["total", "buy", "sell", "hold"]).unionByName(long("forward_returns", F.concat_ws("/", F.col("window").cast("string"), F.col("signal").cast("string")), ["count", "mean", "median", "hit_rate"]))
+    return out.unionByName(long("spread", F.col("window").cast("string"), ["spread"])).withColumn("value", rounded("value", 6))
+
+
 # pairs
 
 _PQ = f"{sql.P}, pr AS (SELECT s_suppkey::INTEGER AS pair, s_suppkey::VARCHAR AS code_a, other::VARCHAR AS code_b FROM (SELECT s_suppkey, lead(s_suppkey) OVER w AS other, row_number() OVER w AS k FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)) WHERE k % 2 = 1 AND other IS NOT NULL), pp AS (SELECT pair, a.date, ln(a.close) AS la, ln(b.close) AS lb FROM pr JOIN p a ON a.code = code_a JOIN p b ON b.code = code_b AND b.date = a.date), ps AS (SELECT *, la - covar_pop(la, lb) OVER k / nullif(var_pop(lb) OVER k, 0) * lb AS spread FROM pp WINDOW k AS (PARTITION BY pair))"
@@ -531,9 +582,29 @@ def pair_half_life(spark, sf_dir):
     return pairs.half_life(pairs.spread(_pair_rows(spark, sf_dir))).withColumn("half_life", rounded("half_life", 4))
 
 
-@query("pair_cointegration")
+def _crossed(rows: str, name: str) -> str:
+    """CTEs from rows (pair, v: a row of numbers) to name (pair, k, m): the matrix of cross products, and what is left of it after k columns are swept out."""
+    cell = "m[i][j] - m[i][1] * m[1][j] / m[1][1]"
+    return f"""{name}a AS (SELECT pair, v, unnest(range(1, len(v) + 1)) AS i FROM {rows}), {name}b AS (SELECT pair, i, v, unnest(range(1, len(v) + 1)) AS j FROM {name}a), {name}c AS (SELECT pair, i, j, sum(v[i] * v[j]) AS g FROM {name}b GROUP BY 1, 2, 3),
+ {name}d AS (SELECT pair, i, list(g ORDER BY j) AS r FROM {name}c GROUP BY 1, 2), {name} AS (SELECT pair, 0 AS k, list(r ORDER BY i) AS m FROM {name}d GROUP BY 1 UNION ALL SELECT pair, k + 1, [[{cell} for j in range(2, len(m) + 1)] for i in range(2, len(m) + 1)] FROM {name} WHERE len(m) > 1)"""
+
+
+#: Share of the normal distribution below z, by Simpson's rule from -10 on.
+_SHARE = "(z + 10) / 6000 / sqrt(2 * pi()) * list_sum([(CASE WHEN s IN (0, 2000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(-10 + s * (z + 10) / 2000, 2) / 2) for s in range(2001)])"
+_COINT = f"""{_PQ}, c0 AS (SELECT pair, date, la - avg(la) OVER k - coalesce(covar_pop(la, lb) OVER k / nullif(var_pop(lb) OVER k, 0), 0) * (lb - avg(lb) OVER k) AS x, count(*) OVER k AS n FROM pp WINDOW k AS (PARTITION BY pair)),
+ c1 AS (SELECT *, row_number() OVER w - 1 AS t, lead(x) OVER w - x AS y FROM c0 WINDOW w AS (PARTITION BY pair ORDER BY date)),
+ c2 AS MATERIALIZED (SELECT pair, n, t, x, y, least(ceil(12 * pow(n / 100.0, 0.25)), n // 2 - 2)::INTEGER AS top, list_reverse(coalesce(list(y) OVER (PARTITION BY pair ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), [])) AS lg FROM c1 WHERE n >= 60),
+ c3 AS (SELECT pair, [1.0::DOUBLE, x] || lg[1:top] || [y] AS v FROM c2 WHERE y IS NOT NULL AND t >= top), {_crossed('c3', 'el')},
+ c4 AS MATERIALIZED (SELECT pair, any_value(n) AS n, arg_min(k - 2, u * (ln(2 * pi()) + ln(m[-1][-1] / u) + 1) + 2 * k) AS lags FROM el JOIN (SELECT DISTINCT pair, n, n - 1 - top AS u FROM c2) USING (pair) WHERE k >= 2 AND len(m) > 0 GROUP BY 1),
+ c5 AS (SELECT pair, [1.0::DOUBLE] || lg[1:lags] || [x, y] AS v FROM c2 JOIN c4 USING (pair) WHERE y IS NOT NULL AND t >= lags), {_crossed('c5', 'fl')},
+ c6 AS (SELECT pair, n, lags, m[1][2] / m[1][1] / sqrt((m[2][2] - m[1][2] * m[1][2] / m[1][1]) / (n - 2 * lags - 3) / m[1][1]) AS tau FROM fl JOIN c4 USING (pair) WHERE len(m) = 2),
+ c7 AS (SELECT *, CASE WHEN tau <= {pairs.TAU_STAR} THEN {' + '.join(f'({c}) * pow(tau, {k})' for k, c in enumerate(pairs.TAU_SMALL))} ELSE {' + '.join(f'({c}) * pow(tau, {k})' for k, c in enumerate(pairs.TAU_LARGE))} END AS z FROM c6)"""
+
+
+@query("pair_cointegration", f"WITH RECURSIVE {_COINT} SELECT pair, {sql.rounded(f'CASE WHEN c0.n < 60 THEN 1 WHEN tau > {pairs.TAU_MAX} THEN 1 WHEN tau < {pairs.TAU_MIN} OR z < -9 THEN 0 ELSE {_SHARE} END', 6, 'pvalue')}, {sql.rounded('tau', 5, 'tau')}, lags, c0.n AS n_obs FROM (SELECT DISTINCT pair, n FROM c0) c0 LEFT JOIN c7 USING (pair)")
 def pair_cointegration(spark, sf_dir):
-    return pairs.cointegration(_pair_rows(spark, sf_dir))
+    made = pairs.cointegration(_pair_rows(spark, sf_dir))
+    return made.select("pair", rounded("pvalue", 6).alias("pvalue"), rounded("tau", 5).alias("tau"), "lags", "n_obs")
 
 
 @query("pair_kalman", f"""WITH RECURSIVE {_PQ}, kn AS MATERIALIZED (SELECT pair, date, la, lb, row_number() OVER (PARTITION BY pair ORDER BY date) AS i FROM pp), k0 AS (SELECT pair, regr_slope(la, lb) AS b FROM kn WHERE i <= 10 GROUP BY 1),
@@ -663,6 +734,43 @@ def monitor_status(spark, sf_dir):
     return lifecycle.status_table(_states(spark, sf_dir)).withColumn("t_stat", rounded("t_stat", 6))
 
 
+@query("state_timeline", f"WITH RECURSIVE {_ST}, sp AS (SELECT *, row_number() OVER w - sustain_days AS g FROM st WINDOW w AS (PARTITION BY factor, fwd_window ORDER BY date)) SELECT factor, fwd_window, state, min(date) AS start, max(date) AS end, count(*) AS days, {sql.rounded('avg(rolling_ir)', 6, 'mean_ir')}, {sql.rounded('avg(t_stat)', 6, 'mean_t')} FROM sp GROUP BY factor, fwd_window, g, state")
+def state_timeline(spark, sf_dir):
+    """The table behind the life-cycle plot."""
+    spans = lifecycle.state_spans(_states(spark, sf_dir))
+    return spans.select("factor", "fwd_window", "state", "start", "end", "days", *[rounded(c, 6).alias(c) for c in ("mean_ir", "mean_t")])
+
+
+@query("factor_health", f"WITH RECURSIVE {_ST}, sc AS (SELECT greatest(abs(quantile_cont(rolling_ir, 0.05)), abs(quantile_cont(rolling_ir, 0.95))) AS s FROM st) SELECT factor, fwd_window, date, {sql.rounded('rolling_ir', 6, 'value')}, {sql.rounded('CASE WHEN rolling_ir IS NOT NULL THEN greatest(least(rolling_ir / s, 1), -1) END', 6, 'shade')} FROM st, sc")
+def factor_health(spark, sf_dir):
+    """The table behind the health heatmap."""
+    made = lifecycle.factor_health(_states(spark, sf_dir))
+    return made.select("factor", "fwd_window", "date", *[rounded(c, 6).alias(c) for c in ("value", "shade")])
+
+
+_NULL = f"""{_IC}, b0 AS (SELECT factor, date, ic AS v, lag(ic) OVER (PARTITION BY factor ORDER BY date) AS x, count(*) OVER (PARTITION BY factor) AS m FROM ic WHERE ic IS NOT NULL),
+ b1 AS MATERIALIZED (SELECT factor, any_value(m) AS m, covar_pop(x, v) / nullif(var_pop(x), 0) AS phi, avg(x) AS mx, avg(v) AS my FROM b0 WHERE x IS NOT NULL GROUP BY 1),
+ b2 AS (SELECT factor, row_number() OVER (PARTITION BY factor ORDER BY date) - 1 AS k, v - my - phi * (x - mx) AS e FROM b0 JOIN b1 USING (factor) WHERE x IS NOT NULL),
+ b3 AS MATERIALIZED (SELECT factor, it, row_number() OVER (PARTITION BY factor, it ORDER BY md5(concat_ws('|', '0', factor, it, k))) AS j, e FROM b2, range(200) t(it)),
+ b4 AS (SELECT factor, it, 0::BIGINT AS j, 0.0::DOUBLE AS o FROM b1, range(200) t(it) UNION ALL SELECT b4.factor, b4.it, b4.j + 1, phi * o + e FROM b4 JOIN b3 ON b3.factor = b4.factor AND b3.it = b4.it AND b3.j = b4.j + 1 JOIN b1 ON b1.factor = b4.factor),
+ dr AS (SELECT factor, it, avg(o) / stddev_samp(o) * sqrt(count(*)) AS t FROM b4 JOIN b1 USING (factor) WHERE j >= m - 60 AND m >= 60 GROUP BY 1, 2)"""
+
+
+def _draws(spark, sf_dir):
+    return lifecycle.bootstrap_draws(evaluation.ic(two_factors(spark, sf_dir), FACTORS), ["factor"])
+
+
+@query("bootstrap_null", f"WITH RECURSIVE {_NULL} SELECT factor, {sql.rounded('quantile_cont(abs(t), 0.95)', 6, 'null_q')} FROM dr GROUP BY 1")
+def bootstrap_null(spark, sf_dir):
+    return lifecycle.bootstrap_null(evaluation.ic(two_factors(spark, sf_dir), FACTORS), ["factor"]).withColumn("null_q", rounded("null_q", 6))
+
+
+@query("null_histogram", f"WITH RECURSIVE {_NULL} SELECT factor, bin, (bin * 0.25 - 4)::DOUBLE AS lower, count(*) AS n FROM (SELECT factor, greatest(least(floor((t + 4) / 0.25), 31), 0)::INTEGER AS bin FROM dr) GROUP BY 1, 2")
+def null_histogram(spark, sf_dir):
+    """The table behind the plot of the null distribution."""
+    return lifecycle.null_histogram(_draws(spark, sf_dir), ["factor"])
+
+
 _BAR_FACTORS = [n for n in sql.FACTORS if len(sql.FACTORS[n]) == 3]
 
 
@@ -687,6 +795,13 @@ def monitor_all_factors(spark, sf_dir):
     return lifecycle.status_table(lifecycle.monitor(panels.bars(spark, sf_dir), min_sustain=5)).withColumn("t_stat", rounded("t_stat", 2))
 
 
+@query("top_factors", f"WITH RECURSIVE {_all_states()}, la AS (SELECT factor, round(arg_max(coalesce(t_stat, 'nan'), date), 2) AS t FROM st GROUP BY 1) SELECT factor, {sql.rounded('t', 2, 't_stat')} FROM la WHERE NOT isnan(t) AND abs(t) >= 1 ORDER BY abs(t) DESC, factor LIMIT 10")
+def top_factors(spark, sf_dir):
+    """The ten bar factors of greatest latest |t| (two decimals), of those with one of 1 or more."""
+    last = lifecycle.status_table(lifecycle.monitor(panels.bars(spark, sf_dir), min_sustain=5)).withColumn("t_stat", F.round("t_stat", 2))
+    return lifecycle.select_top_factors(last, 10, 1.0).select("factor", rounded("t_stat", 2).alias("t_stat"))
+
+
 #: Codes whose number is 1 modulo 4 are away for 100 dates up to the sixth date from the end, where the old run stands.
 _AWAY = 100
 _GAPPED = f"""p0 AS ({sql.bars()}), ds AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS back FROM (SELECT DISTINCT date FROM p0)),

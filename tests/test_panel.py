@@ -1,5 +1,6 @@
 """Operators against small pandas formulas and hand-made panels."""
 import datetime
+import hashlib
 import math
 
 import numpy as np
@@ -268,15 +269,23 @@ def test_dead_zone_keeps_exposure(spark):
         assert {r["shares"] for r in backtest.build_positions(data, signals, exposure=half, dead_zone=zone).collect()} == {25_000}
 
 
-def test_kendall_against_pairs():
+def test_kendall_against_pairs(spark):
     rng = np.random.default_rng(4)
+    rows, want = [], {}
     for n in (1, 2, 5, 40, 200):
         for high in (3, 1000):
             x, y = rng.integers(0, high, n).astype(float), rng.integers(0, high, n).astype(float)
             a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
             scale = np.sqrt((a != 0).sum() * (b != 0).sum())
-            got = evaluation._kendall(x, y)
-            assert got is None if scale == 0 else abs(got - (a * b).sum() / scale) < 1e-12
+            want[f"{n}|{high}"] = (None if scale == 0 else (a * b).sum() / scale, n)
+            rows += [(f"{n}|{high}", float(u), float(v)) for u, v in zip(x, y)]
+    made = evaluation.kendall(spark.createDataFrame(rows, "k string, x double, y double"), ["k"])
+    assert "Pandas" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r for r in made.collect()}
+    assert set(got) == set(want)
+    for k, (tau, n) in want.items():
+        assert got[k]["n"] == n and (got[k]["ic"] is None if tau is None else abs(got[k]["ic"] - tau) < 1e-12)
+    assert evaluation.kendall(spark.createDataFrame([], "k string, x double, y double"), ["k"]).count() == 0
 
 
 def test_daily_correlations_with_gaps(spark):
@@ -332,20 +341,62 @@ def test_windows_of_months():
     assert all(train_end < test_start for _, train_end, test_start, _ in w)
 
 
-def test_unit_root_and_kalman():
+def dickey_fuller(x):
+    """(tau, lags) by least squares, order by order."""
+    n, d = len(x), np.diff(x)
+    top = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+
+    def fit(lags, first):
+        m = np.column_stack([x[first:-1], *(d[first - k : len(d) - k] for k in range(1, lags + 1)), np.ones(len(d) - first)])
+        b = np.linalg.lstsq(m, d[first:], rcond=None)[0]
+        return m, b, float(((d[first:] - m @ b) ** 2).sum())
+
+    k = len(d) - top
+    lags = min(range(top + 1), key=lambda p: k * np.log(fit(p, top)[2] / k) + 2 * (p + 2))
+    m, b, ssr = fit(lags, lags)
+    return b[0] / np.sqrt(ssr / (len(m) - m.shape[1]) * np.linalg.inv(m.T @ m)[0, 0]), lags
+
+
+def test_unit_roots_against_least_squares(spark):
     rng = np.random.default_rng(3)
-    b = rng.normal(size=400).cumsum() * 0.01 + 3
-    noise = np.zeros(400)
-    for i in range(1, 400):
-        noise[i] = 0.5 * noise[i - 1] + rng.normal() * 0.01
-    assert pairs.cointegration_pvalue(1.5 * b + noise, b) < 0.01
-    walks = [pairs.augmented_dickey_fuller(rng.normal(size=200).cumsum())[1] < 0.05 for _ in range(60)]
-    assert sum(walks) <= 9  # five in a hundred by chance
-    assert pairs.cointegration_pvalue(b[:10], b[:10]) == 1.0 and pairs.cointegration_pvalue(2 * b, b) == 0.0
-    assert abs(pairs.unit_root_pvalue(-2.86) - 0.05) < 0.003 and abs(pairs.unit_root_pvalue(-3.43) - 0.01) < 0.001
+    rows, want = [], {}
+
+    def put(pair, a, b):
+        rows.extend((pair, day(i), float(u), float(v)) for i, (u, v) in enumerate(zip(a, b)))
+
+    for pair in range(8):
+        n = (60, 100, 237, 400)[pair % 4]
+        b, noise = rng.normal(size=n).cumsum() * 0.01 + 3, np.zeros(n)
+        for i in range(2, n):
+            noise[i] = (0.5, 0.95)[pair // 4] * noise[i - 1] + 0.3 * (noise[i - 1] - noise[i - 2]) + rng.normal() * 0.01
+        put(pair, 1.5 * b + noise, b)
+        m = np.column_stack([b, np.ones(n)])
+        want[pair] = dickey_fuller(1.5 * b + noise - m @ np.linalg.lstsq(m, 1.5 * b + noise, rcond=None)[0])
+    put(50, b[:59], b[:59][::-1])
+    put(51, 2 * b, b)
+    put(52, np.sin(np.arange(80.0)), np.ones(80))  # no slope
+    for pair in range(100, 140):
+        put(pair, rng.normal(size=200).cumsum(), rng.normal(size=200).cumsum())
+    rows.append((0, day(1000), None, 1.0))
+    got = {r["pair"]: r for r in pairs.cointegration(spark.createDataFrame(rows, "pair int, date date, log_a double, log_b double")).collect()}
+    for pair, (tau, lags) in want.items():
+        assert got[pair]["lags"] == lags and abs(got[pair]["tau"] - tau) < 1e-8
+    assert got[3]["pvalue"] < 0.01 and got[0]["n_obs"] == 60
+    assert got[50]["pvalue"] == 1.0 and got[50]["tau"] is None and got[51]["pvalue"] == 0.0 and 0 <= got[52]["pvalue"] <= 1
+    assert sum(got[p]["pvalue"] < 0.05 for p in range(100, 140)) <= 12  # residuals of two walks: nominal levels are exceeded
+    taus = spark.createDataFrame([(-2.86,), (-3.43,), (3.0,), (-20.0,), (None,)], "t double")
+    p = [r["p"] for r in taus.select(pairs.unit_root_pvalue(F.col("t")).alias("p")).collect()]
+    assert abs(p[0] - 0.05) < 0.003 and abs(p[1] - 0.01) < 0.001 and p[2:] == [1.0, 0.0, None]
+    assert pairs.cointegration(spark.createDataFrame([], "pair int, date date, log_a double, log_b double")).count() == 0
     assert abs(pairs.kalman(1.5 * b, b)[-1] - 1.5) < 1e-3
 
 
+def test_normal_shares(spark):
+    z = [-9.0, -3.0, -0.5, 0.0, 1e-9, 1.7, 8.0]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", pairs.normal_cdf(F.col("z")).alias("p")).collect()
+    assert all(abs(r["p"] - 0.5 * math.erfc(-r["z"] / math.sqrt(2))) < 1e-14 for r in got)
+
+
 def test_as_of_takes_the_last_event_even_if_null(spark):
     e = spark.createDataFrame([("a", day(1), "20231231", 1.0), ("a", day(3), "20230930", 2.0), ("a", day(3), "20231231", 3.0), ("a", day(5), "20240331", None)], "code string, ann_date date, end_date string, v double")
     grid = spark.createDataFrame([(day(i), c) for i in range(7) for c in "ab"], "date date, code string")
@@ -392,10 +443,50 @@ def test_surprise_in_small_blocks(spark):
     assert sides[0] == sides[1] and len(sides[0]) == e.count()
 
 
-def test_bootstrap():
+def test_bootstrap(spark):
     x = np.random.default_rng(0).normal(size=200)
-    a, b = lifecycle.bootstrap_t(x, 300, 60, 1), lifecycle.bootstrap_t(x, 300, 60, 1)
-    assert (a == b).all() and abs(a.mean()) < 0.2 and np.isnan(lifecycle.bootstrap_t(x[:10], 5, 60)).all()
+    rows = [("f", day(i), float(v)) for i, v in enumerate(x)] + [("short", day(i), float(v)) for i, v in enumerate(x[:10])] + [("flat", day(i), 0.5) for i in range(100)] + [("f", day(900), None), ("f", day(901), float("nan"))]
+    ics = spark.createDataFrame(rows, "factor string, date date, ic double")
+    draws = lifecycle.bootstrap_draws(ics, ["factor"], 80, 60, 7)
+    got = {(r["factor"], r["iter"]): r["t"] for r in draws.collect()}
+    assert set(got) == {("f", i) for i in range(80)}
+    past, now = x[:-1] - x[:-1].mean(), x[1:] - x[1:].mean()
+    phi = (past * now).sum() / (past**2).sum()
+    for i in range(80):
+        rest = [e for _, e in sorted((hashlib.md5(f"7|f|{i}|{k}".encode()).hexdigest(), e) for k, e in enumerate(now - phi * past))]
+        out = [0.0]
+        for e in rest:
+            out.append(phi * out[-1] + e)
+        tail = np.array(out[-60:])
+        assert abs(got["f", i] - tail.mean() / tail.std(ddof=1) * np.sqrt(60)) < 1e-9
+    assert abs(np.mean(list(got.values()))) < 0.5
+    q = lifecycle.bootstrap_null(ics, ["factor"], 80, 60, 7).collect()
+    assert len(q) == 1 and abs(q[0]["null_q"] - np.quantile(np.abs(list(got.values())), 0.95)) < 1e-9
+    assert lifecycle.bootstrap_draws(ics.limit(0), ["factor"]).count() == 0
+    # a window as long as the series holds the start as well
+    assert lifecycle.bootstrap_draws(ics.filter("factor = 'short'"), ["factor"], 3, 10).count() == 3
+
+
+def test_null_histograms_add_up(spark):
+    t = [-9.0, -4.0, -0.1, 0.0, 0.24, 0.25, 3.99, 4.0, float("inf")]
+    draws = spark.createDataFrame([("f", k, v) for k, v in enumerate(t)] + [("f", 99, None)], "factor string, iter int, t double")
+    whole = sorted(map(tuple, lifecycle.null_histogram(draws, ["factor"]).collect()))
+    parts = [lifecycle.null_histogram(draws.filter(f"iter % 2 = {k}"), ["factor"]) for k in (0, 1)]
+    assert whole == sorted(map(tuple, lifecycle.merge_histograms(parts, ["factor"]).collect())) and sum(r[3] for r in whole) == 9
+    assert {r[1]: r[3] for r in whole} == {0: 2, 15: 1, 16: 2, 17: 1, 31: 3} and whole[0][2] == -4.0
+    with pytest.raises(ValueError):
+        lifecycle.null_histogram(draws, ["factor"], 0)
+
+
+def test_spans_and_health(spark):
+    rows = [(day(i), f, 5, s, t, t) for f in "ab" for i, (s, t) in enumerate([("dead", None), ("dead", 0.5), ("active", 2.5), ("dead", -0.5), ("dead", 0.0)])]
+    states = spark.createDataFrame(rows, "date date, factor string, fwd_window int, state string, rolling_ir double, t_stat double")
+    spans = sorted(tuple(r) for r in lifecycle.state_spans(states).filter("factor = 'a'").select("start", "end", "state", "days", "mean_t").collect())
+    assert spans == [(day(0), day(1), "dead", 2, 0.5), (day(2), day(2), "active", 1, 2.5), (day(3), day(4), "dead", 2, -0.25)]
+    health = {r["date"]: r for r in lifecycle.factor_health(states).filter("factor = 'b'").collect()}
+    assert health[day(0)]["shade"] is None and health[day(2)]["shade"] == 1.0 and -1 < health[day(3)]["shade"] < 0 and health[day(4)]["shade"] == 0.0
+    flat = lifecycle.factor_health(states.withColumn("rolling_ir", F.lit(0.0)))
+    assert {r["shade"] for r in flat.collect()} == {0.0} and lifecycle.factor_health(states.limit(0)).count() == 0
 
 
 @pytest.fixture(scope="module")
