@@ -357,8 +357,8 @@ def walk_forward_targets(data: DataFrame, positions: DataFrame, windows: list, e
     return priced.join(spans, F.col("date").between(F.col("start"), F.col("stop"))).select("period", "date", "code", "weights", "close", "exposure")
 
 
-def walk_periods(data: DataFrame, targets: DataFrame, windows: list, engine: Engine) -> tuple[DataFrame, DataFrame]:
-    """(equity with period, per-period metrics): all periods in one plan and one group, for one period's capital depends on the one before."""
+def walk_periods(data: DataFrame, targets: DataFrame, windows: list, engine: Engine) -> DataFrame:
+    """equity, figures: one row with the curve and the periods' figures, of all periods in one group, for one period's capital depends on the one before."""
     import pandas as pd
 
     spans = [(w[2], w[3]) for w in windows]
@@ -380,15 +380,19 @@ def walk_periods(data: DataFrame, targets: DataFrame, windows: list, engine: Eng
         names = ("period", "date", "equity", "cash", "position_value", "returns"), ("period", *FIGURES)
         return pd.DataFrame({"equity": [[dict(zip(names[0], r)) for r in curve]], "figures": [[dict(zip(names[1], r)) for r in figures]]})
 
-    made = rows.groupBy(F.lit(1).alias("walk")).applyInPandas(run, "equity array<struct<period:int,date:date,equity:double,cash:double,position_value:double,returns:double>>, figures array<struct<period:int,total_return:double,annual_return:double,sharpe_ratio:double,max_drawdown:double,win_rate:double,trade_count:bigint,total_cost:double,cost_ratio:double>>")
-    return made.select(F.explode("equity").alias("e")).select("e.*"), made.select(F.explode("figures").alias("f")).select("f.*")
+    return rows.groupBy(F.lit(1).alias("walk")).applyInPandas(run, "equity array<struct<period:int,date:date,equity:double,cash:double,position_value:double,returns:double>>, figures array<struct<period:int,total_return:double,annual_return:double,sharpe_ratio:double,max_drawdown:double,win_rate:double,trade_count:bigint,total_cost:double,cost_ratio:double>>")
+
+
+def curve_and_periods(walked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(equity with period, per-period metrics) of a walk; each read replays it, ``overall_metrics`` reads both at once."""
+    return walked.select(F.explode("equity").alias("e")).select("e.*"), walked.select(F.explode("figures").alias("f")).select("f.*")
 
 
 FIGURES = ("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "trade_count", "total_cost", "cost_ratio")
 
 
-def walk_forward(data: DataFrame, signals: DataFrame, windows: list, engine: Engine = Engine(), exposure: DataFrame | None = None, pool: DataFrame | None = None, industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, dead_zone: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """(equity with period, per-period metrics).  Capital goes from one period to the next.
+def walked(data: DataFrame, signals: DataFrame, windows: list, engine: Engine = Engine(), exposure: DataFrame | None = None, pool: DataFrame | None = None, industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, dead_zone: float = 0.0) -> DataFrame:
+    """The walk as one row (``walk_periods``).  Capital goes from one period to the next.
 
     exposure: date, exposure - the share of capital invested.  pool: date, code - what may be bought.  dead_zone smooths weights over the
     periods as one series, so that each period starts from the weights that the one before ended with.
@@ -401,6 +405,11 @@ def walk_forward(data: DataFrame, signals: DataFrame, windows: list, engine: Eng
     return walk_periods(data, walk_forward_targets(data, _capped(held, industries, industry_cap, max_weight), windows, exposure), windows, engine)
 
 
+def walk_forward(data: DataFrame, signals: DataFrame, windows: list, engine: Engine = Engine(), **options) -> tuple[DataFrame, DataFrame]:
+    """(equity with period, per-period metrics) of ``walked``."""
+    return curve_and_periods(walked(data, signals, windows, engine, **options))
+
+
 def _capped(held: DataFrame, industries: DataFrame | None, industry_cap: float | None, max_weight: float | None) -> DataFrame:
     """date, code, weights: the weight before and after each cap that applies."""
     steps, out = ["w0"], held.select("date", "code", "weight", F.lit(0).cast("long").alias("shares"), F.col("weight").alias("w0"))
@@ -412,11 +421,20 @@ def _capped(held: DataFrame, industries: DataFrame | None, industry_cap: float |
     return out.select("date", "code", F.array(*steps).alias("weights"))
 
 
-def overall_metrics(curve: DataFrame, periods: DataFrame, capital: float = 1_000_000) -> DataFrame:
-    """Figures of the chained curve, with mean, deviation and ratio of the periods' Sharpe ratios."""
-    whole = equity_metrics(curve.withColumn("run_id", F.lit("all")), capital).drop("run_id")
-    p = periods.agg(F.coalesce(F.avg("sharpe_ratio"), F.lit(0.0)).alias("per_period_sharpe_mean"), F.coalesce(F.stddev_samp("sharpe_ratio"), F.lit(0.0)).alias("per_period_sharpe_std"))
-    return whole.crossJoin(p).withColumn("per_period_ir", F.when(F.col("per_period_sharpe_std") > 1e-10, F.col("per_period_sharpe_mean") / F.col("per_period_sharpe_std")).otherwise(0.0))
+def overall_metrics(walked: DataFrame, capital: float = 1_000_000) -> DataFrame:
+    """Figures of the chained curve, with mean, deviation and ratio of the periods' Sharpe ratios, from the one row of a walk: it is replayed once."""
+    def total(x, f):
+        return F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
+
+    row = walked.select("equity", F.transform("figures", lambda f: f["sharpe_ratio"]).alias("each")).withColumn("mean", F.coalesce(ratio(total(F.col("each"), lambda v: v), F.size("each")), F.lit(0.0)))
+    spread = F.coalesce(F.sqrt(ratio(total(F.col("each"), lambda v: (v - F.col("mean")) * (v - F.col("mean"))), F.size("each") - 1)), F.lit(0.0))
+    points = row.select("mean", spread.alias("std"), F.lit(1).alias("walk"), F.explode("equity").alias("e")).select("walk", "mean", "std", "e.date", "e.equity")
+    by = Window.partitionBy("walk").orderBy("date")  # one row a date
+    peak = F.max("equity").over(by)
+    points = points.withColumns({"x": ratio(F.col("equity"), F.lag("equity").over(by)) - 1 - RISK_FREE, "drawdown": F.abs(ratio(F.col("equity") - peak, peak))})
+    e = points.groupBy("walk").agg(F.max_by("equity", "date").alias("final"), F.count("*").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.max("drawdown").alias("max_drawdown"), F.max("mean").alias("per_period_sharpe_mean"), F.max("std").alias("per_period_sharpe_std"))
+    out = _figures(e, capital, (F.col("n") > 2) & (F.col("s") > 1e-10)).select("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "per_period_sharpe_mean", "per_period_sharpe_std")
+    return out.withColumn("per_period_ir", F.when(F.col("per_period_sharpe_std") > 1e-10, F.col("per_period_sharpe_mean") / F.col("per_period_sharpe_std")).otherwise(0.0))
 
 
 def merge_silos(silos: list[tuple[DataFrame, float]], prices: DataFrame, capital: float = 1_000_000) -> DataFrame:
@@ -458,8 +476,8 @@ def run_matrix(data: DataFrame, pools: DataFrame, names: list[str], engine: Engi
     return out.withColumns({"pool": F.substring_index("run_id", "|", 1), "strategy": F.substring_index("run_id", "|", -1)}).drop("run_id")
 
 
-def walk_forward_silos(data: DataFrame, silos: list[tuple[DataFrame, float]], windows: list, engine: Engine = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, exposure: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Walk-forward over several silos of signals whose weights add up per date; caps apply to the sum.  As walk_forward otherwise."""
+def walked_silos(data: DataFrame, silos: list[tuple[DataFrame, float]], windows: list, engine: Engine = Engine(), industries: DataFrame | None = None, industry_cap: float | None = None, max_weight: float | None = None, exposure: DataFrame | None = None) -> DataFrame:
+    """Walk-forward over several silos of signals whose weights add up per date; caps apply to the sum.  As walked otherwise."""
     parts = []
     for signals, share in silos:
         buys = cleaning.enforce_t1(cleaning.filter_tradable(data, signals)).filter("signal = 1")
@@ -468,3 +486,8 @@ def walk_forward_silos(data: DataFrame, silos: list[tuple[DataFrame, float]], wi
     day = F.sum("weight").over(Window.partitionBy("date"))
     held = total.withColumn("weight", F.col("weight") / F.when(day == 0, 1.0).otherwise(day))
     return walk_periods(data, walk_forward_targets(data, _capped(held, industries, industry_cap, max_weight), windows, exposure), windows, engine)
+
+
+def walk_forward_silos(data: DataFrame, silos: list[tuple[DataFrame, float]], windows: list, engine: Engine = Engine(), **options) -> tuple[DataFrame, DataFrame]:
+    """(equity with period, per-period metrics) of ``walked_silos``."""
+    return curve_and_periods(walked_silos(data, silos, windows, engine, **options))

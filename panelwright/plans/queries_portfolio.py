@@ -419,8 +419,7 @@ def _overall(df):
 @query("walk_forward", f"WITH RECURSIVE {_MOM}, {eng.walk_days(12, 6)}, {_walk('hw AS (SELECT ' + repr('walk') + ' AS run_id, date, code, 1.0 / count(*) OVER (PARTITION BY date) AS weight FROM sig WHERE signal = 1)')}, {eng.walk_dx('tg')}, {eng.engine(walk=True)}, {eng.walk_figures()} SELECT {eng.SELECT_WALK} FROM wo")
 def walk_forward(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
-    curve, periods = backtest.walk_forward(p, strategies.get_strategy("gtja_momentum")(p), panel_windows(p))
-    return _overall(backtest.overall_metrics(curve, periods))
+    return _overall(backtest.overall_metrics(backtest.walked(p, strategies.get_strategy("gtja_momentum")(p), panel_windows(p))))
 
 
 @query("merge_silos", f"WITH {_EW}, a AS (SELECT date, code, weight * 0.7 AS w FROM ew UNION ALL SELECT date, code, 0.3 / count(*) OVER (PARTITION BY date) AS w FROM sig WHERE signal = -1), s AS (SELECT date, code, sum(w) AS w FROM a GROUP BY 1, 2), n AS (SELECT date, code, w / sum(w) OVER (PARTITION BY date) AS w FROM s) SELECT date, code, {sql.rounded('w', 6, 'weight')}, CAST(floor(1000000.0 * w / close / 100) * 100 AS BIGINT) AS shares FROM n JOIN p USING (date, code)")
@@ -498,7 +497,7 @@ _SILOS = f"{_two_signals()}, h0 AS (SELECT date, code, 0.6 / count(*) OVER (PART
 def walk_forward_silos(spark, sf_dir):
     p = panels.bars(spark, sf_dir)
     silos = [(strategies.get_strategy("gtja_momentum")(p), 0.6), (strategies.get_strategy("mean_reversion")(p), 0.4)]
-    return _overall(backtest.overall_metrics(*backtest.walk_forward_silos(p, silos, panel_windows(p), max_weight=0.3)))
+    return _overall(backtest.overall_metrics(backtest.walked_silos(p, silos, panel_windows(p), max_weight=0.3)))
 
 
 @query("pool_matrix", f"WITH {sql.FIGURES}, {sql.INDUSTRY}, a AS (SELECT industry AS pool, CASE WHEN month(date) <= 6 THEN 'h1' ELSE 'h2' END AS half, avg(close) AS v FROM f JOIN i USING (code) GROUP BY 1, 2) SELECT pool, {sql.rounded('''max(v) FILTER (half = 'h1')''', 4, 'h1')}, {sql.rounded('''max(v) FILTER (half = 'h2')''', 4, 'h2')} FROM a GROUP BY 1")

@@ -747,6 +747,21 @@ def test_walk_forward_chains_capital(panel):
     assert low.agg(F.max("position_value")).first()[0] < curve.agg(F.max("position_value")).first()[0]
 
 
+def test_walk_is_replayed_once(panel):
+    signals = strategies.get_strategy("gtja_momentum")(panel, rebalance=5, min_window=5)
+    windows = [(day(0), day(29), day(30), day(50)), (day(20), day(49), day(50), day(70))]
+    walk = backtest.walked(panel, signals, windows, backtest.Engine(capital=50_000))
+    out = backtest.overall_metrics(walk, 50_000)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") == 1
+    curve, periods = (df.toPandas() for df in backtest.curve_and_periods(walk))
+    value, got = curve.sort_values("date")["equity"], out.first()
+    back = value.pct_change().dropna() - 0.03 / 252
+    assert abs(got["total_return"] - (value.iloc[-1] / 50_000 - 1)) < 1e-12 and abs(got["sharpe_ratio"] - back.mean() / back.std(ddof=0) * math.sqrt(252)) < 1e-9
+    assert abs(got["max_drawdown"] - (1 - value / value.cummax()).max()) < 1e-12
+    assert abs(got["per_period_sharpe_mean"] - periods["sharpe_ratio"].mean()) < 1e-12 and abs(got["per_period_sharpe_std"] - periods["sharpe_ratio"].std()) < 1e-12
+    assert backtest.overall_metrics(backtest.walked(panel, signals, windows, pool=panel.limit(0))).count() == 0
+
+
 def test_mining_screen_columns(panel):
     made = panel.withColumns({"circ_mv": F.col("close") * 100, "turnover_rate": F.col("volume") / 100})
     out = lifecycle.mining_screen(made, ["calc_momentum_5d_change"], min_obs=1, min_days=1)
