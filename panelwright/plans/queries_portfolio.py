@@ -773,11 +773,11 @@ def null_histogram(spark, sf_dir):
 _BAR_FACTORS = [n for n in sql.FACTORS if len(sql.FACTORS[n]) == 3]
 
 
-def _all_states() -> str:
-    """CTEs to st of all factors that bars alone feed."""
-    ctes, last = _factor_ctes(_BAR_FACTORS)
-    names = ", ".join(f"'{n}'" for n in _BAR_FACTORS)
-    values = ", ".join(f"v{k}::DOUBLE" for k in range(len(_BAR_FACTORS)))
+def _all_states(factors_: list[str] = _BAR_FACTORS) -> str:
+    """CTEs to st of factors that bars alone feed."""
+    ctes, last = _factor_ctes(factors_)
+    names = ", ".join(f"'{n}'" for n in factors_)
+    values = ", ".join(f"v{k}::DOUBLE" for k in range(len(factors_)))
     ranks = ", ".join(f"{sql.prank(c, 'date, factor')} AS r{c}" for c in "xy")
     corr = "CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-14 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END"
     w = "OVER (PARTITION BY factor, fwd_window ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
@@ -853,20 +853,22 @@ def test_period_stats(spark, sf_dir):
 _ALIKE = ["calc_ma_slope_20d", "calc_momentum_20d_return", "calc_momentum_5d_change", "calc_momentum_6d_return", "calc_rsi", "calc_volume_ratio"]
 
 
-def _dendrogram_sql() -> str:
-    """Single linkage joins two factors at the least height over all ways between them of the longest step: distances squared until all ways are in."""
+def _heights(among: str) -> str:
+    """CTEs from fx to m3 (a, b, h) of the factors (numbers k) in ``among``: single linkage joins two factors at the least height over all ways
+    between them of the longest step; distances are squared until all ways are in."""
     pairs_ = [(a, b) for a in range(len(_ALIKE)) for b in range(a + 1, len(_ALIKE))]
     each = ", ".join(f"unnest([{', '.join(x)}]) AS {n}" for n, x in (("fa", [f"{a}" for a, _ in pairs_]), ("fb", [f"{b}" for _, b in pairs_]), ("x", [f"v{a}::DOUBLE" for a, _ in pairs_]), ("y", [f"v{b}::DOUBLE" for _, b in pairs_])))
     corr = "CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 1e-14 THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END"
-    ways = ["m0 AS (SELECT fa AS a, fb AS b, h FROM dc UNION ALL SELECT fb, fa, h FROM dc UNION ALL SELECT k, k, 0.0 FROM (SELECT unnest(range(6)) AS k))"]
+    ways = ["m0 AS (SELECT fa AS a, fb AS b, h FROM dc UNION ALL SELECT fb, fa, h FROM dc UNION ALL SELECT k, k, 0.0 FROM {among})".format(among=among)]
     ways += [f"m{k + 1} AS (SELECT x.a, y.b, min(greatest(x.h, y.h)) AS h FROM m{k} x JOIN m{k} y ON x.b = y.a GROUP BY 1, 2)" for k in range(3)]
-    names = "[" + ", ".join(f"'{n}'" for n in _ALIKE) + "]"
-    return f"""WITH {_factor_ctes(_ALIKE)[0]}, dl AS (SELECT DISTINCT date FROM p ORDER BY date DESC LIMIT 60), dx AS (SELECT date, code, {each} FROM fx WHERE date IN (SELECT date FROM dl)), dk AS (SELECT * FROM dx WHERE x IS NOT NULL AND y IS NOT NULL),
- dr AS (SELECT *, {sql.prank('x', 'date, fa, fb')} AS rx, {sql.prank('y', 'date, fa, fb')} AS ry FROM dk), dd AS (SELECT date, fa, fb, {corr} AS c FROM dr GROUP BY 1, 2, 3 HAVING count(*) >= 5), dc AS (SELECT fa, fb, coalesce(1 - abs(avg(c)), 1.0) AS h FROM dd GROUP BY 1, 2), {', '.join(ways)}
- SELECT {names}[a + 1] AS factor_a, {names}[b + 1] AS factor_b, {sql.rounded('h', 6, 'height')} FROM m3 WHERE a < b"""
+    return f"""dl AS (SELECT DISTINCT date FROM p ORDER BY date DESC LIMIT 60), dx AS (SELECT date, code, {each} FROM fx WHERE date IN (SELECT date FROM dl)), dk AS (SELECT * FROM dx WHERE x IS NOT NULL AND y IS NOT NULL AND fa IN (SELECT k FROM {among}) AND fb IN (SELECT k FROM {among})),
+ dr AS (SELECT *, {sql.prank('x', 'date, fa, fb')} AS rx, {sql.prank('y', 'date, fa, fb')} AS ry FROM dk), dd AS (SELECT date, fa, fb, {corr} AS c FROM dr GROUP BY 1, 2, 3 HAVING count(*) >= 5), dc AS (SELECT fa, fb, coalesce(1 - abs(avg(c)), 1.0) AS h FROM dd GROUP BY 1, 2), {', '.join(ways)}"""
 
 
-@query("factor_dendrogram", _dendrogram_sql())
+_NAMES = "[" + ", ".join(f"'{n}'" for n in _ALIKE) + "]"
+
+
+@query("factor_dendrogram", f"WITH {_factor_ctes(_ALIKE)[0]}, {_heights('(SELECT unnest(range(6)) AS k)')} SELECT {_NAMES}[a + 1] AS factor_a, {_NAMES}[b + 1] AS factor_b, {sql.rounded('h', 6, 'height')} FROM m3 WHERE a < b")
 def factor_dendrogram(spark, sf_dir):
     """Heights at which factors come together."""
     merged = evaluation.dendrogram(factors.with_factors(panels.bars(spark, sf_dir), _ALIKE), _ALIKE, linkage="single", min_obs=5)
@@ -880,6 +882,17 @@ def phase_a(spark, sf_dir):
     return lifecycle.phase_a(p, lifecycle.monitor(p, names, min_sustain=5))
 
 
+@query("phase_a_single", f"""WITH RECURSIVE {_all_states(_ALIKE)}, la AS (SELECT list_position({_NAMES}, factor) - 1 AS k, arg_max(state, date) AS state, abs(last(t_stat ORDER BY date)) AS t FROM st GROUP BY factor), op AS (SELECT k, t FROM la WHERE state <> 'dead'), {_heights('op')},
+ cl AS (SELECT a AS k, min(b) AS g FROM m3 WHERE h <= 1 - 0.3 GROUP BY 1), cr AS (SELECT k, t, dense_rank() OVER (ORDER BY g) AS cluster FROM cl JOIN op USING (k))
+ SELECT cluster::INTEGER AS cluster, {_NAMES}[first(k ORDER BY t DESC NULLS LAST, k) + 1] AS representative, string_agg({_NAMES}[k + 1], ',' ORDER BY k) AS members FROM cr GROUP BY 1""")
+def phase_a_single(spark, sf_dir):
+    """Phase A by single linkage, factors with correlations of 0.3 or more alike; reversed factors count as active, to be held the other way round."""
+    p = panels.bars(spark, sf_dir)
+    states = lifecycle.monitor(p, _ALIKE, min_sustain=5).replace({"reverse": "active"}, subset=["state"])
+    made = lifecycle.phase_a(p, states, threshold=0.3, linkage="single")
+    return made.withColumn("members", F.array_join("members", ","))
+
+
 @query("phase_b")
 def phase_b(spark, sf_dir):
     p = panels.bars(spark, sf_dir)

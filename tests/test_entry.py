@@ -23,7 +23,7 @@ def test_names():
     assert set(oracle) <= set(queries) and len(queries) > 150 and len(oracle) > 120
 
 
-@pytest.mark.parametrize("name", ["ic_spearman", "factor_macd_like", "factor_high_vol_rank_corr_3d", "rank_hold_multifactor", "industry_cap", "suspension_grid", "quality_panel", "pair_half_life", "weighted_vote", "position_limit", "smooth_with_exposure", "backtest_trades", "walk_forward", "monitor_update", "pit_surprise", "detect_regime", "op_sma_slow", "select_tradable", "fundamental_filter", "ic_kendall", "state_timeline", "factor_health", "null_histogram", "full_diagnosis", "rebalanced_positions", "compare_backtests"])
+@pytest.mark.parametrize("name", ["ic_spearman", "factor_macd_like", "factor_high_vol_rank_corr_3d", "rank_hold_multifactor", "industry_cap", "suspension_grid", "quality_panel", "pair_half_life", "weighted_vote", "position_limit", "smooth_with_exposure", "backtest_trades", "walk_forward", "monitor_update", "pit_surprise", "detect_regime", "op_sma_slow", "select_tradable", "fundamental_filter", "ic_kendall", "state_timeline", "factor_health", "null_histogram", "full_diagnosis", "rebalanced_positions", "compare_backtests", "phase_a_single"])
 def test_against_sql(spark, name):
     import duckdb
 
