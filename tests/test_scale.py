@@ -6,7 +6,8 @@ import re
 
 import pytest
 
-from panelwright.operators import factors
+from panelwright.operators import evaluation, factors
+from panelwright.operators import timeseries as ts
 
 D0 = datetime.date(2024, 1, 1)
 
@@ -27,3 +28,21 @@ def test_exchanges_carry_inputs_and_ranks_only(panel):
     names = [n for n in factors.list_factors(kind="single") if factors.get_spec(n).alias_of is None and set(factors.get_spec(n).needs) <= set(factors.BARS)]
     widths = _widths(factors.with_factors(panel, names).select("date", "code", *names))
     assert len(names) > 40 and len(widths) >= 5 and max(widths) <= 30, widths
+
+
+def test_rank_correlations_cross_one_exchange_as_wide_rows(panel):
+    """Rows are not multiplied by factors and windows before they are moved; ties, nulls and NaN rank as ``rank_pct`` ranks them."""
+    from pyspark.sql import functions as F
+
+    made = evaluation.forward_returns(factors.with_factors(panel, ["calc_momentum_5d_change", "calc_volume_ratio"]), (1, 5))
+    made = made.withColumn("calc_volume_ratio", F.when(F.col("code") == "000002", float("nan")).when(F.col("code") != "000003", F.col("calc_volume_ratio")))
+    names, windows, keys = ["calc_momentum_5d_change", "calc_volume_ratio"], (1, 5), ["date", "factor", "fwd_window"]
+    got = evaluation.ic(made, names, windows, min_obs=3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    pairs = evaluation.long_pairs(made, names, windows).withColumns({"x": ts.rank_pct("x", keys), "y": ts.rank_pct("y", keys)})
+    want = {tuple(r[k] for k in keys): (r["c"], r["n"]) for r in pairs.groupBy(*keys).agg(evaluation.pearson("x", "y").alias("c"), F.count("*").alias("n")).filter("n >= 3").collect()}
+    rows = {tuple(r[k] for k in keys): (r["ic"], r["n"]) for r in got.collect()}
+    assert len(want) > 90 and rows.keys() == want.keys()
+    for k, (c, n) in want.items():
+        assert rows[k][1] == n and rows[k][0] == (None if c is None else pytest.approx(c, abs=1e-9)), k
