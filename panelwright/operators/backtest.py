@@ -133,11 +133,13 @@ class Engine:
 def played_runs(positions: DataFrame, prices: DataFrame, engines: dict[str, Engine], market: DataFrame | None = None, atr_window: int = 14, capital: float | None = None, limits: DataFrame | None = None) -> DataFrame:
     """One row a run: run_id, its trades and its equity.  positions: run_id, date, code, shares; prices: date, code, close, the same for each run.
 
-    limits: date, code, limit_up, limit_down as prices.  A run's group holds the prices of the codes that it ever targets.
+    limits: date, code, limit_up, limit_down as prices.  A run's group holds the prices of the codes that it ever targets with shares: whole lots
+    within the capital, so their number does not follow that of the codes.
     """
     import pandas as pd
 
     spark = positions.sparkSession
+    positions = positions.filter("shares > 0")
     quotes = prices.select("date", "code", "close").dropDuplicates(["date", "code"])
     if any(e.atr_multiplier is not None for e in engines.values()):
         if market is None:

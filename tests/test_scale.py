@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from panelwright.operators import evaluation, factors
+from panelwright.operators import backtest, evaluation, factors
 from panelwright.operators import timeseries as ts
 
 D0 = datetime.date(2024, 1, 1)
@@ -46,3 +46,16 @@ def test_rank_correlations_cross_one_exchange_as_wide_rows(panel):
     assert len(want) > 90 and rows.keys() == want.keys()
     for k, (c, n) in want.items():
         assert rows[k][1] == n and rows[k][0] == (None if c is None else pytest.approx(c, abs=1e-9)), k
+
+
+def test_a_run_holds_prices_of_codes_with_shares_only(panel):
+    """Signals may spread the capital over any number of codes; those that get no lot are in no group."""
+    from pyspark.sql import functions as F
+
+    class Counting(backtest.Engine):
+        def play(self, days, targets, prices, *_, **__):
+            return [], [(d, float(len(prices.get(d, {}))), float(len(targets.get(d, {}))), 0.0, 0.0) for d in days]
+
+    positions = panel.select(F.lit("r").alias("run_id"), "date", "code", F.when(F.col("code") == "000001", 100).otherwise(0).cast("long").alias("shares"))
+    equity = backtest.run_backtests(positions, panel, {"r": Counting()})[1].collect()
+    assert len(equity) == 40 and {(r["equity"], r["cash"]) for r in equity} == {(1.0, 1.0)}
