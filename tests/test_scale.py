@@ -59,3 +59,21 @@ def test_a_run_holds_prices_of_codes_with_shares_only(panel):
     positions = panel.select(F.lit("r").alias("run_id"), "date", "code", F.when(F.col("code") == "000001", 100).otherwise(0).cast("long").alias("shares"))
     equity = backtest.run_backtests(positions, panel, {"r": Counting()})[1].collect()
     assert len(equity) == 40 and {(r["equity"], r["cash"]) for r in equity} == {(1.0, 1.0)}
+
+
+def test_pieces_follow_the_input(spark, monkeypatch):
+    """Larger files, more pieces: in windows by code, ranks by date, layers and Kendall's tau; values are the same."""
+    from panelwright.plans import catalogue
+    from panelwright.sources import panels
+
+    sf = "/root/testdata/sf0.001"
+    queries, names = catalogue.queries(), ["factor_high_vol_rank_corr_3d", "ic_kendall", "ic_by_layer"]
+    whole = {n: sorted(map(str, queries[n](spark, sf).collect())) for n in names}
+    assert ts.pieces(panels.bars(spark, sf)) == 0
+    monkeypatch.setattr(ts, "PIECE", 10_000)
+    n = ts.pieces(panels.bars(spark, sf))
+    assert n > 4
+    for name in names:
+        made = queries[name](spark, sf)
+        assert f", {n})" in made._jdf.queryExecution().optimizedPlan().toString() or f", {n}" in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, made.collect())) == whole[name]
