@@ -15,8 +15,8 @@ import numpy as np
 
 from .common import claim_worker
 
-#: Distinct chunks remembered by a worker before it starts anew; bounds memory, not results.
-MEMO = 350_000
+#: Distinct chunks in one generation of a worker's memo; two are held, so that common chunks outlive a turn.  Bounds memory, not results.
+MEMO = 700_000
 _CHUNK = re.compile(r"[^ \t\n\r]+").findall
 #: White space of str.split() beyond the ASCII blanks: texts with any are cut at the four blanks alone.
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -56,11 +56,12 @@ class ChunkEncoder:
         self.parting_id = self.tokenizer.token_to_id(self.parting) if special else -1
         self.closing = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.closing[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {}
-        self.base: dict[str, bytes] = {}
+        self.forget()
 
     def forget(self) -> None:
-        self.memo, self.base = {}, {}
+        self.memo: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
+        self.base: dict[str, bytes] = {}
 
     def library(self, chunks: list[str], into: dict[str, bytes]) -> None:
         """Many chunks to a call, parted by a special token where there is one: the library takes those out before all else."""
@@ -124,11 +125,15 @@ class ChunkEncoder:
         for at in range(0, len(texts), 256):
             found = [chunks_of(t) for t in texts[at : at + 256]]
             if len(self.memo) > MEMO:
-                self.memo = {}
-            get = self.memo.get
+                self.memo, self.past = {}, self.memo
+            get, past = self.memo.get, self.past
             ids = [list(map(get, f)) for f in found]
             gaps = [[k for k, x in enumerate(v) if x is None] for v in ids]
             if new := {f[k] for f, g in zip(found, gaps) for k in g}:
+                if past:
+                    known = {c: past[c] for c in new if c in past}
+                    self.memo.update(known)
+                    new.difference_update(known)
                 self.learn(list(new))
                 for f, v, g in zip(found, ids, gaps):
                     for k in g:

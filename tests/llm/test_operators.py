@@ -638,3 +638,18 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: root(n) for n in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_common_chunks_outlive_a_turn_of_the_memo(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(word_bpe, "MEMO", 40)
+    enc, learned = word_bpe.ChunkEncoder(WORDS), []
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda chunks: (learned.extend(chunks), learn(chunks)))
+    texts = ["common words stay, " + " ".join(f"rare{k}x{j}" for j in range(30)) for k in range(256 * 6)]
+    made = enc.encode(texts)
+    assert learned.count("common") == learned.count("stay,") == 1
+    library = Tokenizer.from_file(WORDS)
+    for k in (0, 255, 256, 1000, 1535):
+        assert np.frombuffer(made[k], enc.dtype).tolist() == library.encode(texts[k], add_special_tokens=False).ids
