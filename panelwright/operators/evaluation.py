@@ -484,7 +484,42 @@ def forward_return_analysis(signals: DataFrame, prices: DataFrame, windows=(1, 5
     ahead = forward_returns(prices.select("date", "code", "close"), windows)
     each = F.array(*[F.struct(F.lit(w).alias("window"), F.col(f"fwd_ret_{w}d").alias("r")) for w in windows])
     rows_ = signals.select("date", "code", "signal").join(ahead, ["date", "code"]).select("signal", F.explode(each).alias("x")).select("signal", "x.*").filter("r is not null")
-    return rows_.groupBy("window", "signal").agg(F.count("*").alias("count"), F.avg("r").alias("mean"), F.percentile("r", F.lit(0.5)).alias("median"), ratio(F.count_if(F.col("r") > 0), F.count("*")).alias("hit_rate"))
+    by = ["window", "signal"]
+    values = value_counts(rows_, by, "r")
+    stats = values.groupBy(*by).agg(F.sum("m").alias("count"), ratio(F.sum(F.col("r") * F.col("m")), F.sum("m")).alias("mean"), ratio(F.sum(F.when(F.col("r") > 0, F.col("m")).otherwise(0)), F.sum("m")).alias("hit_rate"))
+    return stats.join(medians(values, by, "r").select(*[F.col(c).alias(f"__{c}") for c in by], "median"), alike(by)).select(*by, "count", "mean", "median", "hit_rate")
+
+
+def alike(by: list[str]) -> Column:
+    """Equal keys, missing ones too: such a join adds no filter to its sides, so that they can share an exchange."""
+    return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))
+
+
+#: Cells of values for each doubling of their size.
+OCTAVE = 256
+
+
+def value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """by, cell, x, m: how often each value occurs.  Cells follow the order of values; there are at most OCTAVE for each sign and doubling."""
+    size = F.floor(F.least(F.greatest(F.log2(F.abs(x)), F.lit(-1100.0)), F.lit(1100.0)) * OCTAVE) + 1101 * OCTAVE
+    cell = F.when(F.col(x) > 0, size).when(F.col(x) < 0, -size).otherwise(F.lit(0).cast("long"))
+    return df.select(*by, cell.alias("cell"), x).groupBy(*by, "cell", x).agg(F.count("*").alias("m"))
+
+
+def medians(values: DataFrame, by: list[str], x: str) -> DataFrame:
+    """by, median: exact, from ``value_counts``.  Cells are counted first, and only values of those that the middle falls into are put in order,
+    so that no task holds a group."""
+    order = Window.partitionBy(*by).orderBy("cell")
+    cells = values.groupBy(*by, "cell").agg(F.sum("m").alias("m")).withColumns({"__upto": F.sum("m").over(order), "__n": F.sum("m").over(Window.partitionBy(*by))})
+    lower, upper = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    before = F.col("__upto") - F.col("m")
+    middle = cells.withColumns({"__before": before, "__lower": lower, "__upper": upper}).filter(((F.col("__lower") >= F.col("__before")) & (F.col("__lower") < F.col("__upto"))) | ((F.col("__upper") >= F.col("__before")) & (F.col("__upper") < F.col("__upto"))))
+    middle = middle.select(*[F.col(c).alias(f"__{c}") for c in (*by, "cell")], "__before", "__lower", "__upper")
+    found = values.join(F.broadcast(middle), alike([*by, "cell"]))  # two rows a group at most
+    upto = F.col("__before") + F.sum("m").over(Window.partitionBy(*by, "cell").orderBy(x))
+    found = found.withColumn("__upto", upto)
+    low, high = (F.min(F.when(F.col("__upto") > F.col(k), F.col(x))) for k in ("__lower", "__upper"))
+    return found.groupBy(*by).agg(((low + high) / 2).alias("median"))
 
 
 def signal_spread(analysis: DataFrame) -> DataFrame:
@@ -497,8 +532,9 @@ def signal_spread(analysis: DataFrame) -> DataFrame:
 
 
 def full_diagnosis(stages: dict[str, DataFrame], prices: DataFrame) -> dict[str, DataFrame]:
-    """stage_counts, forward_returns (of the first stage's signals) and spread."""
-    forward = forward_return_analysis(next(iter(stages.values())), prices)
+    """stage_counts, forward_returns (of the first stage's signals) and spread, which are read from one run over the panel."""
+    made = forward_return_analysis(next(iter(stages.values())), prices)
+    forward = prices.sparkSession.createDataFrame(made.collect(), made.schema)  # one row a window and signal
     return {"stage_counts": signal_stage_counts(stages), "forward_returns": forward, "spread": signal_spread(forward)}
 
 

@@ -510,6 +510,11 @@ def pool_matrix(spark, sf_dir):
 # diagnostics
 
 
+def kept_bars(spark, sf_dir):
+    """The bars, made once and written, for queries that read them several times."""
+    return dated.materialised(panels.bars(spark, sf_dir), "bars")
+
+
 @query("signal_stage_counts", f"WITH {_two_signals()}, u AS (SELECT 'momentum' AS stage, signal FROM m UNION ALL SELECT 'reversal', signal FROM r) SELECT stage, count(*) AS total, count(*) FILTER (signal = 1) AS buy, count(*) FILTER (signal = -1) AS sell, count(*) FILTER (signal = 0) AS hold FROM u GROUP BY 1")
 def signal_stage_counts(spark, sf_dir):
     m, r = _pair_of_signals(spark, sf_dir)
@@ -521,7 +526,8 @@ _FRA = f"""{_MOM}, fr AS (SELECT date, code, 5 AS "window", lead(close, 5) OVER
 
 @query("forward_return_analysis",  f"""WITH {_FRA} SELECT "window", signal, count, {sql.rounded('mean', 6, 'mean')}, {sql.rounded('median', 6, 'median')}, {sql.rounded('hit_rate', 6, 'hit_rate')} FROM fa""")
 def forward_return_analysis(spark, sf_dir):
-    a = evaluation.forward_return_analysis(momentum_signals(spark, sf_dir), panels.bars(spark, sf_dir), (1, 5))
+    p = kept_bars(spark, sf_dir)
+    a = evaluation.forward_return_analysis(strategies.get_strategy("gtja_momentum")(p), p, (1, 5))
     return a.select("window", "signal", "count", *[rounded(c, 6).alias(c) for c in ("mean", "median", "hit_rate")])
 
 
@@ -543,8 +549,8 @@ _DIAGNOSIS = f"""fr AS (SELECT date, code, unnest([1, 5, 20]) AS w, unnest([lead
  SELECT part, item, name, {sql.rounded('value', 6, 'value')} FROM al""")
 def full_diagnosis(spark, sf_dir):
     """All tables of the diagnosis as one, by part, item and name."""
-    m, r = _pair_of_signals(spark, sf_dir)
-    made = evaluation.full_diagnosis({"momentum": m, "reversal": r}, panels.bars(spark, sf_dir))
+    p = kept_bars(spark, sf_dir)
+    made = evaluation.full_diagnosis({"momentum": strategies.get_strategy("gtja_momentum")(p), "reversal": strategies.get_strategy("mean_reversion")(p)}, p)
 
     def long(part, item, names):
         each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])

@@ -783,3 +783,16 @@ def test_walk_forward_windows_cover_the_panel(spark):
     assert len(w) == 12 and w[0][0] == first and w[-1][3] == last
     assert all(a[3] == b[2] for a, b in zip(w, w[1:]))
     assert panel_windows(spark.createDataFrame([], "date date")) == []
+
+
+def test_median_of_forward_returns_holds_no_group(spark):
+    from panelwright.operators import evaluation
+
+    values = [0.5, -0.25, 0.0, 0.0, 3.0, -7.0, 1e-9, 0.125, float("inf"), -0.0]
+    rows = [(1, v) for v in values] + [(2, v) for v in values[:7]] + [(3, 2.0), (4, -1.0), (4, 1.0)]
+    df = spark.createDataFrame(rows, "k int, r double")
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.percentile("r", F.lit(0.5)).alias("m")).collect()}
+    assert {r["k"]: r["median"] for r in evaluation.medians(evaluation.value_counts(df, ["k"], "r"), ["k"], "r").collect()} == want
+    prices = spark.createDataFrame([(datetime.date(2020, 1, d), c, float(d * d + k)) for d in range(1, 9) for k, c in enumerate("ab")], "date date, code string, close double")
+    made = evaluation.forward_return_analysis(prices.select("date", "code", F.lit(1).alias("signal")), prices, (1,))
+    assert "percentile" not in made._jdf.queryExecution().optimizedPlan().toString()
