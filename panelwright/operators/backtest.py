@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
+from ..sources.dated import materialised
 from . import cleaning, portfolio
 
 EXITS = ("sell", "stop_loss", "take_profit", "atr_stop_loss")
@@ -139,8 +140,11 @@ def played_runs(positions: DataFrame, prices: DataFrame, engines: dict[str, Engi
     import pandas as pd
 
     spark = positions.sparkSession
-    positions = positions.filter("shares > 0")
-    quotes = prices.select("date", "code", "close").dropDuplicates(["date", "code"])
+    # read twice, and few beside the panel that they are made from
+    positions = materialised(positions.filter("shares > 0").select("run_id", "date", "code", "shares"), "positions")
+    # only days and the codes that a run ever holds are needed for its trades
+    wanted = positions.select("run_id", "code").distinct()
+    quotes = prices.select("date", "code", "close").join(wanted.select("code").distinct(), "code", "left_semi").dropDuplicates(["date", "code"])
     if any(e.atr_multiplier is not None for e in engines.values()):
         if market is None:
             raise ValueError("stops by true range need market data")
@@ -155,9 +159,7 @@ def played_runs(positions: DataFrame, prices: DataFrame, engines: dict[str, Engi
     else:
         quotes = quotes.withColumns({"up": F.lit(None).cast("double"), "down": F.lit(None).cast("double")})
     runs = F.broadcast(spark.createDataFrame([(r,) for r in engines], "run_id string"))
-    # only days and the codes that a run ever holds are needed for its trades
-    wanted = positions.select("run_id", "code").distinct()
-    days = quotes.select("date").distinct().crossJoin(runs).select("run_id", "date", F.lit(None).cast("string").alias("code"), *[F.lit(None).cast("double").alias(c) for c in ("close", "atr", "up", "down")], F.lit(None).cast("long").alias("shares"))
+    days = prices.select("date").distinct().crossJoin(runs).select("run_id", "date", F.lit(None).cast("string").alias("code"), *[F.lit(None).cast("double").alias(c) for c in ("close", "atr", "up", "down")], F.lit(None).cast("long").alias("shares"))
     priced = quotes.join(wanted, "code").select("run_id", "date", "code", "close", "atr", "up", "down", F.lit(None).cast("long").alias("shares"))
     held = positions.select("run_id", "date", "code", *[F.lit(None).cast("double").alias(c) for c in ("close", "atr", "up", "down")], F.col("shares").cast("long").alias("shares"))
     rows = days.unionByName(priced).unionByName(held)
@@ -247,13 +249,13 @@ def metrics_of_returns(rows: DataFrame, dd: DataFrame, capital: float) -> DataFr
 
 def build_positions(data: DataFrame, signals: DataFrame, capital: float = 1_000_000, rebalance_days: int | None = None, dead_zone: float = 0.0, exposure: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """Tradable signals, every rebalance_days-th signal date, equal weights, smoothed where a dead zone is given; runs (run_id) each on its own."""
-    signals = cleaning.enforce_t1(cleaning.filter_tradable(data, signals))
+    signals = cleaning.filter_tradable(data, signals)
     if rebalance_days is not None:
         run = cleaning.run_keys(signals)
         by = Window.partitionBy(*run).orderBy("date") if run else Window.orderBy("date")  # one row a date
         days = signals.select(*run, "date").distinct().withColumn("i", F.row_number().over(by) - 1).filter(F.col("i") % rebalance_days == 0)
         signals = signals.join(F.broadcast(days.select(*run, "date")), [*run, "date"], "left_semi")
-    out = portfolio.equal_weight(signals, data, capital, exposure)
+    out = portfolio.equal_weight(signals, data, capital, exposure)  # of buys, all of which ``enforce_t1`` lets stand
     return portfolio.smooth_positions(out, data, capital, dead_zone, before, exposure=exposure) if dead_zone > 0 else out
 
 

@@ -257,7 +257,7 @@ def daily_correlations(df: DataFrame, factors: list[str], min_obs: int = 20, met
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", factor_a string, factor_b string, c double"
     values = [F.col(f).cast("double").alias(f) for f in factors]
-    return df.select(*keys, *values).groupBy(*keys).applyInPandas(run, schema).withColumn("c", F.nanvl("c", F.lit(None).cast("double")))
+    return spread(df.select(*keys, *values), pieces(df), *keys).groupBy(*keys).applyInPandas(run, schema).withColumn("c", F.nanvl("c", F.lit(None).cast("double")))
 
 
 def corr_matrix(df: DataFrame, factors: list[str], window: int = 60, agg: str = "mean", min_obs: int = 20, method: str = "spearman") -> DataFrame:
@@ -398,12 +398,21 @@ def neutralize_factors(df: DataFrame, industries: DataFrame, columns: list[str],
 
 def combine_factor_scores(df: DataFrame, weights: dict[str, float], name: str = "score") -> DataFrame:
     """Weighted mean of percentile ranks over the factors present; a negative weight turns the rank round."""
-    ranks = {f"__r_{f}": rank_pct(f) for f in weights}
-    out = df.withColumns(ranks)
+    return with_ranks(df, list(weights)).withColumn(name, combined_ranks(weights)).drop(*[f"__r_{f}" for f in weights])
+
+
+def with_ranks(df: DataFrame, factors: list[str] | None = None) -> DataFrame:
+    """Adds __r_{factor}, the percentile rank within the date, of each factor (default: all columns but date and code)."""
+    factors = [c for c in df.columns if c not in ("date", "code")] if factors is None else factors
+    return spread(df, pieces(df), "date").withColumns({f"__r_{f}": rank_pct(f) for f in factors})
+
+
+def combined_ranks(weights: dict[str, float]) -> Column:
+    """The score of ``combine_factor_scores`` from ``with_ranks``."""
     turned = {f: F.col(f"__r_{f}") if w >= 0 else 1 - F.col(f"__r_{f}") for f, w in weights.items()}
     top = sum((F.coalesce(turned[f] * abs(w), F.lit(0.0)) for f, w in weights.items()), F.lit(0.0))
     total = sum((F.when(turned[f].isNotNull(), F.lit(float(abs(w)))).otherwise(0.0) for f, w in weights.items()), F.lit(0.0))
-    return out.withColumn(name, F.when(total > 0, ratio(top, total))).drop(*ranks)
+    return F.when(total > 0, ratio(top, total))
 
 
 def ic_weights(ics: DataFrame, as_of, lookback: int = 60) -> DataFrame:

@@ -121,7 +121,9 @@ def scored(df: DataFrame, names: list[str], params: dict[str, dict] | None = Non
 
 
 def with_factors(df: DataFrame, names: list[str], params: dict[str, dict] | None = None) -> DataFrame:
-    """The panel with a column for each factor.  Aliases share the primary's terms."""
+    """The panel with a column for each factor; those that it has stay as they are.  Aliases share the primary's terms."""
+    if set(names) <= set(df.columns):
+        return spread(df, pieces(df), "code")
     return scored(df, names, params)[0].select(*df.columns, *[n for n in names if n not in df.columns])
 
 

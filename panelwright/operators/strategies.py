@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
 from .cleaning import run_keys
-from .evaluation import combine_factor_scores
+from .evaluation import combine_factor_scores, combined_ranks, with_ranks
 from .factors import scored as factor_terms
 from .factors import with_factors
-from .timeseries import by_code, change, ewm, ewm_position, islands, rank_pct, rolling_mean, rolling_quantile, rolling_std, rows, sustained
+from .timeseries import by_code, change, ewm, ewm_position, islands, pieces, rank_pct, rolling_mean, rolling_quantile, rolling_std, rows, spread, sustained
 
 _STRATEGIES: dict[str, Callable] = {}
 #: Strategies whose signals of a code come from that code's rows alone.
@@ -45,23 +45,24 @@ def date_index(df: DataFrame, run: list[str] = ()) -> DataFrame:
     return df.select(*run, "date").distinct().withColumn("i", F.row_number().over((Window.partitionBy(*run) if run else Window).orderBy("date")) - 1)
 
 
-def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n: int, min_window: int = 0, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2) -> DataFrame:
+def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n: int, min_window: int = 0, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2, panel: DataFrame | None = None) -> DataFrame:
     """Rank codes by score every rebalance dates from min_window on; hold the first top_n as buys and the last bottom_n as sells until the next.
 
     Unscored codes rank last (or not at all with drop_unscored); ties go by code.  A code held in the period before and not bought again is
     sold on the rebalance date with sell_exited.  Confidence is the score (or one less it when ascending) for buys, 0.5 for sells.
-    Runs side by side (run_id) are ranked each on its own, on the same dates.
+    Runs side by side (run_id) are ranked each on its own, on the same dates.  panel: as ``held_ranks``.
     """
     if top_n <= 0 and bottom_n <= 0:
         raise ValueError("top_n or bottom_n must be positive")
-    dates = date_index(df).withColumns({"rebalance": F.lit(rebalance), "top_n": F.lit(top_n), "bottom_n": F.lit(bottom_n), "min_window": F.lit(min_window)})
-    return held_ranks(df, score, F.broadcast(dates), ascending, drop_unscored, sell_exited, min_rows)
+    dates = date_index(df if panel is None else panel).withColumns({"rebalance": F.lit(rebalance), "top_n": F.lit(top_n), "bottom_n": F.lit(bottom_n), "min_window": F.lit(min_window)})
+    return held_ranks(df, score, F.broadcast(dates), ascending, drop_unscored, sell_exited, min_rows, panel)
 
 
-def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2) -> DataFrame:
+def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2, panel: DataFrame | None = None) -> DataFrame:
     """``hold_ranked`` with its parameters as columns of dates: date, i, rebalance, top_n, bottom_n, min_window - and run_id, where dates has it.
 
-    Any number of runs is one join with the scored panel; runs that df has itself keep theirs.
+    Any number of runs is one join with the scored panel; runs that df has itself keep theirs.  panel: a table with df's rows that is read
+    for their keys, so that scores are made for the ranking alone.  What is picked, a few codes a period, goes to every task.
     """
     by_run = [c for c in ("run_id",) if c in dates.columns]
     mine = run_keys(df)
@@ -78,11 +79,11 @@ def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = Fa
     picked = day.filter(bought | (F.col("rn") > F.col("n") - F.col("bottom_n")))
     worth = F.coalesce(1 - F.col(score) if ascending else F.col(score), F.lit(0.5))
     picked = picked.select(*run, "period", "code", F.when(bought, 1).otherwise(-1).alias("s"), F.when(bought, worth).otherwise(0.5).alias("c"))
-    out = df.select(*mine, "date", "code").join(dates.drop("top_n", "bottom_n"), on).join(picked, [*run, "period", "code"], "left")
+    out = (df if panel is None else panel).select(*mine, "date", "code").join(dates.drop("top_n", "bottom_n"), on).join(F.broadcast(picked), [*run, "period", "code"], "left")
     signal, confidence = F.coalesce("s", F.lit(0)), F.coalesce("c", F.lit(0.0))
     if sell_exited:
         held = picked.filter("s = 1").select(*run, (F.col("period") + 1).alias("period"), "code", F.lit(True).alias("held"))
-        out = out.join(held, [*run, "period", "code"], "left")
+        out = out.join(F.broadcast(held), [*run, "period", "code"], "left")
         gone = F.col("start") & F.coalesce("held", F.lit(False)) & (signal != 1)
         signal, confidence = F.when(gone, -1).otherwise(signal), F.when(gone, 0.5).otherwise(confidence)
     return out.select(*run, "date", "code", signal.cast("int").alias("signal"), confidence.alias("confidence"))
@@ -90,7 +91,7 @@ def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = Fa
 
 def weighted_score(df: DataFrame, weights: dict[str, float], within=("date",)) -> DataFrame:
     """score: weighted mean of percentile ranks among rows alike in ``within``; null if any factor is null."""
-    ranked = df.withColumns({f"__r_{f}": rank_pct(f, within) for f in weights})
+    ranked = spread(df, pieces(df), *within).withColumns({f"__r_{f}": rank_pct(f, within) for f in weights})
     total = sum((F.col(f"__r_{f}") * w for f, w in weights.items()), F.lit(0.0)) / sum(weights.values())
     return ranked.withColumn("score", F.round(total, 12)).drop(*[f"__r_{f}" for f in weights])
 
@@ -99,7 +100,7 @@ def rank_hold(df: DataFrame, weights: dict[str, float], rebalance=20, top_n=5, b
     """Rank-and-hold over registry factors (and columns already in df, named in computed)."""
     weights = {f: w for f, w in weights.items() if w > 0}
     made = with_factors(df, [f for f in weights if f not in computed])
-    return hold_ranked(weighted_score(made, weights), "score", rebalance, top_n, bottom_n, min_window, ascending)
+    return hold_ranked(weighted_score(made, weights), "score", rebalance, top_n, bottom_n, min_window, ascending, panel=df)
 
 
 #: Factor weights and first usable row of the rank-and-hold family.
@@ -156,7 +157,7 @@ def grid_signals(data: DataFrame, name: str, grid: list[dict]) -> tuple[DataFram
         scored = weighted_score(with_factors(data, list(weights)), weights)
         sets = data.sparkSession.createDataFrame([(r, *(int(row[p]) for p in ROW_PARAMS)) for r, row in rows_], "run_id string, " + ", ".join(f"{p} int" for p in ROW_PARAMS))
         dates = date_index(data).crossJoin(F.broadcast(sets))  # dates and sets of parameters, both few
-        parts.append(held_ranks(scored.select("date", "code", "score"), "score", dates, RANKED[name][2]))
+        parts.append(held_ranks(scored.select("date", "code", "score"), "score", dates, RANKED[name][2], panel=data))
     return (reduce(DataFrame.unionByName, parts) if parts else None), failed
 
 
@@ -206,26 +207,24 @@ def multifactor(data: DataFrame, momentum_window=20, rsi_window=14, hv_window=20
     made = with_factors(data.withColumn("__f", F.last("close", ignorenulls=True).over(by_code())), ["calc_rsi", "calc_hv", "calc_volume_ratio"], {"calc_rsi": {"window": rsi_window}, "calc_hv": {"window": hv_window}, "calc_volume_ratio": {"window": vol_window}})
     made = made.withColumns({"momentum": change("__f", momentum_window), "rsi": (100 - F.col("calc_rsi")) / 100, "volatility": -F.col("calc_hv"), "volume": F.col("calc_volume_ratio")})
     least = max(momentum_window, rsi_window, hv_window, vol_window) + 1
-    return hold_ranked(weighted_score(made, weights), "score", rebalance, top_n, bottom_n, least, sell_exited=True)
+    return hold_ranked(weighted_score(made, weights), "score", rebalance, top_n, bottom_n, least, sell_exited=True, panel=data)
 
 
-def scores_to_signals(df: DataFrame, score: str = "score", rebalance=20, top_n=10, bottom_n=5) -> DataFrame:
-    return hold_ranked(df, score, rebalance, top_n, bottom_n, drop_unscored=True, sell_exited=True, min_rows=0)
+def scores_to_signals(df: DataFrame, score: str = "score", rebalance=20, top_n=10, bottom_n=5, panel: DataFrame | None = None) -> DataFrame:
+    return hold_ranked(df, score, rebalance, top_n, bottom_n, drop_unscored=True, sell_exited=True, min_rows=0, panel=panel)
 
 
 def composite_signals(df: DataFrame, weights: dict[str, float], **params) -> DataFrame:
     return scores_to_signals(combine_factor_scores(df, weights), "score", **params)
 
 
-def composite_runs(df: DataFrame, runs: dict[str, dict[str, float]], rebalance=20, top_n=10, bottom_n=5) -> DataFrame:
-    """Signals of several composites (run_id: weights) side by side: factors are ranked once, and one plan holds all runs."""
-    out, scores = df, []
-    for k, weights in enumerate(runs.values()):
-        out = combine_factor_scores(out, weights, f"__s{k}")
-        scores.append(f"__s{k}")
-    each = F.array(*[F.struct(F.lit(r).alias("run_id"), F.col(c).alias("score")) for r, c in zip(runs, scores)])
-    long = out.select("date", "code", F.explode(each).alias("x")).select("x.run_id", "date", "code", "x.score")
-    return scores_to_signals(long, "score", rebalance, top_n, bottom_n)
+def composite_runs(df: DataFrame, runs: dict[str, dict[str, float]], rebalance=20, top_n=10, bottom_n=5, panel: DataFrame | None = None) -> DataFrame:
+    """Signals of several composites (run_id: weights) side by side: factors are ranked once, and one plan holds all runs.  panel: as ``held_ranks``."""
+    ranked = with_ranks(df.select("date", "code", *dict.fromkeys(f for weights in runs.values() for f in weights)))
+    each = F.array(*[F.struct(F.lit(r).alias("run_id"), combined_ranks(weights).alias("score")) for r, weights in runs.items()])
+    long = ranked.select("date", "code", F.explode(each).alias("x")).select("x.run_id", "date", "code", "x.score")
+    rows_ = (df if panel is None else panel).select(F.explode(F.array(*map(F.lit, runs))).alias("run_id"), "date", "code")
+    return scores_to_signals(long, "score", rebalance, top_n, bottom_n, rows_)
 
 
 def _threshold(df: DataFrame, buy, sell, confidence, valid=None) -> DataFrame:
@@ -239,7 +238,7 @@ def _threshold(df: DataFrame, buy, sell, confidence, valid=None) -> DataFrame:
 @register_strategy("mean_reversion", own_rows=True)
 def mean_reversion(data: DataFrame, window=20, num_std=2.0) -> DataFrame:
     """Buy under the lower Bollinger band, sell over the upper one."""
-    made = data.withColumns({"__m": rolling_mean("close", window), "__s": rolling_std("close", window)})
+    made = spread(data, pieces(data), "code").withColumns({"__m": rolling_mean("close", window), "__s": rolling_std("close", window)})
     off = F.col("close") - F.col("__m")
     return _threshold(made, off < -num_std * F.col("__s"), off > num_std * F.col("__s"), F.abs(ratio(off, num_std * F.col("__s"))), F.col("__m").isNotNull())
 
@@ -356,7 +355,8 @@ def weighted_vote(signals: list[DataFrame], weights: list[float], threshold: flo
     """Sign of the weighted mean signal beyond the threshold, with the weighted mean confidence.  A key that one of them lacks is an error."""
     total = float(sum(weights))
     tagged = [s.select("date", "code", (F.col("signal") * w).alias("v"), (F.col("confidence") * w).alias("c")) for s, w in zip(signals, weights)]
-    votes = reduce(DataFrame.unionByName, tagged).groupBy("date", "code").agg(F.sum("v").alias("v"), F.sum("c").alias("c"), F.count("*").alias("n"))
+    every = reduce(DataFrame.unionByName, tagged)
+    votes = spread(every, pieces(every), "date", "code").groupBy("date", "code").agg(F.sum("v").alias("v"), F.sum("c").alias("c"), F.count("*").alias("n"))
     v = F.when(F.col("n") == len(signals), F.col("v") / total).otherwise(F.raise_error(F.lit("signals do not have the same rows")).cast("double"))
     return votes.withColumn("v", v).select("date", "code", F.when(F.col("v") > threshold, 1).when(F.col("v") < -threshold, -1).otherwise(0).alias("signal"), (F.col("c") / total).alias("confidence"))
 

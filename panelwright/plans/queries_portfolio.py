@@ -162,7 +162,7 @@ def _ranked_signals(name: str) -> str:
 
 @query("multi_category", f"WITH a AS {_ranked_signals('gtja_momentum')}, b AS {_ranked_signals('gtja_volatility')}, c AS {_ranked_signals('gtja_trend')}, v AS (SELECT date, code, (a.signal + b.signal + c.signal) / 3.0 AS v, (a.confidence + b.confidence + c.confidence) / 3.0 AS c FROM a JOIN b USING (date, code) JOIN c USING (date, code)) SELECT date, code, CASE WHEN v > 0.3 THEN 1 WHEN v < -0.3 THEN -1 ELSE 0 END AS signal, {sql.rounded('c', 6, 'confidence')} FROM v")
 def multi_category(spark, sf_dir):
-    return _signals(strategies.get_strategy("multi_category")(panels.bars(spark, sf_dir)))
+    return _signals(strategies.get_strategy("multi_category")(kept_bars(spark, sf_dir)))
 
 
 # regimes
@@ -343,7 +343,7 @@ def risk_rules(spark, sf_dir):
 
 
 def _run(spark, sf_dir, engine=None, **build):
-    p = panels.bars(spark, sf_dir)
+    p = kept_bars(spark, sf_dir)
     return backtest.run_pipeline(p, {"momentum": strategies.get_strategy("gtja_momentum")(p), "reversal": strategies.get_strategy("mean_reversion")(p)}, engine or backtest.Engine(cost=backtest.TradingCost()), **build)
 
 
@@ -442,7 +442,7 @@ _GRID = [{"rebalance": r, "top_n": n} for r in (10, 20) for n in (3, 5)]
 
 @query("param_sweep", f"{_runs({f'{k:04d}': 'WITH ' + _MOM_SCORE + ', ' + hold_sql('sc', g['rebalance'], g['top_n'], 3, 21) + ' SELECT * FROM sig' for k, g in enumerate(_GRID)}, eng.engine())} SELECT run_id, {eng.SELECT_FIGURES} FROM fg")
 def param_sweep(spark, sf_dir):
-    return _figures(backtest.run_sweep(panels.bars(spark, sf_dir), "gtja_momentum", cleaning.build_grid({"rebalance": [10, 20], "top_n": [3, 5]})))
+    return _figures(backtest.run_sweep(kept_bars(spark, sf_dir), "gtja_momentum", cleaning.build_grid({"rebalance": [10, 20], "top_n": [3, 5]})))
 
 
 _POOL_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -472,8 +472,8 @@ def best_per_pool(spark, sf_dir):
 @query("compare_backtests", f"WITH RECURSIVE {sql.P}, {_two_signals()}, ew AS ({eng.equal_weights('m', run='momentum')} UNION ALL {eng.equal_weights('r', run='reversal')}), {eng.smoothed('ew', 0.015)}, {eng.limited('smo', 0.3)}, tg AS (SELECT * FROM lim), {eng.days_of(chr(83) + 'ELECT unnest([' + repr('momentum') + ', ' + repr('reversal') + ']) AS run_id')}, {eng.engine()}, {eng.figures()} SELECT run_id, {eng.SELECT_FIGURES} FROM fg")
 def compare_backtests(spark, sf_dir):
     """Two strategies side by side, with a dead zone and a limit on each weight."""
-    m, r = _pair_of_signals(spark, sf_dir)
-    return _figures(lifecycle.compare_backtests(panels.bars(spark, sf_dir), {"momentum": m, "reversal": r})[0])
+    p = kept_bars(spark, sf_dir)
+    return _figures(lifecycle.compare_backtests(p, {"momentum": strategies.get_strategy("gtja_momentum")(p), "reversal": strategies.get_strategy("mean_reversion")(p)})[0])
 
 
 @query("rebalanced_positions", f"WITH {_MOM}, ds AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM sig)), kept AS (SELECT sig.* FROM sig JOIN ds USING (date) WHERE i % 5 = 0) SELECT date, code, {sql.rounded('weight', 6, 'weight')}, shares::BIGINT AS shares FROM ({eng.equal_weights('kept', run='all')})")
@@ -901,11 +901,13 @@ def phase_a_single(spark, sf_dir):
 
 @query("phase_b")
 def phase_b(spark, sf_dir):
-    p = panels.bars(spark, sf_dir)
-    first, last = p.agg(F.min("date"), F.max("date")).first()
+    """Factors and states are made once and written, for several steps read them."""
     names = ["calc_momentum_5d_change", "calc_momentum_6d_return", "calc_momentum_20d_return", "calc_ma_slope_20d", "calc_volume_ratio", "calc_rsi"]
+    p = dated.materialised(factors.with_factors(panels.bars(spark, sf_dir), names), "factors")
+    first, last = p.agg(F.min("date"), F.max("date")).first()
     windows = lifecycle.oos_windows(first, last, 24, 3)
-    return lifecycle.phase_b(p, lifecycle.monitor(p, names, min_sustain=5), windows, t_window=40, min_obs=5)[0]
+    states = dated.materialised(lifecycle.monitor(p, names, min_sustain=5), "states")
+    return lifecycle.phase_b(p, states, windows, t_window=40, min_obs=5)[0]
 
 
 def _composite(weights: dict[int, float]) -> str:
@@ -917,7 +919,7 @@ def _composite(weights: dict[int, float]) -> str:
 
 @query("phase_c", f"{_runs({'composite': _composite({0: 1.0, 1: 1.0}), FACTORS[0]: _composite({0: 1.0}), FACTORS[1]: _composite({1: 1.0})}, eng.engine())} SELECT run_id, {eng.SELECT_FIGURES} FROM fg")
 def phase_c(spark, sf_dir):
-    return _figures(lifecycle.phase_c(panels.bars(spark, sf_dir), {FACTORS[0]: 1.0, FACTORS[1]: 1.0}))
+    return _figures(lifecycle.phase_c(kept_bars(spark, sf_dir), {FACTORS[0]: 1.0, FACTORS[1]: 1.0}))
 
 
 _MINED = ["calc_moneyflow_net_ratio", "calc_moneyflow_streak", "calc_moneyflow_big_net_ratio"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.timeseries import by_code
+from ..operators.timeseries import by_code, pieces, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _week(c: str):
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars per supplier: date, code, open, high, low, close (unit prices), volume (quantity)."""
-    return _bars(table(spark, sf_dir, "lineitem"), F.col("l_suppkey"))
+    return _bars(table(spark, sf_dir, "lineitem"), F.col("l_suppkey"), few=True)
 
 
 def bucket_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,12 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"), lambda c: F.to_date(c))
 
 
-def _bars(items: DataFrame, code, day=_week) -> DataFrame:
+def _bars(items: DataFrame, code, day=_week, few: bool = False) -> DataFrame:
+    """few: a bar has few rows, so that summing up before the exchange would sort them all and save nothing."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     rows = items.select(day("l_shipdate").alias("date"), code.cast("string").alias("code"), price.alias("px"), order.alias("o"), "l_quantity")
+    rows = spread(rows, pieces(items), "date", "code") if few else rows
     return rows.groupBy("date", "code").agg(F.min_by("px", "o").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "o").alias("close"), F.sum("l_quantity").alias("volume"))
 
 

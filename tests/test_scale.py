@@ -77,3 +77,37 @@ def test_pieces_follow_the_input(spark, monkeypatch):
         made = queries[name](spark, sf)
         assert f", {n})" in made._jdf.queryExecution().optimizedPlan().toString() or f", {n}" in made._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(str, made.collect())) == whole[name]
+
+
+def test_pieces_of_ranks_positions_and_votes_follow_the_input(spark, monkeypatch):
+    """Bars, ranks by date behind a strategy, closes and votes are dealt by the input's size; values are the same."""
+    from panelwright.operators import portfolio, strategies
+    from panelwright.plans import catalogue
+    from panelwright.sources import panels
+
+    sf = "/root/testdata/sf0.001"
+    query = catalogue.queries()["backtest_metrics"]
+    whole = sorted(map(str, query(spark, sf).collect()))
+    monkeypatch.setattr(ts, "PIECE", 10_000)
+    bars = panels.bars(spark, sf)
+    n = ts.pieces(bars)
+    momentum = strategies.get_strategy("gtja_momentum")
+    made = {
+        "date, code": [bars, portfolio.closes(bars), strategies.weighted_vote([momentum(bars), momentum(bars)], [1.0, 1.0])],
+        "date": [strategies.weighted_score(bars, {"close": 1.0}), evaluation.combine_factor_scores(bars, {"close": 1.0}), momentum(bars)],
+        "code": [strategies.get_strategy("mean_reversion")(bars)],
+    }
+    for keys, frames in made.items():
+        by = ", ".join(k + r"#\d+" for k in keys.split(", "))
+        for df in frames:
+            assert re.search(rf"RepartitionByExpression \[{by}\], {n}\b", df._jdf.queryExecution().optimizedPlan().toString()), (keys, n)
+    assert sorted(map(str, query(spark, sf).collect())) == whole
+
+
+def test_what_is_picked_goes_to_every_task(spark):
+    """The panel's rows meet dates (twice) and the few codes picked by broadcast: no exchange of the panel by period and code."""
+    from panelwright.operators import strategies
+    from panelwright.sources import panels
+
+    plan = strategies.get_strategy("gtja_momentum")(panels.bars(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 3, plan
