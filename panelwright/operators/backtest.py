@@ -255,7 +255,9 @@ def build_positions(data: DataFrame, signals: DataFrame, capital: float = 1_000_
         by = Window.partitionBy(*run).orderBy("date") if run else Window.orderBy("date")  # one row a date
         days = signals.select(*run, "date").distinct().withColumn("i", F.row_number().over(by) - 1).filter(F.col("i") % rebalance_days == 0)
         signals = signals.join(F.broadcast(days.select(*run, "date")), [*run, "date"], "left_semi")
-    out = portfolio.equal_weight(signals, data, capital, exposure)  # of buys, all of which ``enforce_t1`` lets stand
+    buys = materialised(signals.filter("signal = 1"), "buys")  # all of which ``enforce_t1`` lets stand; read twice
+    priced = data.join(buys.select("date", "code"), ["date", "code"], "left_semi")  # no other close crosses an exchange
+    out = portfolio.equal_weight(buys, priced, capital, exposure)
     return portfolio.smooth_positions(out, data, capital, dead_zone, before, exposure=exposure) if dead_zone > 0 else out
 
 

@@ -322,7 +322,8 @@ def compare_backtests(data: DataFrame, signals: dict[str, DataFrame], engine=Non
 def phase_c(data: DataFrame, weights: dict[str, float], rebalance: int = 20, top_n: int = 10, bottom_n: int = 5, engine=None, **build) -> DataFrame:
     """Metrics of the composite of factors and of each alone, as runs of one plan; weights as from ``synth_weights``."""
     runs = {"composite": weights, **{f: {f: w} for f, w in weights.items()}}
-    signals = strategies.composite_runs(with_factors(data, list(weights)), runs, rebalance, top_n, bottom_n, data)
+    # of signals that are not thinned out by their dates only buys count
+    signals = strategies.composite_runs(with_factors(data, list(weights)), runs, rebalance, top_n, bottom_n, data, buys=build.get("rebalance_days") is None)
     engines = {r: engine or backtest.Engine() for r in runs}
     played = backtest.played_runs(backtest.build_positions(data, signals, engines["composite"].capital, **build), data, engines, data)
     return backtest.played_metrics(played, engines["composite"].capital)

@@ -45,31 +45,37 @@ def date_index(df: DataFrame, run: list[str] = ()) -> DataFrame:
     return df.select(*run, "date").distinct().withColumn("i", F.row_number().over((Window.partitionBy(*run) if run else Window).orderBy("date")) - 1)
 
 
-def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n: int, min_window: int = 0, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2, panel: DataFrame | None = None) -> DataFrame:
+def hold_ranked(df: DataFrame, score: str, rebalance: int, top_n: int, bottom_n: int, min_window: int = 0, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2, panel: DataFrame | None = None, scored: Callable | None = None, buys: bool = False) -> DataFrame:
     """Rank codes by score every rebalance dates from min_window on; hold the first top_n as buys and the last bottom_n as sells until the next.
 
     Unscored codes rank last (or not at all with drop_unscored); ties go by code.  A code held in the period before and not bought again is
     sold on the rebalance date with sell_exited.  Confidence is the score (or one less it when ascending) for buys, 0.5 for sells.
-    Runs side by side (run_id) are ranked each on its own, on the same dates.  panel: as ``held_ranks``.
+    Runs side by side (run_id) are ranked each on its own, on the same dates.  panel, scored, buys: as ``held_ranks``.
     """
     if top_n <= 0 and bottom_n <= 0:
         raise ValueError("top_n or bottom_n must be positive")
     dates = date_index(df if panel is None else panel).withColumns({"rebalance": F.lit(rebalance), "top_n": F.lit(top_n), "bottom_n": F.lit(bottom_n), "min_window": F.lit(min_window)})
-    return held_ranks(df, score, F.broadcast(dates), ascending, drop_unscored, sell_exited, min_rows, panel)
+    return held_ranks(df, score, F.broadcast(dates), ascending, drop_unscored, sell_exited, min_rows, panel, scored, buys)
 
 
-def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2, panel: DataFrame | None = None) -> DataFrame:
+def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = False, drop_unscored: bool = False, sell_exited: bool = False, min_rows: int = 2, panel: DataFrame | None = None, scored: Callable | None = None, buys: bool = False) -> DataFrame:
     """``hold_ranked`` with its parameters as columns of dates: date, i, rebalance, top_n, bottom_n, min_window - and run_id, where dates has it.
 
     Any number of runs is one join with the scored panel; runs that df has itself keep theirs.  panel: a table with df's rows that is read
     for their keys, so that scores are made for the ranking alone.  What is picked, a few codes a period, goes to every task.
+
+    scored: makes the score from df's rows, date by date; it is given the rows of ranking dates alone, so that no other date is ranked (dates
+    have no run_id then, but it may add one).  buys: rows with signal 1 alone, met with the panel's by date and code; the panel has no run_id then.
     """
     by_run = [c for c in ("run_id",) if c in dates.columns]
-    mine = run_keys(df)
-    run, on = mine or by_run, ["date", *[c for c in by_run if c in mine]]
     place = F.col("i") - F.col("min_window")
     dates = dates.withColumns({"period": F.when(place >= 0, F.floor(place / F.col("rebalance"))), "start": place % F.col("rebalance") == 0}).drop("i", "rebalance", "min_window")
-    day = df.select(*mine, "date", "code", score).join(dates.filter("period is not null and start"), on)
+    starts = dates.filter("period is not null and start")
+    if scored is not None:
+        df = scored(df.join(starts, "date"))
+    mine = run_keys(df)
+    run, on = mine or by_run, ["date", *[c for c in by_run if c in mine]]
+    day = df if scored is not None else df.select(*mine, "date", "code", score).join(starts, on)
     if drop_unscored:
         day = day.filter(F.col(score).isNotNull())
     by = Window.partitionBy(*run, "period")
@@ -79,6 +85,9 @@ def held_ranks(df: DataFrame, score: str, dates: DataFrame, ascending: bool = Fa
     picked = day.filter(bought | (F.col("rn") > F.col("n") - F.col("bottom_n")))
     worth = F.coalesce(1 - F.col(score) if ascending else F.col(score), F.lit(0.5))
     picked = picked.select(*run, "period", "code", F.when(bought, 1).otherwise(-1).alias("s"), F.when(bought, worth).otherwise(0.5).alias("c"))
+    if buys:
+        held = picked.filter("s = 1").join(dates.select(*by_run, "date", "period"), [*by_run, "period"]).select(*run, "date", "code", "c")
+        return panel.select("date", "code").join(F.broadcast(held), ["date", "code"]).select(*run, "date", "code", F.lit(1).alias("signal"), F.col("c").alias("confidence"))
     out = (df if panel is None else panel).select(*mine, "date", "code").join(dates.drop("top_n", "bottom_n"), on).join(F.broadcast(picked), [*run, "period", "code"], "left")
     signal, confidence = F.coalesce("s", F.lit(0)), F.coalesce("c", F.lit(0.0))
     if sell_exited:
@@ -99,8 +108,8 @@ def weighted_score(df: DataFrame, weights: dict[str, float], within=("date",)) -
 def rank_hold(df: DataFrame, weights: dict[str, float], rebalance=20, top_n=5, bottom_n=3, min_window=21, ascending=False, computed=()) -> DataFrame:
     """Rank-and-hold over registry factors (and columns already in df, named in computed)."""
     weights = {f: w for f, w in weights.items() if w > 0}
-    made = with_factors(df, [f for f in weights if f not in computed])
-    return hold_ranked(weighted_score(made, weights), "score", rebalance, top_n, bottom_n, min_window, ascending, panel=df)
+    made = with_factors(df, [f for f in weights if f not in computed]).select(*run_keys(df), "date", "code", *weights)
+    return hold_ranked(made, "score", rebalance, top_n, bottom_n, min_window, ascending, panel=df, scored=lambda rows: weighted_score(rows, weights))
 
 
 #: Factor weights and first usable row of the rank-and-hold family.
@@ -207,24 +216,28 @@ def multifactor(data: DataFrame, momentum_window=20, rsi_window=14, hv_window=20
     made = with_factors(data.withColumn("__f", F.last("close", ignorenulls=True).over(by_code())), ["calc_rsi", "calc_hv", "calc_volume_ratio"], {"calc_rsi": {"window": rsi_window}, "calc_hv": {"window": hv_window}, "calc_volume_ratio": {"window": vol_window}})
     made = made.withColumns({"momentum": change("__f", momentum_window), "rsi": (100 - F.col("calc_rsi")) / 100, "volatility": -F.col("calc_hv"), "volume": F.col("calc_volume_ratio")})
     least = max(momentum_window, rsi_window, hv_window, vol_window) + 1
-    return hold_ranked(weighted_score(made, weights), "score", rebalance, top_n, bottom_n, least, sell_exited=True, panel=data)
+    return hold_ranked(made.select(*run_keys(data), "date", "code", *weights), "score", rebalance, top_n, bottom_n, least, sell_exited=True, panel=data, scored=lambda rows: weighted_score(rows, weights))
 
 
-def scores_to_signals(df: DataFrame, score: str = "score", rebalance=20, top_n=10, bottom_n=5, panel: DataFrame | None = None) -> DataFrame:
-    return hold_ranked(df, score, rebalance, top_n, bottom_n, drop_unscored=True, sell_exited=True, min_rows=0, panel=panel)
+def scores_to_signals(df: DataFrame, score: str = "score", rebalance=20, top_n=10, bottom_n=5, panel: DataFrame | None = None, **how) -> DataFrame:
+    return hold_ranked(df, score, rebalance, top_n, bottom_n, drop_unscored=True, sell_exited=True, min_rows=0, panel=panel, **how)
 
 
 def composite_signals(df: DataFrame, weights: dict[str, float], **params) -> DataFrame:
     return scores_to_signals(combine_factor_scores(df, weights), "score", **params)
 
 
-def composite_runs(df: DataFrame, runs: dict[str, dict[str, float]], rebalance=20, top_n=10, bottom_n=5, panel: DataFrame | None = None) -> DataFrame:
-    """Signals of several composites (run_id: weights) side by side: factors are ranked once, and one plan holds all runs.  panel: as ``held_ranks``."""
-    ranked = with_ranks(df.select("date", "code", *dict.fromkeys(f for weights in runs.values() for f in weights)))
+def composite_runs(df: DataFrame, runs: dict[str, dict[str, float]], rebalance=20, top_n=10, bottom_n=5, panel: DataFrame | None = None, buys: bool = False) -> DataFrame:
+    """Signals of several composites (run_id: weights) side by side: factors are ranked once, and one plan holds all runs.  panel, buys: as ``held_ranks``."""
+    names = list(dict.fromkeys(f for weights in runs.values() for f in weights))
     each = F.array(*[F.struct(F.lit(r).alias("run_id"), combined_ranks(weights).alias("score")) for r, weights in runs.items()])
-    long = ranked.select("date", "code", F.explode(each).alias("x")).select("x.run_id", "date", "code", "x.score")
-    rows_ = (df if panel is None else panel).select(F.explode(F.array(*map(F.lit, runs))).alias("run_id"), "date", "code")
-    return scores_to_signals(long, "score", rebalance, top_n, bottom_n, rows_)
+
+    def scored(rows_):
+        return with_ranks(rows_, names).withColumn("x", F.explode(each)).select("x.*", *[c for c in rows_.columns if c not in names])
+
+    panel = df if panel is None else panel
+    panel = panel if buys else panel.select(F.explode(F.array(*map(F.lit, runs))).alias("run_id"), "date", "code")
+    return scores_to_signals(df.select("date", "code", *names), "score", rebalance, top_n, bottom_n, panel, scored=scored, buys=buys)
 
 
 def _threshold(df: DataFrame, buy, sell, confidence, valid=None) -> DataFrame:

@@ -125,3 +125,40 @@ def test_composites_rank_each_factor_once(panel):
     assert ranked({"both": {"close": 1.0, "high": 1.0}, **one, "high": {"high": 1.0}}) == ranked(one) > 0
     kept = factors.with_factors(panel, ["calc_rsi"])
     assert factors.with_factors(kept, ["calc_rsi"]) is kept
+
+
+def test_dates_between_rebalances_are_not_ranked(spark):
+    """The few ranking dates are met below the ranks by date; scores and signals are those of ranks on every date."""
+    from panelwright.operators import strategies
+    from panelwright.sources import panels
+
+    bars = panels.bars(spark, "/root/testdata/sf0.001")
+    made = strategies.get_strategy("gtja_momentum")(bars)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in re.split(r"\brank\(", plan)[-1], plan
+    names = dict.fromkeys(strategies.RANKED["gtja_momentum"][0], 1.0)
+    whole = strategies.hold_ranked(strategies.weighted_score(factors.with_factors(bars, list(names)), names), "score", 20, 5, 3, 21)
+    assert sorted(map(str, made.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_buys_of_composites_are_met_by_key(panel):
+    """Buys alone are those of all signals; the panel is not multiplied by runs for them, and a key that it holds twice counts twice."""
+    from panelwright.operators import strategies
+
+    twice = panel.unionByName(panel.filter("code = '000005'"))
+    runs = {"both": {"close": 1.0, "high": -1.0}, "close": {"close": 1.0}}
+    every = strategies.composite_runs(panel, runs, 7, 2, 1, twice)
+    buys = strategies.composite_runs(panel, runs, 7, 2, 1, twice, buys=True)
+    assert sorted(map(str, buys.collect())) == sorted(map(str, every.filter("signal = 1").collect()))
+    assert buys._jdf.queryExecution().optimizedPlan().toString().count("Generate") < every._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+
+
+def test_closes_of_other_codes_than_bought_are_not_dealt_out(panel):
+    """Positions read closes of buys; the panel meets the written buys before the exchange by date and code."""
+    from pyspark.sql import functions as F
+
+    signals = panel.select("date", "code", F.when(F.col("code") == "000001", 1).otherwise(-1).alias("signal"), F.lit(1.0).alias("confidence"))
+    made = backtest.build_positions(panel, signals)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate [date") :], plan
+    assert {(r["code"], r["weight"]) for r in made.collect()} == {("000001", 1.0)} and made.count() == 40
