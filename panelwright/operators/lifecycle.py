@@ -64,8 +64,18 @@ def skipped_factors(df: DataFrame, names: list[str]) -> list[str]:
     return [f"{n} (missing: {', '.join(sorted(set(get_spec(n).needs) - set(df.columns)))})" for n in names if not set(get_spec(n).needs) <= set(df.columns)]
 
 
-def rolled_ics(data: DataFrame, names: list[str], windows=(5,), window: int = 60, min_periods: int = 20, min_obs: int = 5, exclude_untradable: bool = True) -> DataFrame:
+def ahead(data: DataFrame, names: list[str], windows=(5,), exclude_untradable: bool = True) -> DataFrame:
+    """The panel with factors, forward returns and __end_{w}, the date that a forward return ends on.  A panel that has all of them, and so was
+    made here, stays as it is and lies as it is: nothing in it looks along a code any more.
+    """
+    if {*names, *(f"{c}{w}{d}" for w in windows for c, d in (("fwd_ret_", "d"), ("__end_", "")))} <= set(data.columns):
+        return data
     made = evaluation.forward_returns(with_factors(data, names), windows, exclude_untradable)
+    return made.withColumns({f"__end_{w}": F.lead("date", w).over(evaluation.by_code()) for w in windows})
+
+
+def rolled_ics(data: DataFrame, names: list[str], windows=(5,), window: int = 60, min_periods: int = 20, min_obs: int = 5, exclude_untradable: bool = True) -> DataFrame:
+    made = ahead(data, names, windows, exclude_untradable)
     return evaluation.rolling_ic(evaluation.ic(made, names, windows, min_obs=min_obs), window, min_periods)
 
 
@@ -180,7 +190,8 @@ def bootstrap_draws(ics: DataFrame, by: list[str], n_iters: int = 200, window: i
     variation, have no rows; an iteration without variation has an infinite t.
     """
     at, whole = Window.partitionBy(*by).orderBy("date"), Window.partitionBy(*by)
-    rows = ics.select(*by, "date", F.nanvl(F.col("ic").cast("double"), F.lit(None).cast("double")).alias("v")).filter("v is not null").withColumns({"m": F.count("*").over(whole), "x": F.lag("v").over(at)})
+    # few rows and much work a series: as many pieces as shuffles make, which are not merged for being small
+    rows = ics.repartition(int(ics.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).select(*by, "date", F.nanvl(F.col("ic").cast("double"), F.lit(None).cast("double")).alias("v")).filter("v is not null").withColumns({"m": F.count("*").over(whole), "x": F.lag("v").over(at)})
     rows = rows.filter("x is not null").withColumns({"phi": ratio(F.covar_pop("x", "v").over(whole), F.var_pop("x").over(whole)), "mx": F.avg("x").over(whole), "my": F.avg("v").over(whole)})
     rest = F.col("v") - F.col("my") - F.col("phi") * (F.col("x") - F.col("mx"))
     series = rows.withColumn("rest", rest).groupBy(*by).agg(F.first("m").alias("m"), F.first("phi").alias("phi"), F.array_sort(F.collect_list(F.struct("date", "rest"))).alias("rests")).filter((F.col("m") >= max(window, 3)) & F.col("phi").isNotNull())
@@ -254,6 +265,7 @@ def phase_b(data: DataFrame, states: DataFrame, windows: list, top_k: int = 5, t
     At the end of each training window: the factors in state active or decaying; one of each cluster of alike ones (correlations of
     the last corr_window training days); those whose t passes 1 and the null quantile of their own training ICs; the
     top_k by |t|.  A pick wins if its IC within the test window alone has t beyond 2 in the direction of training.
+    data: a panel, or what ``ahead`` made of it (with exclude_untradable as there).
     """
     import pandas as pd
 
@@ -266,7 +278,7 @@ def phase_b(data: DataFrame, states: DataFrame, windows: list, top_k: int = 5, t
     ends = days.join(w, F.col("date").between(F.col("tr0"), F.col("tr1"))).groupBy("period").agg(F.max("date").alias("date"))
     open_ = mine.join(F.broadcast(ends), "date").filter(F.col("state").isin("active", "decaying")).select("period", "factor", F.col("t_stat").alias("train_t"), F.col("rolling_ir").alias("ir"))
     names = sorted(r["factor"] for r in mine.select("factor").distinct().collect())  # the registry's at most
-    made = evaluation.forward_returns(with_factors(data, names), (fwd_window,), exclude_untradable).withColumn("__end", F.lead("date", fwd_window).over(evaluation.by_code()))
+    made = ahead(data, names, (fwd_window,), exclude_untradable)
     recent = days.join(w, F.col("date") <= F.col("tr1")).withColumn("k", F.row_number().over(Window.partitionBy("period").orderBy(F.col("date").desc()))).filter(F.col("k") <= corr_window).select("period", "date")
     met = recent.select("date").distinct()  # a date's correlations are those of every period that looks back on it
     daily = evaluation.daily_correlations(made.select("date", "code", *names).join(F.broadcast(met), "date", "left_semi"), names, min_obs)
@@ -285,7 +297,7 @@ def phase_b(data: DataFrame, states: DataFrame, windows: list, top_k: int = 5, t
     best = F.row_number().over(Window.partitionBy("period").orderBy(F.abs("train_t").desc(), "factor"))
     chosen = passed.withColumn("rank", best).filter(F.col("rank") <= top_k)
     # forward returns that end inside the test window
-    test = made.join(w.select("period", "te0", "te1"), F.col("date").between(F.col("te0"), F.col("te1")) & (F.col("__end") <= F.col("te1")))
+    test = made.join(w.select("period", "te0", "te1"), F.col("date").between(F.col("te0"), F.col("te1")) & (F.col(f"__end_{fwd_window}") <= F.col("te1")))
     stats = test_stats(evaluation.ic(test, names, (fwd_window,), by=("period",)), by=("period", "factor"))
     win = ((F.col("train_t") > 0) & (F.col("ic_t") > 2)) | ((F.col("train_t") < 0) & (F.col("ic_t") < -2))
     periods = chosen.join(stats, ["period", "factor"], "left").withColumns({"win": F.coalesce(win, F.lit(False)), "sig": F.coalesce("sig", F.lit(False))})

@@ -901,9 +901,9 @@ def phase_a_single(spark, sf_dir):
 
 @query("phase_b")
 def phase_b(spark, sf_dir):
-    """Factors and states are made once and written, for several steps read them."""
+    """Factors, forward returns and states are made once and written, for several steps read them."""
     names = ["calc_momentum_5d_change", "calc_momentum_6d_return", "calc_momentum_20d_return", "calc_ma_slope_20d", "calc_volume_ratio", "calc_rsi"]
-    p = dated.materialised(factors.with_factors(panels.bars(spark, sf_dir), names), "factors")
+    p = dated.materialised(lifecycle.ahead(panels.bars(spark, sf_dir), names), "factors")
     first, last = p.agg(F.min("date"), F.max("date")).first()
     windows = lifecycle.oos_windows(first, last, 24, 3)
     states = dated.materialised(lifecycle.monitor(p, names, min_sustain=5), "states")

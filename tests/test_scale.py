@@ -162,3 +162,27 @@ def test_closes_of_other_codes_than_bought_are_not_dealt_out(panel):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan[plan.index("Aggregate [date") :], plan
     assert {(r["code"], r["weight"]) for r in made.collect()} == {("000001", 1.0)} and made.count() == 40
+
+
+def test_phase_b_looks_along_codes_once(spark, panel):
+    """A panel with factors and forward returns is read as it lies by monitor and phase; values are the same."""
+    from panelwright.operators import lifecycle
+
+    names = ["calc_momentum_5d_change", "calc_volume_ratio"]
+    made = lifecycle.ahead(panel, names)
+    stored = spark.createDataFrame(made.collect(), made.schema)
+    assert lifecycle.ahead(stored, names) is stored
+    plan = lifecycle.rolled_ics(stored, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "code" not in plan[: plan.index("FlatMapGroupsInArrow")] and not re.search(r"(lead|lag)\(", plan), plan
+    states = lifecycle.monitor(stored, names, min_sustain=5).collect()
+    assert states and sorted(map(str, states)) == sorted(map(str, lifecycle.monitor(panel, names, min_sustain=5).collect()))
+
+
+def test_bootstrap_draws_are_spread_over_tasks(spark):
+    """Small tables of costly series are not merged into one task, and draws are those of one task."""
+    from panelwright.operators import lifecycle
+
+    ics = spark.createDataFrame([(f"f{k}", D0 + datetime.timedelta(days=i), ((i * (k + 3)) % 7 - 3) / 10) for k in range(12) for i in range(30)], "factor string, date date, ic double")
+    drawn = lifecycle.bootstrap_draws(ics, ["factor"], 3, 20)
+    assert len({r[0] for r in drawn.selectExpr("spark_partition_id()").collect()}) > 1
+    assert sorted(map(str, drawn.collect())) == sorted(map(str, lifecycle.bootstrap_draws(ics.coalesce(1), ["factor"], 3, 20).collect()))
