@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
-from .timeseries import by_code, corr, pieces, rank_pct, rolling, rolling_mean, rows, spread
+from .timeseries import by_code, pieces, rank_pct, rolling, rows, spread
 
 FLAGS = ("limit_up", "limit_down", "is_suspended")
 
@@ -427,39 +427,74 @@ def ic_weights(ics: DataFrame, as_of, lookback: int = 60) -> DataFrame:
 # factor audit
 
 
-def audit_columns(df: DataFrame, factors: list[str], lookback: int = 60, lag: int = 5) -> DataFrame:
-    """Adds cov_, stab_ and disp_ of each factor: rolling share of values, rolling correlation of rank and lagged rank, dispersion of the date."""
-    out = df.withColumns({f"__r_{f}": rank_pct(f) for f in factors})
-    out = out.withColumns({f"__l_{f}": F.lag(f"__r_{f}", lag).over(by_code()) for f in factors})
-    cols = {}
-    for f in factors:
-        cols[f"cov_{f}"] = rolling_mean(F.when(F.col(f).isNotNull(), 1.0).otherwise(0.0), lookback)
-        c = corr(f"__r_{f}", f"__l_{f}", lookback)
-        cols[f"stab_{f}"] = F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
-        by = Window.partitionBy("date")
-        cols[f"disp_{f}"] = ratio(F.stddev_samp(f).over(by), F.avg(F.abs(f)).over(by))
-    return out.withColumns(cols).drop(*[f"__{a}_{f}" for a in "rl" for f in factors])
+def audit_columns(df: DataFrame, factors: list[str], lookback: int = 60, lag: int = 5, by: tuple = (), once: bool = False) -> DataFrame:
+    """date, code (and by), and of each factor cov_, stab_ and disp_: rolling share of values, rolling correlation of rank and lagged rank, dispersion
+    of the date.  Rows alike in by are a panel of their own.  once: the dispersion stands at the date's first code alone.
+
+    Rows cross two exchanges, by date for ranks and dispersion and by code.  A code's rows are one group, whose windows numpy sums: a frame of
+    the JVM's would be gone through anew for each row and each moment.
+    """
+    import pyarrow as pa
 
+    n, kinds, keys = pieces(df), dict(df.dtypes), ["code", *by]
+    day = Window.partitionBy("date", *by)
+    values = spread(df.select("date", *keys, *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(factors)]), n, "date")
+    first = F.row_number().over(day.orderBy("code")) == 1 if once else F.lit(True)
+    disp = {f"__d{i}": F.when(first, ratio(F.stddev_samp(f"__x{i}").over(day), F.avg(F.abs(f"__x{i}")).over(day))) for i in range(len(factors))}
+    ranked = values.select("date", *keys, *[rank_pct(f"__x{i}", ("date", *by)).alias(f"__r{i}") for i in range(len(factors))], *[c.alias(k) for k, c in disp.items()])
 
-def audit_factors(df: DataFrame, factors: list[str], lookback: int = 60, lag: int = 5, min_coverage: float = 0.8, min_stability: float = 0.3, min_dispersion: float = 0.10) -> DataFrame:
-    """factor, coverage (mean), stability and dispersion (medians; dispersion over dates), active."""
-    made = audit_columns(df, factors, lookback, lag)
-    first = F.row_number().over(Window.partitionBy("date").orderBy("code")) == 1
-    made = made.withColumn("__first", first)
-    each = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"cov_{f}").alias("c"), F.col(f"stab_{f}").alias("s"), F.when(F.col("__first"), F.col(f"disp_{f}")).alias("d")) for f in factors])
-    out = made.select(F.explode(each).alias("x")).select("x.*").groupBy("factor").agg(F.avg("c").alias("coverage"), F.percentile("s", F.lit(0.5)).alias("stability"), F.percentile("d", F.lit(0.5)).alias("dispersion"))
+    def run(key, rows):
+        rows = rows.sort_by("date")
+        size, out = len(rows), [rows["date"], *[pa.array([v.as_py()] * len(rows), v.type) for v in key]]
+        for i in range(len(factors)):
+            column = rows[f"__r{i}"].combine_chunks()
+            known, x = np.asarray(column.is_valid()), np.asarray(column.fill_null(0.0))
+            cov, stab, some = np.zeros(size), np.zeros(size), np.zeros(size, bool)
+            held = np.arange(size) >= lookback - 1
+            so_far = np.r_[0, np.cumsum(known)]
+            cov[held] = (so_far[lookback:] - so_far[:-lookback])[: held.sum()] / lookback
+            k = size - lag  # pairs of a row and the one lag rows before
+            if k >= lookback:
+                both = np.r_[0, np.cumsum(known[lag:] & known[:k])]
+                at = np.flatnonzero(both[lookback:] - both[:-lookback] == lookback)
+                a, b = (np.lib.stride_tricks.sliding_window_view(v, lookback)[at] for v in (x[lag:], x[:k]))
+                a, b = (v - v.mean(axis=1, keepdims=True) for v in (a, b))
+                scale = np.sqrt((a * a).mean(axis=1)) * np.sqrt((b * b).mean(axis=1))
+                sure = scale > 1e-12
+                at, c = at[sure] + lag + lookback - 1, (a * b).mean(axis=1)[sure] / scale[sure]
+                stab[at], some[at] = np.clip(c, -1.0, 1.0), True
+            out += [pa.array(cov, mask=~held), pa.array(stab, mask=~some), rows[f"__d{i}"]]
+        return pa.Table.from_arrays(out, names=names)
+
+    names = ["date", *keys, *[f"{a}_{f}" for f in factors for a in ("cov", "stab", "disp")]]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names[: 1 + len(keys)]) + "".join(f", `{c}` double" for c in names[1 + len(keys) :])
+    return spread(ranked, n, "code").groupBy(*keys).applyInArrow(run, schema)
+
+
+def audit_factors(df: DataFrame, factors: list[str], lookback: int = 60, lag: int = 5, min_coverage: float = 0.8, min_stability: float = 0.3, min_dispersion: float = 0.10, by: tuple = ()) -> DataFrame:
+    """factor (and by), coverage (mean), stability and dispersion (medians; dispersion over dates), active.  Rows alike in by are audited by themselves.
+
+    What the audit measured is written once, and read for the mean, for counts by cell and for the few values of the middle cells.
+    """
+    from ..sources.dated import materialised
+
+    made = audit_columns(df, factors, lookback, lag, by, once=True)
+    made = materialised(made.select(*by, *[f"{a}_{f}" for f in factors for a in ("cov", "stab", "disp")]), "audit")
+    each = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"cov_{f}").alias("c"), F.col(f"stab_{f}").alias("s"), F.col(f"disp_{f}").alias("d")) for f in factors])
+    made, keys = made.select(*by, F.explode(each).alias("x")).select(*by, "x.*"), ["factor", *by]
+    out = made.groupBy(*keys).agg(F.avg("c").alias("coverage"))
+    for x, name in (("s", "stability"), ("d", "dispersion")):
+        middle = medians(made.filter(F.col(x).isNotNull()).select(*keys, value_cell(x).alias("cell"), x, F.lit(1).alias("m")), keys, x)
+        out = out.join(F.broadcast(middle.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("median").alias(name))), alike(keys), "left").drop(*[f"__{c}" for c in keys])  # one row a factor
     active = (F.col("coverage") >= min_coverage) & (F.col("stability") >= min_stability) & (F.col("dispersion") >= min_dispersion)
     return out.withColumn("active", F.coalesce(active, F.lit(False)))
 
 
 def audit_factors_by_regime(df: DataFrame, factors: list[str], regimes: DataFrame, **params) -> DataFrame:
-    """The audit within each regime: rows of other regimes are left out before any window is formed."""
-    labels = [r["regime"] for r in regimes.select("regime").distinct().orderBy("regime").collect()]  # four labels at most
-    parts = []
-    for label in labels:
-        days = F.broadcast(regimes.filter(F.col("regime") == label).select("date"))
-        parts.append(audit_factors(df.join(days, "date", "left_semi"), factors, **params).withColumn("regime", F.lit(label)))
-    return reduce(DataFrame.unionByName, parts)
+    """The audit within each regime, all in one plan: rows of other regimes are in none of its windows."""
+    days = F.broadcast(regimes.filter("regime is not null").select("date", "regime").distinct())  # one row a date
+    made = audit_factors(df.join(days, "date"), factors, by=("regime",), **params)
+    return made.select(*[c for c in made.columns if c != "regime"], "regime")
 
 
 def select_tradable(df: DataFrame, factors: list[str], top_n: int | None = None, min_stocks: int = 5, min_pass_count: int = 1, lookback: int = 60, lag: int = 5, min_coverage: float = 0.8, min_stability: float = 0.3, min_dispersion: float = 0.10) -> DataFrame:
@@ -508,15 +543,18 @@ def alike(by: list[str]) -> Column:
 OCTAVE = 256
 
 
+def value_cell(x: str) -> Column:
+    size = F.floor(F.least(F.greatest(F.log2(F.abs(x)), F.lit(-1100.0)), F.lit(1100.0)) * OCTAVE) + 1101 * OCTAVE
+    return F.when(F.col(x) > 0, size).when(F.col(x) < 0, -size).otherwise(F.lit(0).cast("long"))
+
+
 def value_counts(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """by, cell, x, m: how often each value occurs.  Cells follow the order of values; there are at most OCTAVE for each sign and doubling."""
-    size = F.floor(F.least(F.greatest(F.log2(F.abs(x)), F.lit(-1100.0)), F.lit(1100.0)) * OCTAVE) + 1101 * OCTAVE
-    cell = F.when(F.col(x) > 0, size).when(F.col(x) < 0, -size).otherwise(F.lit(0).cast("long"))
-    return df.select(*by, cell.alias("cell"), x).groupBy(*by, "cell", x).agg(F.count("*").alias("m"))
+    return df.select(*by, value_cell(x).alias("cell"), x).groupBy(*by, "cell", x).agg(F.count("*").alias("m"))
 
 
 def medians(values: DataFrame, by: list[str], x: str) -> DataFrame:
-    """by, median: exact, from ``value_counts``.  Cells are counted first, and only values of those that the middle falls into are put in order,
+    """by, median: exact, from ``value_counts`` or rows of its columns with m = 1.  Cells are counted first, and only values of those that the middle falls into are put in order,
     so that no task holds a group."""
     order = Window.partitionBy(*by).orderBy("cell")
     cells = values.groupBy(*by, "cell").agg(F.sum("m").alias("m")).withColumns({"__upto": F.sum("m").over(order), "__n": F.sum("m").over(Window.partitionBy(*by))})
@@ -525,6 +563,7 @@ def medians(values: DataFrame, by: list[str], x: str) -> DataFrame:
     middle = cells.withColumns({"__before": before, "__lower": lower, "__upper": upper}).filter(((F.col("__lower") >= F.col("__before")) & (F.col("__lower") < F.col("__upto"))) | ((F.col("__upper") >= F.col("__before")) & (F.col("__upper") < F.col("__upto"))))
     middle = middle.select(*[F.col(c).alias(f"__{c}") for c in (*by, "cell")], "__before", "__lower", "__upper")
     found = values.join(F.broadcast(middle), alike([*by, "cell"]))  # two rows a group at most
+    found = found.groupBy(*by, "cell", x, "__before", "__lower", "__upper").agg(F.sum("m").alias("m"))
     upto = F.col("__before") + F.sum("m").over(Window.partitionBy(*by, "cell").orderBy(x))
     found = found.withColumn("__upto", upto)
     low, high = (F.min(F.when(F.col("__upto") > F.col(k), F.col(x))) for k in ("__lower", "__upper"))

@@ -186,3 +186,39 @@ def test_bootstrap_draws_are_spread_over_tasks(spark):
     drawn = lifecycle.bootstrap_draws(ics, ["factor"], 3, 20)
     assert len({r[0] for r in drawn.selectExpr("spark_partition_id()").collect()}) > 1
     assert sorted(map(str, drawn.collect())) == sorted(map(str, lifecycle.bootstrap_draws(ics.coalesce(1), ["factor"], 3, 20).collect()))
+
+
+def test_audit_holds_no_group_of_all_rows(panel):
+    """Medians come from cells, rows cross two exchanges, and windows are those of the JVM: nulls, ties and constant stretches too."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = panel.withColumn("x", F.when(F.col("code") == "000001", 50.0).when((F.col("code") != "000002") | (F.dayofmonth("date") != 9), F.col("close")))
+    audit = evaluation.audit_columns(df, ["x"], 10, 2)
+    assert len(_widths(audit)) == 2
+    assert "percentile" not in evaluation.audit_factors(df, ["x"], 10, 2)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = df.withColumn("r", ts.rank_pct("x")).withColumn("l", F.lag("r", 2).over(ts.by_code()))
+    day = Window.partitionBy("date")
+    want = ranked.select("date", "code", ts.rolling_mean(F.col("x").isNotNull().cast("double"), 10).alias("c"), ts.corr("r", "l", 10).alias("s"), (F.stddev_samp("x").over(day) / F.avg("x").over(day)).alias("d"))
+    want = {(r[0], r[1]): r[2:] for r in want.collect()}
+    got = {(r[0], r[1]): r[2:] for r in audit.collect()}
+    assert got.keys() == want.keys() and len({k for k, v in want.items() if v[1] is not None}) > 100
+    for k, values in want.items():
+        assert got[k] == tuple(None if v is None else pytest.approx(v, abs=1e-9) for v in values), k
+    table = evaluation.audit_factors(df, ["x"], 10, 2).first()
+    stab = sorted(v[1] for v in want.values() if v[1] is not None)
+    assert table["stability"] == pytest.approx((stab[(len(stab) - 1) // 2] + stab[len(stab) // 2]) / 2, abs=1e-9)
+
+
+def test_regimes_are_audited_in_one_plan(panel, monkeypatch):
+    """However many regimes; each is the audit of its own rows."""
+    from pyspark.sql import functions as F
+
+    calls, whole = [], evaluation.audit_columns
+    regimes = panel.select("date", F.when(F.dayofmonth("date") < 16, "a").otherwise("b").alias("regime")).distinct()
+    want = {r: evaluation.audit_factors(panel.join(regimes.filter(F.col("regime") == r), "date", "left_semi"), ["close"], 8, 2).first() for r in "ab"}
+    monkeypatch.setattr(evaluation, "audit_columns", lambda *a, **b: calls.append(1) or whole(*a, **b))
+    got = {r["regime"]: r for r in evaluation.audit_factors_by_regime(panel, ["close"], regimes, lookback=8, lag=2).collect()}
+    assert len(calls) == 1 and got.keys() == want.keys()
+    for r, row in want.items():
+        assert [got[r][c] for c in row.asDict()] == [pytest.approx(v) if isinstance(v, float) else v for v in row], r
