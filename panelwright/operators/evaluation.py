@@ -427,11 +427,15 @@ def ic_weights(ics: DataFrame, as_of, lookback: int = 60) -> DataFrame:
 # factor audit
 
 
+#: Frames of audited rows that are summed at a time.
+FRAMES = 4096
+
+
 def audit_columns(df: DataFrame, factors: list[str], lookback: int = 60, lag: int = 5, by: tuple = (), once: bool = False) -> DataFrame:
     """date, code (and by), and of each factor cov_, stab_ and disp_: rolling share of values, rolling correlation of rank and lagged rank, dispersion
     of the date.  Rows alike in by are a panel of their own.  once: the dispersion stands at the date's first code alone.
 
-    Rows cross two exchanges, by date for ranks and dispersion and by code.  A code's rows are one group, whose windows numpy sums: a frame of
+    Rows cross two exchanges, by date for ranks and dispersion and by code.  Some codes' rows are one group, whose windows numpy sums: a frame of
     the JVM's would be gone through anew for each row and each moment.
     """
     import pyarrow as pa
@@ -443,32 +447,37 @@ def audit_columns(df: DataFrame, factors: list[str], lookback: int = 60, lag: in
     disp = {f"__d{i}": F.when(first, ratio(F.stddev_samp(f"__x{i}").over(day), F.avg(F.abs(f"__x{i}")).over(day))) for i in range(len(factors))}
     ranked = values.select("date", *keys, *[rank_pct(f"__x{i}", ("date", *by)).alias(f"__r{i}") for i in range(len(factors))], *[c.alias(k) for k, c in disp.items()])
 
-    def run(key, rows):
-        rows = rows.sort_by("date")
-        size, out = len(rows), [rows["date"], *[pa.array([v.as_py()] * len(rows), v.type) for v in key]]
+    def run(rows):
+        rows = rows.sort_by([(k, "ascending") for k in (*keys, "date")])
+        size, out = len(rows), [rows[k] for k in ("date", *keys)]
+        codes = [np.asarray(rows[k].combine_chunks().dictionary_encode(null_encoding="encode").indices) for k in keys]
+        every = np.arange(size)
+        begins = np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)]
+        place = every - np.maximum.accumulate(np.where(begins, every, 0))
+        held, reach = np.flatnonzero(place >= lookback - 1), np.flatnonzero(place >= lookback - 1 + lag)
         for i in range(len(factors)):
             column = rows[f"__r{i}"].combine_chunks()
             known, x = np.asarray(column.is_valid()), np.asarray(column.fill_null(0.0))
-            cov, stab, some = np.zeros(size), np.zeros(size), np.zeros(size, bool)
-            held = np.arange(size) >= lookback - 1
+            cov, stab, none, some = np.zeros(size), np.zeros(size), np.ones(size, bool), np.zeros(size, bool)
             so_far = np.r_[0, np.cumsum(known)]
-            cov[held] = (so_far[lookback:] - so_far[:-lookback])[: held.sum()] / lookback
-            k = size - lag  # pairs of a row and the one lag rows before
-            if k >= lookback:
-                both = np.r_[0, np.cumsum(known[lag:] & known[:k])]
-                at = np.flatnonzero(both[lookback:] - both[:-lookback] == lookback)
-                a, b = (np.lib.stride_tricks.sliding_window_view(v, lookback)[at] for v in (x[lag:], x[:k]))
-                a, b = (v - v.mean(axis=1, keepdims=True) for v in (a, b))
+            cov[held], none[held] = (so_far[held + 1] - so_far[held + 1 - lookback]) / lookback, False
+            # pairs of a row and the one lag rows before
+            both = np.r_[0, np.cumsum(known & np.r_[np.zeros(min(lag, size), bool), known[: max(size - lag, 0)]])]
+            whole = reach[both[reach + 1] - both[reach + 1 - lookback] == lookback]
+            for k in range(0, len(whole), FRAMES):
+                at = whole[k : k + FRAMES]
+                frames = np.lib.stride_tricks.sliding_window_view(x, lookback)
+                a, b = (v - v.mean(axis=1, keepdims=True) for v in (frames[at + 1 - lookback], frames[at + 1 - lookback - lag]))
                 scale = np.sqrt((a * a).mean(axis=1)) * np.sqrt((b * b).mean(axis=1))
                 sure = scale > 1e-12
-                at, c = at[sure] + lag + lookback - 1, (a * b).mean(axis=1)[sure] / scale[sure]
-                stab[at], some[at] = np.clip(c, -1.0, 1.0), True
-            out += [pa.array(cov, mask=~held), pa.array(stab, mask=~some), rows[f"__d{i}"]]
+                stab[at[sure]], some[at[sure]] = np.clip((a * b).mean(axis=1)[sure] / scale[sure], -1.0, 1.0), True
+            out += [pa.array(cov, mask=none), pa.array(stab, mask=~some), rows[f"__d{i}"]]
         return pa.Table.from_arrays(out, names=names)
 
     names = ["date", *keys, *[f"{a}_{f}" for f in factors for a in ("cov", "stab", "disp")]]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names[: 1 + len(keys)]) + "".join(f", `{c}` double" for c in names[1 + len(keys) :])
-    return spread(ranked, n, "code").groupBy(*keys).applyInArrow(run, schema)
+    groups = 4 * (n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # codes of a group: a quarter of a piece
+    return spread(ranked.withColumn("__g", F.pmod(F.hash("code"), F.lit(groups))), n, "__g").groupBy("__g").applyInArrow(run, schema)
 
 
 def audit_factors(df: DataFrame, factors: list[str], lookback: int = 60, lag: int = 5, min_coverage: float = 0.8, min_stability: float = 0.3, min_dispersion: float = 0.10, by: tuple = ()) -> DataFrame:

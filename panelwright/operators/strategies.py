@@ -404,9 +404,11 @@ def market_exposure(index: DataFrame, ma_short: int = 50, ma_long: int = 200, ex
 
 def regime_inputs(data: DataFrame, trend_window: int = 20) -> DataFrame:
     """date, breadth (share above the mean, less a half), median_return, realized_vol: one row a day."""
-    filled = data.withColumn("__f", F.last("close", ignorenulls=True).over(by_code())).withColumn("__m", rolling_mean("close", trend_window))
+    n = pieces(data)
+    filled = spread(data.select("date", "code", "close"), n, "code").withColumn("__f", F.last("close", ignorenulls=True).over(by_code())).withColumn("__m", rolling_mean("close", trend_window))
     made = filled.withColumns({"__up": F.when(F.col("close") > F.col("__m"), 1.0).otherwise(0.0), "__r": change("__f", trend_window), "__d": change("__f", 1)})
-    return made.groupBy("date").agg((F.avg("__up") - 0.5).alias("breadth"), F.percentile("__r", F.lit(0.5)).alias("median_return"), F.stddev_samp("__d").alias("realized_vol"))
+    # a date's values lie together before they are counted: no map of values is written for each piece and date
+    return spread(made.select("date", "__up", "__r", "__d"), n, "date").groupBy("date").agg((F.avg("__up") - 0.5).alias("breadth"), F.percentile("__r", F.lit(0.5)).alias("median_return"), F.stddev_samp("__d").alias("realized_vol"))
 
 
 def persistent(days: DataFrame, label: str, least: int, name: str) -> DataFrame:
@@ -443,7 +445,10 @@ def index_trend(index: DataFrame, short: int = 50, long: int = 200) -> DataFrame
 
 def detect_regime(data: DataFrame, trend_window=20, vol_lookback=60, vol_high_pct=75.0, vol_low_pct=25.0, strong=0.2, weak=0.15, ema_span=5, min_persistence=7, index: DataFrame | None = None) -> DataFrame:
     """date, regime: trend_up, trend_down, volatile or range.  Thresholds of the first days are those of the whole sample (a look-ahead, kept)."""
-    days = ewm_position(regime_inputs(data, trend_window).withColumn("code", F.lit("all")))  # one row a day
+    from ..sources.dated import materialised
+
+    inputs = materialised(regime_inputs(data, trend_window), "regime-inputs")  # one row a day, read by several steps below
+    days = ewm_position(inputs.withColumn("code", F.lit("all")))
     inputs = ("breadth", "median_return", "realized_vol")
     if ema_span > 1:
         days = days.select("date", "code", *[ewm(c, ema_span + 1, 2, 1).alias(c) for c in inputs])
