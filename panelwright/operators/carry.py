@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import evaluation
 from .factors import get_spec, scored
-from .timeseries import by_code, ewm_position
+from .timeseries import by_code
 
 #: Rows that the longest chain of windows looks back on, and the longest forward window, at most.
 LOOKBACK = 60
@@ -79,7 +79,8 @@ def summed(made: DataFrame, terms, raw: list[str]) -> DataFrame:
 
 def started(data: DataFrame, names: list[str], windows, exclude_untradable: bool = True) -> Carry:
     """The carry after a full run over data."""
-    made, terms = scored(ewm_position(data).withColumn("__t", F.col("__t").cast("long")), names)
+    made, terms = scored(data, names)
+    made = made.withColumn("__t", F.col("__t").cast("long"))
     needs = reduce(set.union, (set(get_spec(n).needs) for n in names), {"close"})
     raw = ["date", *[c for c in data.columns if c in needs or c in evaluation.FLAGS]]
     return Carry(summed(made, terms, raw), made.select("date", "code", *names), known_returns(made, windows, exclude_untradable).drop("__t"))

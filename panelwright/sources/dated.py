@@ -52,8 +52,14 @@ def put(spark: SparkSession, root: str, table: str, rows: DataFrame, since: date
     path = f"{root}/{table}/{uuid.uuid4().hex}"
     if "date" in rows.columns:
         rows = rows.filter(F.col("date") >= F.lit(since)) if isinstance(since, datetime.date) else rows
-        rows = rows.repartitionByRange("date").sortWithinPartitions("date")  # files of few dates: readers skip the others
-    rows.write.parquet(path)
+        made = working_folder(spark, "put")  # ranges are drawn from a sample: without a table, rows would be made twice
+        rows.write.parquet(made)
+        rows = spark.read.schema(rows.schema).parquet(made).repartitionByRange("date").sortWithinPartitions("date")  # files of few dates: readers skip the others
+        rows.write.parquet(path)
+        fs, at = folder(spark, made)
+        fs.delete(at, True)
+    else:
+        rows.write.parquet(path)
     return Segment(table, path, since)
 
 

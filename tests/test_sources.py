@@ -197,3 +197,22 @@ def test_vendor_tables(spark, tmp_path):
     assert vendor.read_folder(spark, f"{tmp_path}/f", "figures").count() == 2
     with pytest.raises(ValueError):
         vendor.read_folder(spark, str(tmp_path), "odd")
+
+
+def test_rows_put_by_date_are_made_once(spark, tmp_path):
+    """Ranges of dates are drawn from a sample, which must not make the rows again; nothing but the segment stays."""
+    import datetime
+
+    from pyspark.sql import functions as F
+    from panelwright.sources import dated
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(k):
+        made.add(1)
+        return k
+
+    day = F.date_add(F.lit(datetime.date(2020, 1, 1)), F.col("id").cast("int"))
+    segment = dated.put(spark, str(tmp_path), "t", spark.range(40).select(day.alias("date"), counted("id").alias("k")))
+    assert made.value == 40 and sorted(r["k"] for r in spark.read.parquet(segment.path).collect()) == list(range(40))
