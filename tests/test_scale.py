@@ -222,3 +222,12 @@ def test_regimes_are_audited_in_one_plan(panel, monkeypatch):
     assert len(calls) == 1 and got.keys() == want.keys()
     for r, row in want.items():
         assert [got[r][c] for c in row.asDict()] == [pytest.approx(v) if isinstance(v, float) else v for v in row], r
+
+
+def test_factors_of_a_row_alone_are_made_before_rows_move(panel):
+    """Inputs that only they read stay behind."""
+    df = panel.selectExpr("*", "volume / 7 as pe", "close as pb")
+    made = factors.narrowed(df, ["calc_ep", "calc_hv"])
+    assert set(made.columns) == {"date", "code", "close", "calc_ep"}
+    whole = factors.with_factors(df, ["calc_ep"])
+    assert sorted(map(str, made.select("date", "code", "calc_ep").collect())) == sorted(map(str, whole.select("date", "code", "calc_ep").collect()))
